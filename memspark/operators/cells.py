@@ -53,4 +53,7 @@ def cut_into_cells(
 
 def match_cells(left: DataFrame, right: DataFrame, cell: list[str], kernel: Callable, schema: str) -> DataFrame:
     """Run ``kernel(left_rows, right_rows) -> rows`` once per cell."""
+    # fresh column identities: both sides may come from one table
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(kernel, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.operators import kernels
-from memspark.operators.cells import LEFT_BLOCK, RIGHT_BLOCK
+from memspark.operators.cells import LEFT_BLOCK, RIGHT_BLOCK, match_cells
 from memspark.operators.running import top_per_key
 from memspark.operators.scope import SCOPE
 from memspark.session import cut_lineage
@@ -90,7 +90,7 @@ def similarity_edges(rows: DataFrame, keys: list[str], *, sim: float = CLUSTER_S
     types = dict(rows.dtypes)
     schema = ", ".join([*[f"{c} {types[c]}" for c in keys], f"src {types['id']}", f"dst {types['id']}"])
     kernel = kernels.similar_forest(keys, sim, 6)
-    edges = left.select(*cols).groupBy(*cell).cogroup(right.select(*cols).groupBy(*cell)).applyInPandas(kernel, schema)
+    edges = match_cells(left.select(*cols), right.select(*cols), cell, kernel, schema)
     return edges.filter("src != dst")
 
 

@@ -338,3 +338,18 @@ def edge_pass(batches):
         rest = list(state.left_open())
         if rest:
             yield frame(rest)
+
+
+def count_matches():
+    """Per query, how many documents of the cell hold at least one of its terms."""
+
+    def run(postings: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
+        docs_of = {t: g.to_numpy() for t, g in postings.groupby("term")["doc_id"]}
+        out = []
+        for qid, words in terms.groupby("query_id")["term"]:
+            hit = [docs_of[w] for w in words if w in docs_of]
+            if hit:
+                out.append((qid, len(np.unique(np.concatenate(hit)))))
+        return pd.DataFrame(out, columns=["query_id", "n"])
+
+    return run

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memspark.functions import text as X
 from memspark.functions import timeex as D
 from memspark.operators import matching, panels, versions
-from memspark.operators.scope import SCOPE, scope_filter_batch, writable
+from memspark.operators.scope import SCOPE, scope_filter_batch
 from memspark.operators.search import usable_model, pending_model
 from memspark.registry import query
 from memspark.registry.scalars import TF_CTE
@@ -28,9 +28,15 @@ def scope_filter(t):
     return seen.groupBy("session_id").agg(F.sum("n").alias("n_visible"), F.max("newest").alias("newest"))
 
 
-@query("scope_write_check", ctes("episodes_v") + "SELECT scope_owner, count(*) AS n FROM episodes_v WHERE scope_kind = 'private' AND scope_owner = 'user:7' GROUP BY 1")
+@query("scope_write_check", ctes("episodes_v") + """SELECT c.c_custkey AS session_id, count(*) AS n_writable FROM customer c
+ JOIN episodes_v e ON e.scope_kind = 'private' AND e.scope_owner = 'user:' || c.c_nationkey GROUP BY 1""")
 def scope_write_check(t):
-    return writable(episodes(t), ("private", "user:7")).groupBy("scope_owner").agg(F.count(F.lit(1)).alias("n"))
+    """Rows each session may write: those of its workspace only."""
+    s = t.customer.select(
+        F.col("c_custkey").alias("session_id"), F.lit("private").alias("scope_kind"), F.concat(F.lit("user:"), F.col("c_nationkey").cast("string")).alias("scope_owner")
+    )
+    per_scope = episodes(t).groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n_writable"))
+    return s.join(per_scope, SCOPE).select("session_id", "n_writable")
 
 
 @query("current_versions", ctes("current_v") + "SELECT id, scope_owner, period, version FROM current_v")
@@ -77,19 +83,16 @@ def timeframe_filter(t):
     Queries share a handful of timeframes and days: both meet as (timeframe, day) rows, never as
     query times event.
     """
-    q = queries(t).select("query_id", D.resolve_timeframe(F.col("text"), as_of()).alias("tf"))
+    tf = D.resolve_timeframe(F.col("text"), as_of())
+    q = queries(t).select("query_id", tf.alias("tf")).withColumn("frame", F.concat_ws("..", F.col("tf.start").cast("string"), F.col("tf.end").cast("string")))
     days = episodes(t).groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    whole = days.groupBy("event_type").agg(F.sum("n").alias("n_all"))
-    frames = q.select("tf").filter("tf is not null").distinct()
+    frames = q.filter("tf is not null").select("tf", "frame").distinct()
     inside = frames.withColumn("day", F.explode(F.sequence(F.col("tf.start"), F.date_sub(F.col("tf.end"), 1)))).join(days, "day")
-    inside = inside.groupBy("tf", "event_type").agg(F.sum("n").alias("n_in"))
-    filled = inside.select("tf").distinct().withColumn("hit", F.lit(True))
-    q = q.join(filled, "tf", "left")
-    kept_in = q.filter("hit").join(inside, "tf").select("query_id", "event_type", F.col("n_in").alias("n_kept"))
-    types = whole.select(F.collect_list(F.struct("event_type", "n_all")).alias("all_types"))
-    open_q = q.filter("hit is null").select("query_id", F.lit(1).alias("one")).join(types.withColumn("one", F.lit(1)), "one")
-    kept_all = open_q.select("query_id", F.inline("all_types")).select("query_id", "event_type", F.col("n_all").alias("n_kept"))
-    return kept_in.unionByName(kept_all)
+    inside = inside.groupBy("frame", "event_type").agg(F.sum("n").alias("n_kept"))
+    filled = inside.select("frame").distinct().withColumn("hit", F.lit(True))
+    whole = days.groupBy("event_type").agg(F.sum("n").alias("n_kept")).select(F.lit("all").alias("frame"), "event_type", "n_kept")
+    q = q.join(filled, "frame", "left").withColumn("frame", F.when(F.col("hit"), F.col("frame")).otherwise("all"))
+    return q.join(inside.unionByName(whole), "frame").select("query_id", "event_type", "n_kept")
 
 
 @query("entity_overlap_narrow", ctes("current_v") + """SELECT id FROM current_v WHERE list_has_any(entities_touched,
@@ -102,9 +105,9 @@ def entity_overlap_narrow(t):
 
 
 @query("entity_list", ctes("place_entities_v") + """SELECT id, name, kind, rank FROM (SELECT *, row_number() OVER (ORDER BY last_updated DESC, name, id)::INTEGER AS rank
- FROM (SELECT *, DATE '2024-01-01' + (strlen(id) * 3) AS last_updated FROM place_entities_v WHERE kind = 'person' AND contains(lower(name), '0_1'))) WHERE rank <= 51
+ FROM (SELECT *, DATE '2024-01-01' + (strlen(id) * 3)::INTEGER AS last_updated FROM place_entities_v WHERE kind = 'person' AND contains(lower(name), '0_1'))) WHERE rank <= 51
  UNION ALL SELECT id, name, kind, rank FROM (SELECT *, row_number() OVER (ORDER BY last_updated DESC, name, id)::INTEGER AS rank
- FROM (SELECT *, DATE '2024-01-01' + (strlen(id) * 3) AS last_updated FROM place_entities_v WHERE kind = 'place' AND contains(lower(name), 'n_1'))) WHERE rank <= 51""")
+ FROM (SELECT *, DATE '2024-01-01' + (strlen(id) * 3)::INTEGER AS last_updated FROM place_entities_v WHERE kind = 'place' AND contains(lower(name), 'n_1'))) WHERE rank <= 51""")
 def entity_list(t):
     """The pattern sign ``_`` in the filter is plain text."""
     from memspark.registry.views import place_entities
