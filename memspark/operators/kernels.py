@@ -34,8 +34,9 @@ def ranks_of(ids: pd.Series) -> np.ndarray:
     return np.argsort(np.argsort(ids.to_numpy(), kind="stable"), kind="stable")
 
 
-def empty(columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({c: [] for c in columns})
+def empty() -> pd.DataFrame:
+    """No rows; Spark takes the types from the declared schema."""
+    return pd.DataFrame()
 
 
 def by_length(frame: pd.DataFrame, column: str) -> dict[int, pd.DataFrame]:
@@ -72,7 +73,7 @@ def vector_best(keys: list[str], query_cols: list[str], group: str, k: str, digi
                     if len(top):
                         head = {c: row[c] for c in (*keys, *query_cols)}
                         out.append(pd.DataFrame({**head, group: np.asarray(uniques)[top], "sim": values[top]}))
-        return pd.concat(out)[columns] if out else empty(columns)
+        return pd.concat(out)[columns] if out else empty()
 
     return run
 
@@ -83,7 +84,7 @@ def weighted_best(keys: list[str], digits: int):
 
     def run(postings: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
         if postings.empty or terms.empty:
-            return empty(columns)
+            return empty()
         vocab = pd.Index(terms["term"].unique())
         codes = vocab.get_indexer(postings["term"])
         kept = codes >= 0
@@ -105,7 +106,7 @@ def weighted_best(keys: list[str], digits: int):
             top = best(shown, place, int(q["k"].iloc[0]), 0.0)
             if len(top):
                 out.append(pd.DataFrame({**head, "query_id": qid, "doc_id": np.asarray(docs)[top], "score": shown[top]}))
-        return pd.concat(out)[columns] if out else empty(columns)
+        return pd.concat(out)[columns] if out else empty()
 
     return run
 
@@ -116,7 +117,7 @@ def text_hits(keys: list[str]):
 
     def run(texts: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
         if texts.empty or names.empty:
-            return empty(columns)
+            return empty()
         head = {c: texts[c].iloc[0] for c in keys}
         owners = names.groupby("name")["name_id"].agg(list).to_dict()
         try:
@@ -139,7 +140,7 @@ def text_hits(keys: list[str]):
             for name in found(text):
                 out.extend((text_id, n) for n in owners[name])
         if not out:
-            return empty(columns)
+            return empty()
         rows = pd.DataFrame(out, columns=["text_id", "name_id"]).drop_duplicates()
         return rows.assign(**head)[columns]
 
@@ -184,7 +185,7 @@ def similar_forest(keys: list[str], threshold: float, digits: int):
                 e = np.asarray(edges)
                 head = {c: left[c].iloc[0] for c in keys}
                 out.append(pd.DataFrame({**head, "src": ids.to_numpy()[e[:, 0]], "dst": ids.to_numpy()[e[:, 1]]}))
-        return pd.concat(out)[columns] if out else empty(columns)
+        return pd.concat(out)[columns] if out else empty()
 
     return run
 
@@ -350,6 +351,6 @@ def count_matches():
             hit = [docs_of[w] for w in words if w in docs_of]
             if hit:
                 out.append((qid, len(np.unique(np.concatenate(hit)))))
-        return pd.DataFrame(out, columns=["query_id", "n"])
+        return pd.DataFrame(out, columns=["query_id", "n"]) if out else empty()
 
     return run

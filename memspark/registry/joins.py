@@ -1 +1,267 @@
-"""x"""
+"""Joins between memory tables, over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from memspark.functions import text as X
+from memspark.functions import timeex as D
+from memspark.operators import joins, matching, versions
+from memspark.operators.scope import SCOPE, scope_list as op_scope_list
+from memspark.registry import query
+from memspark.registry.aggregates import memories, one_head_per_key
+from memspark.registry.scalars import TF_CTE
+from memspark.registry.views import (
+    as_of, ctes, entities, episodes, facts, place_edges, place_entities, preference_edges, queries, sentences, sql_tokens, summaries,
+)
+
+_HIT = "contains(lower(q.text), lower(n.name)) OR (substr(n.id, instr(n.id, ':') + 1) <> '' AND contains(lower(q.text), substr(n.id, instr(n.id, ':') + 1)))"
+
+
+@query("stage1_entity_match", ctes("queries_v", "entities_v", more=TF_CTE) + f"""SELECT q.query_id, n.id FROM queries_v q JOIN entities_v n ON {_HIT} JOIN tf_v ON tf_v.query_id = q.query_id
+ WHERE tf_start IS NULL OR (n.last_updated < tf_end AND tf_start < n.last_updated + 1)""")
+def stage1_entity_match(t):
+    return matching.stage1_entity_match(queries(t), entities(t), as_of()).select("query_id", "id")
+
+
+@query("known_entities", ctes("entities_v") + "SELECT d.doc_id, e.id FROM documents d JOIN entities_v e ON contains(lower(d.text), lower(e.name))")
+def known_entities(t):
+    """Entity names in whole documents."""
+    d = t.documents.select(F.lit("shared").alias("scope_kind"), F.lit("team:all").alias("scope_owner"), F.col("doc_id").alias("text_id"), "text")
+    return matching.known_entities(d, entities(t)).select(F.col("text_id").alias("doc_id"), "id")
+
+
+@query("self_model_anchor", ctes("current_v") + """, l AS (SELECT scope_owner, max(period) AS p FROM current_v GROUP BY 1)
+SELECT c_custkey AS query_id, 'self_model: {"balance":"' || floor(c_acctbal)::BIGINT || '","segment":"' || c_mktsegment || '"}' || chr(10) || coalesce('(latest daily summary: ' || p || ')' || chr(10), '') AS anchor
+FROM customer LEFT JOIN l ON l.scope_owner = 'user:' || c_nationkey""")
+def self_model_anchor(t):
+    """Customers act for themselves inside their nation's workspace."""
+    owner = F.concat(F.lit("user:"), F.col("c_custkey").cast("string"))
+    c = t.customer
+    s = c.select(F.col("c_custkey").alias("query_id"), F.lit("private").alias("acting_kind"), owner.alias("acting_owner"), F.lit("private").alias("scope_kind"), F.concat(F.lit("user:"), F.col("c_nationkey").cast("string")).alias("scope_owner"))
+    e = c.select(F.lit("private").alias("scope_kind"), owner.alias("scope_owner"), F.lit("self").alias("id"), F.lit("self_model").alias("kind"))
+    attrs = F.create_map(F.lit("balance"), F.floor("c_acctbal").cast("string"), F.lit("segment"), F.col("c_mktsegment"))
+    a = c.select(F.lit("private").alias("scope_kind"), owner.alias("scope_owner"), F.lit("self").alias("entity_id"), attrs.alias("attributes"))
+    return joins.self_model_anchor(s, e, a, summaries(t)).select("query_id", "anchor")
+
+
+@query("relationships_named", ctes("place_edges_v", "place_entities_v", more="""ee AS (SELECT *, row_number() OVER (ORDER BY subject_id, object_id) AS n FROM place_edges_v),
+ ends AS (SELECT *, subject_id AS entity_id FROM ee UNION SELECT *, object_id FROM ee),
+ r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY subject_id DESC, object_id) AS rank FROM ends)""") + """SELECT entity_id, s.name AS subject_name, predicate, o.name AS object_name, rank::INTEGER AS rank
+ FROM r JOIN place_entities_v s ON s.id = subject_id JOIN place_entities_v o ON o.id = object_id WHERE rank <= 50""")
+def relationships_named(t):
+    """Relationships of every place, person and organization; nations are hubs cut at fifty."""
+    e = place_edges(t).withColumn("edge_id", F.col("object_id")).withColumn("created_at", F.col("subject_id")).withColumn("valid_from", F.lit(None).cast("date"))
+    ents = place_entities(t)
+    rows = joins.relationships_named(e, ents, ents.select(*SCOPE, F.col("id").alias("entity_id")))
+    return rows.select("entity_id", "subject_name", "predicate", "object_name", "rank")
+
+
+_VALID = """p AS (SELECT *, CASE WHEN order_no % 3 = 0 THEN NULL ELSE valid_from END AS vf, CASE WHEN order_no % 4 = 0 THEN NULL ELSE valid_from + 90 END AS vu FROM prefs_v),
+ e AS (SELECT 'person:' || c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT DISTINCT object_id, 'choice ' || object_id FROM prefs_v)"""
+
+
+def valid_preferences(t):
+    p = preference_edges(t)
+    return p.withColumn("valid_until", F.when(F.col("order_no") % 4 != 0, F.date_add("valid_from", 90))).withColumn("valid_from", F.when(F.col("order_no") % 3 != 0, F.col("valid_from")))
+
+
+def preference_entities(t):
+    scope = [F.lit("private").alias("scope_kind"), F.lit("user:all").alias("scope_owner")]
+    people = t.customer.select(*scope, F.concat(F.lit("person:"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"), F.lit("person").alias("kind"))
+    choices = preference_edges(t).select("object_id").distinct().select(*scope, F.col("object_id").alias("id"), F.concat(F.lit("choice "), "object_id").alias("name"), F.lit("preference").alias("kind"))
+    return people.unionByName(choices)
+
+
+@query("relationships_in_range", ctes("prefs_v", more=_VALID) + """SELECT s.name AS subject_name, o.name AS object_name, vf AS valid_from, vu AS valid_until, order_no FROM p JOIN e s ON s.id = subject_id JOIN e o ON o.id = object_id
+ WHERE coalesce(vf, DATE '0001-01-01') <= DATE '1998-06-30' AND coalesce(vu, DATE '9999-12-31') >= DATE '1998-04-01'""")
+def relationships_in_range(t):
+    rows = joins.relationships_in_range(valid_preferences(t), preference_entities(t), start=F.lit("1998-04-01").cast("date"), end=F.lit("1998-06-30").cast("date"))
+    return rows.select("subject_name", "object_name", "valid_from", "valid_until", "order_no")
+
+
+_MENT = f"""tk AS (SELECT conv_id, turn, role, {sql_tokens('text', X.STOP_WORDS)} AS toks FROM conversations),
+ sm AS (SELECT 'sum_' || conv_id || '_' || turn AS id, conv_id, ['ep_' || conv_id || '_' || (turn - 1), 'ep_' || conv_id || '_' || (turn - 3)] AS src, list_transform(list_distinct(toks), lambda w: 'project:' || w) AS touched FROM tk WHERE role = 'assistant'),
+ ep AS (SELECT 'ep_' || conv_id || '_' || turn AS id, conv_id FROM tk WHERE role = 'user'),
+ en AS (SELECT conv_id, id, name FROM (SELECT DISTINCT conv_id FROM conversations) CROSS JOIN entities_v),
+ se AS (SELECT id AS sid, conv_id, unnest(src) AS ep FROM sm), st AS (SELECT id AS sid, conv_id, unnest(touched) AS en FROM sm),
+ mm AS (SELECT ep.id AS episode_id, entities_v.id AS entity_id, entities_v.name AS entity_name FROM se JOIN ep ON ep.id = se.ep AND ep.conv_id = se.conv_id JOIN st ON st.sid = se.sid JOIN entities_v ON entities_v.id = st.en)"""
+
+
+def chat_memory(t):
+    """(episodes, summaries, touched names): user turns and the assistant turns that digest them."""
+    c = t.conversations
+    scope = [F.lit("private").alias("scope_kind"), F.concat(F.lit("user:"), F.col("conv_id").cast("string")).alias("scope_owner")]
+
+    def ident(prefix, turn):
+        return F.concat(F.lit(prefix), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
+
+    ep = c.filter("role = 'user'").select(*scope, ident("ep_", F.col("turn")).alias("id"), "conv_id", "turn", "text")
+    touched = F.transform(F.array_distinct(X.tokenize(F.col("text"))), lambda w: F.concat(F.lit("project:"), w))
+    sm = c.filter("role = 'assistant'").select(
+        *scope, ident("sum_", F.col("turn")).alias("id"), F.lit("daily").alias("level"), F.lit(None).cast("string").alias("supersedes"),
+        F.array(ident("ep_", F.col("turn") - 1), ident("ep_", F.col("turn") - 3)).alias("source_episode_ids"), touched.alias("entities_touched"),
+    )
+    return ep, sm
+
+
+def entities_per_scope(t, sm):
+    """The known names a scope's summaries touch, as entities of that scope."""
+    names = entities(t).select("id", "name", "kind")
+    touched = sm.select(*SCOPE, F.explode("entities_touched").alias("id")).distinct()
+    return touched.join(names, "id")
+
+
+@query("conversation_mentions", ctes("entities_v", more=_MENT) + "SELECT episode_id, entity_id, entity_name FROM mm")
+def conversation_mentions(t):
+    ep, sm = chat_memory(t)
+    return joins.conversation_mentions(ep, sm, entities_per_scope(t, sm)).select("episode_id", "entity_id", "entity_name")
+
+
+@query("key_facts_of", ctes("sentences_v") + """SELECT s.summary_id, count(*)::INTEGER AS n_facts, md5(string_agg(fact, '|' ORDER BY fact_id)) AS digest FROM sentences_v s JOIN labels l ON l.doc_id = s.doc_id
+ WHERE quality = 1 AND (s.pos % 5 <> 4) GROUP BY 1""")
+def key_facts_of(t):
+    """Lines of labelled documents; quality says grounded, every fifth line has expired."""
+    from memspark.operators.panels import key_facts_of as of
+
+    s = sentences(t).join(t.labels.select("doc_id", (F.col("quality") == 1).alias("grounded")), "doc_id")
+    f = s.select(*SCOPE, F.col("fact_id").alias("id"), "summary_id", "fact", "grounded", F.when(F.col("pos") % 5 == 4, F.lit("2024-01-30").cast("date")).alias("expires_at"))
+    k = of(f, as_of())
+    return k.select(F.col("id").alias("summary_id"), F.size("key_facts").alias("n_facts"), F.md5(F.array_join("key_facts.fact", "|")).alias("digest"))
+
+
+_REL = """rel AS (SELECT scope_owner, 'mem_fact_' || (order_no * 10 + version) AS f, 'mem_fact_' || (order_no * 10 + version - 1) AS t, 'updates' AS k FROM summaries_v WHERE version > 1
+ UNION ALL SELECT scope_owner, 'mem_fact_' || (order_no * 10 + version), 'mem_fact_' || (order_no * 10 + 1), 'extends' FROM summaries_v WHERE version > 2)"""
+
+
+def fact_relations(t):
+    s = summaries(t)
+    base = F.col("order_no") * 10
+
+    def rel(df, target, kind):
+        return df.select(*SCOPE, X.fact_memory_id(base + F.col("version")).alias("from_memory_id"), X.fact_memory_id(target).alias("to_memory_id"), F.lit(kind).alias("relation_type"))
+
+    return rel(s.filter("version > 1"), base + F.col("version") - 1, "updates").unionByName(rel(s.filter("version > 2"), base + 1, "extends"))
+
+
+@query("relations_of", ctes("summaries_v", more=_REL) + """SELECT 'mem_fact_' || (order_no * 10 + version) AS memory_id, coalesce(r, '') AS relations FROM summaries_v
+ LEFT JOIN (SELECT f, string_agg(k || '>' || t, ',' ORDER BY k, t) AS r FROM rel GROUP BY 1) ON f = 'mem_fact_' || (order_no * 10 + version)""")
+def relations_of(t):
+    ids = summaries(t).select(*SCOPE, X.fact_memory_id(F.col("order_no") * 10 + F.col("version")).alias("memory_id"))
+    r = joins.relations_of(ids, fact_relations(t))
+    flat = F.transform("relations", lambda x: F.concat(x["relation_type"], F.lit(">"), x["id"]))
+    return r.select("memory_id", F.array_join(flat, ",").alias("relations"))
+
+
+_TRACE = """SELECT id AS episode_id, 0 AS pos, p.name AS shown FROM episodes_v LEFT JOIN (SELECT c_custkey, c_name AS name FROM customer) p ON p.c_custkey = event_id
+UNION ALL SELECT a.id, 1, b.event_type FROM episodes_v a LEFT JOIN episodes_v b ON b.event_id = a.event_id - 1 AND b.user_id = a.user_id
+UNION ALL SELECT a.id, 2, f.fact FROM episodes_v a LEFT JOIN facts_v f ON f.id = a.event_id * 10 + 1 AND f.scope_owner = 'user:' || (SELECT o_custkey FROM orders WHERE o_orderkey = a.event_id)
+UNION ALL SELECT a.id, 3, s.period FROM episodes_v a LEFT JOIN summaries_v s ON s.id = 'sum_' || a.event_id || '_v1' AND s.scope_owner = a.scope_owner"""
+
+
+@query("trace_resolve", ctes("episodes_v", "summaries_v", "facts_v") + _TRACE)
+def trace_resolve(t):
+    """Four references per event: an entity, the event before, a fact of an order, a digest by id."""
+    e = episodes(t)
+    owner = t.orders.select(F.col("o_orderkey").alias("event_id"), F.concat(F.lit("user:"), F.col("o_custkey").cast("string")).alias("order_owner"))
+    num = F.col("event_id").cast("string")
+
+    def ref(kind, sk, so, ident):
+        return F.struct(F.lit(kind).alias("kind"), F.struct(F.lit(sk).alias("kind"), so.alias("owner")).alias("scope"), ident.alias("id"))
+
+    refs = F.array(
+        ref("entity", "shared", F.lit("team:all"), F.concat(F.lit("person:"), num)),
+        ref("episode", "private", F.col("scope_owner"), F.concat(F.lit("ep_"), (F.col("event_id") - 1).cast("string"))),
+        ref("memory", "private", F.col("order_owner"), X.fact_memory_id(F.col("event_id") * 10 + 1)),
+        ref("summary", "private", F.col("scope_owner"), F.concat(F.lit("sum_"), num, F.lit("_v1"))),
+    )
+    ep = e.join(owner, "event_id", "left").select("id", refs.alias("retrieved_refs"))
+    tables = {
+        "entity": place_entities(t).select(*SCOPE, "id", F.col("name").alias("shown")), "episode": e.select(*SCOPE, "id", F.col("event_type").alias("shown")),
+        "memory": facts(t).select(*SCOPE, X.fact_memory_id(F.col("id")).alias("id"), F.col("fact").alias("shown")), "summary": summaries(t).select(*SCOPE, "id", F.col("period").alias("shown")),
+    }
+    return joins.trace_resolve(ep, tables).select("episode_id", "pos", "shown")
+
+
+@query("locator_resolve", ctes("facts_v") + """SELECT 'f' || id AS locator_id, CASE WHEN id % 4 <> 0 THEN 'mem_fact_' || m END AS memory_id FROM facts_v JOIN (SELECT summary_id AS s, fact AS x, max(id) AS m FROM facts_v GROUP BY ALL) ON s = summary_id AND x = fact
+UNION ALL SELECT 'a' || c_custkey, 'mem_' || c_custkey FROM customer""")
+def locator_resolve(t):
+    """Facts by exported summary id and text (every fourth text is altered), attributes by entity."""
+    f = facts(t)
+    none = F.lit(None).cast("string")
+    text = F.when(F.col("id") % 4 == 0, F.concat("fact", F.lit("?"))).otherwise(F.col("fact"))
+    by_fact = f.select(*SCOPE, F.concat(F.lit("f"), F.col("id").cast("string")).alias("locator_id"), none.alias("entity_id"), none.alias("attribute_key"), F.concat(F.lit("old_"), "summary_id").alias("summary_ref"), text.alias("fact"))
+    cust = t.customer.select(F.lit("private").alias("scope_kind"), F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("scope_owner"), F.col("c_custkey").cast("string").alias("n"))
+    by_attr = cust.select(*SCOPE, F.concat(F.lit("a"), "n").alias("locator_id"), F.lit("self").alias("entity_id"), F.lit("segment").alias("attribute_key"), none.alias("summary_ref"), none.alias("fact"))
+    heads = cust.select(*SCOPE, F.lit("self").alias("entity_id"), F.lit("segment").alias("attribute_key"), F.concat(F.lit("mem_"), "n").alias("id"))
+    ids = f.select(*SCOPE, F.concat(F.lit("old_"), "summary_id").alias("exported_id"), "summary_id").distinct()
+    return joins.locator_resolve(by_fact.unionByName(by_attr), ids, f, heads).select("locator_id", "memory_id")
+
+
+@query("endpoint_semi", "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING' AND substr(o_orderpriority, 1, 1) <> '3'")
+def endpoint_semi(t):
+    scope = [F.lit("private").alias("scope_kind"), F.lit("user:all").alias("scope_owner")]
+    e = t.orders.select(*scope, "o_orderkey", F.concat(F.lit("person:"), F.col("o_custkey").cast("string")).alias("subject_id"), F.concat(F.lit("preference:"), F.substring("o_orderpriority", 1, 1)).alias("object_id"))
+    people = t.customer.filter("c_mktsegment <> 'BUILDING'").select(*scope, F.concat(F.lit("person:"), F.col("c_custkey").cast("string")).alias("id"))
+    prefs = e.filter("object_id <> 'preference:3'").select(*scope, F.col("object_id").alias("id")).distinct()
+    return versions.endpoint_semi(e, people.unionByName(prefs)).select("o_orderkey")
+
+
+@query("feedback_owner_check", """SELECT f.event_id, e.event_id IS NOT NULL AS accepted FROM events f LEFT JOIN events e ON e.event_id = f.event_id - 1 - CAST(f.props::JSON ->> '$.k' AS BIGINT) AND e.user_id = f.user_id WHERE f.event_type = 'error'""")
+def feedback_owner_check(t):
+    """Errors as feedback on an earlier event, which may belong to somebody else."""
+    e = episodes(t)
+    back = F.col("event_id") - 1 - F.get_json_object("props", "$.k").cast("long")
+    f = e.filter("type = 'feedback'").select(*SCOPE, "event_id", F.concat(F.lit("ep_"), back.cast("string")).alias("refers_to"))
+    return joins.feedback_owner_check(f, e).select("event_id", "accepted")
+
+
+_DUP = """n AS (SELECT o_orderkey, o_custkey AS s, substr(o_orderpriority, 1, 1) AS o, CASE o_orderkey % 3 WHEN 0 THEN NULL ELSE o_orderdate::DATE END AS vf, CASE WHEN o_orderkey % 3 = 2 THEN o_orderdate::DATE + 30 END AS vu FROM orders),
+ x AS (SELECT o_custkey AS s, substr(o_orderpriority, 1, 1) AS o, o_orderdate::DATE AS vf, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE + 30 END AS vu FROM orders WHERE o_orderstatus = 'F')"""
+
+
+@query("dup_edge_nullsafe", f"WITH {_DUP} SELECT o_orderkey FROM n WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.s = n.s AND x.o = n.o AND ((x.vf IS NOT DISTINCT FROM n.vf AND x.vu IS NOT DISTINCT FROM n.vu) OR (n.vf IS NULL AND n.vu IS NULL)))")
+def dup_edge_nullsafe(t):
+    day = F.to_date("o_orderdate")
+
+    def edge(df, vf, vu):
+        return df.select(
+            F.lit("private").alias("scope_kind"), F.lit("user:all").alias("scope_owner"), F.col("o_custkey").cast("string").alias("subject_id"), F.lit("prefers").alias("predicate"),
+            F.substring("o_orderpriority", 1, 1).alias("object_id"), vf.alias("valid_from"), vu.alias("valid_until"), "o_orderkey",
+        )
+
+    m = F.col("o_orderkey") % 3
+    fresh = edge(t.orders, F.when(m != 0, day), F.when(m == 2, F.date_add(day, 30)))
+    old = edge(t.orders.filter("o_orderstatus = 'F'"), day, F.when(F.col("o_orderkey") % 2 == 0, F.date_add(day, 30)))
+    return versions.dup_edge_nullsafe(fresh, old).select("o_orderkey")
+
+
+@query("scope_list", "SELECT 'private' AS scope_kind, 'user:' || c_custkey AS scope_owner FROM customer UNION SELECT 'shared', 'team:' || n_name FROM nation")
+def scope_list(t):
+    return op_scope_list(t.customer.select(F.col("c_custkey").cast("string").alias("id")), t.nation.select(F.col("n_name").alias("id")))
+
+
+@query("intersect_entities", ctes("summaries_v") + "SELECT a.id, b.id AS other, array_to_string(list_sort(list_intersect(a.entities_touched, b.entities_touched)), ',') AS shared FROM summaries_v a JOIN summaries_v b ON b.supersedes = a.id WHERE list_has_any(a.entities_touched, b.entities_touched)")
+def intersect_entities(t):
+    """Entities a version shares with its successor."""
+    s = summaries(t)
+    a = s.select(*SCOPE, "id", F.col("entities_touched").alias("mine"))
+    b = s.filter("supersedes is not null").select(*SCOPE, F.col("supersedes").alias("id"), F.col("id").alias("other"), F.col("entities_touched").alias("theirs"))
+    j = a.join(b, [*SCOPE, "id"]).withColumn("shared", F.array_intersect("mine", "theirs"))
+    return j.filter(F.size("shared") > 0).select("id", "other", F.array_join(F.array_sort("shared"), ",").alias("shared"))
+
+
+_COUNT = f"""ss AS (SELECT s.fact_id, s.summary_id, s.fact, '2024-01-' || lpad((1 + s.doc_id % 30)::VARCHAR, 2, '0') AS period FROM sentences_v s JOIN labels l ON l.doc_id = s.doc_id WHERE quality = 1),
+ hh AS (SELECT e.id AS entity_id, ss.* FROM entities_v e JOIN ss ON contains(lower(ss.fact), lower(e.name))),
+ dd AS (SELECT * FROM hh QUALIFY row_number() OVER (PARTITION BY entity_id, fact ORDER BY period, fact_id) = 1)"""
+
+
+@query("exhaustive_count_facts", ctes("entities_v", "sentences_v", more=_COUNT) + "SELECT entity_id, fact_id, period, row_number() OVER (PARTITION BY entity_id ORDER BY period, fact_id) AS number FROM dd")
+def exhaustive_count_facts(t):
+    """All grounded lines that name an entity, repeats once, numbered in time order."""
+    from memspark.operators.counting import exhaustive_count_facts as count
+
+    s = sentences(t).join(t.labels.filter("quality = 1").select("doc_id"), "doc_id")
+    period = F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 30 + 1).cast("string"), 2, "0"))
+    f = s.select(F.lit("shared").alias("scope_kind"), F.lit("team:all").alias("scope_owner"), F.col("fact_id").alias("id"), "summary_id", "fact", period.alias("period"))
+    return count(f, entities(t)).select("entity_id", F.col("id").alias("fact_id"), "period", "number")
