@@ -56,4 +56,7 @@ def match_cells(left: DataFrame, right: DataFrame, cell: list[str], kernel: Call
     # fresh column identities: both sides may come from one table
     left = left.select(*[F.col(c).alias(c) for c in left.columns])
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    # cells cost computing time, not bytes, so they are spread by number and not coalesced by size
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(n, *cell), right.repartition(n, *cell)
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(kernel, schema)

@@ -29,9 +29,13 @@ def best(scores: np.ndarray, order: np.ndarray, k: int, floor: float) -> np.ndar
     return at[np.lexsort((order[at], -scores[at]))][:k]
 
 
-def ranks_of(ids: pd.Series) -> np.ndarray:
-    """Position of each id in ascending order."""
-    return np.argsort(np.argsort(ids.to_numpy(), kind="stable"), kind="stable")
+def repeat_heads(heads: list[str], found: list[tuple], values: list[str]) -> pd.DataFrame:
+    """(head values, array, array) items as one frame, the head repeated for every value."""
+    sizes = [len(a) for _, a, _ in found]
+    cols = {c: np.repeat(np.asarray([h[i] for h, _, _ in found]), sizes) for i, c in enumerate(heads)}
+    cols[values[0]] = np.concatenate([a for _, a, _ in found])
+    cols[values[1]] = np.concatenate([b for _, _, b in found])
+    return pd.DataFrame(cols)
 
 
 def empty() -> pd.DataFrame:
@@ -60,6 +64,7 @@ def vector_best(keys: list[str], query_cols: list[str], group: str, k: str, digi
             starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
             unit = stack(vs["vector"])[order]
             place = np.arange(len(uniques))
+            names = np.asarray(uniques)
             where = {u: i for i, u in enumerate(uniques)} if exclude_self else {}
             for lo in range(0, len(qs), CHUNK):
                 part = qs.iloc[lo : lo + CHUNK]
@@ -71,9 +76,8 @@ def vector_best(keys: list[str], query_cols: list[str], group: str, k: str, digi
                         values[where[row["self_id"]]] = -np.inf
                     top = best(values, place, int(row[k]), float(row["threshold"]))
                     if len(top):
-                        head = {c: row[c] for c in (*keys, *query_cols)}
-                        out.append(pd.DataFrame({**head, group: np.asarray(uniques)[top], "sim": values[top]}))
-        return pd.concat(out)[columns] if out else empty()
+                        out.append(([row[c] for c in (*keys, *query_cols)], names[top], values[top]))
+        return repeat_heads([*keys, *query_cols], out, [group, "sim"])[columns] if out else empty()
 
     return run
 
@@ -94,7 +98,8 @@ def weighted_best(keys: list[str], digits: int):
         codes, weights, doc_codes = codes[order], weights[order], doc_codes[order]
         bounds = np.searchsorted(codes, np.arange(len(vocab) + 1))
         place = np.arange(len(docs))
-        head = {c: postings[c].iloc[0] for c in keys}
+        names = np.asarray(docs)
+        head = [postings[c].iloc[0] for c in keys]
         out = []
         for qid, q in terms.groupby("query_id", sort=False):
             score = np.zeros(len(docs))
@@ -105,8 +110,8 @@ def weighted_best(keys: list[str], digits: int):
             shown = np.where(score > 0, np.round(score, digits), -np.inf)
             top = best(shown, place, int(q["k"].iloc[0]), 0.0)
             if len(top):
-                out.append(pd.DataFrame({**head, "query_id": qid, "doc_id": np.asarray(docs)[top], "score": shown[top]}))
-        return pd.concat(out)[columns] if out else empty()
+                out.append(([*head, qid], names[top], shown[top]))
+        return repeat_heads([*keys, "query_id"], out, ["doc_id", "score"])[columns] if out else empty()
 
     return run
 
@@ -354,3 +359,37 @@ def count_matches():
         return pd.DataFrame(out, columns=["query_id", "n"]) if out else empty()
 
     return run
+
+
+def specific_best(keys: list[str], top: int):
+    """Per query: the related documents with the highest summed weights, newer ones first on ties."""
+    columns = [*keys, "query_id", "doc_id", "created_at", "score"]
+
+    def run(postings: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
+        if postings.empty or terms.empty:
+            return empty()
+        docs = postings.drop_duplicates("doc_id").sort_values(["created_at", "doc_id"], ascending=[False, True]).reset_index(drop=True)
+        place = pd.Index(docs["doc_id"])
+        head = {c: postings[c].iloc[0] for c in keys}
+        by_term = {t: (place.get_indexer(g["doc_id"]), g["weight"].to_numpy()) for t, g in postings.groupby("term")}
+        own = {d: i for i, d in enumerate(docs["doc_id"])}
+        out = []
+        for qid, words in terms.groupby("query_id")["term"]:
+            said = [by_term[w] for w in words if w in by_term]
+            if not said:
+                continue
+            at, where = np.unique(np.concatenate([a for a, _ in said]), return_inverse=True)
+            shown = np.round(np.bincount(where, np.concatenate([w for _, w in said])), 9)
+            shown[at == own.get(qid, -1)] = -np.inf
+            best_rows = best(shown, at, top, 0.0)
+            out.append((qid, at[best_rows], shown[best_rows]))
+        if not out:
+            return empty()
+        rows = np.concatenate([a for _, a, _ in out])
+        picked = docs.iloc[rows]
+        return pd.DataFrame({
+            **head, "query_id": np.repeat([q for q, _, _ in out], [len(a) for _, a, _ in out]), "doc_id": picked["doc_id"].to_numpy(),
+            "created_at": picked["created_at"].to_numpy(), "score": np.concatenate([s for _, _, s in out]),
+        })[columns]
+
+    return run

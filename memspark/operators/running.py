@@ -18,35 +18,35 @@ def running_totals(
     total: str, position: str | None = None, descending: bool = False,
 ) -> DataFrame:
     """Add ``total``, the sum of ``value`` over all earlier rows, and the 1-based ``position``."""
-    rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
-    rows = rows.withColumn("_pos", F.row_number().over(inside)).withColumn(
-        "_before", F.sum("_value").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    rows = df.withColumn("_rt_bucket", bucket).withColumn("_rt_value", value)
+    inside = W.partitionBy(*keys, "_rt_bucket").orderBy(*order)
+    rows = rows.withColumn("_rt_pos", F.row_number().over(inside)).withColumn(
+        "_rt_before", F.sum("_rt_value").over(inside.rowsBetween(W.unboundedPreceding, -1))
     )
-    sums = df.withColumn("_bucket", bucket).groupBy(*keys, "_bucket").agg(
-        F.sum(value).alias("_bsum"), F.count(F.lit(1)).alias("_bn")
+    sums = df.withColumn("_rt_bucket", bucket).groupBy(*keys, "_rt_bucket").agg(
+        F.sum(value).alias("_rt_bsum"), F.count(F.lit(1)).alias("_rt_bn")
     )
-    step = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
+    step = F.col("_rt_bucket").desc() if descending else F.col("_rt_bucket").asc()
     across = W.partitionBy(*keys).orderBy(step).rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(
-        *keys, "_bucket",
-        F.coalesce(F.sum("_bsum").over(across), F.lit(0)).alias("_osum"),
-        F.coalesce(F.sum("_bn").over(across), F.lit(0)).alias("_on"),
+        *keys, "_rt_bucket",
+        F.coalesce(F.sum("_rt_bsum").over(across), F.lit(0)).alias("_rt_osum"),
+        F.coalesce(F.sum("_rt_bn").over(across), F.lit(0)).alias("_rt_on"),
     )
-    out = rows.join(offsets, [*keys, "_bucket"], "inner")
-    out = out.withColumn(total, F.coalesce(F.col("_before"), F.lit(0)) + F.col("_osum"))
+    out = rows.join(offsets, [*keys, "_rt_bucket"], "inner")
+    out = out.withColumn(total, F.coalesce(F.col("_rt_before"), F.lit(0)) + F.col("_rt_osum"))
     if position:
-        out = out.withColumn(position, (F.col("_pos") + F.col("_on")).cast("long"))
-    return out.drop("_bucket", "_value", "_pos", "_before", "_osum", "_on")
+        out = out.withColumn(position, (F.col("_rt_pos") + F.col("_rt_on")).cast("long"))
+    return out.drop("_rt_bucket", "_rt_value", "_rt_pos", "_rt_before", "_rt_osum", "_rt_on")
 
 
 def positions(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str, descending: bool = False) -> DataFrame:
     """1-based position of each row within its key."""
-    return running_totals(df, keys, bucket, order, F.lit(1), "_skip", name, descending).drop("_skip")
+    return running_totals(df, keys, bucket, order, F.lit(1), "_rt_skip", name, descending).drop("_rt_skip")
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], limit: int, rank: str | None = None) -> DataFrame:
     """First ``limit`` rows of each key. A literal limit lets Spark cut each group before the shuffle."""
-    name = rank or "_rank"
+    name = rank or "_rt_rank"
     ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= limit)
     return ranked if rank else ranked.drop(name)

@@ -212,7 +212,7 @@ def relationship_upsert_ordered(edges: DataFrame, bucket: Column) -> DataFrame:
     heads = heads.join(changes, [*keys, "_bucket"], "left")
     # the first later bucket whose head differs, or whose inside changes, ends the run
     heads = heads.withColumn("_next", F.collect_list(F.struct("_head", "_head_from", "_first_change")).over(later))
-    end = F.filter("_next", lambda n: (n["_head"] != F.col("_last")) | n["_first_change"].isNotNull())[0]
+    end = F.get(F.filter("_next", lambda n: (n["_head"] != F.col("_last")) | n["_first_change"].isNotNull()), F.lit(0))
     heads = heads.select(
         *keys, "_bucket",
         F.when(end["_head"] != F.col("_last"), end["_head_from"]).otherwise(end["_first_change"]).alias("_far"),

@@ -1,11 +1,112 @@
-"""Consolidation as set jobs over all scopes at once."""
+"""Consolidation as set jobs over all scopes at once.
+
+Model calls are user functions over bounded blocks of rows (``mapInPandas``); everything around
+them is joins, aggregates and windows keyed by scope.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from memspark.functions import text as X
+from memspark.functions import timeex as D
+from memspark.operators.graph import cluster_cap, topic_clusters
+from memspark.operators.panels import interactions
+from memspark.operators.running import positions, top_per_key
 from memspark.operators.scope import SCOPE
+from memspark.operators.versions import current_period_head, current_versions, summary_id, version_number
+
+# Batch sizes and levels.
+GROUNDING_BATCH, RELATED_SUMMARIES = 20, 5
+SOURCES_PER_PART = 200
+LEVEL_ABOVE = {"daily": "weekly", "weekly": "monthly", "monthly": "yearly"}
+LEVEL_BELOW = {above: below for below, above in LEVEL_ABOVE.items()}
+
+
+def ordered_text(column: str, order: str, sep: str) -> Column:
+    """Texts of a bounded group joined in ``order``."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).alias("t"))))
+    return F.array_join(F.transform(rows, lambda r: r["t"]), sep)
+
+
+def daily_sources(episodes: DataFrame, *, per_part: int = SOURCES_PER_PART) -> DataFrame:
+    """Blocks of a day's interactions per scope in time order: scope, day, part_no, n_sources, text.
+
+    A busy day is several parts of at most ``per_part`` sources, numbered in order, so no day has
+    to fit into one row. ``episodes``: scope, id, ts, type, input_text, output_text.
+    """
+    rows = interactions(episodes).withColumn("day", F.to_date("ts"))
+    rows = positions(rows, [*SCOPE, "day"], F.hour("ts"), [F.col("ts"), F.col("id")], "_pos")
+    date = F.date_format("day", "yyyy-MM-dd")
+    block = X.source_block(F.col("id"), date, X.episode_text(F.col("input_text"), F.col("output_text")))
+    parts = rows.withColumn("part_no", F.floor((F.col("_pos") - 1) / per_part)).withColumn("_block", block)
+    return parts.groupBy(*SCOPE, "day", "part_no").agg(F.count(F.lit(1)).alias("n_sources"), ordered_text("_block", "_pos", "").alias("text"))
+
+
+OUTPUT = T.StructType([
+    T.StructField("scope_kind", T.StringType()), T.StructField("scope_owner", T.StringType()), T.StructField("day", T.DateType()),
+    T.StructField("cluster", T.StringType()), T.StructField("part_no", T.LongType()), T.StructField("summary", T.StringType()),
+    T.StructField("key_facts", T.ArrayType(T.StructType([T.StructField("fact", T.StringType()), T.StructField("source_episode_ids", T.ArrayType(T.StringType()))]))),
+    T.StructField("entities", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("attributes", T.MapType(T.StringType(), T.StringType()))]))),
+    T.StructField("relationships", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("subject_kind", "subject_name", "predicate", "object_kind", "object_name", "valid_from", "valid_until")]))),
+    T.StructField("error", T.StringType()),
+])
+
+
+def daily_digest(episodes: DataFrame, embed: Callable[[Column], Column], extract: Callable, *, dimensions: int, per_part: int = SOURCES_PER_PART) -> DataFrame:
+    """Extractor output for every cluster part of every day, failures told in ``error``.
+
+    Busy days are split into topic clusters by the similarity of their sources' vectors; every
+    cluster goes to ``extract`` in parts of at most ``per_part`` sources. ``extract`` maps batches of
+    (scope, day, cluster, part_no, source_ids, text) to ``OUTPUT`` rows.
+    """
+    src = interactions(episodes).select(*SCOPE, F.to_date("ts").alias("day"), "id", "ts", X.episode_text(F.col("input_text"), F.col("output_text")).alias("text"))
+    vecs = src.select(*SCOPE, "day", "id", embed(X.embed_truncate(F.col("text"))).alias("vector"))
+    clusters = topic_clusters(vecs)
+    clusters = cluster_cap(vecs, clusters, dimensions=dimensions)
+    rows = src.join(clusters, [*SCOPE, "day", "id"])
+    rows = positions(rows, [*SCOPE, "day", "cluster"], F.hour("ts"), [F.col("ts"), F.col("id")], "_pos")
+    rows = rows.withColumn("part_no", F.floor((F.col("_pos") - 1) / per_part)).withColumn(
+        "_block", X.source_block(F.col("id"), F.date_format("day", "yyyy-MM-dd"), F.col("text"))
+    )
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "id"))), lambda r: r["id"])
+    blocks = rows.groupBy(*SCOPE, "day", "cluster", "part_no").agg(ids.alias("source_ids"), ordered_text("_block", "_pos", "").alias("text"))
+    return blocks.mapInPandas(extract, OUTPUT)
+
+
+def merge_outputs(outputs: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One output per key from its few cluster outputs: facts in order, non-blank prose by blank line."""
+    prose = outputs.filter(X.strip(F.coalesce("summary", F.lit(""))) != "").groupBy(*keys).agg(ordered_text("summary", order, "\n\n").alias("summary"))
+    facts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("key_facts").alias("f")))), lambda r: r["f"]))
+    rest = outputs.groupBy(*keys).agg(facts.alias("key_facts"))
+    return rest.join(prose, keys, "left").withColumn("summary", F.coalesce("summary", F.lit("")))
+
+
+def due_rollups(dates: DataFrame) -> DataFrame:
+    """Rollups due on each date: date, level, source_level, period, source_periods.
+
+    Mondays close the last ISO week, the first of a month its month, New Year its year.
+    """
+    d, last = F.col("date"), F.date_sub("date", 1)
+    month = F.trunc(last, "month")
+    week_days = F.transform(F.sequence(F.lit(7), F.lit(1)), lambda i: F.date_format(F.date_sub(d, i), "yyyy-MM-dd"))
+    mondays = F.filter(F.sequence(month, last), lambda x: F.dayofweek(x) == 2)
+    months = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.concat(F.year(last).cast("string"), F.lit("-"), F.lpad(m.cast("string"), 2, "0")))
+
+    def job(level, when, period, sources):
+        return F.when(when, F.struct(F.lit(level).alias("level"), F.lit(LEVEL_BELOW[level]).alias("source_level"), period.alias("period"), sources.alias("source_periods")))
+
+    jobs = F.array(
+        job("weekly", F.dayofweek(d) == 2, D.period_key(last, "weekly"), week_days),
+        job("monthly", F.dayofmonth(d) == 1, D.period_key(last, "monthly"), F.transform(mondays, lambda x: D.period_key(x, "weekly"))),
+        job("yearly", F.dayofyear(d) == 1, D.period_key(last, "yearly"), months),
+    )
+    return dates.select("date", F.explode(F.array_compact(jobs)).alias("j")).select("date", "j.*")
 
 
 def rollup_stale(rollups: DataFrame, sources: DataFrame) -> DataFrame:
@@ -20,3 +121,226 @@ def rollup_stale(rollups: DataFrame, sources: DataFrame) -> DataFrame:
     return parts.join(newest, [*SCOPE, "_source"], "left").groupBy(*SCOPE, "level", "period").agg(
         F.coalesce(F.max("_new") > F.max("_made"), F.lit(False)).alias("stale")
     )
+
+
+def run_rollup(summaries: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Rollups to write: scope, level, period, id, supersedes, n_sources, source_ids, text.
+
+    ``summaries``: scope, id, level, period, created_at, supersedes, summary. A scope without
+    sources gets none; an existing rollup is written again only when a source is newer. A period
+    lists at most twelve source periods, each with its current summaries.
+    """
+    current = current_versions(summaries)
+    wanted = jobs.select("level", "source_level", "period", F.explode("source_periods").alias("_source")).distinct()
+    src = current.select(*SCOPE, F.col("level").alias("source_level"), F.col("period").alias("_source"), "id", "summary", "created_at")
+    hits = src.join(wanted, ["source_level", "_source"])
+    block = X.source_block(F.col("id"), F.lit(""), F.col("summary"))
+    row = F.struct("_source", "id", block.alias("block"))
+    grouped = hits.groupBy(*SCOPE, "level", "period").agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.max("created_at").alias("_newest"))
+    heads = current_period_head(summaries).select(*SCOPE, "level", "period", F.col("id").alias("supersedes"), F.col("created_at").alias("_made"))
+    due = grouped.join(heads, [*SCOPE, "level", "period"], "left").filter(F.col("_made").isNull() | (F.col("_newest") > F.col("_made")))
+    last = summaries.groupBy(*SCOPE, "level", "period").agg(F.max(version_number(F.col("id"))).alias("_v"))
+    due = due.join(last, [*SCOPE, "level", "period"], "left")
+    ident = summary_id(F.col("scope_owner"), F.col("period"), F.col("level"), F.coalesce("_v", F.lit(0)) + 1)
+    return due.select(
+        *SCOPE, "level", "period", ident.alias("id"), "supersedes", F.size("_rows").alias("n_sources"),
+        F.transform("_rows", lambda r: r["id"]).alias("source_ids"), F.array_join(F.transform("_rows", lambda r: r["block"]), "").alias("text"),
+    )
+
+
+def refresh_cascade(changed: DataFrame, rollups: DataFrame) -> DataFrame:
+    """Rollups to refresh after ``changed`` (scope, level, period), level by level upward.
+
+    ``rollups``: scope, level, period, source_summary_periods. Three rounds reach the year.
+    """
+    covers = rollups.select(*SCOPE, "level", "period", F.explode("source_summary_periods").alias("_source")).distinct()
+    front, out = changed.select(*SCOPE, "level", "period").distinct(), None
+    for below, above in LEVEL_ABOVE.items():
+        hit = front.filter(F.col("level") == below).select(*SCOPE, F.col("period").alias("_source"))
+        up = covers.filter(F.col("level") == above).join(hit, [*SCOPE, "_source"], "left_semi").select(*SCOPE, "level", "period").distinct()
+        out = up if out is None else out.unionByName(up)
+        front = front.unionByName(up).distinct()
+    return out.distinct()
+
+
+def citation_validate(facts: DataFrame) -> DataFrame:
+    """Cited episodes kept only where they are sources of the daily summary; other levels cite none.
+
+    ``facts``: level, cites, source_episode_ids. Repeats stay.
+    """
+    real = F.filter("cites", lambda c: F.array_contains(F.col("source_episode_ids"), c))
+    none = F.array().cast("array<string>")
+    return facts.withColumn("cites", F.when(F.col("level") == "daily", F.coalesce(real, none)).otherwise(none))
+
+
+VERDICTS = "struct<grounded:array<struct<i:int,ok:boolean>>>"
+
+
+def grounding_resolve(facts: DataFrame, verdicts: DataFrame, keys: list[str], *, batch: int = GROUNDING_BATCH) -> DataFrame:
+    """Grounded flag of every fact from the judge's answers.
+
+    ``facts``: keys, fact_no (from 1), is_inference. ``verdicts``: keys, batch_no, answer (text with
+    a JSON object). The first verdict per number wins, a missing one means ungrounded; inferences
+    are kept without a check.
+    """
+    answer = F.from_json(X.first_json_object(F.col("answer")), VERDICTS)
+    said = verdicts.select(*keys, "batch_no", F.posexplode(answer["grounded"]).alias("_ord", "_v"))
+    said = said.groupBy(*keys, "batch_no", F.col("_v.i").alias("_i")).agg(F.min_by("_v.ok", "_ord").alias("_ok"))
+    literal = facts.filter(~F.col("is_inference"))
+    numbered = literal.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("fact_no")))
+    numbered = numbered.withColumn("batch_no", F.floor((F.col("_n") - 1) / batch)).withColumn("_i", ((F.col("_n") - 1) % batch + 1).cast("int"))
+    checked = numbered.join(said, [*keys, "batch_no", "_i"], "left").select(*facts.columns, F.coalesce("_ok", F.lit(False)).alias("grounded"))
+    return checked.unionByName(facts.filter("is_inference").withColumn("grounded", F.lit(True)))
+
+
+def attribution_resolve(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """Used flag of each citation: keys, pos, used. Unknown when the judge's list has another length.
+
+    ``answers``: keys, citations (array), answer (JSON with ``used``).
+    """
+    used = F.from_json(X.first_json_object(F.col("answer")), "struct<used:array<boolean>>")["used"]
+    fits = F.size(used) == F.size("citations")
+    flags = F.when(fits, used).otherwise(F.transform("citations", lambda c: F.lit(None).cast("boolean")))
+    return answers.select(*keys, F.posexplode(F.arrays_zip(F.col("citations").alias("citation"), flags.alias("used"))).alias("pos", "_z")).select(
+        *keys, "pos", "_z.citation", "_z.used"
+    )
+
+
+def store_summary(outputs: DataFrame, summaries: DataFrame, *, created_at: Column) -> dict[str, DataFrame]:
+    """Rows to append for new summary versions: ``summaries``, ``facts`` and mirrored ``memories``.
+
+    ``outputs``: scope, level, period, summary, source_episode_ids, entities_touched, supersedes,
+    correction_reason, key_facts (array of fact, cites, grounded, expires_at, expire_reason,
+    source_count, is_inference). One output per (scope, level, period).
+    """
+    last = summaries.groupBy(*SCOPE, "level", "period").agg(F.max(version_number(F.col("id"))).alias("_v"))
+    rows = outputs.join(last, [*SCOPE, "level", "period"], "left").withColumn(
+        "id", summary_id(F.col("scope_owner"), F.col("period"), F.col("level"), F.coalesce("_v", F.lit(0)) + 1)
+    ).withColumn("created_at", created_at)
+    head = [*SCOPE, "id", "level", "period", "summary", "source_episode_ids", "entities_touched", "supersedes", "correction_reason", "created_at"]
+    facts = rows.select(*SCOPE, F.col("id").alias("summary_id"), "level", "source_episode_ids", F.posexplode("key_facts").alias("fact_no", "f"))
+    facts = facts.select(*SCOPE, "summary_id", "level", "source_episode_ids", "fact_no", "f.fact", "f.cites", "f.grounded", "f.expires_at", "f.expire_reason", "f.source_count", "f.is_inference")
+    expires = X.optional_date(F.col("expires_at"))
+    facts = citation_validate(facts).withColumn("expires_at", expires).withColumn(
+        "expire_reason", F.when(expires.isNotNull() & (F.col("expire_reason") != ""), F.col("expire_reason"))
+    ).withColumn("source_count", F.greatest(F.coalesce("source_count", F.lit(1)), F.lit(1)))
+    # a fact's id follows from its place, so a repeated run writes the same rows
+    facts = facts.withColumn("id", F.abs(F.xxhash64("summary_id", "fact_no"))).drop("level", "source_episode_ids")
+    memories = facts.select(
+        X.fact_memory_id(F.col("id")).alias("id"), *SCOPE, "summary_id", F.col("fact").alias("content"), F.lit(False).alias("is_static"),
+        "grounded", "cites", "expires_at", "source_count", "is_inference",
+    )
+    return {"summaries": rows.select(*head), "facts": facts, "memories": memories}
+
+
+def correct_summary(corrections: DataFrame, summaries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted new versions, rejects) for corrections (scope, summary_id, summary, reason).
+
+    A correction needs a reason and a target that exists and is not superseded yet.
+    """
+    target = summaries.select(*SCOPE, F.col("id").alias("summary_id"), "level", "period", F.lit(True).alias("_known"))
+    newer = summaries.filter("supersedes is not null").groupBy(*SCOPE, F.col("supersedes").alias("summary_id")).agg(F.max("id").alias("_by"))
+    checked = corrections.join(target, [*SCOPE, "summary_id"], "left").join(newer, [*SCOPE, "summary_id"], "left")
+    problem = (
+        F.when(F.coalesce("reason", F.lit("")) == "", "reason required").when(F.col("_known").isNull(), "no such summary")
+        .when(F.col("_by").isNotNull(), F.concat(F.lit("already superseded by "), "_by"))
+    )
+    checked = checked.withColumn("problem", problem)
+    last = summaries.groupBy(*SCOPE, "level", "period").agg(F.max(version_number(F.col("id"))).alias("_v"))
+    good = checked.filter("problem is null").join(last, [*SCOPE, "level", "period"], "left")
+    accepted = good.select(
+        *SCOPE, summary_id(F.col("scope_owner"), F.col("period"), F.col("level"), F.col("_v") + 1).alias("id"), "level", "period", "summary",
+        F.col("summary_id").alias("supersedes"), F.col("reason").alias("correction_reason"),
+    )
+    return accepted, checked.filter("problem is not null").select(*SCOPE, "summary_id", "problem")
+
+
+def contradiction_apply(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Facts after a judge's verdicts: scope, summary_id, id, fact, source_count, outcome.
+
+    ``facts``: scope, summary_id, id, fact, source_count. ``verdicts``: scope, summary_id, ord,
+    old_fact, replacement, reason. A verdict names its fact by exact text. Restatements
+    (``redundant``) count as one more source, an empty replacement removes the fact. Of several
+    facts with one text each replacing or removing verdict takes the next one.
+    """
+    key = [*SCOPE, "summary_id", "fact"]
+    dup = facts.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy("id")))
+    v = verdicts.select(*SCOPE, "summary_id", F.col("old_fact").alias("fact"), "ord", "replacement", (F.col("reason") == "redundant").alias("_again"))
+    before = W.partitionBy(*key).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    v = v.withColumn("_n", 1 + F.coalesce(F.sum(F.when(F.col("_again"), 0).otherwise(1)).over(before), F.lit(0)))
+    act = v.groupBy(*key, "_n").agg(F.count(F.when(F.col("_again"), 1)).alias("_more"), F.max(F.when(~F.col("_again"), F.coalesce("replacement", F.lit("")))).alias("_new"))
+    rows = dup.join(act, [*key, "_n"], "left")
+    outcome = (
+        F.when(F.col("_new") == "", "removed").when(F.col("_new").isNotNull(), "replaced").when(F.col("_more") > 0, "reinforced").otherwise("kept")
+    )
+    more = F.coalesce("_more", F.lit(0))
+    count = F.when(more > 0, F.greatest(F.col("source_count"), F.lit(1)) + more).otherwise(F.col("source_count"))
+    return rows.select(*SCOPE, "summary_id", "id", F.col("fact").alias("old_fact"), F.when(F.col("_new") != "", F.col("_new")).otherwise(F.col("fact")).alias("fact"), count.cast("int").alias("source_count"), outcome.alias("outcome"))
+
+
+def relation_record(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Relations between facts named by exact text: scope, from_memory_id, to_memory_id, relation_type.
+
+    ``pairs``: scope, from_summary, from_fact, to_summary, to_fact, relation_type. A text that names
+    no fact is skipped rather than guessed.
+    """
+    ids = facts.groupBy(*SCOPE, "summary_id", "fact").agg(F.max("id").alias("_id"))
+
+    def side(name):
+        return ids.select(*SCOPE, F.col("summary_id").alias(f"{name}_summary"), F.col("fact").alias(f"{name}_fact"), X.fact_memory_id(F.col("_id")).alias(f"{name}_memory_id"))
+
+    hit = pairs.join(side("from"), [*SCOPE, "from_summary", "from_fact"]).join(side("to"), [*SCOPE, "to_summary", "to_fact"])
+    return hit.select(*SCOPE, "from_memory_id", "to_memory_id", "relation_type")
+
+
+def derives_record(inferences: DataFrame, heads: DataFrame) -> DataFrame:
+    """Relations from inferred facts to the attributes they follow from.
+
+    ``inferences``: scope, fact_id, entity_id, attribute_keys; ``heads``: current attribute rows.
+    """
+    wanted = inferences.select(*SCOPE, "fact_id", "entity_id", F.explode("attribute_keys").alias("attribute_key"))
+    hit = wanted.join(heads.select(*SCOPE, "entity_id", "attribute_key", F.col("id").alias("to_memory_id")), [*SCOPE, "entity_id", "attribute_key"])
+    return hit.select(*SCOPE, X.fact_memory_id(F.col("fact_id")).alias("from_memory_id"), "to_memory_id", F.lit("derives").alias("relation_type"))
+
+
+def entity_specificity(summaries: DataFrame, triggers: DataFrame, *, top: int = RELATED_SUMMARIES) -> DataFrame:
+    """Current summaries related to each trigger by shared entities, rare entities weighing more.
+
+    ``summaries``: scope, id, entities_touched, created_at, supersedes. ``triggers``: scope, id,
+    entities_touched. A hub entity joins every summary with every trigger that touches it, so the
+    weights are summed cell by cell, and each cell returns only its best rows.
+    """
+    from memspark.operators import kernels
+    from memspark.operators.cells import cut_into_cells, match_cells
+
+    current = current_versions(summaries)
+    touched = current.select(*SCOPE, F.col("id").alias("doc_id"), "created_at", F.explode("entities_touched").alias("term"))
+    freq = touched.groupBy(*SCOPE, "term").agg(F.count(F.lit(1)).alias("_freq"))
+    asked = triggers.select(*SCOPE, F.col("id").alias("query_id"), F.explode(F.array_distinct("entities_touched")).alias("term"))
+    wanted = asked.select(*SCOPE, "term").distinct()
+    posts = touched.join(wanted, [*SCOPE, "term"], "left_semi").join(freq, [*SCOPE, "term"]).groupBy(*SCOPE, "doc_id", "created_at", "term").agg(
+        F.sum(1 / F.col("_freq")).alias("weight")
+    )
+    left, right, cell = cut_into_cells(posts, asked, SCOPE, ["doc_id"], ["query_id"], 1 << 15, 1 << 13)
+    found = match_cells(left, right, cell, kernels.specific_best(SCOPE, top), "scope_kind string, scope_owner string, query_id string, doc_id string, created_at timestamp_ntz, score double")
+    order = [F.col("score").desc(), F.col("created_at").desc(), F.col("doc_id")]
+    return top_per_key(found, [*SCOPE, "query_id"], order, top, "rank")
+
+
+def current_content(summaries: DataFrame, facts: DataFrame, entities: DataFrame, attributes: DataFrame) -> DataFrame:
+    """The editable document of every current summary as JSON: scope, id, document.
+
+    Facts and touched entities of one summary are few and travel as arrays.
+    """
+    cur = current_versions(summaries).select(*SCOPE, "id", "summary", "entities_touched")
+    fact = F.struct(F.col("id").alias("i"), F.struct("fact", "source_count").alias("v"))
+    f = facts.groupBy(*SCOPE, F.col("summary_id").alias("id")).agg(F.array_sort(F.collect_list(fact)).alias("_f"))
+    ents = entities.select(*SCOPE, F.col("id").alias("entity_id"), "kind", "name").join(attributes.select(*SCOPE, "entity_id", "attributes"), [*SCOPE, "entity_id"], "left")
+    touched = cur.select(*SCOPE, "id", F.posexplode("entities_touched").alias("_pos", "entity_id")).join(ents, [*SCOPE, "entity_id"])
+    ent = F.struct(F.col("_pos").alias("i"), F.struct(F.col("entity_id").alias("id"), "kind", "name", "attributes").alias("v"))
+    e = touched.groupBy(*SCOPE, "id").agg(F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("i"), F.to_json(ent["v"]).alias("v")))).alias("_e"))
+    rows = cur.join(f, [*SCOPE, "id"], "left").join(e, [*SCOPE, "id"], "left")
+    facts_json = F.coalesce(F.to_json(F.transform("_f", lambda r: r["v"])), F.lit("[]"))
+    ents_json = F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("_e", lambda r: r["v"]), ","), F.lit("")), F.lit("]"))
+    doc = F.concat(F.lit('{"summary":'), F.to_json(F.struct("summary")), F.lit(',"key_facts":'), facts_json, F.lit(',"entities_touched":'), ents_json, F.lit("}"))
+    return rows.select(*SCOPE, "id", doc.alias("document"))

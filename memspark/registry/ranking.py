@@ -52,7 +52,7 @@ def vector_topk_all(t):
 
 @query("vector_topk_approx")
 def vector_topk_approx(t):
-    return search.vector_topk_approx(vectors(t), self_queries(t), dimensions=64, k=5, exclude_self=True).select("query_id", "id", "sim", "rank")
+    return search.vector_topk_approx(vectors(t), self_queries(t), dimensions=64, k=5, bits=4, tables=6, exclude_self=True).select("query_id", "id", "sim", "rank")
 
 
 @query("similarity_cutoff", f"WITH {VEC_SQL} SELECT query_id, id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM x WHERE sim >= CASE WHEN query_id % 2 = 0 THEN 0.25 ELSE 0.40 END) WHERE rank <= CASE WHEN query_id % 2 = 0 THEN 10 ELSE 5 END")
