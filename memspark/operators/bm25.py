@@ -63,37 +63,52 @@ def matching_postings(tokens: DataFrame, terms: DataFrame, keys: list[str] = SCO
     )
 
 
-def weighted_postings(tokens: DataFrame, terms: DataFrame, keys: list[str] = SCOPE, b: float = B, k1: float = K1) -> DataFrame:
-    hits = matching_postings(tokens, terms, keys)
+def scored_terms(terms: DataFrame, hits: DataFrame, tokens: DataFrame, keys: list[str] = SCOPE, exclude: DataFrame | None = None) -> DataFrame:
+    """Query terms with ``idf`` and the mean length of the query's corpus.
+
+    With ``exclude`` (keys, query_id, doc_id) a query's corpus lacks those documents: they are taken
+    off its counts, so the statistics are those of the smaller corpus. Statistics join the few query
+    terms, never the postings.
+    """
     df = hits.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(tokens, keys)
-    rows = hits.join(df, [*keys, "term"], "inner").join(stats, keys, "inner")
-    weight = term_weight(F.col("tf"), idf(F.col("n_docs"), F.col("df")), F.col("doc_len"), F.col("avg_len"), b, k1)
-    return rows.select(*keys, "doc_id", "term", weight.alias("weight"))
+    stats = tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("terms")).alias("total_len"))
+    rows = terms.join(df, [*keys, "term"], "inner").join(stats, keys, "inner")
+    if exclude is not None:
+        gone = exclude.select(*keys, "query_id", "doc_id").distinct()
+        lens = tokens.select(*keys, "doc_id", F.size("terms").alias("doc_len"))
+        off = gone.join(lens, [*keys, "doc_id"]).groupBy(*keys, "query_id").agg(
+            F.count(F.lit(1)).alias("_n"), F.sum("doc_len").alias("_len"), F.collect_set("doc_id").alias("skip")
+        )
+        asked = terms.select(*keys, "query_id", "term")
+        off_df = gone.join(hits.select(*keys, "doc_id", "term"), [*keys, "doc_id"]).join(asked, [*keys, "query_id", "term"], "left_semi")
+        off_df = off_df.groupBy(*keys, "query_id", "term").agg(F.count(F.lit(1)).alias("_df"))
+        rows = rows.join(off, [*keys, "query_id"], "left").join(off_df, [*keys, "query_id", "term"], "left")
+        for c, o in (("n_docs", "_n"), ("total_len", "_len"), ("df", "_df")):
+            rows = rows.withColumn(c, F.col(c) - F.coalesce(o, F.lit(0))).drop(o)
+    rows = rows.filter((F.col("df") > 0) & (F.col("total_len") > 0))
+    rows = rows.withColumn("idf", idf(F.col("n_docs"), F.col("df"))).withColumn("avg_len", F.col("total_len") / F.col("n_docs"))
+    return rows.drop("n_docs", "total_len", "df")
 
 
 def bm25_topk(
-    docs: DataFrame, queries: DataFrame, *, k: int = 5, b: float = B, k1: float = K1, keys: list[str] = SCOPE,
+    docs: DataFrame, queries: DataFrame, *, k: int = 5, b: float = B, k1: float = K1, keys: list[str] = SCOPE, exclude: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` best documents of each query's corpus: keys, query_id, doc_id, score, rank (from 0).
 
     ``queries`` may carry its own ``k`` column (at most ``k``). Scores are compared at six digits
-    and equal scores go by id.
+    and equal scores go by id. ``exclude`` names documents that are not in a query's corpus.
     """
     tokens = doc_tokens(docs, keys)
     own_k = queries if "k" in queries.columns else queries.withColumn("k", F.lit(k))
     terms = query_terms(own_k.select(*keys, "query_id", "k", "text"), keys)
-    postings = weighted_postings(tokens, terms, keys, b, k1)
-    left, right, cell = cut_into_cells(
-        postings, terms, keys, ["doc_id"], ["query_id"], POSTINGS_PER_CELL, TERMS_PER_CELL,
-    )
-    types = dict(postings.dtypes), dict(terms.dtypes)
-    schema = ", ".join([*[f"{c} {types[0][c]}" for c in keys], f"query_id {types[1]['query_id']}", f"doc_id {types[0]['doc_id']}", "score double"])
-    found = match_cells(left, right, cell, kernels.weighted_best(keys, DIGITS), schema)
-    found = found.withColumn("score", F.round("score", DIGITS))
+    hits = matching_postings(tokens, terms, keys)
+    asked = scored_terms(terms, hits, tokens, keys, exclude)
+    left, right, cell = cut_into_cells(hits, asked, keys, ["doc_id"], ["query_id"], POSTINGS_PER_CELL, TERMS_PER_CELL)
+    types = dict(docs.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
+    schema = ", ".join([f"{c} {types[c]}" for c in (*keys, "query_id", "doc_id")] + ["score double"])
+    found = match_cells(left, right, cell, kernels.bm25_best(keys, DIGITS, b, k1), schema)
     ranked = top_per_key(found, [*keys, "query_id"], [F.col("score").desc(), F.col("doc_id")], k, "rank")
     ranked = ranked.withColumn("rank", F.col("rank") - 1)
     if "k" in queries.columns:
-        limits = queries.select(*keys, "query_id", "k")
-        ranked = ranked.join(limits, [*keys, "query_id"], "inner").filter("rank < k").drop("k")
+        ranked = ranked.join(queries.select(*keys, "query_id", "k"), [*keys, "query_id"], "inner").filter("rank < k").drop("k")
     return ranked

@@ -82,8 +82,8 @@ def vector_best(keys: list[str], query_cols: list[str], group: str, k: str, digi
     return run
 
 
-def weighted_best(keys: list[str], digits: int):
-    """Per query: its k best documents by the summed weights of the shared terms."""
+def bm25_best(keys: list[str], digits: int, b: float, k1: float):
+    """Per query: its k best documents of the cell by BM25 under the query's own statistics."""
     columns = [*keys, "query_id", "doc_id", "score"]
 
     def run(postings: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
@@ -91,26 +91,39 @@ def weighted_best(keys: list[str], digits: int):
             return empty()
         vocab = pd.Index(terms["term"].unique())
         codes = vocab.get_indexer(postings["term"])
-        kept = codes >= 0
-        codes, weights = codes[kept], postings["weight"].to_numpy()[kept]
-        doc_codes, docs = pd.factorize(postings["doc_id"].to_numpy()[kept], sort=True)
         order = np.argsort(codes, kind="stable")
-        codes, weights, doc_codes = codes[order], weights[order], doc_codes[order]
-        bounds = np.searchsorted(codes, np.arange(len(vocab) + 1))
-        place = np.arange(len(docs))
+        order = order[codes[order] >= 0]
+        codes = codes[order]
+        tf = postings["tf"].to_numpy(dtype=np.float64)[order]
+        length = postings["doc_len"].to_numpy(dtype=np.float64)[order]
+        doc_codes, docs = pd.factorize(postings["doc_id"].to_numpy()[order], sort=True)
         names = np.asarray(docs)
+        bounds = np.searchsorted(codes, np.arange(len(vocab) + 1))
+        t = terms.sort_values("query_id", kind="stable")
+        spans = vocab.get_indexer(t["term"])
+        weight = (t["times"] * t["idf"] * (k1 + 1)).to_numpy()
+        avg, limit, qids = t["avg_len"].to_numpy(), t["k"].to_numpy(), t["query_id"].to_numpy()
+        skips = t["skip"].to_numpy() if "skip" in t else None
         head = [postings[c].iloc[0] for c in keys]
+        cuts = np.flatnonzero(np.r_[True, qids[1:] != qids[:-1], True])
         out = []
-        for qid, q in terms.groupby("query_id", sort=False):
-            score = np.zeros(len(docs))
-            for t, m in zip(vocab.get_indexer(q["term"]), q["times"].to_numpy()):
-                a, b = bounds[t], bounds[t + 1]
-                # one posting per document and term, so plain indexing adds each once
-                score[doc_codes[a:b]] += m * weights[a:b]
-            shown = np.where(score > 0, np.round(score, digits), -np.inf)
-            top = best(shown, place, int(q["k"].iloc[0]), 0.0)
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            fold = (1 - b) + b * length / avg[lo] if b else None
+            at, gain = [], []
+            for i in range(lo, hi):
+                s = slice(bounds[spans[i]], bounds[spans[i] + 1])
+                at.append(doc_codes[s])
+                gain.append(weight[i] * tf[s] / (tf[s] + (k1 * fold[s] if b else k1)))
+            at, gain = np.concatenate(at), np.concatenate(gain)
+            if not len(at):
+                continue
+            touched, where = np.unique(at, return_inverse=True)
+            score = np.round(np.bincount(where, gain), digits)
+            if skips is not None and skips[lo] is not None:
+                score[np.isin(names[touched], skips[lo])] = -np.inf
+            top = best(score, touched, int(limit[lo]), 0.0)
             if len(top):
-                out.append(([*head, qid], names[top], shown[top]))
+                out.append(([*head, qids[lo]], names[touched[top]], score[top]))
         return repeat_heads([*keys, "query_id"], out, ["doc_id", "score"])[columns] if out else empty()
 
     return run

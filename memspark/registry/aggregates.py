@@ -87,7 +87,7 @@ BM25_SQL = f"""d AS (SELECT doc_id, {TOK} AS terms FROM documents), c AS (SELECT
 def bm25_score(t):
     """Scores of every document a query matches, told as count and best per query."""
     terms = bm25.query_terms(benchmark_queries(t))
-    posts = bm25.weighted_postings(bm25.doc_tokens(corpus_docs(t)), terms)
+    posts = bm25.matching_postings(bm25.doc_tokens(corpus_docs(t)), terms)
     best = bm25.bm25_topk(corpus_docs(t), benchmark_queries(t), k=1).select("query_id", F.col("score").alias("best"))
     # matched documents per query from distinct term sets: documents grouped by the terms they hold
     n = matched_documents(posts, terms)
