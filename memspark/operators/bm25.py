@@ -103,7 +103,11 @@ def bm25_topk(
     terms = query_terms(own_k.select(*keys, "query_id", "k", "text"), keys)
     hits = matching_postings(tokens, terms, keys)
     asked = scored_terms(terms, hits, tokens, keys, exclude)
-    left, right, cell = cut_into_cells(hits, asked, keys, ["doc_id"], ["query_id"], POSTINGS_PER_CELL, TERMS_PER_CELL)
+    # text lengths bound the postings and terms, and need no join to be known
+    left, right, cell = cut_into_cells(
+        hits, asked, keys, ["doc_id"], ["query_id"], POSTINGS_PER_CELL, TERMS_PER_CELL, left_size=F.octet_length("text") / 6, right_size=F.octet_length("text") / 6,
+        left_measure=docs, right_measure=queries,
+    )
     types = dict(docs.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
     schema = ", ".join([f"{c} {types[c]}" for c in (*keys, "query_id", "doc_id")] + ["score double"])
     found = match_cells(left, right, cell, kernels.bm25_best(keys, DIGITS, b, k1), schema)

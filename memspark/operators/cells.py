@@ -28,11 +28,15 @@ def _blocks(df: DataFrame, keys: list[str], size: Column, capacity: int, name: s
 def cut_into_cells(
     left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], right_id: list[str],
     left_capacity: int, right_capacity: int, left_size: Column | None = None, right_size: Column | None = None,
+    left_measure: DataFrame | None = None, right_measure: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with their cell columns, each row repeated once per block of the other side."""
+    """Both sides with their cell columns, each row repeated once per block of the other side.
+
+    ``left_measure`` and ``right_measure`` are cheaper frames with the same keys to measure sizes on.
+    """
     one = F.lit(1)
-    lcount = _blocks(left, keys, left_size if left_size is not None else one, left_capacity, "_nl")
-    rcount = _blocks(right, keys, right_size if right_size is not None else one, right_capacity, "_nr")
+    lcount = _blocks(left if left_measure is None else left_measure, keys, left_size if left_size is not None else one, left_capacity, "_nl")
+    rcount = _blocks(right if right_measure is None else right_measure, keys, right_size if right_size is not None else one, right_capacity, "_nr")
     counts = lcount.join(rcount, keys, "full_outer")
 
     def place(df, ident, own, other, own_block, other_block):

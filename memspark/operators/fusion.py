@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from memspark.functions.text import jaccard, tokenize, truncate_budget, hard_truncate
+from memspark.functions.text import hard_truncate, tokenize, truncate_budget
+from memspark.operators import kernels
 from memspark.operators.bm25 import idf, term_weight
 from memspark.operators.scope import SCOPE
 
@@ -68,51 +69,21 @@ def rerank_apply(pool: DataFrame, scores: DataFrame, keys: list[str] = SCOPE) ->
     return joined.withColumn("relevance", F.when(use, F.col("_score")).otherwise(F.col("relevance"))).drop("_pool", "_score")
 
 
-def mmr_order(pool: Column, k: Column, lam: float = MMR_LAMBDA) -> Column:
-    """Positions picked from ``pool`` (array of struct(relevance, tokens)), best first.
-
-    A fold over the pick number: each step takes the best trade of relevance against the highest
-    overlap with what is picked, lower positions winning ties. A pool that fits is only sorted.
-    """
-    n = F.size(pool)
-    spots = F.sequence(F.lit(0), n - 1)
-
-    def gain(i: Column, state: Column) -> Column:
-        return lam * pool[i]["relevance"] - (1 - lam) * state["overlap"][i]
-
-    def pick(state: Column, _step: Column) -> Column:
-        free = F.filter(spots, lambda i: ~F.array_contains(state["picked"], i))
-        chosen = F.array_max(F.transform(free, lambda i: F.struct(gain(i, state).alias("g"), (-i).alias("at"))))
-        step = F.transform(
-            F.array(-chosen["at"]),
-            lambda c: F.struct(
-                F.concat(state["picked"], F.array(c)).alias("picked"),
-                F.transform(
-                    spots, lambda i: F.greatest(state["overlap"][i], jaccard(pool[i]["tokens"], pool[c]["tokens"]))
-                ).alias("overlap"),
-            ),
-        )
-        return step[0]
-
-    start = F.struct(F.array().cast("array<int>").alias("picked"), F.array_repeat(F.lit(0.0), n).alias("overlap"))
-    greedy = F.aggregate(F.sequence(F.lit(1), k), start, pick, lambda s: s["picked"])
-    by_relevance = F.transform(
-        F.array_sort(F.transform(spots, lambda i: F.struct((-pool[i]["relevance"]).alias("r"), i.alias("at")))), lambda s: s["at"]
-    )
-    return F.when(n == 0, F.array().cast("array<int>")).when(k >= n, by_relevance).otherwise(greedy)
-
-
 def mmr_select(pool: DataFrame, *, k: int = 5, lam: float = MMR_LAMBDA, keys: list[str] = SCOPE) -> DataFrame:
     """Picked rows with ``pick`` (from 0). ``pool``: keys, query_id, id, relevance, tokens, optional k.
 
-    A query's pool is at most three channels of three times k rows, so it travels as one array.
+    Greedy: each step takes the best trade of relevance against the highest token overlap with what
+    is picked, smaller ids winning ties. A pool that fits is only sorted. A query's pool is at most
+    three channels of three times k rows, so it travels as one row and no further shuffle is needed.
     """
     own_k = F.max("k") if "k" in pool.columns else F.lit(k)
     item = F.struct("id", "relevance", "tokens")
-    packed = pool.groupBy(*keys, "query_id").agg(F.array_sort(F.collect_list(item)).alias("pool"), own_k.cast("int").alias("_k"))
-    chosen = packed.withColumn("_order", mmr_order(F.col("pool"), F.col("_k"), lam))
-    rows = chosen.select(*keys, "query_id", "pool", F.posexplode("_order").alias("pick", "_at"))
-    return rows.select(*keys, "query_id", F.col("pool")[F.col("_at")]["id"].alias("id"), F.col("pool")[F.col("_at")]["relevance"].alias("relevance"), "pick")
+    packed = pool.groupBy(*keys, "query_id").agg(F.array_sort(F.collect_list(item)).alias("_pool"), own_k.cast("int").alias("_k"))
+    order = kernels.mmr_order(lam)
+    chosen = packed.withColumn("_order", order(F.transform("_pool", lambda p: p["relevance"]), F.transform("_pool", lambda p: p["tokens"]), "_k"))
+    rows = chosen.select(*keys, "query_id", "_pool", F.posexplode("_order").alias("pick", "_at"))
+    picked = F.col("_pool")[F.col("_at")]
+    return rows.select(*keys, "query_id", picked["id"].alias("id"), picked["relevance"].alias("relevance"), "pick")
 
 
 def fact_lexical_scores(facts: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:

@@ -129,6 +129,40 @@ def bm25_best(keys: list[str], digits: int, b: float, k1: float):
     return run
 
 
+def mmr_order(lam: float):
+    """Pandas UDF: positions picked from (relevances, token sets, k), best first."""
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("array<int>")
+    def order(relevances: pd.Series, tokens: pd.Series, ks: pd.Series) -> pd.Series:
+        def one(rel, toks, k):
+            rel = np.asarray(rel, dtype=np.float64)
+            n = len(rel)
+            if k >= n:
+                return np.argsort(-rel, kind="stable")
+            codes: dict = {}
+            held = [np.asarray([codes.setdefault(w, len(codes)) for w in ws], dtype=np.int64) for ws in toks]
+            has = np.zeros((n, max(1, len(codes))), dtype=np.float32)
+            for i, h in enumerate(held):
+                has[i, h] = 1
+            size = has.sum(axis=1)
+            shared = has @ has.T
+            union = size[:, None] + size[None, :] - shared
+            overlap = np.divide(shared, union, out=np.zeros((n, n)), where=(union > 0) & (size[:, None] > 0) & (size[None, :] > 0), dtype=np.float64)
+            nearest, free, picked = np.zeros(n), np.ones(n, dtype=bool), []
+            for _ in range(k):
+                gain = np.where(free, lam * rel - (1 - lam) * nearest, -np.inf)
+                at = int(gain.argmax())
+                picked.append(at)
+                free[at] = False
+                nearest = np.maximum(nearest, overlap[at])
+            return np.asarray(picked)
+
+        return pd.Series([one(r, t, int(k)) for r, t, k in zip(relevances, tokens, ks)])
+
+    return order
+
+
 def text_hits(keys: list[str]):
     """(text_id, name_id) for every name that occurs in a text; one pass over each text."""
     columns = [*keys, "text_id", "name_id"]

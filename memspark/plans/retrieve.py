@@ -92,7 +92,7 @@ class Search:
             F.when(X.recommendation_intent(text), search.WIDENED_ENTITIES).otherwise(o.k).alias("k_entities"),
             F.when(X.recommendation_intent(text), search.WIDENED_SIMILARITY).otherwise(search.ENTITY_SIMILARITY).alias("thr_entities"),
         )
-        self.attributes = current_attributes(tables.memories)
+        self.attributes = materialize(current_attributes(tables.memories), "attributes")
         self.current = current_versions(tables.summaries)
         every = materialize(stage1_entity_match(base, tables.entities), "matches")
         frames = base.select(*QKEY, "tf")
@@ -142,9 +142,9 @@ class Search:
             hits = search.vector_topk(vecs, asked, k=k_max, query_cols=["query_id", "variant"])
             return search.rank_by_similarity(hits.groupBy(*QKEY, "id").agg(F.max("sim").alias("sim")))
 
-        vec = channel(self._vectors(self.current))
+        vec = materialize(channel(self._vectors(self.current)), "vectors")
         facts = self.t.facts.filter("grounded").join(self.current.select(*SCOPE, F.col("id").alias("summary_id")), [*SCOPE, "summary_id"], "left_semi")
-        fact = channel(self._vectors(facts, "summary_id").withColumnRenamed("summary_id", "id"))
+        fact = materialize(channel(self._vectors(facts, "summary_id").withColumnRenamed("summary_id", "id")), "factvectors")
         docs = self.current.filter("summary is not null").select(*SCOPE, F.col("id").alias("doc_id"), F.col("summary").alias("text"), "entities_touched")
         words = self.live.filter("tier != 'disabled'").select(*QKEY, "text", (F.col("k_summaries") * over).alias("k"), ((F.col("tier") == "narrowed") & F.col("has_match")).alias("_narrow"))
         whole = bm25_topk(docs, words.filter("not _narrow").drop("_narrow"), k=k_max)
@@ -153,8 +153,8 @@ class Search:
         touched = docs.select(*SCOPE, "doc_id", F.explode("entities_touched").alias("entity_id"))
         members = self.matched.select(*QKEY, F.col("id").alias("entity_id")).join(narrow.select(*QKEY), QKEY, "left_semi").join(touched, [*SCOPE, "entity_id"])
         members = members.select(*SCOPE, F.col("query_id").alias("corpus"), "doc_id").distinct().join(docs.select(*SCOPE, "doc_id", "text"), [*SCOPE, "doc_id"])
-        small = bm25_topk(members, narrow, k=k_max, keys=[*SCOPE, "corpus"]).drop("corpus")
-        keyword = whole.unionByName(small.select(*whole.columns)).withColumnRenamed("doc_id", "id")
+        small = bm25_topk(members, narrow, k=k_max, keys=[*SCOPE, "corpus"]).drop("corpus") if o.by_corpus_size else whole.limit(0)
+        keyword = materialize(whole.unionByName(small.select(*whole.columns)).withColumnRenamed("doc_id", "id"), "keywords")
         fused = fusion.rrf_fuse({"vector": vec, "keyword": keyword, "fact": fact})
         period = self.current.select(*SCOPE, "id", "period")
         pool = fused.join(period, [*SCOPE, "id"]).join(self.live.select(*QKEY, "tf", "k_summaries", "is_ordering"), QKEY)
