@@ -82,49 +82,111 @@ def vector_best(keys: list[str], query_cols: list[str], group: str, k: str, digi
     return run
 
 
+class Postings:
+    """Postings of one cell ordered by term, so the documents of a term are one slice."""
+
+    def __init__(self, frame: pd.DataFrame, vocab: pd.Index, numbers: list[str]):
+        codes = vocab.get_indexer(frame["term"])
+        order = np.argsort(codes, kind="stable")
+        order = order[codes[order] >= 0]
+        self.docs, names = pd.factorize(frame["doc_id"].to_numpy()[order], sort=True)
+        self.names = np.asarray(names)
+        self.values = {c: frame[c].to_numpy(dtype=np.float64)[order] for c in numbers}
+        self.bounds = np.searchsorted(codes[order], np.arange(len(vocab) + 1))
+
+
+def top_documents(post: Postings, spans: np.ndarray, query: np.ndarray, gain, limit: np.ndarray, digits: int, banned=None):
+    """(query number, document number, score) of each query's best documents.
+
+    ``spans`` and ``query`` give term and query of every asked term, queries in one run each;
+    ``gain(rows, places)`` is what asked term ``rows`` adds to posting ``places``; ``limit`` and
+    ``banned`` (document numbers or None) stand per query. Queries that touch much of the cell are
+    summed over all its documents, the others together by sorting what they touch.
+    """
+    n_docs = len(post.names)
+    starts, counts = post.bounds[spans], post.bounds[spans + 1] - post.bounds[spans]
+    cuts = np.flatnonzero(np.r_[True, query[1:] != query[:-1], True])
+    touched = np.add.reduceat(counts, cuts[:-1]) if len(query) else np.zeros(0, dtype=np.int64)
+    every = np.arange(n_docs)
+    found: list[tuple] = []
+
+    def places(lo, hi):
+        c = counts[lo:hi]
+        rows = np.repeat(np.arange(lo, hi), c)
+        return rows, np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(starts[lo:hi], c)
+
+    def sparse(lo, hi):
+        rows, at = places(lo, hi)
+        keys, where = np.unique(query[rows] * n_docs + post.docs[at], return_inverse=True)
+        score = np.round(np.bincount(where, gain(rows, at)), digits)
+        q, d = keys // n_docs, keys % n_docs
+        if banned is not None:
+            asked = range(query[lo], query[hi - 1] + 1)
+            out = [n * n_docs + banned[n] for n in asked if banned[n] is not None]
+            if out:
+                score[np.isin(keys, np.concatenate(out))] = -np.inf
+        order = np.lexsort((d, -score, q))
+        q, d, score = q[order], d[order], score[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+        keep = (rank < limit[q]) & (score > -np.inf)
+        found.append((q[keep], d[keep], score[keep]))
+
+    def dense(lo, hi):
+        rows, at = places(lo, hi)
+        total = np.bincount(post.docs[at], gain(rows, at), minlength=n_docs)
+        n = query[lo]
+        shown = np.where(total > 0, np.round(total, digits), -np.inf)
+        if banned is not None and banned[n] is not None:
+            shown[banned[n]] = -np.inf
+        top = best(shown, every, int(limit[n]), 0.0)
+        found.append((np.full(len(top), n), top, shown[top]))
+
+    run_lo, run_n = None, 0
+    for i in range(len(touched)):
+        lo, hi = cuts[i], cuts[i + 1]
+        if touched[i] * 4 >= n_docs:
+            if run_lo is not None:
+                sparse(run_lo, lo)
+                run_lo, run_n = None, 0
+            dense(lo, hi)
+            continue
+        run_lo, run_n = (lo, touched[i]) if run_lo is None else (run_lo, run_n + touched[i])
+        if run_n > 1 << 21:
+            sparse(run_lo, hi)
+            run_lo, run_n = None, 0
+    if run_lo is not None:
+        sparse(run_lo, len(query))
+    return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, dtype=np.int64)] * 3
+
+
 def bm25_best(keys: list[str], digits: int, b: float, k1: float):
     """Per query: its k best documents of the cell by BM25 under the query's own statistics."""
-    columns = [*keys, "query_id", "doc_id", "score"]
 
     def run(postings: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
         if postings.empty or terms.empty:
             return empty()
         vocab = pd.Index(terms["term"].unique())
-        codes = vocab.get_indexer(postings["term"])
-        order = np.argsort(codes, kind="stable")
-        order = order[codes[order] >= 0]
-        codes = codes[order]
-        tf = postings["tf"].to_numpy(dtype=np.float64)[order]
-        length = postings["doc_len"].to_numpy(dtype=np.float64)[order]
-        doc_codes, docs = pd.factorize(postings["doc_id"].to_numpy()[order], sort=True)
-        names = np.asarray(docs)
-        bounds = np.searchsorted(codes, np.arange(len(vocab) + 1))
+        post = Postings(postings, vocab, ["tf", "doc_len"])
+        tf, length = post.values["tf"], post.values["doc_len"]
         t = terms.sort_values("query_id", kind="stable")
-        spans = vocab.get_indexer(t["term"])
-        weight = (t["times"] * t["idf"] * (k1 + 1)).to_numpy()
-        avg, limit, qids = t["avg_len"].to_numpy(), t["k"].to_numpy(), t["query_id"].to_numpy()
-        skips = t["skip"].to_numpy() if "skip" in t else None
-        head = [postings[c].iloc[0] for c in keys]
-        cuts = np.flatnonzero(np.r_[True, qids[1:] != qids[:-1], True])
-        out = []
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            fold = (1 - b) + b * length / avg[lo] if b else None
-            at, gain = [], []
-            for i in range(lo, hi):
-                s = slice(bounds[spans[i]], bounds[spans[i] + 1])
-                at.append(doc_codes[s])
-                gain.append(weight[i] * tf[s] / (tf[s] + (k1 * fold[s] if b else k1)))
-            at, gain = np.concatenate(at), np.concatenate(gain)
-            if not len(at):
-                continue
-            touched, where = np.unique(at, return_inverse=True)
-            score = np.round(np.bincount(where, gain), digits)
-            if skips is not None and skips[lo] is not None:
-                score[np.isin(names[touched], skips[lo])] = -np.inf
-            top = best(score, touched, int(limit[lo]), 0.0)
-            if len(top):
-                out.append(([*head, qids[lo]], names[touched[top]], score[top]))
-        return repeat_heads([*keys, "query_id"], out, ["doc_id", "score"])[columns] if out else empty()
+        query, qids = pd.factorize(t["query_id"].to_numpy())
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        weight, avg = (t["times"] * t["idf"] * (k1 + 1)).to_numpy(), t["avg_len"].to_numpy()
+        banned = None
+        if "skip" in t:
+            place = pd.Index(post.names)
+            banned = [None if s is None else (lambda x: x[x >= 0])(place.get_indexer(s)) for s in t["skip"].to_numpy()[first]]
+
+        def gain(rows, at):
+            fold = (1 - b) + b * length[at] / avg[rows] if b else 1.0
+            return weight[rows] * tf[at] / (tf[at] + k1 * fold)
+
+        q, d, score = top_documents(post, vocab.get_indexer(t["term"]), query, gain, t["k"].to_numpy()[first], digits, banned)
+        if not len(q):
+            return empty()
+        head = {c: postings[c].iloc[0] for c in keys}
+        return pd.DataFrame({**head, "query_id": np.asarray(qids)[q], "doc_id": post.names[d], "score": score})
 
     return run
 
@@ -410,33 +472,25 @@ def count_matches():
 
 def specific_best(keys: list[str], top: int):
     """Per query: the related documents with the highest summed weights, newer ones first on ties."""
-    columns = [*keys, "query_id", "doc_id", "created_at", "score"]
 
     def run(postings: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
         if postings.empty or terms.empty:
             return empty()
-        docs = postings.drop_duplicates("doc_id").sort_values(["created_at", "doc_id"], ascending=[False, True]).reset_index(drop=True)
+        docs = postings.drop_duplicates("doc_id").sort_values(["created_at", "doc_id"], ascending=[False, True])
         place = pd.Index(docs["doc_id"])
-        head = {c: postings[c].iloc[0] for c in keys}
-        by_term = {t: (place.get_indexer(g["doc_id"]), g["weight"].to_numpy()) for t, g in postings.groupby("term")}
-        own = {d: i for i, d in enumerate(docs["doc_id"])}
-        out = []
-        for qid, words in terms.groupby("query_id")["term"]:
-            said = [by_term[w] for w in words if w in by_term]
-            if not said:
-                continue
-            at, where = np.unique(np.concatenate([a for a, _ in said]), return_inverse=True)
-            shown = np.round(np.bincount(where, np.concatenate([w for _, w in said])), 9)
-            shown[at == own.get(qid, -1)] = -np.inf
-            best_rows = best(shown, at, top, 0.0)
-            out.append((qid, at[best_rows], shown[best_rows]))
-        if not out:
+        vocab = pd.Index(terms["term"].unique())
+        # documents go by their place in the order of ties
+        post = Postings(postings.assign(doc_id=place.get_indexer(postings["doc_id"])), vocab, ["weight"])
+        t = terms.sort_values("query_id", kind="stable")
+        query, qids = pd.factorize(t["query_id"].to_numpy())
+        own = pd.Index(post.names).get_indexer(place.get_indexer(qids))
+        banned = [None if o < 0 else np.asarray([o]) for o in own]
+        weight = post.values["weight"]
+        q, d, score = top_documents(post, vocab.get_indexer(t["term"]), query, lambda rows, at: weight[at], np.full(len(qids), top), 9, banned)
+        if not len(q):
             return empty()
-        rows = np.concatenate([a for _, a, _ in out])
-        picked = docs.iloc[rows]
-        return pd.DataFrame({
-            **head, "query_id": np.repeat([q for q, _, _ in out], [len(a) for _, a, _ in out]), "doc_id": picked["doc_id"].to_numpy(),
-            "created_at": picked["created_at"].to_numpy(), "score": np.concatenate([s for _, _, s in out]),
-        })[columns]
+        picked = docs.iloc[post.names[d]]
+        head = {c: postings[c].iloc[0] for c in keys}
+        return pd.DataFrame({**head, "query_id": np.asarray(qids)[q], "doc_id": picked["doc_id"].to_numpy(), "created_at": picked["created_at"].to_numpy(), "score": score})
 
     return run

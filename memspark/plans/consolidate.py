@@ -321,7 +321,7 @@ def entity_specificity(summaries: DataFrame, triggers: DataFrame, *, top: int =
     posts = touched.join(wanted, [*SCOPE, "term"], "left_semi").join(freq, [*SCOPE, "term"]).groupBy(*SCOPE, "doc_id", "created_at", "term").agg(
         F.sum(1 / F.col("_freq")).alias("weight")
     )
-    left, right, cell = cut_into_cells(posts, asked, SCOPE, ["doc_id"], ["query_id"], 1 << 15, 1 << 13)
+    left, right, cell = cut_into_cells(posts, asked, SCOPE, ["doc_id"], ["query_id"], 1 << 18, 1 << 14)
     found = match_cells(left, right, cell, kernels.specific_best(SCOPE, top), "scope_kind string, scope_owner string, query_id string, doc_id string, created_at timestamp_ntz, score double")
     order = [F.col("score").desc(), F.col("created_at").desc(), F.col("doc_id")]
     return top_per_key(found, [*SCOPE, "query_id"], order, top, "rank")

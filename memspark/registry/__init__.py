@@ -45,7 +45,13 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(self.path(name))
+        df = self.spark.read.parquet(self.path(name))
+        if name == "documents":
+            # long texts cost computing time: a table of few files is spread over all cores
+            cores = self.spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores, "doc_id")
+        return df
 
 
 def load_all() -> None:
