@@ -25,6 +25,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(usable, dot(a, b) / F.when(scale > 0, scale)).otherwise(F.lit(0.0))
 
 
+def unit(v: Column) -> Column:
+    """The vector at length one; a zero vector stays as it is."""
+    n = norm(v)
+    return F.when(n > 0, F.transform(v.cast("array<double>"), lambda x: x / n)).otherwise(v.cast("array<double>"))
+
+
 def pad(v: Column, dimensions: int) -> Column:
     """Short vectors filled with zeros at the right."""
     missing = F.greatest(F.lit(0), F.lit(dimensions) - F.size(v))

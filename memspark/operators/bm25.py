@@ -14,7 +14,7 @@ from memspark.operators.scope import SCOPE
 # Score parameters.
 K1, B = 1.5, 0.75
 DIGITS = 6
-POSTINGS_PER_CELL, TERMS_PER_CELL = 1 << 17, 1 << 14
+POSTINGS_PER_CELL, TERMS_PER_CELL = 1 << 17, 1 << 17
 
 
 def idf(n_docs: Column, df: Column) -> Column:

@@ -77,7 +77,8 @@ def mmr_select(pool: DataFrame, *, k: int = 5, lam: float = MMR_LAMBDA, keys: li
     three channels of three times k rows, so it travels as one row and no further shuffle is needed.
     """
     own_k = F.max("k") if "k" in pool.columns else F.lit(k)
-    item = F.struct("id", "relevance", "tokens")
+    # tokens travel as 64-bit hashes, a fraction of their text
+    item = F.struct("id", "relevance", F.transform("tokens", lambda w: F.xxhash64(w)).alias("tokens"))
     packed = pool.groupBy(*keys, "query_id").agg(F.array_sort(F.collect_list(item)).alias("_pool"), own_k.cast("int").alias("_k"))
     order = kernels.mmr_order(lam)
     chosen = packed.withColumn("_order", order(F.transform("_pool", lambda p: p["relevance"]), F.transform("_pool", lambda p: p["tokens"]), "_k"))
@@ -87,21 +88,27 @@ def mmr_select(pool: DataFrame, *, k: int = 5, lam: float = MMR_LAMBDA, keys: li
 
 
 def fact_lexical_scores(facts: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
-    """BM25 without length folding; the corpus is the facts of one summary.
+    """Facts with ``score`` and ``asks``: BM25 without length folding inside one summary.
 
-    ``facts``: keys, fact_id, text. ``queries``: keys, text. One row per fact, 0 without a match.
+    ``facts``: keys, fact_id, text and whatever else; ``queries``: keys, text. A fact without a match
+    scores 0. Facts and query meet once by ``keys``; the counts after that are windows and sums
+    inside that partitioning, so nothing is shuffled again.
     """
-    toks = facts.select(*keys, "fact_id", tokenize(F.col("text")).alias("terms"))
-    said = queries.select(*keys, F.explode(tokenize(F.col("text"))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("times"))
-    tf = toks.select(*keys, "fact_id", F.explode("terms").alias("term")).groupBy(*keys, "fact_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    hits = tf.join(said, [*keys, "term"], "inner")
-    df = hits.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"))
-    n = toks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"))
-    weight = term_weight(F.col("tf"), idf(F.col("n_docs"), F.col("df")), F.lit(1.0), F.lit(1.0), b=0)
-    scored = hits.join(df, [*keys, "term"]).join(n, keys).groupBy(*keys, "fact_id").agg(F.sum(F.col("times") * weight).alias("score"))
-    return facts.select(*keys, "fact_id").join(scored, [*keys, "fact_id"], "left").select(
-        *keys, "fact_id", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score")
-    )
+    rest = [c for c in facts.columns if c not in (*keys, "fact_id")]
+    asked = queries.select(*keys, tokenize(F.col("text")).alias("_asked"))
+    rows = facts.select(*keys, "fact_id", F.struct(*rest).alias("_row"), tokenize(F.col("text")).alias("_terms"))
+    rows = rows.repartition(*keys).join(asked, keys, "inner")
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    said = F.filter("_terms", lambda w: F.array_contains(F.col("_asked"), w))
+    hits = rows.select(*keys, "fact_id", "_row", "_asked", "_n", F.explode_outer(said).alias("_term"))
+    first = [F.first(c).alias(c) for c in ("_row", "_asked", "_n")]
+    tf = hits.groupBy(*keys, "fact_id", "_term").agg(F.count(F.lit(1)).alias("_tf"), *first)
+    tf = tf.withColumn("_df", F.count(F.lit(1)).over(W.partitionBy(*keys, "_term")))
+    times = F.size(F.filter("_asked", lambda w: w == F.col("_term")))
+    weight = term_weight(F.col("_tf"), idf(F.col("_n"), F.col("_df")), F.lit(1.0), F.lit(1.0), b=0)
+    gain = F.when(F.col("_term").isNotNull(), times * weight).otherwise(0.0)
+    out = tf.groupBy(*keys, "fact_id").agg(F.round(F.sum(gain), 9).alias("score"), F.first("_row").alias("_row"), (F.size(F.first("_asked")) > 0).alias("asks"))
+    return out.select(*keys, "fact_id", "_row.*", "score", "asks")
 
 
 def keyfact_rank(facts: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,8 +119,7 @@ def keyfact_rank(facts: DataFrame, queries: DataFrame, keys: list[str]) -> DataF
     semantic order when every fact of the summary has a similarity. The windows hold the facts of
     one summary, which came from one text.
     """
-    terms = queries.select(*keys, (F.size(tokenize(F.col("text"))) > 0).alias("_asks"))
-    scored = facts.join(fact_lexical_scores(facts, queries, keys), [*keys, "fact_id"]).join(terms, keys)
+    scored = fact_lexical_scores(facts, queries, keys).withColumnRenamed("asks", "_asks")
     group = W.partitionBy(*keys)
     lex_score = F.when(F.col("_asks"), F.col("score")).otherwise(0.0)
     lex_count = F.when(F.col("_asks"), F.col("source_count")).otherwise(0)

@@ -202,11 +202,10 @@ def mmr_order(lam: float):
             n = len(rel)
             if k >= n:
                 return np.argsort(-rel, kind="stable")
-            codes: dict = {}
-            held = [np.asarray([codes.setdefault(w, len(codes)) for w in ws], dtype=np.int64) for ws in toks]
-            has = np.zeros((n, max(1, len(codes))), dtype=np.float32)
-            for i, h in enumerate(held):
-                has[i, h] = 1
+            sizes = [len(ws) for ws in toks]
+            known, codes = np.unique(np.concatenate([np.asarray(ws, dtype=np.int64) for ws in toks]), return_inverse=True)
+            has = np.zeros((n, max(1, len(known))), dtype=np.float32)
+            has[np.repeat(np.arange(n), sizes), codes] = 1
             size = has.sum(axis=1)
             shared = has @ has.T
             union = size[:, None] + size[None, :] - shared

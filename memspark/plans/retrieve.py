@@ -178,10 +178,14 @@ class Search:
         key = [*QKEY, "summary_id"]
         mine = self.picks.select(*QKEY, F.col("id").alias("summary_id"))
         live = unexpired(self.t.facts.filter("grounded"), self.as_of)
-        rows = mine.join(live.select(*SCOPE, "summary_id", F.col("id").alias("fact_id"), F.col("fact").alias("text"), "source_count", "is_inference", "embedding", "embedding_model"), [*SCOPE, "summary_id"])
-        rows = rows.join(self.live.select(*QKEY, "query_vector"), QKEY)
+        shown = live.select(*SCOPE, "summary_id", F.col("id").alias("fact_id"), F.col("fact").alias("text"), "source_count", "is_inference", V.unit(F.col("embedding")).alias("embedding"), "embedding_model")
+        rows = mine.join(shown, [*SCOPE, "summary_id"])
+        # lengths are taken out once per vector, so each pair costs one product
+        asked_unit = self.live.select(*QKEY, V.unit(F.col("query_vector")).alias("query_vector"))
+        rows = rows.join(asked_unit, QKEY)
         same = F.col("embedding").isNotNull() & (F.lit(True) if self.t.model is None else F.coalesce(F.col("embedding_model") == self.t.model, F.lit(False)))
-        sim = F.when(same, F.round(V.cosine(F.col("embedding"), F.col("query_vector")), search.DIGITS))
+        fits = F.size("embedding") == F.size("query_vector")
+        sim = F.when(same & fits, F.round(V.dot(F.col("embedding"), F.col("query_vector")), search.DIGITS)).when(same, F.lit(0.0))
         facts = rows.withColumn("similarity", sim).drop("embedding", "embedding_model", "query_vector")
         asked = mine.join(self.live.select(*QKEY, "text"), QKEY)
         self.pick_facts = materialize(fusion.keyfact_rank(facts, asked, key), "facts")
