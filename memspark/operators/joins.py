@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark.functions import text as X
-from memspark.operators.panels import interactions
 from memspark.operators.running import top_per_key
 from memspark.operators.scope import SCOPE
 from memspark.operators.versions import current_versions

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memspark.functions import text as X
-from memspark.functions import timeex as D
 from memspark.operators import joins, matching, versions
 from memspark.operators.scope import SCOPE, scope_list as op_scope_list
 from memspark.registry import query
-from memspark.registry.aggregates import memories, one_head_per_key
 from memspark.registry.scalars import TF_CTE
 from memspark.registry.views import (
     as_of, ctes, entities, episodes, facts, place_edges, place_entities, preference_edges, queries, sentences, sql_tokens, summaries,

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memspark.functions import text as X
-from memspark.functions import timeex as D
 from memspark.operators import bm25, fusion, panels, search, versions
-from memspark.operators.running import top_per_key
 from memspark.operators.scope import SCOPE
 from memspark.registry import query
-from memspark.registry.aggregates import BM25_SQL, FACT_SQL, _PAIRS, doc_facts, topics
+from memspark.registry.aggregates import BM25_SQL, FACT_SQL, _PAIRS, doc_facts
 from memspark.registry.scalars import label_sql
 from memspark.registry.views import (
-    AS_OF, as_of, audit_log, benchmark_queries, corpus_docs, ctes, entities, episodes, facts, preference_edges, sentences, sql_tokens, summaries, vectors,
+    as_of, benchmark_queries, corpus_docs, ctes, entities, episodes, facts, preference_edges, summaries, vectors,
 )
 
 

@@ -10,7 +10,7 @@ from memspark.functions import timeex as D
 from memspark.functions import vectors as V
 from memspark.operators.fusion import match_label, reciprocal_rank
 from memspark.registry import query
-from memspark.registry.views import AS_OF, as_of, audit_log, ctes, entities, episodes, queries, sql_list, sql_tokens, summaries
+from memspark.registry.views import AS_OF, as_of, ctes, entities, episodes, queries, sql_tokens
 
 TOK = sql_tokens("text", X.STOP_WORDS)
 THEME = sql_tokens("text", X.THEME_STOP_WORDS)

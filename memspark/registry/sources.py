@@ -9,7 +9,7 @@ from memspark.operators import scope as S
 from memspark.operators import versions
 from memspark.operators.scope import SCOPE
 from memspark.registry import query
-from memspark.registry.views import audit_log, ctes, entities, episodes, facts, place_edges, preference_edges, summaries
+from memspark.registry.views import ctes, entities, episodes, facts, preference_edges, summaries
 from memspark.session import scratch_path
 from memspark.sources import bundle, chats, tables
 

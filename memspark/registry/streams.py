@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from memspark.operators.scope import SCOPE
 from memspark.registry import Tables, query
-from memspark.registry.views import as_of, audit_log, ctes, episodes, facts
+from memspark.registry.views import as_of, audit_log, ctes, episodes
 from memspark.session import scratch_path
 from memspark.streaming import jobs
 

@@ -9,14 +9,14 @@ of small files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memspark.functions import text as X
 from memspark.operators.joins import locator_resolve
 from memspark.operators.scope import SCOPE
-from memspark.operators.versions import summary_id, version_chain_order, version_number
+from memspark.operators.versions import summary_id, version_chain_order
 from memspark.schemas import BUNDLE_DDL, MANIFEST_DDL, SCOPE_DDL, struct
 
 
