@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from memspark.llm import sharding, urlrules, warc
+from memspark.llm import bpe, packing, sharding, urlrules, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
     "op2_rendezvous_shards": sharding.op2_rendezvous_shards,
+    "op4_prefix_bpe": bpe.op4_prefix_bpe,
+    "op6_pack_sequences": packing.op6_pack_sequences,
     "op10_url_rules": urlrules.op10_url_rules,
 }
 ORACLES = {
