@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from memspark.llm import bpe, packing, sharding, urlrules, warc
+from memspark.llm import bpe, packing, sharding, simhash, spotsigs, urlrules, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
     "op2_rendezvous_shards": sharding.op2_rendezvous_shards,
     "op4_prefix_bpe": bpe.op4_prefix_bpe,
     "op6_pack_sequences": packing.op6_pack_sequences,
+    "op7_spotsigs": spotsigs.op7_spotsigs,
+    "op8_simhash_bktree": simhash.op8_simhash_bktree,
     "op10_url_rules": urlrules.op10_url_rules,
 }
 ORACLES = {
