@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from memspark.llm import bpe, packing, sharding, simhash, spotsigs, urlrules, warc
+from memspark.llm import adscan, bpe, packing, quality, secrets, sharding, simhash, spotsigs, urlrules, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
     "op2_rendezvous_shards": sharding.op2_rendezvous_shards,
+    "op3_quality": quality.op3_quality,
     "op4_prefix_bpe": bpe.op4_prefix_bpe,
+    "op5_secret_forest": secrets.op5_secret_forest,
     "op6_pack_sequences": packing.op6_pack_sequences,
     "op7_spotsigs": spotsigs.op7_spotsigs,
     "op8_simhash_bktree": simhash.op8_simhash_bktree,
+    "op9_adaptive_scan": adscan.op9_adaptive_scan,
     "op10_url_rules": urlrules.op10_url_rules,
 }
 ORACLES = {
