@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from memspark.llm.tables import table
-from memspark.llm.wordchunks import Memory, chunks_of
+from memspark.llm.wordchunks import Memory, chunks_of, word_pattern, words_of
 
 _END = "</w>"
 #: The last symbol of a word is another symbol than the same byte inside one.
@@ -58,8 +57,7 @@ class PrefixBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.special.items()}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        # fixed: the word pattern of the tokenizer file, with white space spelled out
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
+        self.find_words = word_pattern()
         self.bytes_to_symbols = {b: s for b, s in enumerate(byte_symbols())}
         size = max(self.names) + 1
         self.left, self.right, self.rank = [-1] * size, [-1] * size, [-1] * size
@@ -136,17 +134,21 @@ class PrefixBpe:
         ids.reverse()
         return ids
 
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """Ids of a text without white space."""
+    def parts_of(self, chunk: str) -> list[str]:
+        """Words and special tokens of a text without white space."""
         if "<" in chunk and self.special_split is not None and self.special_split.search(chunk):
-            ids = []
+            parts = []
             for part in self.special_split.split(chunk):
-                ids += [self.special[part]] if part in self.special else self.encode_chunk(part) if part else []
-            return ids
-        plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        if plain.isalpha():
-            return self.encode_word(plain)
-        return [i for word in self.words(plain) for i in self.encode_word(word)]
+                parts += [part] if part in self.special else words_of(part, self.find_words)
+            return parts
+        return words_of(chunk, self.find_words)
+
+    def encode_part(self, part: str) -> list[int]:
+        return [self.special[part]] if part in self.special else self.encode_word(part)
+
+    def encode_chunk(self, chunk: str) -> list[int]:
+        """Ids of a text without white space."""
+        return [i for part in self.parts_of(chunk) for i in self.encode_part(part)]
 
 
 _LOADED: dict[str, tuple[PrefixBpe, Memory]] = {}
@@ -157,11 +159,17 @@ def loaded(path: str) -> tuple[PrefixBpe, Memory]:
     if path not in _LOADED:
         bpe = PrefixBpe(path)
 
-        def compute(chunk: str) -> tuple[str, str]:
-            ids = bpe.encode_chunk(chunk)
+        def of_part(part: str) -> tuple[str, str]:
+            ids = bpe.encode_part(part)
             return " ".join(map(str, ids)), " ".join([bpe.names[i] for i in ids])
 
-        _LOADED[path] = bpe, Memory(compute)
+        parts = Memory(of_part)
+
+        def of_chunk(chunk: str) -> tuple[str, str]:
+            found = [parts[p] for p in bpe.parts_of(chunk)]
+            return found[0] if len(found) == 1 else (" ".join([f[0] for f in found]), " ".join([f[1] for f in found]))
+
+        _LOADED[path] = bpe, Memory(of_chunk)
     return _LOADED[path]
 
 

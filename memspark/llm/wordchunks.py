@@ -8,13 +8,14 @@ again costs one look-up.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
 #: White space of the Unicode property: what ``str.split`` knows without these four.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: Chunks remembered per Python worker before the memory starts anew (some 100 MB).
-MEMORY_ENTRIES = 300_000
+#: Keys of one generation of a memory; two generations of chunks and of words take some 250 MB at most.
+MEMORY_ENTRIES = 250_000
 #: Longer chunks are computed each time, so the memory stays bounded in bytes.
 MEMORY_CHARS = 100
 
@@ -26,16 +27,37 @@ def chunks_of(text: str) -> list[str]:
 
 
 class Memory(dict):
-    """``memory[chunk]`` computes on first sight; it empties itself when full."""
+    """``memory[key]`` computes on first sight. A full memory becomes the old generation, from which what is
+    met again moves on, so common keys stay and rare ones go after two generations at most."""
 
     def __init__(self, compute: Callable[[str], object], entries: int = MEMORY_ENTRIES):
         super().__init__()
-        self.compute, self.entries = compute, entries
+        self.compute, self.entries, self.old = compute, entries, {}
 
-    def __missing__(self, chunk: str):
-        value = self.compute(chunk)
-        if len(chunk) <= MEMORY_CHARS:
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key: str, value) -> None:
+        if len(key) <= MEMORY_CHARS:
             if len(self) >= self.entries:
+                self.old = dict(self)
                 self.clear()
-            self[chunk] = value
-        return value
+            self[key] = value
+
+
+def words_of(chunk: str, find_words: Callable[[str], list[str]]) -> list[str]:
+    """The tokenizer's words in a chunk: normal form C, lower case, then its word pattern."""
+    plain = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+    return [plain] if plain.isalpha() else find_words(plain)
+
+
+def word_pattern():
+    """Finds all words of the word tokenizer in lower-cased text."""
+    import regex
+
+    # fixed: the word pattern of the tokenizer file, with white space spelled out
+    return regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
