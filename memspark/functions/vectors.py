@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memspark.functions.text import EMBED_CHARS, chunk_text
+
 
 def norm(v: Column) -> Column:
     d = v.cast("array<double>")
@@ -44,6 +48,19 @@ def vector_mean(df: DataFrame, keys: list[str], vector: str, dimensions: int) ->
     return means.select(*keys, F.array(*[F.col(f"_m{i}") for i in range(dimensions)]).alias("mean"))
 
 
+def embed_texts(df: DataFrame, keys: list[str], text: Column, embed: Callable[[Column], Column], name: str) -> DataFrame:
+    """``df`` with ``name``, the vector of the whole ``text``: texts longer than the model takes are embedded
+    in pieces and their vectors averaged. ``keys`` tell the rows of long texts apart."""
+    rows = df.withColumn("_text", text)
+    long = F.coalesce(F.length("_text") > EMBED_CHARS, F.lit(False))
+    short = rows.filter(~long).withColumn(name, embed(F.col("_text"))).drop("_text")
+    rest = rows.filter(long)
+    pieces = rest.select(*keys, F.explode(chunk_text(F.col("_text"), EMBED_CHARS)).alias("_piece")).select(*keys, embed(F.col("_piece")).alias("_v"))
+    places = pieces.select(*keys, F.posexplode("_v").alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg("_x").alias("_x"))
+    means = places.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda r: r["_x"]).cast(short.schema[name].dataType).alias(name))
+    return short.unionByName(rest.drop("_text").join(means, keys))
+
+
 def hash_embed(dimensions: int = 64):
     """Deterministic stand-in for an embedding service: signed token counts in hashed places."""
 

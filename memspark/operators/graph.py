@@ -94,17 +94,19 @@ def similarity_edges(rows: DataFrame, keys: list[str], *, sim: float = CLUSTER_S
     return edges.filter("src != dst")
 
 
-def components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Label every node (keys, id) with the smallest id of its connected part.
 
     Each round a node takes the smallest label among itself and its neighbours, then jumps to that
     label's own label, so long chains halve. Labels only meet by equi-join and min, both combined
-    before the shuffle; lineage is cut by a reliable checkpoint each round.
+    before the shuffle; lineage is cut by a reliable checkpoint each round. Labels only fall, so the
+    rounds end by themselves when none does.
     """
     both = edges.select(*keys, "src", "dst").union(edges.select(*keys, F.col("dst"), F.col("src"))).distinct()
     both = cut_lineage(both)
     labels = cut_lineage(nodes.select(*keys, "id", F.col("id").alias("label")))
-    for _ in range(max_rounds):
+    changed = True
+    while changed:
         near = both.join(labels.select(*keys, F.col("id").alias("dst"), "label"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("id")).agg(
             F.min("label").alias("_near")
         )
@@ -121,12 +123,10 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds:
         )
         changed = labels.filter("label != _old").limit(1).count()
         labels = labels.drop("_old")
-        if not changed:
-            break
     return labels
 
 
-def topic_clusters(sources: DataFrame, *, sim: float = CLUSTER_SIMILARITY, min_sources: int = CLUSTER_MIN_SOURCES) -> DataFrame:
+def topic_clusters(sources: DataFrame, *, min_sources: int, sim: float = CLUSTER_SIMILARITY) -> DataFrame:
     """Cluster id of every source of busy (scope, day) groups: scope, day, id, cluster.
 
     ``sources``: scope, day, id, vector. A cluster is named by its smallest source id; days with

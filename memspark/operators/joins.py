@@ -126,3 +126,8 @@ def self_model_anchor(sessions: DataFrame, entities: DataFrame, attributes: Data
     own = F.when(F.col("self_id").isNotNull(), F.concat(F.lit("self_model: "), attrs, F.lit("\n"))).otherwise("")
     last = F.when(F.col("latest_period").isNotNull(), F.concat(F.lit("(latest daily summary: "), "latest_period", F.lit(")\n"))).otherwise("")
     return rows.withColumn("anchor", F.concat(own, last))
+
+
+def intersect_entities(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """Rows whose two entity arrays have something in common, with ``shared``."""
+    return rows.withColumn("shared", F.array_intersect(left, right)).filter(F.size("shared") > 0)

@@ -32,11 +32,12 @@ def conversation_volume(episodes: DataFrame, *, as_of: Column, days: int) -> Dat
     return recent.groupBy(*SCOPE, F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def theme_cloud(summaries: DataFrame, entities: DataFrame, *, limit: int) -> DataFrame:
-    """Most mentioned entities of each scope's current summaries."""
+def theme_cloud(summaries: DataFrame, entities: DataFrame, *, limit: int, name_keys: list[str] | None = None) -> DataFrame:
+    """Most mentioned entities of each scope's current summaries. ``name_keys``: what names join by (scope and id)."""
     touched = current_versions(summaries).select(*SCOPE, F.explode("entities_touched").alias("id"))
     counted = touched.groupBy(*SCOPE, "id").agg(F.count(F.lit(1)).alias("mentions"))
-    named = counted.join(entities.select(*SCOPE, "id", "name", "kind"), [*SCOPE, "id"])
+    by = name_keys or [*SCOPE, "id"]
+    named = counted.join(entities.select(*by, "name"), by)
     return top_per_key(named, SCOPE, [F.col("mentions").desc(), F.col("name"), F.col("id")], limit)
 
 
@@ -116,15 +117,22 @@ def budget_prefix(texts: DataFrame, keys: list[str], *, bucket: Column, order: l
     return run.filter(F.col("chars_before") < cap)
 
 
+def term_counts(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """How often each key's texts hold each theme term: keys, term, n."""
+    terms = texts.select(*keys, F.explode(theme_tokens(F.col("text"))).alias("term"))
+    return terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def term_frequency(texts: DataFrame, keys: list[str], *, top: int) -> DataFrame:
     """Most frequent theme terms per key: keys, term, n."""
-    terms = texts.select(*keys, F.explode(theme_tokens(F.col("text"))).alias("term"))
-    counts = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
-    return top_per_key(counts, keys, [F.col("n").desc(), F.col("term")], top)
+    return top_per_key(term_counts(texts, keys), keys, [F.col("n").desc(), F.col("term")], top)
 
 
 def global_topics(topics: DataFrame, *, top: int = GLOBAL_TOPICS, at_least: int = MIN_TOPIC_COUNT, keys: list[str] = SCOPE) -> DataFrame:
-    """Terms over all conversations of a scope by summed count; the rare ones go after the cut."""
+    """Terms over all conversations of a scope by summed count; the rare ones go after the cut.
+
+    ``topics`` are ``term_counts``, not a cut of them, so every mention counts.
+    """
     total = topics.groupBy(*keys, "term").agg(F.sum("n").alias("n"))
     return top_per_key(total, keys, [F.col("n").desc(), F.col("term")], top).filter(F.col("n") >= at_least)
 
@@ -153,13 +161,14 @@ def audit_query(
     if until is not None:
         rows = rows.filter(F.col("ts") < until)
     order = [F.col("ts").asc(), F.col("id").asc()] if ascending else [F.col("ts").desc(), F.col("id").desc()]
-    return rows.orderBy(*order).limit(limit) if limit is not None else rows
+    rows = rows.orderBy(*order)
+    return rows if limit is None else rows.limit(limit)
 
 
 def security_events(audit: DataFrame, *, limit: int) -> DataFrame:
-    """Security-relevant rows among the latest ``limit`` rows of each scope: the cut comes first."""
-    latest = top_per_key(audit, SCOPE, [F.col("ts").desc(), F.col("id").desc()], limit)
-    return latest.filter(F.col("event_type").isin(SECURITY_EVENTS))
+    """The latest ``limit`` security-relevant rows of each scope."""
+    rows = audit.filter(F.col("event_type").isin(SECURITY_EVENTS))
+    return top_per_key(rows, SCOPE, [F.col("ts").desc(), F.col("id").desc()], limit)
 
 
 def status_counters(rows: DataFrame, by: str, columns: list[str] | None = None) -> DataFrame:
@@ -171,6 +180,11 @@ def truncated(counts: Column, limit: int) -> Column:
     return counts >= limit
 
 
+def shown(counts: Column, limit: int) -> Column:
+    """How many of ``counts`` rows a page of ``limit`` shows."""
+    return F.least(counts, F.lit(limit).cast("long"))
+
+
 def clamp(value: int | None, default: int, largest: int) -> int:
     """A caller's limit: the default when missing or not positive, never above the largest."""
     return default if not value or value <= 0 else min(value, largest)

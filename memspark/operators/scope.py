@@ -31,6 +31,12 @@ def scope_filter_batch(df: DataFrame, sessions: DataFrame) -> DataFrame:
     return df.join(acting.union(work).distinct(), SCOPE, "inner")
 
 
+def writable_batch(df: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Rows each session (session_id, workspace_kind/owner) may write: its workspace's own."""
+    work = sessions.select("session_id", F.col("workspace_kind").alias("scope_kind"), F.col("workspace_owner").alias("scope_owner"))
+    return df.join(work, SCOPE, "inner")
+
+
 def scope_list(users: DataFrame, teams: DataFrame) -> DataFrame:
     """All scopes: private per user, shared per team. Inputs carry one ``id`` column."""
     private = users.select(F.lit("private").alias("scope_kind"), F.concat(F.lit("user:"), "id").alias("scope_owner"))

@@ -41,42 +41,53 @@ def summary_id(owner: Column, period: Column, level: Column, version: Column) ->
     return F.concat(F.lit("sum_"), owner, F.lit("_"), period, F.lit("_"), level, F.lit("_v"), version.cast("string"))
 
 
-def version_chain_order(df: DataFrame, keys: list[str], max_rounds: int = 40) -> DataFrame:
+def version_chain_order(df: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``depth``, the number of predecessors of each version found in its own group.
 
-    Each round doubles how far a row sees along its chain, so a chain of n versions takes
-    log2(n) rounds. A row that still points onward after all rounds stands on a cycle.
+    Each round doubles how far an unresolved row sees along its chain, so a chain of n versions takes
+    log2(n) rounds; rows that have reached their root leave the loop. On a chain some row resolves in
+    every round, so a round without one means that only cycles are left: their rows get the depth -1.
     """
     ids = df.select(*keys, F.col("id").alias("_up"))
     links = (
         df.select(*keys, "id", F.col("supersedes").alias("_up"))
         .join(ids.withColumn("_known", F.lit(True)), [*keys, "_up"], "left")
         .select(*keys, "id", F.when(F.col("_known"), F.col("_up")).alias("_up"))
-        .withColumn("depth", F.when(F.col("_up").isNull(), 0).otherwise(1))
+        .withColumn("depth", F.when(F.col("_up").isNull(), 0).otherwise(1).cast("long"))
     )
     links = cut_lineage(links)
-    for _ in range(max_rounds):
-        if links.filter(F.col("_up").isNotNull()).limit(1).count() == 0:
-            break
-        up = links.select(*keys, F.col("id").alias("_up"), F.col("_up").alias("_up2"), F.col("depth").alias("_d2"))
-        links = cut_lineage(
-            links.join(up, [*keys, "_up"], "left").select(
-                *keys, "id", F.col("_up2").alias("_up"),
-                (F.col("depth") + F.coalesce("_d2", F.lit(0))).alias("depth"),
-            )
+    done = links.filter(F.col("_up").isNull()).select(*keys, "id", "depth")
+    fresh, left = done, links.filter(F.col("_up").isNotNull())
+    n_left = left.count()
+    while n_left:
+        up = left.select(*keys, F.col("id").alias("_up"), F.col("_up").alias("_up2"), F.col("depth").alias("_d2"))
+        up = up.unionByName(done.select(*keys, F.col("id").alias("_up"), F.lit(None).cast(up.schema["_up2"].dataType).alias("_up2"), F.col("depth").alias("_d2")))
+        step = cut_lineage(
+            left.join(up, [*keys, "_up"]).select(*keys, "id", F.col("_up2").alias("_up"), (F.col("depth") + F.col("_d2")).alias("depth"))
         )
-    return df.join(links.select(*keys, "id", "depth"), [*keys, "id"], "inner")
+        fresh, left = step.filter(F.col("_up").isNull()).select(*keys, "id", "depth"), step.filter(F.col("_up").isNotNull())
+        before, n_left = n_left, left.count()
+        if n_left == before:
+            fresh, n_left = left.select(*keys, "id", F.lit(-1).cast("long").alias("depth")), 0
+        done = done.unionByName(fresh)
+    return df.join(done, [*keys, "id"], "inner")
 
 
-def current_attribute_heads(memories: DataFrame) -> DataFrame:
-    """Newest row of every attribute, tombstones included."""
-    rows = current_versions(memories)
-    return rows.filter(F.col("is_static") & F.col("attribute_key").isNotNull())
+def current_attribute_heads(memories: DataFrame, newest: list[str] | None = None) -> DataFrame:
+    """Newest row of every attribute, tombstones included.
+
+    Chains written apart may leave several heads for one key; the one with the largest ``newest`` columns
+    (default ``created_at`` where there is one, then ``id``) stands for it.
+    """
+    if newest is None:
+        newest = [c for c in ("created_at", "id") if c in memories.columns]
+    rows = current_versions(memories).filter(F.col("is_static") & F.col("attribute_key").isNotNull())
+    return top_per_key(rows, [*SCOPE, "entity_id", "attribute_key"], [F.col(c).desc() for c in newest], 1)
 
 
-def current_attributes(memories: DataFrame) -> DataFrame:
+def current_attributes(memories: DataFrame, newest: list[str] | None = None) -> DataFrame:
     """Attribute map and attribute row ids of every entity; one entry per attribute key."""
-    heads = current_attribute_heads(memories).filter("grounded")
+    heads = current_attribute_heads(memories, newest).filter("grounded")
     entry = F.struct(F.col("attribute_key").alias("key"), F.col("content").alias("value"))
     row = F.struct("attribute_key", "id", "content")
     return heads.groupBy(*SCOPE, "entity_id").agg(
@@ -85,33 +96,37 @@ def current_attributes(memories: DataFrame) -> DataFrame:
     )
 
 
-def attribute_scd2(memories: DataFrame, updates: DataFrame, replace: bool = False) -> DataFrame:
+def attribute_scd2(memories: DataFrame, updates: DataFrame, replace: bool = False, newest: list[str] | None = None) -> DataFrame:
     """New memory rows of a batch of entity updates.
 
-    ``updates``: scope, entity_id, attributes map, supersedes_keys array. Each given attribute gets
-    a row superseding its current head. Stale keys (named ones, or with ``replace`` every key that
-    is not given) get an ungrounded tombstone.
+    ``updates``: scope, entity_id, attributes map, supersedes_keys array and, where one attribute may be given
+    several times, ``arrival``. Each given attribute gets a row superseding its current head; later ones of
+    the batch supersede the one before, in arrival order. Stale keys (named ones, or with ``replace``
+    every key that is not given) get an ungrounded tombstone.
     """
-    heads = current_attribute_heads(memories).select(
-        *SCOPE, "entity_id", "attribute_key", F.col("id").alias("head_id")
-    )
-    given = updates.select(*SCOPE, "entity_id", F.explode("attributes").alias("attribute_key", "content"))
-    fresh = given.join(heads, [*SCOPE, "entity_id", "attribute_key"], "left").select(
-        *SCOPE, "entity_id", "attribute_key", "content", F.lit(True).alias("grounded"), F.col("head_id").alias("supersedes")
-    )
+    key = [*SCOPE, "entity_id", "attribute_key"]
+    heads = current_attribute_heads(memories, newest).select(*key, F.col("id").alias("head_id"))
+    arrival = F.col("arrival") if "arrival" in updates.columns else F.lit(0)
+    given = updates.select(*SCOPE, "entity_id", arrival.alias("_at"), F.explode("attributes").alias("attribute_key", "content"))
+    order = W.partitionBy(*key).orderBy("_at", "content")
+    given = given.withColumn("_nth", F.row_number().over(order) - 1).join(heads, key, "left")
+
+    def ident(supersedes: Column, grounded: Column, nth: Column, content: Column) -> Column:
+        base = F.concat_ws("|", *key, F.coalesce(supersedes, F.lit("")), grounded.cast("string"), nth.cast("string"), content)
+        return F.concat(F.lit("mem_"), F.substring(F.sha2(base, 256), 1, 24))
+
+    yes, no = F.lit(True), F.lit(False)
+    given = given.withColumn("id", ident(F.col("head_id"), yes, F.col("_nth"), F.col("content")))
+    before = F.lag("id").over(W.partitionBy(*key).orderBy("_nth"))
+    fresh = given.select(*key, "content", yes.alias("grounded"), F.coalesce(before, F.col("head_id")).alias("supersedes"), "id")
     if replace:
-        stale = heads.join(updates.select(*SCOPE, "entity_id").distinct(), [*SCOPE, "entity_id"], "left_semi").join(
-            given.select(*SCOPE, "entity_id", "attribute_key"), [*SCOPE, "entity_id", "attribute_key"], "left_anti"
-        )
+        stale = heads.join(updates.select(*SCOPE, "entity_id").distinct(), [*SCOPE, "entity_id"], "left_semi").join(given.select(*key), key, "left_anti")
     else:
         named = updates.select(*SCOPE, "entity_id", F.explode("supersedes_keys").alias("attribute_key")).distinct()
-        stale = heads.join(named, [*SCOPE, "entity_id", "attribute_key"], "left_semi")
-    tombs = stale.select(
-        *SCOPE, "entity_id", "attribute_key", F.lit("").alias("content"), F.lit(False).alias("grounded"), F.col("head_id").alias("supersedes")
-    )
-    rows = fresh.unionByName(tombs)
-    base = F.concat_ws("|", *SCOPE, "entity_id", "attribute_key", F.coalesce("supersedes", F.lit("")), F.col("grounded").cast("string"))
-    return rows.withColumn("id", F.concat(F.lit("mem_"), F.substring(F.sha2(base, 256), 1, 24))).withColumn("is_static", F.lit(True))
+        stale = heads.join(named, key, "left_semi")
+    tombs = stale.select(*key, F.lit("").alias("content"), no.alias("grounded"), F.col("head_id").alias("supersedes"))
+    tombs = tombs.withColumn("id", ident(F.col("supersedes"), no, F.lit(0), F.lit("")))
+    return fresh.unionByName(tombs).withColumn("is_static", F.lit(True))
 
 
 def entity_upsert(entities: DataFrame, updates: DataFrame) -> DataFrame:

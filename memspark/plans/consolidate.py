@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memspark.functions.vectors import embed_texts
 from memspark.functions import text as X
 from memspark.functions import timeex as D
 from memspark.operators.graph import cluster_cap, topic_clusters
@@ -58,16 +59,17 @@ OUTPUT = T.StructType([
 ])
 
 
-def daily_digest(episodes: DataFrame, embed: Callable[[Column], Column], extract: Callable, *, dimensions: int, per_part: int = SOURCES_PER_PART) -> DataFrame:
+def daily_digest(episodes: DataFrame, embed: Callable[[Column], Column], extract: Callable, *, dimensions: int, min_sources: int, per_part: int = SOURCES_PER_PART) -> DataFrame:
     """Extractor output for every cluster part of every day, failures told in ``error``.
 
-    Busy days are split into topic clusters by the similarity of their sources' vectors; every
+    Days of at least ``min_sources`` sources are split into topic clusters by the similarity of their sources' vectors; every
     cluster goes to ``extract`` in parts of at most ``per_part`` sources. ``extract`` maps batches of
     (scope, day, cluster, part_no, source_ids, text) to ``OUTPUT`` rows.
     """
     src = interactions(episodes).select(*SCOPE, F.to_date("ts").alias("day"), "id", "ts", X.episode_text(F.col("input_text"), F.col("output_text")).alias("text"))
-    vecs = src.select(*SCOPE, "day", "id", embed(X.embed_truncate(F.col("text"))).alias("vector"))
-    clusters = topic_clusters(vecs)
+    ids = [*SCOPE, "day", "id"]
+    vecs = embed_texts(src.select(*ids, "text"), ids, F.col("text"), embed, "vector").select(*ids, "vector")
+    clusters = topic_clusters(vecs, min_sources=min_sources)
     clusters = cluster_cap(vecs, clusters, dimensions=dimensions)
     rows = src.join(clusters, [*SCOPE, "day", "id"])
     rows = positions(rows, [*SCOPE, "day", "cluster"], F.hour("ts"), [F.col("ts"), F.col("id")], "_pos")
@@ -225,7 +227,7 @@ def store_summary(outputs: DataFrame, summaries: DataFrame, *, created_at: Colum
         "expire_reason", F.when(expires.isNotNull() & (F.col("expire_reason") != ""), F.col("expire_reason"))
     ).withColumn("source_count", F.greatest(F.coalesce("source_count", F.lit(1)), F.lit(1)))
     # a fact's id follows from its place, so a repeated run writes the same rows
-    facts = facts.withColumn("id", F.abs(F.xxhash64("summary_id", "fact_no"))).drop("level", "source_episode_ids")
+    facts = facts.withColumn("id", F.sha2(F.concat_ws("|", *SCOPE, "summary_id", F.col("fact_no").cast("string")), 256)).drop("level", "source_episode_ids")
     memories = facts.select(
         X.fact_memory_id(F.col("id")).alias("id"), *SCOPE, "summary_id", F.col("fact").alias("content"), F.lit(False).alias("is_static"),
         "grounded", "cites", "expires_at", "source_count", "is_inference",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import crypto as C
 from memspark.functions import text as X
+from memspark.functions.vectors import embed_texts
 from memspark.operators.panels import interactions
 from memspark.operators.scope import SCOPE, delete_scopes
 from memspark.operators.search import pending_model
@@ -40,9 +41,9 @@ def pending_counts(model: str, *, tables: dict[str, DataFrame], episodes: DataFr
     return _counts(parts)
 
 
-def reembed(pending: DataFrame, text: Column, embed: Callable[[Column], Column], model: str) -> DataFrame:
-    """Pending rows with the vector of the current model. ``embed`` is a pandas UDF over texts."""
-    return pending.withColumn("embedding", embed(X.embed_truncate(text))).withColumn("embedding_model", F.lit(model))
+def reembed(pending: DataFrame, text: Column, embed: Callable[[Column], Column], model: str, keys: list[str]) -> DataFrame:
+    """Pending rows (told apart by ``keys``) with the current model's vector of their whole text."""
+    return embed_texts(pending, keys, text, embed, "embedding").withColumn("embedding_model", F.lit(model))
 
 
 def pending_backfill(entities: DataFrame, facts: DataFrame, memories: DataFrame) -> DataFrame:

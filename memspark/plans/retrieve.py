@@ -23,7 +23,7 @@ from memspark.operators.counting import countable_facts, exhaustive_count_facts
 from memspark.operators.graph import graph_walk
 from memspark.operators.joins import relations_of, self_model_anchor
 from memspark.operators.matching import stage1_entity_match
-from memspark.operators.panels import corpus_size, interactions, search_tier, unexpired
+from memspark.operators.panels import interactions, unexpired
 from memspark.operators.running import top_per_key
 from memspark.operators.scope import SCOPE
 from memspark.operators.versions import current_attributes, current_versions
@@ -58,7 +58,6 @@ class Options:
     k: int = search.TOP_K
     lam: float = fusion.MMR_LAMBDA
     graph: bool = False
-    by_corpus_size: bool = True
 
 
 def _json(attributes: Column, missing: str) -> Column:
@@ -104,10 +103,8 @@ class Search:
         base = base.join(has, QKEY, "left").withColumn("has_match", F.coalesce("has_match", F.lit(False)))
         searched = (F.col("text") != "") & (F.col("has_match") | F.col("signal") | F.lit(o.force))
         base = base.withColumn("searched", searched)
-        tier = corpus_size(tables.episodes, tables.summaries).select(*SCOPE, search_tier(F.col("episode_count") + F.col("summary_count")).alias("tier"))
-        base = base.join(tier, SCOPE, "left").withColumn("tier", F.coalesce("tier", F.lit("full")) if o.by_corpus_size else F.lit("full"))
-        vector = F.when(F.col("searched"), embed(X.embed_truncate(text)))
-        self.queries = materialize(base.withColumn("query_vector", vector), "queries")
+        vectors = V.embed_texts(base.filter("searched").select(*QKEY, "text"), QKEY, text, embed, "query_vector").drop("text")
+        self.queries = materialize(base.join(vectors, QKEY, "left"), "queries")
         self.live = self.queries.filter("searched")
         self.variants = self._variants(paraphrases, embed)
         self._counting(sole)
@@ -119,7 +116,8 @@ class Search:
         if paraphrases is None:
             return own
         rows = paraphrases.join(self.live.select(*QKEY), QKEY, "left_semi")
-        return own.unionByName(rows.select(*QKEY, "variant", embed(X.embed_truncate(F.col("text"))).alias("query_vector")))
+        said = V.embed_texts(rows.select(*QKEY, "variant", "text"), [*QKEY, "variant"], F.col("text"), embed, "query_vector")
+        return own.unionByName(said.drop("text"))
 
     def _counting(self, sole: DataFrame) -> None:
         """Every fact that names the one matched entity of a counting query."""
@@ -145,16 +143,9 @@ class Search:
         vec = materialize(channel(self._vectors(self.current)), "vectors")
         facts = self.t.facts.filter("grounded").join(self.current.select(*SCOPE, F.col("id").alias("summary_id")), [*SCOPE, "summary_id"], "left_semi")
         fact = materialize(channel(self._vectors(facts, "summary_id").withColumnRenamed("summary_id", "id")), "factvectors")
-        docs = self.current.filter("summary is not null").select(*SCOPE, F.col("id").alias("doc_id"), F.col("summary").alias("text"), "entities_touched")
-        words = self.live.filter("tier != 'disabled'").select(*QKEY, "text", (F.col("k_summaries") * over).alias("k"), ((F.col("tier") == "narrowed") & F.col("has_match")).alias("_narrow"))
-        whole = bm25_topk(docs, words.filter("not _narrow").drop("_narrow"), k=k_max)
-        # a narrowed query's corpus is what touches its entities, so the query is part of the key
-        narrow = words.filter("_narrow").drop("_narrow").withColumn("corpus", F.col("query_id"))
-        touched = docs.select(*SCOPE, "doc_id", F.explode("entities_touched").alias("entity_id"))
-        members = self.matched.select(*QKEY, F.col("id").alias("entity_id")).join(narrow.select(*QKEY), QKEY, "left_semi").join(touched, [*SCOPE, "entity_id"])
-        members = members.select(*SCOPE, F.col("query_id").alias("corpus"), "doc_id").distinct().join(docs.select(*SCOPE, "doc_id", "text"), [*SCOPE, "doc_id"])
-        small = bm25_topk(members, narrow, k=k_max, keys=[*SCOPE, "corpus"]).drop("corpus") if o.by_corpus_size else whole.limit(0)
-        keyword = materialize(whole.unionByName(small.select(*whole.columns)).withColumnRenamed("doc_id", "id"), "keywords")
+        docs = self.current.filter("summary is not null").select(*SCOPE, F.col("id").alias("doc_id"), F.col("summary").alias("text"))
+        words = self.live.select(*QKEY, "text", (F.col("k_summaries") * over).alias("k"))
+        keyword = materialize(bm25_topk(docs, words, k=k_max).withColumnRenamed("doc_id", "id"), "keywords")
         fused = fusion.rrf_fuse({"vector": vec, "keyword": keyword, "fact": fact})
         period = self.current.select(*SCOPE, "id", "period")
         pool = fused.join(period, [*SCOPE, "id"]).join(self.live.select(*QKEY, "tf", "k_summaries", "is_ordering"), QKEY)
@@ -167,7 +158,8 @@ class Search:
         if self.scores is not None:
             pool = fusion.rerank_apply(pool, self.scores)
         self.pool = materialize(pool, "pool")
-        tokens = self.current.select(*SCOPE, "id", X.token_set(F.coalesce("summary", F.lit(""))).alias("tokens"))
+        pooled = self.current.join(self.pool.select(*SCOPE, "id").distinct(), [*SCOPE, "id"], "left_semi")
+        tokens = pooled.select(*SCOPE, "id", X.token_set(F.coalesce("summary", F.lit(""))).alias("tokens"))
         ranked = fusion.mmr_select(self.pool.withColumn("k", F.col("k_summaries")).join(tokens, [*SCOPE, "id"]), k=o.k, lam=o.lam)
         info = self.pool.select(*QKEY, "id", "period", "vector_rank", "keyword_rank", "fact_rank")
         self.picks = materialize(ranked.join(info, [*QKEY, "id"]), "picks")
@@ -219,7 +211,7 @@ class Search:
             return hits.join(dated, [*SCOPE, "id"]).join(tf, QKEY).filter(F.col("tf").isNull() | span).drop("tf")
 
         self.entities = materialize(in_frame(ent), "entities")
-        words = self.live.filter("tier != 'disabled'").select(*QKEY, "text")
+        words = self.live.select(*QKEY, "text")
         said = eps.select(*SCOPE, F.col("id").alias("doc_id"), F.concat("input_text", F.lit(" "), "output_text").alias("text"))
         found = self.episodes.select(*QKEY, F.col("id").alias("doc_id"))
         kw = bm25_topk(said, words, k=k, exclude=found).withColumnRenamed("doc_id", "id")
@@ -281,7 +273,7 @@ class Search:
         rel = D.relative_date_label(D.period_range(F.col("period"))["start"].cast("timestamp_ntz"), self.as_of)
         dated = F.when(F.coalesce(rel, F.lit("")) != "", F.concat(F.lit(", dated "), "period", F.lit(" ("), rel, F.lit(")"))).otherwise("")
         prefix = F.concat(F.lit("\nrelated memory (summary "), "id", dated, fusion.match_label(F.col("vector_rank"), F.col("keyword_rank")), F.lit("): "))
-        line = fusion.guarantee_line(prefix, F.col("prose"), F.col("facts"), fusion.guarantee_share(F.col("n_picks"), CONTEXT_BUDGET))
+        line = fusion.guarantee_line(prefix, F.col("prose"), F.col("facts"), fusion.guarantee_share(F.col("n_picks"), self.opt.budget))
         add(rows, 4, place(F.col("pick")), line)
         add(rows, 5, place(F.col("pick")), F.concat(F.lit("\n"), fusion.depth_text(F.col("prose"), F.col("facts"))))
 

@@ -31,13 +31,9 @@ def conversation_volume(t):
  n AS (SELECT 'part:' || p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 'supplier:' || s_suppkey, s_name FROM supplier)
 SELECT scope_owner, id, name, mentions FROM m JOIN n USING (id) QUALIFY row_number() OVER (PARTITION BY scope_owner ORDER BY mentions DESC, name, id) <= 5""")
 def theme_cloud(t):
-    s = summaries(t)
-    touched = versions.current_versions(s)
-    counted = touched.select(*SCOPE, F.explode("entities_touched").alias("id")).groupBy(*SCOPE, "id").agg(F.count(F.lit(1)).alias("mentions"))
     names = t.part.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name")).unionByName(
         t.supplier.select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name")))
-    named = counted.join(names, "id")
-    return panels.top_per_key(named, SCOPE, [F.col("mentions").desc(), F.col("name"), F.col("id")], 5).select("scope_owner", "id", "name", "mentions")
+    return panels.theme_cloud(summaries(t), names, limit=5, name_keys=["id"]).select("scope_owner", "id", "name", "mentions")
 
 
 _SIZE = """, e AS (SELECT scope_owner, count(*) AS n FROM episodes_v WHERE type = 'interaction' GROUP BY 1),
@@ -174,21 +170,18 @@ def memories(t):
     return m
 
 
-def one_head_per_key(m):
-    """Leave one head per attribute: of several lines about the same attribute, the newest order's."""
-    heads = versions.current_attribute_heads(m)
-    return panels.top_per_key(heads, [*SCOPE, "entity_id", "attribute_key"], [F.col("order_no").desc(), F.col("version").desc()], 1)
+#: Many lines are about the same attribute, so a key has several heads; the newest order's stands.
+NEWEST = ["order_no", "version"]
 
 
 @query("current_attribute_heads", ctes("summaries_v", more=_MEM) + "SELECT scope_owner, entity_id, attribute_key, content, g AS grounded FROM h")
 def current_attribute_heads(t):
-    return one_head_per_key(memories(t)).select("scope_owner", "entity_id", "attribute_key", "content", "grounded")
+    return versions.current_attribute_heads(memories(t), NEWEST).select("scope_owner", "entity_id", "attribute_key", "content", "grounded")
 
 
 @query("current_attributes", ctes("summaries_v", more=_MEM) + """SELECT scope_owner, entity_id, string_agg(attribute_key || '=' || content, ',' ORDER BY attribute_key) AS attributes FROM h WHERE g GROUP BY ALL""")
 def current_attributes(t):
-    heads = one_head_per_key(memories(t)).withColumn("supersedes", F.lit(None).cast("string"))
-    a = versions.current_attributes(heads)
+    a = versions.current_attributes(memories(t), NEWEST)
     flat = F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return a.select("scope_owner", "entity_id", F.array_join(flat, ",").alias("attributes"))
 
@@ -202,7 +195,7 @@ def term_frequency(t):
 TOPICS_SQL = f"""tw AS (SELECT conv_id, turn, unnest({sql_tokens('text', X.THEME_STOP_WORDS)}) AS term FROM conversations),
  tc AS (SELECT conv_id, turn, term, count(*) AS n FROM tw GROUP BY conv_id, turn, term),
  tq AS (SELECT * FROM tc QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, term) <= 5),
- ts AS (SELECT term, sum(n)::BIGINT AS n FROM tq GROUP BY term),
+ ts AS (SELECT term, sum(n)::BIGINT AS n FROM tc GROUP BY term),
  tg AS (SELECT * FROM (SELECT * FROM ts QUALIFY row_number() OVER (ORDER BY n DESC, term) <= 30) WHERE n >= 2)"""
 
 
@@ -211,9 +204,14 @@ def topics(t):
     return panels.term_frequency(c, [*SCOPE, "conv_id", "turn"], top=panels.TOPICS_PER_CONVERSATION)
 
 
+def all_topics(t):
+    c = t.conversations.select(F.lit("shared").alias("scope_kind"), F.lit("team:all").alias("scope_owner"), "conv_id", "turn", "text")
+    return panels.term_counts(c, [*SCOPE, "conv_id", "turn"])
+
+
 @query("global_topics", f"WITH {TOPICS_SQL} SELECT term, n FROM tg")
 def global_topics(t):
-    return panels.global_topics(topics(t)).select("term", "n")
+    return panels.global_topics(all_topics(t)).select("term", "n")
 
 
 @query("rollup_stale", ctes("current_v") + """, r AS (SELECT scope_owner, substr(period, 1, 4) AS period, min(created_at) + INTERVAL 400 DAY AS created_at FROM current_v GROUP BY ALL)
@@ -273,4 +271,4 @@ def status_counters(t):
 @query("truncated_flag", ctes("episodes_v") + "SELECT scope_owner, least(count(*), 50) AS n_shown, count(*) >= 50 AS truncated FROM episodes_v WHERE type = 'interaction' GROUP BY 1")
 def truncated_flag(t):
     n = panels.interactions(episodes(t)).groupBy("scope_owner").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("scope_owner", F.least("n", F.lit(50).cast("long")).alias("n_shown"), panels.truncated(F.col("n"), 50).alias("truncated"))
+    return n.select("scope_owner", panels.shown(F.col("n"), 50).alias("n_shown"), panels.truncated(F.col("n"), 50).alias("truncated"))

@@ -11,7 +11,8 @@ from memspark.operators import versions
 from memspark.operators.scope import SCOPE
 from memspark.plans import consolidate
 from memspark.registry import query
-from memspark.registry.aggregates import _MEM, memories, one_head_per_key
+from memspark.operators.graph import CLUSTER_MIN_SOURCES
+from memspark.registry.aggregates import _MEM, memories, NEWEST
 from memspark.registry.views import ctes, episodes, facts, preference_edges, sentences, summaries, vectors
 
 
@@ -48,7 +49,7 @@ def stand_in():
 @query("daily_digest", ctes("episodes_v") + "SELECT scope_owner, ts::DATE AS day, count(*) AS n_facts FROM episodes_v WHERE type = 'interaction' GROUP BY ALL")
 def daily_digest(t):
     """Every day of every scope through clustering and a stand-in extractor; no source is lost."""
-    out = consolidate.daily_digest(event_chats(t), hash_embed(16), stand_in(), dimensions=16)
+    out = consolidate.daily_digest(event_chats(t), hash_embed(16), stand_in(), dimensions=16, min_sources=CLUSTER_MIN_SOURCES)
     return out.groupBy("scope_owner", "day").agg(F.sum(F.size("key_facts")).alias("n_facts"))
 
 
@@ -198,20 +199,19 @@ UNION ALL SELECT scope_owner, entity_id, attribute_key, '', FALSE, id FROM h WHE
 
 
 def scd_input(t):
-    heads = one_head_per_key(memories(t)).withColumn("supersedes", F.lit(None).cast("string"))
     u = memories(t).select(*SCOPE, "entity_id").distinct()
     u = u.select("*", F.create_map(F.lit("quantity0"), F.lit("new")).alias("attributes"), F.array(F.lit("supplier0"), F.lit("missing")).alias("supersedes_keys"))
-    return heads, u
+    return memories(t), u
 
 
 @query("attribute_scd2", ctes("summaries_v", more=_MEM) + _SCD + "attribute_key = 'supplier0'")
 def attribute_scd2(t):
-    return versions.attribute_scd2(*scd_input(t)).select("scope_owner", "entity_id", "attribute_key", "content", "grounded", "supersedes")
+    return versions.attribute_scd2(*scd_input(t), newest=NEWEST).select("scope_owner", "entity_id", "attribute_key", "content", "grounded", "supersedes")
 
 
 @query("attribute_scd2_replace", ctes("summaries_v", more=_MEM) + _SCD + "attribute_key <> 'quantity0'")
 def attribute_scd2_replace(t):
-    return versions.attribute_scd2(*scd_input(t), replace=True).select("scope_owner", "entity_id", "attribute_key", "content", "grounded", "supersedes")
+    return versions.attribute_scd2(*scd_input(t), replace=True, newest=NEWEST).select("scope_owner", "entity_id", "attribute_key", "content", "grounded", "supersedes")
 
 
 _CLOSED = """SELECT subject_id, object_id, valid_from, (SELECT min(n.valid_from) FROM prefs_v n WHERE n.subject_id = p.subject_id AND n.object_id <> p.object_id AND n.valid_from > p.valid_from) AS valid_until FROM prefs_v p"""

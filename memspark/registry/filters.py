@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memspark.functions import text as X
 from memspark.functions import timeex as D
 from memspark.operators import matching, panels, versions
-from memspark.operators.scope import SCOPE, scope_filter_batch
+from memspark.operators.scope import SCOPE, scope_filter_batch, writable_batch
 from memspark.operators.search import usable_model, pending_model
 from memspark.registry import query
 from memspark.registry.scalars import TF_CTE
@@ -33,10 +33,10 @@ def scope_filter(t):
 def scope_write_check(t):
     """Rows each session may write: those of its workspace only."""
     s = t.customer.select(
-        F.col("c_custkey").alias("session_id"), F.lit("private").alias("scope_kind"), F.concat(F.lit("user:"), F.col("c_nationkey").cast("string")).alias("scope_owner")
+        F.col("c_custkey").alias("session_id"), F.lit("private").alias("workspace_kind"), F.concat(F.lit("user:"), F.col("c_nationkey").cast("string")).alias("workspace_owner")
     )
     per_scope = episodes(t).groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n_writable"))
-    return s.join(per_scope, SCOPE).select("session_id", "n_writable")
+    return writable_batch(per_scope, s).select("session_id", "n_writable")
 
 
 @query("current_versions", ctes("current_v") + "SELECT id, scope_owner, period, version FROM current_v")
@@ -152,8 +152,8 @@ def audit_query(t):
     ).select("id", "ts", "event_type", "actor")
 
 
-@query("security_events", ctes("audit_v") + """SELECT id, scope_owner, event_type FROM (SELECT *, row_number() OVER (PARTITION BY scope_kind, scope_owner ORDER BY ts DESC, id DESC) AS r FROM audit_v)
- WHERE r <= 20 AND event_type IN ('export', 'import', 'key_rotation', 'correct', 'dashboard_login')""")
+@query("security_events", ctes("audit_v") + """SELECT id, scope_owner, event_type FROM (SELECT *, row_number() OVER (PARTITION BY scope_kind, scope_owner ORDER BY ts DESC, id DESC) AS r FROM audit_v
+ WHERE event_type IN ('export', 'import', 'key_rotation', 'correct', 'dashboard_login')) WHERE r <= 20""")
 def security_events(t):
     return panels.security_events(audit_log(t), limit=20).select("id", "scope_owner", "event_type")
 

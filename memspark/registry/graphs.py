@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memspark.operators import graph, joins, panels
 from memspark.operators.scope import SCOPE
 from memspark.registry import query
-from memspark.registry.aggregates import TOPICS_SQL, topics
+from memspark.registry.aggregates import TOPICS_SQL, all_topics, topics
 from memspark.registry.joins import _MENT, chat_memory, entities_per_scope
 from memspark.registry.views import ctes, place_edges, vectors
 
@@ -56,7 +56,7 @@ def memory_map_graph(t):
 @query("topic_graph", f"WITH {TOPICS_SQL} SELECT 'conversation:' || conv_id || '_' || turn AS source, 'topic:' || tq.term AS target, tq.n FROM tq JOIN tg ON tg.term = tq.term")
 def topic_graph(t):
     tp = topics(t).withColumn("conv", F.concat(F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")))
-    return panels.topic_graph(tp, panels.global_topics(tp), "conv").select("source", "target", "n")
+    return panels.topic_graph(tp, panels.global_topics(all_topics(t)), "conv").select("source", "target", "n")
 
 
 DAYS = 3

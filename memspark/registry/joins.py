@@ -116,13 +116,19 @@ def conversation_mentions(t):
     return joins.conversation_mentions(ep, sm, entities_per_scope(t, sm)).select("episode_id", "entity_id", "entity_name")
 
 
-@query("key_facts_of", ctes("sentences_v") + """SELECT s.summary_id, count(*)::INTEGER AS n_facts, md5(string_agg(fact, '|' ORDER BY fact_id)) AS digest FROM sentences_v s JOIN labels l ON l.doc_id = s.doc_id
- WHERE quality = 1 AND (s.pos % 5 <> 4) GROUP BY 1""")
+def grounded_sentences(t):
+    """Every line with ``grounded``: the document's label, else all but every seventh line."""
+    s = sentences(t).join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    return s.withColumn("grounded", F.coalesce(F.col("quality") == 1, F.col("fact_id") % 7 != 0))
+
+
+@query("key_facts_of", ctes("sentences_v") + """SELECT s.summary_id, count(*)::INTEGER AS n_facts, md5(string_agg(fact, '|' ORDER BY fact_id)) AS digest FROM sentences_v s LEFT JOIN labels l ON l.doc_id = s.doc_id
+ WHERE coalesce(quality = 1, s.fact_id % 7 <> 0) AND (s.pos % 5 <> 4) GROUP BY 1""")
 def key_facts_of(t):
-    """Lines of labelled documents; quality says grounded, every fifth line has expired."""
+    """Lines of all documents; a label of quality says grounded, else the line's number; every fifth line has expired."""
     from memspark.operators.panels import key_facts_of as of
 
-    s = sentences(t).join(t.labels.select("doc_id", (F.col("quality") == 1).alias("grounded")), "doc_id")
+    s = grounded_sentences(t)
     f = s.select(*SCOPE, F.col("fact_id").alias("id"), "summary_id", "fact", "grounded", F.when(F.col("pos") % 5 == 4, F.lit("2024-01-30").cast("date")).alias("expires_at"))
     k = of(f, as_of())
     return k.select(F.col("id").alias("summary_id"), F.size("key_facts").alias("n_facts"), F.md5(F.array_join("key_facts.fact", "|")).alias("digest"))
@@ -245,11 +251,10 @@ def intersect_entities(t):
     s = summaries(t)
     a = s.select(*SCOPE, "id", F.col("entities_touched").alias("mine"))
     b = s.filter("supersedes is not null").select(*SCOPE, F.col("supersedes").alias("id"), F.col("id").alias("other"), F.col("entities_touched").alias("theirs"))
-    j = a.join(b, [*SCOPE, "id"]).withColumn("shared", F.array_intersect("mine", "theirs"))
-    return j.filter(F.size("shared") > 0).select("id", "other", F.array_join(F.array_sort("shared"), ",").alias("shared"))
+    return joins.intersect_entities(a.join(b, [*SCOPE, "id"]), "mine", "theirs").select("id", "other", F.array_join(F.array_sort("shared"), ",").alias("shared"))
 
 
-_COUNT = f"""ss AS (SELECT s.fact_id, s.summary_id, s.fact, '2024-01-' || lpad((1 + s.doc_id % 30)::VARCHAR, 2, '0') AS period FROM sentences_v s JOIN labels l ON l.doc_id = s.doc_id WHERE quality = 1),
+_COUNT = f"""ss AS (SELECT s.fact_id, s.summary_id, s.fact, '2024-01-' || lpad((1 + s.doc_id % 30)::VARCHAR, 2, '0') AS period FROM sentences_v s LEFT JOIN labels l ON l.doc_id = s.doc_id WHERE coalesce(quality = 1, s.fact_id % 7 <> 0)),
  hh AS (SELECT e.id AS entity_id, ss.* FROM entities_v e JOIN ss ON contains(lower(ss.fact), lower(e.name))),
  dd AS (SELECT * FROM hh QUALIFY row_number() OVER (PARTITION BY entity_id, fact ORDER BY period, fact_id) = 1)"""
 
@@ -259,7 +264,7 @@ def exhaustive_count_facts(t):
     """All grounded lines that name an entity, repeats once, numbered in time order."""
     from memspark.operators.counting import exhaustive_count_facts as count
 
-    s = sentences(t).join(t.labels.filter("quality = 1").select("doc_id"), "doc_id")
+    s = grounded_sentences(t).filter("grounded")
     period = F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 30 + 1).cast("string"), 2, "0"))
     f = s.select(F.lit("shared").alias("scope_kind"), F.lit("team:all").alias("scope_owner"), F.col("fact_id").alias("id"), "summary_id", "fact", period.alias("period"))
     return count(f, entities(t)).select("entity_id", F.col("id").alias("fact_id"), "period", "number")

@@ -20,7 +20,7 @@ def reembed_job(t):
     todo = pending_model(with_models(t), "new:b").drop("embedding")
     docs = t.documents.select(F.col("doc_id").alias("vec_id"), "text")
     text = F.coalesce("text", F.concat(F.lit("vector "), F.col("vec_id").cast("string")))
-    out = maintain.reembed(todo.join(docs, "vec_id", "left"), text, hash_embed(64), "new:b")
+    out = maintain.reembed(todo.join(docs, "vec_id", "left"), text, hash_embed(64), "new:b", ["vec_id"])
     return out.select("vec_id", F.size("embedding").alias("dims"), "embedding_model")
 
 

@@ -272,6 +272,6 @@ def aggregation_hint(t):
 
 
 @query("version_chain_order", ctes("summaries_v", recursive=True, more="""k AS (SELECT a.id, a.scope_owner, a.period, b.id AS up FROM summaries_v a LEFT JOIN summaries_v b ON a.supersedes = b.id AND a.scope_owner = b.scope_owner AND a.period = b.period),
- r AS (SELECT id, scope_owner, period, 0 AS depth FROM k WHERE up IS NULL UNION ALL SELECT k.id, k.scope_owner, k.period, depth + 1 FROM k JOIN r ON k.up = r.id)""") + "SELECT id, scope_owner, period, depth::INTEGER AS depth FROM r")
+ r AS (SELECT id, scope_owner, period, 0 AS depth FROM k WHERE up IS NULL UNION ALL SELECT k.id, k.scope_owner, k.period, depth + 1 FROM k JOIN r ON k.up = r.id)""") + "SELECT id, scope_owner, period, depth::BIGINT AS depth FROM r")
 def version_chain_order(t):
     return versions.version_chain_order(summaries(t), [*SCOPE, "level", "period"]).select("id", "scope_owner", "period", "depth")

@@ -238,7 +238,13 @@ def hard_truncate(t):
     return t.documents.select("doc_id", X.hard_truncate(F.col("text"), 220).alias("cut"))
 
 
-@query("centered_excerpt")
+@query("centered_excerpt", _EXCHANGE + f""", t AS (SELECT conv_id, turn, 'USER: ' || input_text || ' ASSISTANT: ' || output_text AS t, {sql_tokens('input_text', X.STOP_WORDS)} AS terms FROM x),
+ p AS (SELECT conv_id, turn, t, flatten(list_transform(terms, lambda w: list_transform(range(1, len(string_split(lower(t), w))),
+   lambda j: (list_sum(list_transform(string_split(lower(t), w)[1:j], lambda s: length(s))) + (j - 1) * length(w))::BIGINT))) AS ps FROM t),
+ n AS (SELECT *, list_transform(ps, lambda a: len(list_filter(ps, lambda b: abs(b - a) <= 200))) AS ns FROM p),
+ b AS (SELECT *, greatest(0, least(greatest(0, ps[list_position(ns, list_max(ns))] - 200), length(t) - 400)) AS st FROM n)
+SELECT conv_id, turn, CASE WHEN length(t) <= 400 THEN t WHEN len(ps) = 0 THEN substr(t, 1, 400)
+ ELSE CASE WHEN st > 0 THEN '...[excerpt] ' ELSE '' END || substr(t, st + 1, 400) || CASE WHEN st + 400 < length(t) THEN ' ...[truncated]' ELSE '' END END AS excerpt FROM b""")
 def centered_excerpt(t):
     x = exchanges(t)
     text = F.concat(F.lit("USER: "), "input_text", F.lit(" ASSISTANT: "), "output_text")

@@ -231,9 +231,10 @@ def test_positions_cross_buckets(spark):
 def test_version_order_survives_cycles_and_gaps(spark):
     rows = [(*A, "p", "v1", None), (*A, "p", "v2", "v1"), (*A, "p", "v3", "v2"), (*A, "p", "lost", "gone"), (*A, "p", "c1", "c2"), (*A, "p", "c2", "c1"), (*B, "p", "v2", "v1")]
     df = frame(spark, rows, "scope_kind string, scope_owner string, period string, id string, supersedes string")
-    out = versions.version_chain_order(df, [*SCOPE, "period"], max_rounds=5).collect()
+    out = versions.version_chain_order(df, [*SCOPE, "period"]).collect()
     depth = {(r["scope_owner"], r["id"]): r["depth"] for r in out}
     assert len(out) == 7 and depth[("user:a", "v3")] == 2 and depth[("user:a", "lost")] == 0 and depth[("user:b", "v2")] == 0
+    assert depth[("user:a", "c1")] == depth[("user:a", "c2")] == -1
 
 
 def brute_edges(old, new):
