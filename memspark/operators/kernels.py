@@ -233,20 +233,15 @@ def text_hits(keys: list[str]):
             return empty()
         head = {c: texts[c].iloc[0] for c in keys}
         owners = names.groupby("name")["name_id"].agg(list).to_dict()
-        try:
-            import ahocorasick
+        import ahocorasick
 
-            auto = ahocorasick.Automaton()
-            for name in owners:
-                auto.add_word(name, name)
-            auto.make_automaton()
+        auto = ahocorasick.Automaton()
+        for name in owners:
+            auto.add_word(name, name)
+        auto.make_automaton()
 
-            def found(text):
-                return {name for _, name in auto.iter(text)}
-        except ImportError:
-
-            def found(text):
-                return {name for name in owners if name in text}
+        def found(text):
+            return {name for _, name in auto.iter(text)}
 
         out = []
         for text_id, text in zip(texts["text_id"], texts["text"]):

@@ -35,7 +35,7 @@ def stream_capture(t):
     """Every event comes twice and is stored once."""
     e = clocked(episodes(stream(t))).select(*SCOPE, "id", "ts", F.col("event_type").alias("input_text"), F.col("props").alias("output_text"))
     twice = e.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    path, _ = jobs.run_available(jobs.capture(twice), "capture")
+    path, _ = jobs.run_available(jobs.capture(twice), "capture", new_by=[*SCOPE, "id"])
     out = t.spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
     return out.select("id", "scope_owner", F.col("ts").cast("timestamp_ntz").alias("ts"), "hash")
 
@@ -44,27 +44,33 @@ _TURNS = """g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <
  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)"""
 
 
-@query("stream_agent_turns")
-def stream_agent_turns(t):
-    """A user's events with gaps under six hours are one turn; watermarks close all but the last ones."""
-    e = clocked(episodes(stream(t)))
+_TURN_SQL = ctes("episodes_v", more=_TURNS) + """SELECT scope_owner, min(ts) AS started, count(*) AS n_requests, arg_max(props, ts) FILTER (event_type <> 'view') AS answer,
+ CASE WHEN count(*) FILTER (event_type IN ('click', 'purchase')) = 0 THEN '' WHEN count(*) FILTER (event_type = 'purchase') = 0 THEN 'agent,tool:click' WHEN count(*) FILTER (event_type = 'click') = 0 THEN 'agent,tool:purchase'
+ WHEN min(ts) FILTER (event_type = 'click') < min(ts) FILTER (event_type = 'purchase') THEN 'agent,tool:click,tool:purchase' ELSE 'agent,tool:purchase,tool:click' END AS tags FROM s GROUP BY scope_owner, user_id, sid"""
+
+
+def requests_of(events):
     tool = F.when(F.col("event_type").isin("click", "purchase"), F.col("event_type"))
-    req = e.select(*SCOPE, F.col("user_id").cast("string").alias("turn_key"), "ts", F.when(F.col("event_type") != "view", F.col("props")).alias("answer"), tool.alias("tool"))
-    path, _ = jobs.run_available(jobs.agent_turns(req, ttl="6 hours"), "turns")
-    out = t.spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
-    return out.select("scope_owner", F.col("started").cast("timestamp_ntz").alias("started"), "n_requests", "answer", F.array_join("tags", ",").alias("tags"))
+    return events.select(*SCOPE, F.col("user_id").cast("string").alias("turn_key"), "ts", F.when(F.col("event_type") != "view", F.col("props")).alias("answer"), tool.alias("tool"))
 
 
-@query("agent_turns", ctes("episodes_v", more=_TURNS) + """SELECT scope_owner, min(ts) AS started, count(*) AS n_requests, arg_max(props, ts) FILTER (event_type <> 'view') AS answer,
- CASE WHEN count(*) FILTER (event_type IN ('click', 'purchase')) = 0 THEN '' WHEN count(*) FILTER (event_type = 'purchase') = 0 THEN 'agent,tool:click' WHEN count(*) FILTER (event_type = 'click') = 0 THEN 'agent,tool:purchase'
- WHEN min(ts) FILTER (event_type = 'click') < min(ts) FILTER (event_type = 'purchase') THEN 'agent,tool:click,tool:purchase' ELSE 'agent,tool:purchase,tool:click' END AS tags FROM s GROUP BY scope_owner, user_id, sid""")
+def shown_turns(turns):
+    return turns.select("scope_owner", F.col("started").cast("timestamp_ntz").alias("started"), "n_requests", "answer", F.array_join("tags", ",").alias("tags"))
+
+
+@query("stream_agent_turns", _TURN_SQL)
+def stream_agent_turns(t):
+    """A user's events with gaps under six hours are one turn; those still open at the end come from the source."""
+    path, _ = jobs.run_available(jobs.agent_turns(requests_of(clocked(episodes(stream(t)))), ttl="6 hours"), "turns")
+    closed = t.spark.read.option("basePath", path).parquet(f"{path}/batch_id=*").drop("batch_id")
+    still = jobs.open_turns(requests_of(clocked(episodes(t))), closed, ttl="6 hours")
+    return shown_turns(closed.unionByName(still))
+
+
+@query("agent_turns", _TURN_SQL)
 def agent_turns(t):
     """The batch form over the same rows."""
-    e = clocked(episodes(t))
-    tool = F.when(F.col("event_type").isin("click", "purchase"), F.col("event_type"))
-    req = e.select(*SCOPE, F.col("user_id").cast("string").alias("turn_key"), "ts", F.when(F.col("event_type") != "view", F.col("props")).alias("answer"), tool.alias("tool"))
-    out = jobs.agent_turns(req, ttl="6 hours")
-    return out.select("scope_owner", F.col("started").cast("timestamp_ntz").alias("started"), "n_requests", "answer", F.array_join("tags", ",").alias("tags"))
+    return shown_turns(jobs.agent_turns(requests_of(clocked(episodes(t))), ttl="6 hours"))
 
 
 @query("stream_daily_volume", ctes("episodes_v") + "SELECT scope_owner, ts::DATE AS day, count(*) AS n FROM episodes_v WHERE type = 'interaction' GROUP BY ALL")

@@ -21,15 +21,31 @@ from memspark.session import scratch_path
 TURN_TTL, MAX_TOOL_TAGS = "15 minutes", 16
 
 
-def capture(turns: DataFrame, *, lateness: str = "1 hour") -> DataFrame:
-    """Turns with importance and hash, each id once.
+def capture(turns: DataFrame) -> DataFrame:
+    """Turns with importance and hash, to be stored by ``write_new``.
 
-    ``turns``: scope, id, ts, input_text, output_text. A repeat is recognised while it is no later
-    than ``lateness``, which bounds the state; rows older than the watermark are dropped.
+    ``turns``: scope, id, ts, input_text, output_text. Nothing is kept in state, so a turn is stored
+    whenever it comes, however late.
     """
     rows = turns.withColumn("importance", X.importance_score(F.col("input_text"), F.col("output_text")))
-    rows = rows.withColumn("hash", X.content_hash(F.col("input_text"), F.col("output_text")))
-    return rows.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([*SCOPE, "id"])
+    return rows.withColumn("hash", X.content_hash(F.col("input_text"), F.col("output_text")))
+
+
+def write_new(path: str, keys: list[str], order: str = "ts") -> Callable[[DataFrame, int], None]:
+    """Sink that stores rows whose ``keys`` no earlier batch has, of repeats in a batch the first by ``order``.
+
+    Only the key columns of stored rows are read; a repeated batch replaces itself.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        others = [c for c in batch.columns if c not in keys]
+        rows = batch.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in others])
+        if batch_id:
+            stored = batch.sparkSession.read.option("basePath", path).parquet(f"{path}/batch_id=*").filter(F.col("batch_id") < batch_id)
+            rows = rows.join(stored.select(*keys), keys, "left_anti")
+        rows.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write
 
 
 def agent_turns(requests: DataFrame, *, ttl: str = TURN_TTL, lateness: str = "15 minutes") -> DataFrame:
@@ -52,6 +68,13 @@ def agent_turns(requests: DataFrame, *, ttl: str = TURN_TTL, lateness: str = "15
     )
 
 
+def open_turns(requests: DataFrame, closed: DataFrame, *, ttl: str = TURN_TTL) -> DataFrame:
+    """Turns the stream has not closed yet, from the stored ``requests`` after each key's last closed turn."""
+    last = closed.groupBy(*SCOPE, "turn_key").agg(F.max("ended").alias("_ended"))
+    rest = requests.join(last, [*SCOPE, "turn_key"], "left").filter(F.col("_ended").isNull() | (F.col("ts") >= F.col("_ended"))).drop("_ended")
+    return agent_turns(rest, ttl=ttl)
+
+
 def daily_volume(episodes: DataFrame, *, lateness: str = "1 day") -> DataFrame:
     """Interactions per scope and day in tumbling windows, for update mode."""
     live = episodes.filter(F.col("type") == "interaction").withWatermark("ts", lateness)
@@ -117,13 +140,16 @@ def latest_by_key(spark: SparkSession, path: str, schema, keys: list[str]) -> Da
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
-def run_available(df: DataFrame, name: str, *, mode: str = "append") -> tuple[str, StreamingQuery]:
-    """Run a stream over everything its source has now and wait; returns the sink folder."""
+def run_available(df: DataFrame, name: str, *, mode: str = "append", new_by: list[str] | None = None) -> tuple[str, StreamingQuery]:
+    """Run a stream over everything its source has now and wait; returns the sink folder.
+
+    ``new_by``: keys of which only the first row is stored.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     query = (
         df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/_state").trigger(availableNow=True)
-        .foreachBatch(write_batches(f"{path}/out")).start()
+        .foreachBatch(write_new(f"{path}/out", new_by) if new_by else write_batches(f"{path}/out")).start()
     )
     query.awaitTermination()
     return f"{path}/out", query
