@@ -5,7 +5,7 @@ takes it whole; if none does and all places are taken, the fullest window is emi
 Documents longer than a window are cut into full windows and a rest. The windows left open at the end of
 the partitions are merged in groups: the fullest is topped up with pieces of the emptiest, cut where it is
 full, so each group ends with at most one window that is not full; those meet in the next round, until one
-group is left. At most ``GROUP`` partitions' open windows (2 to 16 MB of ids) meet in one task.
+group is left. At most ``GROUP`` partitions' open windows (some 4 MB of ids) meet in one task.
 
 Edge cases: a null or empty text is its end id alone; repeated rows are packed each; an empty table gives no
 rows; ids of any length are cut. Columns other than the two named are ignored.
@@ -18,17 +18,20 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm.tables import table
-from memspark.llm.wordchunks import Memory, chunks_of
+from memspark.llm.wordchunks import MEMORY_CHARS, Memory, chunks_of, word_pattern, words_of
 from memspark.session import materialize
 
 CAPACITY = 4096
 OPEN_WINDOWS = 32
 #: Partitions whose open windows are merged in one task.
-GROUP = 32
+GROUP = 8
+#: Text encoded at once.
+SLICE_BYTES = 4 << 20
 END_ID = 2
 _ID_BYTES = 4
 #: A sequence id is made of the round, the partition or group, and a count within it.
@@ -46,9 +49,9 @@ _LOADED: dict[str, tuple] = {}
 
 
 def encoder(path: str):
-    """``encode(texts)`` gives each text's ids as little-endian 32-bit bytes, by the tokenizers library.
+    """``encode(texts)`` gives the ids of an Arrow array of texts as little-endian 32-bit bytes each.
 
-    The library sees every chunk once per memory; it runs on one thread, as Spark has the cores.
+    The library sees every word once per memory, many in a call; it runs on one thread, as Spark has the cores.
     """
     if path not in _LOADED:
         import os
@@ -61,27 +64,72 @@ def encoder(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-
-        def as_bytes(found) -> bytes:
-            return np.array(found.ids, "<u4").tobytes()
-
-        memory = Memory(lambda c: as_bytes(tokenizer.encode(c, add_special_tokens=False)))
-
-        def encode(texts: list[str]) -> list[bytes]:
-            split = [chunks_of(t) for t in texts]
-            new = list({c for chunks in split for c in chunks if c not in memory})
-            if len(memory) + len(new) > memory.entries:
-                memory.clear()
-                new = list({c for chunks in split for c in chunks})
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                memory.update(zip(part, map(as_bytes, tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-            return [b"".join(map(memory.__getitem__, chunks)) for chunks in split]
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        find_words, width = word_pattern(), tokenizer.get_vocab_size()
+        ends = np.zeros(width, bool)  # every word's last token, and no other, carries the end mark
+        ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+        def encode_words(words: list[str]) -> list[bytes]:
+            """Ids of many words by one call of the library, cut where a token ends a word."""
+            ids = np.array(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) != len(words):
+                raise ValueError("the tokenizer split a word")
+            raw, stops = ids.tobytes(), (cuts * _ID_BYTES).tolist()
+            return [raw[a:b] for a, b in zip([0, *stops], stops)]
+
+        memory = Memory(lambda c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes())
+        words = Memory(lambda w: encode_words([w])[0])
+
+        def learn(new: list[str]) -> None:
+            parts = [None if "<|" in c and any(s in c for s in special) else words_of(c, find_words) for c in new]
+            unknown = list({w for part in parts if part for w in part if w not in words and w not in words.old})
+            fresh: dict[str, bytes] = {}
+            for at in range(0, len(unknown), 5000):
+                some = unknown[at : at + 5000]
+                fresh.update(zip(some, encode_words(some)))
+            for word, ids in fresh.items():
+                words.keep(word, ids)
+            for chunk, part in zip(new, parts):
+                if part is not None:
+                    memory.keep(chunk, b"".join([fresh[w] if w in fresh else words[w] for w in part]))
+
+        def encode(texts: pa.StringArray) -> list[bytes]:
+            texts = texts.fill_null("")
+            if pc.any(pc.match_substring_regex(texts, "[\\x1c-\\x1f]")).as_py():  # Arrow would split there
+                chunks = pa.array([chunks_of(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+            else:
+                chunks = pc.utf8_split_whitespace(texts)
+            coded = chunks.flatten().dictionary_encode()
+            distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            learn([c for c in distinct if c not in memory and c not in memory.old and len(c) <= MEMORY_CHARS])
+            found = [memory[c] for c in distinct]
+            pool = np.frombuffer(b"".join(found), "<u4")
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // _ID_BYTES
+            # every chunk's ids stand once in the pool; gather them in text order
+            each = sizes[at]
+            ends_at = np.cumsum(each)
+            ids = pool[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends_at - each), each) + np.arange(int(each.sum()))].tobytes()
+            stops = np.concatenate([[0], ends_at])[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()] * _ID_BYTES
+            return [ids[a:b] for a, b in zip(stops.tolist(), stops[1:].tolist())]
 
         _LOADED[path] = encode
     return _LOADED[path]
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts have at most ``most_bytes`` (or are one row)."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    start = held = 0
+    for row, size in enumerate(sizes):
+        if held + size > most_bytes and row > start:
+            yield batch.slice(start, row - start)
+            start, held = row, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 class OpenWindows:
     """Best fit over a fixed number of open windows."""
 
@@ -150,9 +198,8 @@ def pack_partitions(docs: DataFrame, path: str, capacity: int, places: int, end_
             return part << _PART_SHIFT | made - 1
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                for doc_id, ids in zip(piece.column(0).to_pylist(), encode([t or "" for t in piece.column(1).to_pylist()])):
+            for piece in slices(batch, 1, SLICE_BYTES):
+                for doc_id, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1))):
                     ids += end
                     tokens, start = len(ids) // _ID_BYTES, 0
                     while len(ids) - start >= most:

@@ -1,0 +1,154 @@
+"""The classifier, the secret forest, the neighbour search and the pipeline."""
+
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from memspark.llm import adscan, quality, secrets
+from memspark.llm.queries import QUERIES
+from tests.conftest import SMALL
+
+MEDIUM = "/root/testdata/sf0.01"
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
+def test_quality_on_held_out_rows(spark):
+    rows = {r["doc_id"]: r for r in QUERIES["op3_quality"](spark, MEDIUM).collect()}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{MEDIUM}/labels.parquet").collect()]
+    assert len(rows) == spark.read.parquet(f"{MEDIUM}/documents.parquet").count()
+    assert all(r["held_out"] == held(i) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for i, r in rows.items())
+    tested = [(rows[i]["predicted"], y) for i, y in labels if held(i)]
+    assert sum(p == y for p, y in tested) >= 0.97 * len(tested)
+
+
+def test_quality_of_odd_rows(spark, tmp_path):
+    texts = ["good words of a text " * 5, "junk!! JUNK!! " * 9, None, "", "x" * 300_000, "a \x00 b", "good words of a text " * 5]
+    spark.createDataFrame([(i, t, 0.1) for i, t in enumerate(texts)], "doc_id long, text string, score double").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1), (0, 1), (1, 0), (2, 7), (3, None), (None, 1), (99, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = {r["doc_id"]: r["score"] for r in quality.op3_quality(spark, str(tmp_path)).collect()}
+    assert len(rows) == 7 and rows[0] == rows[6] and all(0 <= s <= 1 for s in rows.values()) and rows[2] == rows[3]
+    kept = quality.keep_good(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert kept.columns == ["doc_id", "text", "score"] and {r["doc_id"] for r in kept.collect()} == {i for i, s in rows.items() if s >= 0.5}
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), none).score("anything") == 0.5
+    assert quality.keep_good(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
+
+
+def test_text_rows_match_a_plain_count():
+    text = "ab ab  c"
+    n = sum(len(r) for r in quality.text_rows(text))
+    grams = sum(max(0, len(f"<{w}>") - k + 1) for w in text.split() for k in quality.NGRAMS)
+    assert n == 1 + grams + 3 + 2
+    long = " ".join(f"w{i % 977}" for i in range(200_000))
+    assert sum(len(r) for r in quality.text_rows(long)) == 1 + sum(len(w) + 3 - k for w in long.split() for k in quality.NGRAMS) + 200_000 + 199_999
+
+
+def test_training_separates_classes():
+    texts = [f"calm words number {i} in a plain line" for i in range(40)] + [f"BUY{i}!! NOW!! win!! {i}!!" for i in range(40)]
+    model = quality.train(texts, [1] * 40 + [0] * 40)
+    assert model.score("other plain words in a line") > 0.5 > model.score("WIN!! BUY9!!")
+
+
+KEY = "AKIA" + "Q7Z2M4X9K1B8V5N3"
+TEXTS = [
+    f"deploy with {KEY} now", 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" here', "login password=b7db7aa4a5fcc78305 ok", "card 4041894974608795 and 42.144.35.254 mail bosbt.42@mail8.example.com",
+    "see https://www.example.org/page/12345.html version 10.12.2024.1", None, "", "plain words only, nothing1 here", f"{KEY} and {KEY}", "ü" * 30_000 + " 2024-01-01T10:00:00",
+]
+SECRETS = {0: {KEY}, 1: {"1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"}, 2: {"b7db7aa4a5fcc78305"}, 8: {KEY}}
+
+
+def test_secrets_are_told_from_lookalikes(spark):
+    docs = spark.createDataFrame([(i, t, "src/test" if i % 2 else None, 1.0) for i, t in enumerate(TEXTS)], "doc_id long, text string, source string, score double")
+    found = {}
+    for r in secrets.find_secrets(docs, ["doc_id"]).filter("is_secret").collect():
+        found.setdefault(r["doc_id"], set()).add(r["value"])
+    assert found == SECRETS
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns
+    for r in clean.collect():
+        want = TEXTS[r["doc_id"]]
+        for value in SECRETS.get(r["doc_id"], ()):
+            want = want.replace(value, secrets.MASK)
+        assert r["text"] == want
+    empty = docs.filter("1 = 0")
+    assert secrets.find_secrets(empty, ["doc_id"]).count() == 0 and secrets.redact(empty).count() == 0
+
+
+def test_forest_learns_from_given_labels(spark):
+    docs = spark.createDataFrame([(i, f"id ref-{i:04d}-zz{i * 7919 % 9973:05d} end", "a/b") for i in range(60)], "doc_id long, text string, source string")
+    given = secrets.candidates(docs, ["doc_id"]).drop("doc_id").withColumn("label", F.lit(1))
+    score = lambda labelled: secrets.find_secrets(docs, ["doc_id"], labelled=labelled).agg(F.avg("score")).first()[0]
+    assert score(given) > 0.8 > score(given.withColumn("label", F.lit(0))) + 0.3
+
+
+def brute_nearest(ids, vectors, query_id, k=10):
+    q = vectors[ids.index(query_id)]
+    d = np.sqrt(((vectors - q) ** 2).sum(1))
+    order = sorted((float(x), i) for x, i in zip(d, ids) if i != query_id)
+    return [i for _, i in order[:k]]
+
+
+@pytest.mark.parametrize("where", [SMALL, "/root/testdata/sf0.1"])
+def test_neighbours_reach_the_recall(spark, where):
+    table = spark.read.parquet(f"{where}/embeddings.parquet").collect()
+    ids, vectors = [r["vec_id"] for r in table], np.array([r["embedding"] for r in table], float)
+    got = {}
+    for r in QUERIES["op9_adaptive_scan"](spark, where).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r)
+    asked = [i for i in ids if i % 100 == 0]
+    assert sorted(got) == sorted(asked)
+    hits = 0
+    for q in asked:
+        assert [r["rank"] for r in got[q]] == list(range(1, 11))
+        for r in got[q]:
+            assert r["score"] == pytest.approx(float(np.sqrt(((vectors[ids.index(r["vec_id"])] - vectors[ids.index(q)]) ** 2).sum())), abs=1e-12)
+        hits += len({r["vec_id"] for r in got[q]} & set(brute_nearest(ids, vectors, q)))
+    assert hits >= 0.95 * 10 * len(asked)
+
+
+def test_neighbours_of_odd_rows(spark, tmp_path):
+    rows = [(0, [1.0, 2.0]), (100, [1.0, 2.0]), (3, [1.0, 2.5]), (4, [0.0, 0.0]), (5, None), (6, [1.0, None]), (200, [float("nan"), 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [1.0, 2.5]), (9, [1.0, 2.5]), (300, [float("inf"), 0.0])]
+    spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, list int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [tuple(r) for r in adscan.op9_adaptive_scan(spark, str(tmp_path)).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 100, 0.0), (0, 2, 3, 0.5), (0, 3, 9, 0.5), (0, 4, 9, 0.5), (100, 1, 0, 0.0), (100, 2, 3, 0.5), (100, 3, 9, 0.5), (100, 4, 9, 0.5)]
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    assert adscan.op9_adaptive_scan(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_scan_without_tests_is_exact():
+    rng = np.random.default_rng(1)
+    vectors, ids = rng.standard_normal((3000, 24)), np.arange(3000)
+    rotation = np.linalg.qr(rng.standard_normal((24, 24)))[0]
+    q, v, d = adscan.scan_list(ids, vectors, np.array([5]), vectors[5:6], rotation, 10, epsilon=1e9)
+    assert v.tolist() == brute_nearest(ids.tolist(), vectors, 5) and (q == 5).all() and (np.diff(d) >= 0).all()
+
+
+def test_pipeline_stages_take_effect(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{MEDIUM}/labels.parquet").collect()}
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, before, MEDIUM).cache()
+        rows = {r["doc_id"]: r for r in after.collect()}
+        if name != "packing":
+            assert after.columns == docs.columns
+        if name == "quality_classifier":
+            gone = set(labels) - set(rows)
+            assert all(labels[i] == 0 for i in gone) and sum(labels[i] == 0 for i in rows if i in labels) <= 2
+        if name == "simhash_near_dedup":
+            groups = QUERIES["op8_simhash_bktree"](spark, MEDIUM)
+            assert len(rows) <= groups.join(before.select("doc_id"), "doc_id").select("component_id").distinct().count() + 5
+        if name == "secret_scan":
+            assert set(rows) == {r["doc_id"] for r in before.select("doc_id").collect()}
+            assert after.filter(F.col("text").rlike(r"AKIA[0-9A-Z]{16}|password=[0-9a-f]{18}|token = .[0-9a-f]{40}")).count() == 0
+            changed = after.join(before.select("doc_id", F.col("text").alias("old")), "doc_id").filter("text != old")
+            assert changed.count() == changed.filter(F.contains("text", F.lit(secrets.MASK))).count() > 0
+        if name == "packing":
+            assert set(rows) == {r["doc_id"] for r in before.select("doc_id").collect()}
+        before = after
