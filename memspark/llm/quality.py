@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm.tables import table
+from memspark.llm.tables import first_by_hash, table
 from memspark.llm.wordchunks import chunks_of
 
 #: Rows of the vector table, and the length of a vector.
@@ -142,11 +142,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes:
     First only ids and sizes come, in hash order; then the texts of as many of them as ``most_bytes`` allow.
     """
     marked = labels.select(F.col("doc_id").alias("_id"), "quality").filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    order = F.md5(F.concat(F.lit("sample"), F.col("_id").cast("string")))
-    chosen = None
-    for label in (0, 1):
-        part = marked.filter(F.col("quality") == label).select("_id", "quality", order.alias("_order")).orderBy("_order", "_id").limit(rows)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    counts = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows at most
+    key = F.concat(F.lit("sample"), F.col("_id").cast("string"))
+    parts = [first_by_hash(marked.filter(F.col("quality") == label), key, rows, n) for label, n in sorted(counts.items())]
+    if len(parts) < 2:
+        return Model(np.zeros(BUCKETS), 0.0)
+    chosen = parts[0].unionByName(parts[1]).withColumn("_order", F.md5(key))
     texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
     light = texts.select("_id", F.octet_length("text").alias("_size"))
     sized = light.join(F.broadcast(chosen), "_id").orderBy("_order", "_id").limit(2 * rows).collect()  # 2 * rows ids at most

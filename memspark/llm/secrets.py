@@ -18,6 +18,8 @@ as they are by ``redact``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -25,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm.tables import table
+from memspark.llm.tables import first_by_hash, table
 from memspark.session import materialize
 
 LEAST_CHARS = 12
@@ -162,12 +164,11 @@ def seed_findings(spark: SparkSession, n: int = SEEDS) -> DataFrame:
 
 def fit_forest(labelled: DataFrame, rows: int = SAMPLE_ROWS):
     """A forest from findings with ``FEATURES`` and ``label``; at most ``rows`` of each class, by hash order."""
-    order = F.sha2(F.concat_ws("|", "value", "before", "before2", "after", "path"), 256)
-    sample = None
-    for label in (0, 1):
-        part = labelled.filter(F.col("label") == label).select(*FEATURES, F.col("label").cast("double").alias("label"), order.alias("_order")).orderBy("_order", *FEATURES).limit(rows)
-        sample = part if sample is None else sample.unionByName(part)
-    sample = materialize(sample.coalesce(1), "findings")  # a fixed order of rows makes the forest repeatable
+    key = F.concat_ws("|", "value", "before", "before2", "after", "path").alias("_key")
+    known = labelled.filter(F.col("label").isin(0, 1)).select(*FEATURES, F.col("label").cast("double").alias("label"), key)
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows at most
+    parts = [first_by_hash(known.filter(F.col("label") == label), F.col("_key"), rows, n).drop("_key") for label, n in sorted(counts.items())]
+    sample = materialize(reduce(DataFrame.unionByName, parts).coalesce(1), "findings")  # a fixed order of rows makes the forest repeatable
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label", featureSubsetStrategy="sqrt")
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(sample)
 
