@@ -37,6 +37,8 @@ ANCHORS = frozenset(
 )
 #: Content words in a chain, and how many content words apart they stand.
 CHAIN, DISTANCE = 2, 1
+#: Most ranges of ids; beyond some 100 TB a range grows past its usual few MB and spills when sorted.
+MOST_RANGES = 1 << 16
 _STRIP = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿«»“”„…–—"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,12 +94,13 @@ def edited_text(text: str, following: str) -> str:
 _LOWEST = -(1 << 63)
 
 
-def with_following(docs: DataFrame, parts: int) -> DataFrame:
+def with_following(docs: DataFrame, parts: int, partitions: int) -> DataFrame:
     """Rows (doc_id, text, part, ahead) dealt by id range and sorted, so that a row's successor follows it.
 
     The first document of the next range comes along at the end of each range (``ahead``), that of the
-    first range at the end of the last. The texts shuffle once. Driver and tasks see only the range
-    bounds and each range's first id: two numbers per partition.
+    first range at the end of the last. The texts shuffle once. Ranges are finer than ``partitions``, so
+    several meet in each and even it out. Driver and tasks see only the range bounds and each range's
+    first id: two numbers per range.
     """
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("_key"))
     probabilities = [i / parts for i in range(1, parts)]
@@ -119,7 +122,7 @@ def with_following(docs: DataFrame, parts: int) -> DataFrame:
 
     placed = keyed.select("doc_id", "text", "_key", F.explode(places("_key")).alias("to"))
     placed = placed.select("doc_id", "text", "_key", F.col("to.part").alias("part"), F.col("to.ahead").alias("ahead"))
-    return placed.repartition(max(parts, 1), "part").sortWithinPartitions("part", "ahead", "_key", "text").drop("_key")
+    return placed.repartition(partitions, "part").sortWithinPartitions("part", "ahead", "_key", "text").drop("_key")
 
 
 RESULT = (
@@ -157,8 +160,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited form, with their likeness and that to the next text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    parts = 2 * docs.rdd.getNumPartitions()
-    return with_following(docs, parts).select("doc_id", "text", "part", "ahead").mapInArrow(_compare, RESULT)
+    scans = docs.rdd.getNumPartitions()
+    return with_following(docs, min(8 * scans, MOST_RANGES), 2 * scans).select("doc_id", "text", "part", "ahead").mapInArrow(_compare, RESULT)
 
 
 # --- search over a corpus ---------------------------------------------------------------------------
