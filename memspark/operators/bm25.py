@@ -10,6 +10,7 @@ from memspark.operators import kernels
 from memspark.operators.cells import cut_into_cells, match_cells
 from memspark.operators.running import top_per_key
 from memspark.operators.scope import SCOPE
+from memspark.session import materialize
 
 # Score parameters.
 K1, B = 1.5, 0.75
@@ -101,7 +102,8 @@ def bm25_topk(
     tokens = doc_tokens(docs, keys)
     own_k = queries if "k" in queries.columns else queries.withColumn("k", F.lit(k))
     terms = query_terms(own_k.select(*keys, "query_id", "k", "text"), keys)
-    hits = matching_postings(tokens, terms, keys)
+    # postings of the asked words are read three times (frequencies, sizes, scores) and made once
+    hits = materialize(matching_postings(tokens, terms, keys), "postings")
     asked = scored_terms(terms, hits, tokens, keys, exclude)
     # text lengths bound the postings and terms, and need no join to be known
     left, right, cell = cut_into_cells(

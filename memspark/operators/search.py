@@ -1,17 +1,18 @@
-"""Vector search: exact cosine top-k per query within a scope, its bucketed variant, and unions."""
+"""Vector search: exact cosine top-k per query within a scope, its pruned form, and unions."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from memspark.functions import vectors as V
 from memspark.operators import kernels
 from memspark.operators.cells import cut_into_cells, match_cells
 from memspark.operators.running import top_per_key
 from memspark.operators.scope import SCOPE
+from memspark.session import materialize
 
 # Similarity floors and result counts.
 SUMMARY_SIMILARITY, EPISODE_SIMILARITY, ENTITY_SIMILARITY, WIDENED_SIMILARITY = 0.40, 0.55, 0.50, 0.25
@@ -87,36 +88,41 @@ def fact_channel(facts: DataFrame, queries: DataFrame, *, k: int, threshold: flo
     return vector_topk(vecs, queries, k=k, threshold=threshold, keys=keys)
 
 
-def _signatures(dimensions: int, bits: int, tables: int, seed: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sign(vectors):
-        import numpy as np
-        import pandas as pd
-
-        planes = np.random.default_rng(seed).standard_normal((tables, bits, dimensions))
-        m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-        side = np.einsum("tbd,nd->ntb", planes, m) > 0
-        codes = (side * (1 << np.arange(bits))).sum(axis=2)
-        return pd.Series(list(codes.astype(np.int64)))
-
-    return sign
-
-
-def vector_topk_approx(
-    vecs: DataFrame, queries: DataFrame, *, dimensions: int, k: int = TOP_K, bits: int = 6, tables: int = 8, seed: int = 7,
-    keys: list[str] = SCOPE, exclude_self: bool = False,
+def vector_topk_pruned(
+    vecs: DataFrame, queries: DataFrame, *, k: int = TOP_K, anchors: int = 32, keys: list[str] = SCOPE, exclude_self: bool = False,
 ) -> DataFrame:
-    """Top-k among the vectors that share one of ``tables`` hashed buckets with the query.
+    """The rows of ``vector_topk`` without looking at every vector: keys, query_id, id, sim, rank.
 
-    The bucket joins the scope as part of the key, so a hot bucket is cut into cells like a hot
-    scope, and its pairs are never written out.
+    Vectors are filed under the most similar of a scope's ``anchors`` (vectors picked by hash). A query first
+    searches its own anchor's cell; its k-th similarity there is a floor. It then visits only the cells
+    whose widest angle can still hold something above the floor, so nothing is missed.
     """
-    sign = _signatures(dimensions, bits, tables, seed)
-    bkeys = [*keys, "tbl", "bucket"]
-    v = vecs.select(*keys, "id", "vector", F.posexplode(sign("vector")).alias("tbl", "bucket"))
-    q = queries.select(*queries.columns, F.posexplode(sign("query_vector")).alias("tbl", "bucket"))
-    hits = vector_topk(v, q, k=k, keys=bkeys, exclude_self=exclude_self)
-    best = hits.groupBy(*keys, "query_id", "id").agg(F.max("sim").alias("sim"))
+    order = F.struct(F.xxhash64("id"), "id", V.unit(F.col("vector")).alias("v"))
+    picked = top_per_key(vecs.select(*keys, order.alias("_o")), keys, [F.col("_o")], anchors)
+    points = picked.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list("_o")), lambda o: o["v"]).alias("_points"))
+
+    def sims(vector: str) -> Column:
+        return F.transform("_points", lambda p: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(p, V.unit(F.col(vector))))))
+
+    def nearest(rows: DataFrame, vector: str) -> DataFrame:
+        rows = rows.join(points, keys).withColumn("_sims", sims(vector)).drop("_points")
+        return rows.withColumn("_top", F.array_max(F.transform("_sims", lambda s, i: F.struct(s.alias("s"), (-i).alias("n"))))).withColumn("cell", -F.col("_top.n"))
+
+    filed = materialize(nearest(vecs.select(*keys, "id", "vector"), "vector").select(*keys, "id", "vector", "cell", F.acos("_top.s").alias("_angle")), "filed")
+    reach = filed.groupBy(*keys, "cell").agg(F.max("_angle").alias("_reach"))
+    reach = reach.groupBy(*keys).agg(F.collect_list(F.struct("cell", "_reach")).alias("_cells"))
+    asked = materialize(nearest(queries, "query_vector").select(*queries.columns, "_sims", "cell"), "asked")
+    ckeys = [*keys, "cell"]
+    inside = filed.select(*ckeys, "id", "vector")
+    first = vector_topk(inside, asked.drop("_sims"), k=k, keys=ckeys, exclude_self=exclude_self)
+    first = materialize(first.select(*ckeys, "query_id", "id", "sim", "rank"), "first")
+    floor = first.filter(F.col("rank") == k - 1).select(*keys, "query_id", F.col("sim").alias("_floor"))
+    rest = asked.withColumnRenamed("cell", "_own").join(reach, keys).join(floor, [*keys, "query_id"], "left").withColumn("_c", F.explode("_cells"))
+    gap = F.acos(F.get("_sims", F.col("_c.cell"))) - F.col("_c._reach")
+    possible = F.when(gap > 0, F.cos(gap)).otherwise(1.0) >= F.coalesce("_floor", F.lit(-1.0)) - 2e-6
+    rest = rest.filter((F.col("_c.cell") != F.col("_own")) & possible).withColumn("cell", F.col("_c.cell")).select(*queries.columns, "cell")
+    others = vector_topk(inside, rest, k=k, keys=ckeys, exclude_self=exclude_self).select(*first.columns)
+    best = first.unionByName(others).groupBy(*keys, "query_id", "id").agg(F.max("sim").alias("sim"))
     return top_per_key(best, [*keys, "query_id"], [F.col("sim").desc(), F.col("id")], k, "rank").withColumn("rank", F.col("rank") - 1)
 
 

@@ -7,20 +7,22 @@ them is joins, aggregates and windows keyed by scope.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memspark.functions.vectors import embed_texts
 from memspark.functions import text as X
 from memspark.functions import timeex as D
+from memspark.functions.vectors import embed_texts
 from memspark.operators.graph import cluster_cap, topic_clusters
 from memspark.operators.panels import interactions
 from memspark.operators.running import positions, top_per_key
 from memspark.operators.scope import SCOPE
 from memspark.operators.versions import current_period_head, current_versions, summary_id, version_number
+from memspark.session import materialize
 
 # Batch sizes and levels.
 GROUNDING_BATCH, RELATED_SUMMARIES = 20, 5
@@ -156,13 +158,17 @@ def refresh_cascade(changed: DataFrame, rollups: DataFrame) -> DataFrame:
     ``rollups``: scope, level, period, source_summary_periods. Three rounds reach the year.
     """
     covers = rollups.select(*SCOPE, "level", "period", F.explode("source_summary_periods").alias("_source")).distinct()
-    front, out = changed.select(*SCOPE, "level", "period").distinct(), None
+    covers = materialize(covers, "covers")
+    given = changed.select(*SCOPE, "level", "period")
+    found: list[DataFrame] = []
     for below, above in LEVEL_ABOVE.items():
-        hit = front.filter(F.col("level") == below).select(*SCOPE, F.col("period").alias("_source"))
+        front = given.filter(F.col("level") == below)
+        if found:  # the level just found lies right below
+            front = front.unionByName(found[-1])
+        hit = front.select(*SCOPE, F.col("period").alias("_source"))
         up = covers.filter(F.col("level") == above).join(hit, [*SCOPE, "_source"], "left_semi").select(*SCOPE, "level", "period").distinct()
-        out = up if out is None else out.unionByName(up)
-        front = front.unionByName(up).distinct()
-    return out.distinct()
+        found.append(materialize(up, "refresh"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def citation_validate(facts: DataFrame) -> DataFrame:
@@ -316,13 +322,14 @@ def entity_specificity(summaries: DataFrame, triggers: DataFrame, *, top: int =
     from memspark.operators.cells import cut_into_cells, match_cells
 
     current = current_versions(summaries)
-    touched = current.select(*SCOPE, F.col("id").alias("doc_id"), "created_at", F.explode("entities_touched").alias("term"))
+    touched = materialize(current.select(*SCOPE, F.col("id").alias("doc_id"), "created_at", F.explode("entities_touched").alias("term")), "touched")
     freq = touched.groupBy(*SCOPE, "term").agg(F.count(F.lit(1)).alias("_freq"))
     asked = triggers.select(*SCOPE, F.col("id").alias("query_id"), F.explode(F.array_distinct("entities_touched")).alias("term"))
     wanted = asked.select(*SCOPE, "term").distinct()
     posts = touched.join(wanted, [*SCOPE, "term"], "left_semi").join(freq, [*SCOPE, "term"]).groupBy(*SCOPE, "doc_id", "created_at", "term").agg(
         F.sum(1 / F.col("_freq")).alias("weight")
     )
+    posts = materialize(posts, "posts")
     left, right, cell = cut_into_cells(posts, asked, SCOPE, ["doc_id"], ["query_id"], 1 << 18, 1 << 14)
     found = match_cells(left, right, cell, kernels.specific_best(SCOPE, top), "scope_kind string, scope_owner string, query_id string, doc_id string, created_at timestamp_ntz, score double")
     order = [F.col("score").desc(), F.col("created_at").desc(), F.col("doc_id")]

@@ -10,6 +10,7 @@ from memspark.operators.scope import SCOPE
 from memspark.registry import query
 from memspark.registry.aggregates import BM25_SQL, FACT_SQL, _PAIRS, doc_facts
 from memspark.registry.scalars import label_sql
+from memspark.session import materialize
 from memspark.registry.views import (
     as_of, benchmark_queries, corpus_docs, ctes, entities, episodes, facts, preference_edges, summaries, vectors,
 )
@@ -48,9 +49,10 @@ def vector_topk_all(t):
     return search.vector_topk(v, q, k=5, exclude_self=True).select("query_id", "id", "sim", "rank")
 
 
-@query("vector_topk_approx")
+@query("vector_topk_approx", f"WITH {VEC_SQL} SELECT query_id, id, sim, (rank - 1)::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM x) WHERE rank <= 5")
 def vector_topk_approx(t):
-    return search.vector_topk_approx(vectors(t), self_queries(t), dimensions=64, k=5, bits=4, tables=6, exclude_self=True).select("query_id", "id", "sim", "rank")
+    """The pruned search gives the exact rows."""
+    return search.vector_topk_pruned(vectors(t), self_queries(t), k=5, anchors=8, exclude_self=True).select("query_id", "id", "sim", "rank")
 
 
 @query("similarity_cutoff", f"WITH {VEC_SQL} SELECT query_id, id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM x WHERE sim >= CASE WHEN query_id % 2 = 0 THEN 0.25 ELSE 0.40 END) WHERE rank <= CASE WHEN query_id % 2 = 0 THEN 10 ELSE 5 END")
@@ -122,8 +124,9 @@ def rerank_apply(t):
 def mmr_pool(t):
     """Benchmark texts with the documents keyword search finds, three times as many as are picked."""
     docs = corpus_docs(t)
-    hits = bm25.bm25_topk(docs, benchmark_queries(t), k=15)
-    toks = docs.select(*SCOPE, "doc_id", X.token_set(F.col("text")).alias("tokens"))
+    hits = materialize(bm25.bm25_topk(docs, benchmark_queries(t), k=15), "hits")
+    found = docs.join(hits.select(*SCOPE, "doc_id").distinct(), [*SCOPE, "doc_id"], "left_semi")
+    toks = found.select(*SCOPE, "doc_id", X.token_set(F.col("text")).alias("tokens"))
     return hits.join(toks, [*SCOPE, "doc_id"]).select(
         *SCOPE, "query_id", F.col("doc_id").alias("id"), fusion.reciprocal_rank(F.col("rank")).alias("relevance"), "tokens"
     )

@@ -119,13 +119,15 @@ def test_group_spread_over_cells_keeps_its_best_vector(spark, tiny_cells):
         assert [got[(n, 0)], got[(n, 1)]] == want[:2]
 
 
-def test_approximate_search_finds_most(spark):
+def test_pruned_search_is_exact(spark):
     v = vectors(300, 16, 5)
+    v[:150] *= 0.02
+    v[:150] += vectors(1, 16, 6)[0]  # one tight crowd beside scattered vectors
     vdf = frame(spark, [(*A, i, v[i].tolist()) for i in range(300)], "scope_kind string, scope_owner string, id bigint, vector array<float>")
     qdf = vdf.select(*SCOPE, F.col("id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("id").alias("self_id"))
-    exact = search.vector_topk(vdf, qdf, k=5, exclude_self=True).select("query_id", "id")
-    near = search.vector_topk_approx(vdf, qdf, dimensions=16, k=5, bits=3, tables=10, exclude_self=True).select("query_id", "id")
-    assert exact.intersect(near).count() / exact.count() > 0.8
+    exact = search.vector_topk(vdf, qdf, k=5, exclude_self=True).select("query_id", "id", "rank", "sim")
+    near = search.vector_topk_pruned(vdf, qdf, k=5, anchors=12, exclude_self=True).select("query_id", "id", "rank", "sim")
+    assert sorted(exact.collect()) == sorted(near.collect())
 
 
 def test_mmr_prefers_variety(spark):
