@@ -57,6 +57,13 @@ def known_entities(texts: DataFrame, entities: DataFrame, keys: list[str] = SCOP
     return names_in_texts(low, names, keys).withColumnRenamed("name_id", "id")
 
 
+def touching(summaries: DataFrame, wanted: DataFrame, keys: list[str] = SCOPE) -> DataFrame:
+    """Summaries that touch a wanted entity (keys, entity_id), each once."""
+    touched = summaries.select(*keys, "id", F.explode("entities_touched").alias("entity_id"))
+    ids = touched.join(wanted, [*keys, "entity_id"], "left_semi").select(*keys, "id").distinct()
+    return summaries.join(ids, [*keys, "id"], "left_semi")
+
+
 def entity_list(entities: DataFrame, *, kind: str = "", name_contains: str = "", limit: int = 50) -> DataFrame:
     """Most recently updated entities per scope, one more than ``limit`` so the caller sees overflow."""
     rows = entities.filter(F.col("kind") != "self_model")

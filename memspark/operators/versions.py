@@ -223,14 +223,12 @@ def relationship_upsert_ordered(edges: DataFrame, bucket: Column) -> DataFrame:
     )
     changes = rows.filter("_starts").groupBy(*keys, "_bucket").agg(F.min("valid_from").alias("_first_change"))
     over = W.partitionBy(*keys).orderBy("_bucket")
-    later = over.rowsBetween(1, W.unboundedFollowing)
     heads = heads.join(changes, [*keys, "_bucket"], "left")
-    # the first later bucket whose head differs, or whose inside changes, ends the run
-    heads = heads.withColumn("_next", F.collect_list(F.struct("_head", "_head_from", "_first_change")).over(later))
-    end = F.get(F.filter("_next", lambda n: (n["_head"] != F.col("_last")) | n["_first_change"].isNotNull()), F.lit(0))
-    heads = heads.select(
-        *keys, "_bucket",
-        F.when(end["_head"] != F.col("_last"), end["_head_from"]).otherwise(end["_first_change"]).alias("_far"),
-    )
+    # the next bucket ends the run if it starts with another object or changes inside; else it is all of
+    # the same object, and what ends its own last run ends this one
+    other = F.lead("_head").over(over) != F.col("_last")
+    stop = F.when(other, F.lead("_head_from").over(over)).otherwise(F.lead("_first_change").over(over))
+    far = F.first("_stop", ignorenulls=True).over(over.rowsBetween(0, W.unboundedFollowing))
+    heads = heads.withColumn("_stop", stop).select(*keys, "_bucket", far.alias("_far"))
     out = rows.join(heads, [*keys, "_bucket"], "inner")
     return out.withColumn("valid_until", F.coalesce("valid_until", "_near", "_far")).drop("_bucket", "_starts", "_near", "_far")

@@ -68,6 +68,11 @@ def _json(attributes: Column, missing: str) -> Column:
     return F.coalesce(text, F.lit(missing))
 
 
+def memory_gate(searched: Column, found: Column) -> Column:
+    """How much memory an answer got: ``skipped`` unsearched, ``full`` with anything found, else ``partial``."""
+    return F.when(~searched, "skipped").when(found, "full").otherwise("partial")
+
+
 def timeframe_backoff(hits: DataFrame, inside: Column) -> DataFrame:
     """Hits inside their query's timeframe; all of a query's hits when none is inside."""
     marked = hits.withColumn("_inside", F.coalesce(inside, F.lit(True)))
@@ -301,8 +306,7 @@ class Search:
         text = first.groupBy(*QKEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["line"]), "").alias("_text"), F.max("section").alias("_last"))
         count = self.counted.select(*QKEY).distinct().withColumn("_counted", F.lit(True))
         q = self.queries.join(text, QKEY, "left").join(count, QKEY, "left")
-        full = F.coalesce(F.col("_last"), F.lit(0)) > 1
-        gate = F.when(~F.col("searched"), "skipped").when(full, "full").otherwise("partial")
+        gate = memory_gate(F.col("searched"), F.coalesce(F.col("_last"), F.lit(0)) > 1)
         # only what was searched is cut to the budget; an anchor alone is shown whole
         shown = F.when(F.col("searched"), X.truncate_budget(F.coalesce("_text", F.lit("")), self.opt.budget)).otherwise(F.coalesce("_text", F.lit("")))
         needs = F.col("searched") & (F.col("is_ordering") | F.coalesce("_counted", F.lit(False)))

@@ -9,6 +9,7 @@ from memspark.functions import timeex as D
 from memspark.operators import matching, panels, versions
 from memspark.operators.scope import SCOPE, scope_filter_batch, writable_batch
 from memspark.operators.search import usable_model, pending_model
+from memspark.plans import retrieve
 from memspark.registry import query
 from memspark.registry.scalars import TF_CTE
 from memspark.registry.views import ORDERS_AS_OF, as_of, audit_log, ctes, entities, episodes, facts, queries, summaries
@@ -99,9 +100,8 @@ def timeframe_filter(t):
  (SELECT list('part:' || p_partkey) FROM part WHERE p_brand = 'Brand#7'))""")
 def entity_overlap_narrow(t):
     """Current summaries that touch a matched entity, as a semi join on the exploded ids."""
-    wanted = t.part.filter("p_brand = 'Brand#7'").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("entity"))
-    s = versions.current_versions(summaries(t)).select("id", F.explode("entities_touched").alias("entity"))
-    return s.join(wanted, "entity", "left_semi").select("id").distinct()
+    wanted = t.part.filter("p_brand = 'Brand#7'").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("entity_id"))
+    return matching.touching(versions.current_versions(summaries(t)), wanted, keys=[]).select("id")
 
 
 @query("entity_list", ctes("place_entities_v") + """SELECT id, name, kind, rank FROM (SELECT *, row_number() OVER (ORDER BY last_updated DESC, name, id)::INTEGER AS rank
@@ -172,5 +172,5 @@ def memory_gate(t):
     q = queries(t)
     hits = matching.stage1_entity_match(q, entities(t)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     n = F.coalesce("n_hits", F.lit(0).cast("long"))
-    gate = F.when(n > 0, "full").when(X.search_signal(F.col("text")), "partial").otherwise("skipped")
+    gate = retrieve.memory_gate((n > 0) | X.search_signal(F.col("text")), n > 0)
     return q.join(hits, "query_id", "left").select("query_id", n.alias("n_hits"), gate.alias("gate"))
