@@ -108,7 +108,10 @@ class Search:
         base = base.join(has, QKEY, "left").withColumn("has_match", F.coalesce("has_match", F.lit(False)))
         searched = (F.col("text") != "") & (F.col("has_match") | F.col("signal") | F.lit(o.force))
         base = base.withColumn("searched", searched)
-        vectors = V.embed_texts(base.filter("searched").select(*QKEY, "text"), QKEY, text, embed, "query_vector").drop("text")
+        if "query_vector" in queries.columns:
+            vectors = queries.select(*QKEY, "query_vector")
+        else:
+            vectors = V.embed_texts(base.filter("searched").select(*QKEY, "text"), QKEY, text, embed, "query_vector").drop("text")
         self.queries = materialize(base.join(vectors, QKEY, "left"), "queries")
         self.live = self.queries.filter("searched")
         self.variants = self._variants(paraphrases, embed)
@@ -363,7 +366,8 @@ class Search:
 def retrieve_batch(queries: DataFrame, tables: MemoryTables, *, as_of: Column, embed, options: Options | None = None, **extra) -> Search:
     """Search for every query; ``context()`` gives gate and text, ``citations()`` the references.
 
-    ``queries``: query_id, acting_kind, acting_owner, scope (the workspace), text.
+    ``queries``: query_id, acting_kind, acting_owner, scope (the workspace), text and, where it is known
+    already, query_vector.
     """
     return Search(queries, tables, as_of=as_of, embed=embed, options=options, **extra)
 

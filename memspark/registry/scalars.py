@@ -339,6 +339,7 @@ def intent_flags(t):
     return queries(t).select("query_id", X.recommendation_intent(c).alias("recommendation"), X.ordering_intent(c).alias("ordering"), X.counting_intent(c).alias("counting"), X.consecutive_intent(c).alias("consecutive"))
 
 
+ORDERING_SQL, RECOMMEND_SQL = any_sql("lower(text)", X.ORDERING_PHRASES), any_sql("lower(text)", X.RECOMMENDATION_PHRASES)
 SIGNAL_SQL = f"({any_sql('lower(text)', X.SIGNAL_PHRASES)} OR (trim(text) <> '' AND (trim(text) LIKE '%?' OR regexp_matches(lower(trim(text)), '^({'|'.join(X.QUESTION_STARTERS)})( |$)'))))"
 
 
