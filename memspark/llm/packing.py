@@ -14,6 +14,8 @@ rows; ids of any length are cut. Columns other than the two named are ignored.
 from __future__ import annotations
 
 import bisect
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm.tables import table
-from memspark.llm.wordchunks import MEMORY_CHARS, Memory, chunks_of, word_pattern, words_of
+from memspark.llm.wordchunks import MEMORY_CHARS, MEMORY_ENTRIES, Memory, word_pattern
 from memspark.session import materialize
 
 CAPACITY = 4096
@@ -65,6 +67,9 @@ def encoder(path: str):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        # texts that Arrow would split or lower-case otherwise than the library, or that may hold special tokens
+        odd = "|".join([r"[\x1c-\x1f\x{130}\x{1c89}\x{a7cb}\x{a7cc}\x{a7da}\x{a7dc}\x{10d50}-\x{10d65}]", *[re.escape(t[:2]) for t in special]])
+        common = re.compile("[\\x00-\\u052f\\u2010-\\u2027\\u2030-\\u205e]*").fullmatch
         find_words, width = word_pattern(), tokenizer.get_vocab_size()
         ends = np.zeros(width, bool)  # every word's last token, and no other, carries the end mark
         ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
@@ -78,38 +83,59 @@ def encoder(path: str):
             raw, stops = ids.tobytes(), (cuts * _ID_BYTES).tolist()
             return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
-        memory = Memory(lambda c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes())
-        words = Memory(lambda w: encode_words([w])[0])
-
-        def learn(new: list[str]) -> None:
-            parts = [None if "<|" in c and any(s in c for s in special) else words_of(c, find_words) for c in new]
-            unknown = list({w for part in parts if part for w in part if w not in words and w not in words.old})
-            fresh: dict[str, bytes] = {}
-            for at in range(0, len(unknown), 5000):
-                some = unknown[at : at + 5000]
-                fresh.update(zip(some, encode_words(some)))
-            for word, ids in fresh.items():
-                words.keep(word, ids)
-            for chunk, part in zip(new, parts):
-                if part is not None:
-                    memory.keep(chunk, b"".join([fresh[w] if w in fresh else words[w] for w in part]))
+        def one(text: str) -> bytes:
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+        chunks_known, words_known = Memory(one), Memory(one, 2 * MEMORY_ENTRIES)
+
+        def recall(memory: Memory, keys: list[str], learn) -> list[bytes]:
+            """What the memory has of ``keys``; the rest is learned in one go."""
+            found = list(map(memory.get, keys))
+            gaps = [i for i, value in enumerate(found) if value is None]
+            old, new = memory.old, []
+            for i in gaps:
+                value = found[i] = old.get(keys[i])
+                if value is None:
+                    new.append(i)
+            for i, value in zip(new, learn([keys[i] for i in new])):
+                found[i] = value
+            memory.keep_all({keys[i]: found[i] for i in gaps if len(keys[i]) <= MEMORY_CHARS})
+            return found
+
+        def learn_words(new: list[str]) -> list[bytes]:
+            return [ids for at in range(0, len(new), 1000) for ids in encode_words(new[at : at + 1000])]
+
+        def learn_chunks(new: list[str]) -> list[bytes]:
+            # outside the old alphabets, Unicode versions may differ on what a letter is: the library splits
+            parts = [([c] if c.isalpha() else find_words(c)) if common(c) else None for c in new]
+            needed = list({w for part in parts if part for w in part})
+            ids = dict(zip(needed, recall(words_known, needed, learn_words)))
+            return [one(c) if p is None else ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]) for c, p in zip(new, parts)]
 
         def encode(texts: pa.StringArray) -> list[bytes]:
             texts = texts.fill_null("")
-            if pc.any(pc.match_substring_regex(texts, "[\\x1c-\\x1f]")).as_py():  # Arrow would split there
-                chunks = pa.array([chunks_of(t) for t in texts.to_pylist()], pa.list_(pa.string()))
-            else:
-                chunks = pc.utf8_split_whitespace(texts)
+            strange = pc.match_substring_regex(texts, odd)
+            if not pc.any(strange).as_py():
+                return encode_plain(texts)
+            plain = iter(encode_plain(texts.filter(pc.invert(strange))))
+            return [one(t.as_py()) if s else next(plain) for t, s in zip(texts, strange.to_pylist())]
+
+        def encode_plain(texts: pa.StringArray) -> list[bytes]:
+            whole = texts.to_pylist()
+            if not all(unicodedata.is_normalized("NFC", t) for t in whole):
+                texts = pa.array([unicodedata.normalize("NFC", t) for t in whole])
+            chunks = pc.utf8_split_whitespace(pc.utf8_lower(texts))
             coded = chunks.flatten().dictionary_encode()
-            distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            learn([c for c in distinct if c not in memory and c not in memory.old and len(c) <= MEMORY_CHARS])
-            found = [memory[c] for c in distinct]
+            found = recall(chunks_known, coded.dictionary.to_pylist(), learn_chunks)
+            at = coded.indices.to_numpy()
             pool = np.frombuffer(b"".join(found), "<u4")
-            sizes = np.fromiter(map(len, found), np.int64, len(found)) // _ID_BYTES
+            sizes = np.fromiter(map(len, found), np.int32, len(found)) // _ID_BYTES
             # every chunk's ids stand once in the pool; gather them in text order
             each = sizes[at]
-            ends_at = np.cumsum(each)
-            ids = pool[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends_at - each), each) + np.arange(int(each.sum()))].tobytes()
+            ends_at = np.cumsum(each, dtype=np.int64)
+            total = int(ends_at[-1]) if len(ends_at) else 0
+            shift = (np.cumsum(sizes, dtype=np.int64) - sizes)[at] - (ends_at - each)
+            ids = pool[np.repeat(shift, each) + np.arange(total)].tobytes()
             stops = np.concatenate([[0], ends_at])[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()] * _ID_BYTES
             return [ids[a:b] for a, b in zip(stops.tolist(), stops[1:].tolist())]
 

@@ -48,6 +48,13 @@ class Memory(dict):
                 self.clear()
             self[key] = value
 
+    def keep_all(self, items: dict) -> None:
+        """Keep many at once; the caller leaves long keys out."""
+        if len(self) + len(items) > self.entries:
+            self.old = dict(self)
+            self.clear()
+        self.update(items)
+
 
 def words_of(chunk: str, find_words: Callable[[str], list[str]]) -> list[str]:
     """The tokenizer's words in a chunk: normal form C, lower case, then its word pattern."""
