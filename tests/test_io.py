@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,4 +145,17 @@ def test_turns_close_after_silence(spark):
 
 def test_scratch_lies_in_the_shared_folder(spark):
     df = materialize(spark.range(3).toDF("n"), "probe")
-    assert df.count() == 3 and shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    wanted = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir().rsplit("/", 1)[0]
+    assert df.count() == 3 and shared_dir(spark) == wanted
+
+
+def test_scratch_without_any_spark_settings(tmp_path):
+    """A fresh local session that names no folder makes its own one; checkpoints and written stages work."""
+    code = (
+        "from pyspark.sql import SparkSession\nfrom memspark.session import cut_lineage, materialize\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print('rows', materialize(s.range(3), 'a').count() + cut_lineage(s.range(4)).count())"
+    )
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "TMPDIR": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, timeout=300)
+    assert "rows 7" in done.stdout, done.stderr[-2000:]
