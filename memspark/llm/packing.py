@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm.tables import table
-from memspark.llm.wordchunks import MEMORY_CHARS, MEMORY_ENTRIES, Memory, word_pattern
+from memspark.llm.wordchunks import MEMORY_CHARS, Memory, word_pattern
 from memspark.session import materialize
 
 CAPACITY = 4096
@@ -33,7 +33,7 @@ OPEN_WINDOWS = 32
 #: Partitions whose open windows are merged in one task.
 GROUP = 8
 #: Text encoded at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 END_ID = 2
 _ID_BYTES = 4
 #: A sequence id is made of the round, the partition or group, and a count within it.
@@ -86,32 +86,56 @@ def encoder(path: str):
         def one(text: str) -> bytes:
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        chunks_known, words_known = Memory(one), Memory(one, 2 * MEMORY_ENTRIES)
-
-        def recall(memory: Memory, keys: list[str], learn) -> list[bytes]:
-            """What the memory has of ``keys``; the rest is learned in one go."""
+        memory = Memory(one, 400_000)  # of words and of chunks; some 170 MB with both generations
+
+        def learn(new: list[str]) -> dict[str, bytes]:
+            """Ids of chunks, and of the words in them, that the memory lacks."""
+            ids, parts, words = {}, {}, set()
+            for c in new:
+                if not common(c):  # Unicode versions may differ on what a letter is: the library splits
+                    ids[c] = one(c)
+                elif c.isalpha():
+                    words.add(c)
+                else:
+                    parts[c] = find_words(c)
+                    words.update(parts[c])
+            unknown = []
+            for w in words:
+                value = memory.get(w) or memory.old.get(w)
+                if value is None:
+                    unknown.append(w)
+                else:
+                    ids[w] = value
+            for at in range(0, len(unknown), 1000):
+                some = unknown[at : at + 1000]
+                ids.update(zip(some, encode_words(some)))
+            for c, part in parts.items():
+                if part != [c]:
+                    ids[c] = b"".join([ids[w] for w in part])
+            return ids
+
+        def recall(keys: list[str]) -> list[bytes]:
             found = list(map(memory.get, keys))
             gaps = [i for i, value in enumerate(found) if value is None]
-            old, new = memory.old, []
+            old, new, fresh = memory.old, [], {}
             for i in gaps:
                 value = found[i] = old.get(keys[i])
                 if value is None:
                     new.append(i)
-            for i, value in zip(new, learn([keys[i] for i in new])):
-                found[i] = value
-            memory.keep_all({keys[i]: found[i] for i in gaps if len(keys[i]) <= MEMORY_CHARS})
+                else:
+                    fresh[keys[i]] = value
+            if new:
+                ids = learn([keys[i] for i in new])
+                for i in new:
+                    found[i] = ids[keys[i]]
+                fresh.update(ids)
+            if fresh:
+                long = [k for k in fresh if len(k) > MEMORY_CHARS]
+                for k in long:
+                    del fresh[k]
+                memory.keep_all(fresh)
             return found
 
-        def learn_words(new: list[str]) -> list[bytes]:
-            return [ids for at in range(0, len(new), 1000) for ids in encode_words(new[at : at + 1000])]
-
-        def learn_chunks(new: list[str]) -> list[bytes]:
-            # outside the old alphabets, Unicode versions may differ on what a letter is: the library splits
-            parts = [([c] if c.isalpha() else find_words(c)) if common(c) else None for c in new]
-            needed = list({w for part in parts if part for w in part})
-            ids = dict(zip(needed, recall(words_known, needed, learn_words)))
-            return [one(c) if p is None else ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]) for c, p in zip(new, parts)]
-
         def encode(texts: pa.StringArray) -> list[bytes]:
             texts = texts.fill_null("")
             strange = pc.match_substring_regex(texts, odd)
@@ -126,7 +150,7 @@ def encoder(path: str):
                 texts = pa.array([unicodedata.normalize("NFC", t) for t in whole])
             chunks = pc.utf8_split_whitespace(pc.utf8_lower(texts))
             coded = chunks.flatten().dictionary_encode()
-            found = recall(chunks_known, coded.dictionary.to_pylist(), learn_chunks)
+            found = recall(coded.dictionary.to_pylist())
             at = coded.indices.to_numpy()
             pool = np.frombuffer(b"".join(found), "<u4")
             sizes = np.fromiter(map(len, found), np.int32, len(found)) // _ID_BYTES
