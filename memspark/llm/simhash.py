@@ -44,7 +44,11 @@ def fingerprint(text: str) -> int:
         return 0
     hashed, join = xxhash.xxh64_intdigest, b" ".join
     shingles = map(join, zip(*(words[i:] for i in range(WORDS)))) if len(words) >= WORDS else [join(words)]
-    codes = np.array([hashed(s, SEED) for s in shingles], np.uint64)
+    return majority(np.array([hashed(s, SEED) for s in shingles], np.uint64))
+
+
+def majority(codes: np.ndarray) -> int:
+    """The signed 64-bit number whose bits are those set in over half of ``codes``."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(codes), _SLICE):
         part = codes[at : at + _SLICE]
@@ -179,11 +183,12 @@ def link_forest(fps: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE
     return cells.mapInArrow(_cells(radius), "src long, dst long")
 
 
-def fingerprint_components(rows: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+def fingerprint_components(rows: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, more: DataFrame | None = None) -> DataFrame:
     """Every distinct ``fp`` of written ``rows`` (fp, doc_id) with ``component``, a number naming its
-    connected part, and ``component_id``, the smallest doc_id in it."""
+    connected part, and ``component_id``, the smallest doc_id in it. ``more``: further links (src, dst)."""
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fps")
-    edges = materialize(link_forest(fps.select("fp"), radius, tree_size).distinct(), "links")
+    links = link_forest(fps.select("fp"), radius, tree_size)
+    edges = materialize((links if more is None else links.unionByName(more)).distinct(), "links")
     nodes = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst"))).distinct()
     labels = components(nodes, edges, []).select(F.col("id").alias("fp"), F.col("label").alias("component"))
     linked = materialize(fps.join(labels, "fp"), "linked")
@@ -201,14 +206,125 @@ def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- near copies with edits -----------------------------------------------------------------------------
+
+#: For texts with a few edits: words of a shingle and differing bits (pairs of a likeness of 0.8 stay below);
+#: a text's smallest shingle hashes: so many are kept, it is filed under the first few of them, and a pair
+#: counts if the kept ones estimate this likeness (0.8 less three standard errors); the largest shard searched as it is.
+EDIT_WORDS, EDIT_RADIUS, SKETCH, FILED, EDIT_LIKENESS, SHARD_ROWS = 5, 16, 32, 8, 0.55, 1024
+
+
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    found = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    hashed, join = xxhash.xxh64_intdigest, b" ".join
+    shingles = map(join, zip(*(found[i:] for i in range(words)))) if len(found) >= words else [join(found)]
+    return np.array([hashed(s, SEED) for s in shingles], np.uint64)
+
+
+def edit_signatures(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The ``keep`` columns, ``fp``, ``fp5`` (the fingerprint over shingles of five words) and ``sketch``."""
+    types = dict(docs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, wide, sketches = [], [], []
+            for t in batch.column(0):
+                text = t.as_py() or ""
+                codes = shingle_hashes(text, EDIT_WORDS)
+                fps.append(fingerprint(text))
+                wide.append(majority(codes))
+                sketches.append(np.unique(codes)[:SKETCH].view("i8"))
+            columns = [pa.array(fps, pa.int64()), pa.array(wide, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[*keep, "fp", "fp5", "sketch"])
+
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in keep], "fp long, fp5 long, sketch array<long>"])
+    return docs.select(F.col(text_col), *keep).mapInArrow(run, schema)
+
+
+def _sketch_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (fp, fp) of each shard's tree over ``fp5``; rows (shard, fp5, fp, sketch) come sorted by shard."""
+    shard, rows = None, []
+
+    def solve() -> list[tuple[int, int]]:
+        tree, known, edges = BkTree(), {}, []
+        for fp5, fp, sketch in rows:
+            near = [other for value in tree.within(fp5, EDIT_RADIUS) for other in known[value]]
+            edges += [(fp, other) for other, its in near if other != fp and sketch_likeness(sketch, its) >= EDIT_LIKENESS]
+            if fp5 not in known:
+                known[fp5] = []
+                tree.add(fp5)
+            known[fp5].append((fp, sketch))
+        return forest(edges)
+
+    for batch in batches:
+        edges = []
+        for key, fp5, fp, sketch in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+            if key != shard:
+                edges += solve() if len(rows) > 1 else []
+                shard, rows = key, []
+            rows.append((fp5, fp, np.asarray(sketch.values, np.int64).view(np.uint64)))
+        if edges:
+            yield _edge_batch(edges)
+    if len(rows) > 1 and (edges := solve()):
+        yield _edge_batch(edges)
+
+
+def sketch_likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard likeness of two shingle sets, estimated from their smallest hashes (exact for small sets)."""
+    smallest = np.union1d(a, b)[:SKETCH]
+    return float(np.isin(smallest, np.intersect1d(a, b, assume_unique=True)).mean())
+
+
+def forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The edges that join something not joined before."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(p, p)
+        return x
+
+    out = []
+    for a, b in edges:
+        x, y = top(a), top(b)
+        if x != y:
+            parent[x] = y
+            out.append((a, b))
+    return out
+
+
+def edit_links(rows: DataFrame) -> DataFrame:
+    """Links (src, dst) between ``fp`` of written ``rows`` (fp, fp5, sketch) that are near and alike.
+
+    Texts with most shingles in common share most of their smallest shingle hashes, so each is filed under
+    its own few and each shard has a BK-tree over ``fp5``. A hash that more than ``SHARD_ROWS`` texts hold
+    stands in a common passage and tells nothing; a text that holds only such hashes is filed under all of
+    them as one.
+    """
+    texts = rows.groupBy("fp", "fp5").agg(F.first("sketch").alias("sketch"))
+    filed = materialize(texts.select("fp", "fp5", F.xxhash64("sketch").alias("whole"), F.explode(F.slice("sketch", 1, FILED)).alias("shard")), "sketches")
+    sizes = filed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    common = sizes.filter(F.col("n") > SHARD_ROWS).select("shard")
+    rare = filed.join(sizes.filter(F.col("n") <= SHARD_ROWS).select("shard"), "shard").select("shard", "fp5", "fp")
+    counts = filed.groupBy("fp", "fp5", "whole").agg(F.count(F.lit(1)).alias("all"))
+    held = filed.join(common, "shard").groupBy("fp", "fp5").agg(F.count(F.lit(1)).alias("common"))
+    only = held.join(counts, ["fp", "fp5"]).filter("common = all").select(F.col("whole").alias("shard"), "fp5", "fp")
+    shards = rare.unionByName(only).join(texts, ["fp", "fp5"]).select("shard", "fp5", "fp", "sketch")
+    return shards.repartition("shard").sortWithinPartitions("shard", "fp5", "fp").mapInArrow(_sketch_forest, "src long, dst long")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component stays, unchanged: that of the smallest doc_id (nulls last), of equal ids
-    that of the smallest hash of its text, of equal rows any one."""
+    """One row of each group stays, unchanged: that of the smallest doc_id (nulls last), of equal ids
+    that of the smallest hash of its text, of equal rows any one.
+
+    Groups are linked by fingerprints of three words at two bits, as in ``op8``, and for texts with edits by
+    those of five words at ``EDIT_RADIUS`` bits.
+    """
     columns = docs.columns
     keyed = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("key", F.sha2("text", 256))
-    rows = materialize(fingerprints(keyed, ["doc_id", "key"]), "simhash")
-    named = rows.join(fingerprint_components(rows).select("fp", "component"), "fp")
+    rows = materialize(edit_signatures(keyed, ["doc_id", "key"]), "simhash")
+    named = rows.select("doc_id", "key", "fp").join(fingerprint_components(rows, more=edit_links(rows)).select("fp", "component"), "fp")
     order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key")
     stay = named.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("keep_id"), F.col("first.key").alias("keep_key"))
     kept = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["keep_id"]) & (keyed["key"] == stay["keep_key"]))
