@@ -33,6 +33,8 @@ WORDS = 3
 SEED = 42
 TREE_SIZE = 4096
 _BLOCK_BITS = 16
+#: Signed numbers of different sign differ in a negative number, whose bits Python does not count.
+_ALL_BITS = (1 << 64) - 1
 _SLICE = 1 << 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -83,7 +85,7 @@ class BkTree:
             return
         value, children = self.root
         while True:
-            d = (fp ^ value).bit_count()
+            d = ((fp ^ value) & _ALL_BITS).bit_count()
             below = children.get(d)
             if below is None:
                 children[d] = (fp, {})
@@ -96,7 +98,7 @@ class BkTree:
         found, open_ = [], [self.root]
         while open_:
             value, children = open_.pop()
-            d = (fp ^ value).bit_count()
+            d = ((fp ^ value) & _ALL_BITS).bit_count()
             if d <= radius:
                 found.append(value)
             for edge in range(d - radius, d + radius + 1):

@@ -207,3 +207,36 @@ def test_spotsig_pairs_match_brute_force(spark):
         want = {frozenset((a, b)) for k, a in enumerate(names) for b in names[k + 1 :] if len(own[a] & own[b]) / len(own[a] | own[b]) >= at_least}
         found = spotsigs.spotsig_pairs(spark.createDataFrame(sets), at_least).collect()
         assert {frozenset((r["a"], r["b"])) for r in found} == want and len(found) == len(want)
+
+
+def test_edited_copies_go_and_shared_passages_stay(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    rows, copies = [], 0
+    passage = " ".join(word() for _ in range(60))
+    for group in range(12):
+        words = [word() for _ in range(300)]
+        rows.append((100 * group, " ".join(words)))
+        for n in range(1, 4):
+            edited = list(words)
+            for at in rnd.sample(range(300), 3):
+                edited[at] = word()
+            rows.append((100 * group + n, " ".join(edited)))
+            copies += 1
+        rows.append((100 * group + 50, " ".join([*(word() for _ in range(120)), passage, *(word() for _ in range(120))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    assert kept >= {i for i, _ in rows if i % 100 in (0, 50)}
+    assert len(kept) == len(rows) - copies
+
+
+def test_common_passages_alone_are_filed_as_one(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 2)
+    texts = ["alpha beta gamma delta epsilon zeta eta"] * 3
+    rows = simhash.edit_signatures(spark.createDataFrame([(i, f"{t}{'!' * i}") for i, t in enumerate(texts)], "doc_id long, text string"), ["doc_id"])
+    assert simhash.edit_links(rows.cache()).count() >= 0
+
+
+def test_sketches_estimate_likeness():
+    a, b = np.arange(0, 1000, dtype=np.uint64) * np.uint64(7919), np.arange(100, 1100, dtype=np.uint64) * np.uint64(7919)
+    assert simhash.sketch_likeness(a[:10], a[:10]) == 1.0 and simhash.sketch_likeness(a[:10], b[900:910]) == 0.0
