@@ -108,24 +108,37 @@ class BkTree:
         return found
 
 
-def cell_forest(tree_side: list[int], query_side: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links inside one part (``query_side`` None) or across two parts of a shard."""
-    parent: dict[int, int] = {}
+class Parts:
+    """Connected parts of what has been joined."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-    def top(x: int) -> int:
+    def top(self, x: int) -> int:
+        parent = self.parent
         while (p := parent.setdefault(x, x)) != x:
             parent[x] = x = parent.setdefault(p, p)
         return x
 
-    tree, edges = BkTree(), []
+    def same(self, a: int, b: int) -> bool:
+        return self.top(a) == self.top(b)
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.top(a), self.top(b)
+        self.parent[a] = b
+        return a != b
+
+
+def cell_forest(tree_side: list[int], query_side: list[int] | None, radius: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links inside one part (``query_side`` None) or across two parts of a shard."""
+    tree, parts, edges = BkTree(), Parts(), []
     if query_side is not None:
         for fp in tree_side:
             tree.add(fp)
     for fp in tree_side if query_side is None else query_side:
         for other in tree.within(fp, radius):
-            a, b = top(fp), top(other)
-            if a != b:
-                parent[a] = b
+            if parts.join(fp, other):
                 edges.append((fp, other))
         if query_side is None:
             tree.add(fp)
@@ -248,15 +261,18 @@ def _sketch_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     shard, rows = None, []
 
     def solve() -> list[tuple[int, int]]:
-        tree, known, edges = BkTree(), {}, []
+        tree, known, parts, edges = BkTree(), {}, Parts(), []
         for fp5, fp, sketch in rows:
-            near = [other for value in tree.within(fp5, EDIT_RADIUS) for other in known[value]]
-            edges += [(fp, other) for other, its in near if other != fp and sketch_likeness(sketch, its) >= EDIT_LIKENESS]
+            for value in tree.within(fp5, EDIT_RADIUS):
+                for other, its in known[value]:  # what is joined already needs no comparison
+                    if not parts.same(fp, other) and sketch_likeness(sketch, its) >= EDIT_LIKENESS:
+                        parts.join(fp, other)
+                        edges.append((fp, other))
             if fp5 not in known:
                 known[fp5] = []
                 tree.add(fp5)
             known[fp5].append((fp, sketch))
-        return forest(edges)
+        return edges
 
     for batch in batches:
         edges = []
@@ -277,24 +293,6 @@ def sketch_likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(smallest, np.intersect1d(a, b, assume_unique=True)).mean())
 
 
-def forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The edges that join something not joined before."""
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(p, p)
-        return x
-
-    out = []
-    for a, b in edges:
-        x, y = top(a), top(b)
-        if x != y:
-            parent[x] = y
-            out.append((a, b))
-    return out
-
-
 def edit_links(rows: DataFrame) -> DataFrame:
     """Links (src, dst) between ``fp`` of written ``rows`` (fp, fp5, sketch) that are near and alike.
 
@@ -312,7 +310,9 @@ def edit_links(rows: DataFrame) -> DataFrame:
     held = filed.join(common, "shard").groupBy("fp", "fp5").agg(F.count(F.lit(1)).alias("common"))
     only = held.join(counts, ["fp", "fp5"]).filter("common = all").select(F.col("whole").alias("shard"), "fp5", "fp")
     shards = rare.unionByName(only).join(texts, ["fp", "fp5"]).select("shard", "fp5", "fp", "sketch")
-    return shards.repartition("shard").sortWithinPartitions("shard", "fp5", "fp").mapInArrow(_sketch_forest, "src long, dst long")
+    # shards cost computing time, not bytes, so they are spread by number and not coalesced by size
+    n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shards.repartition(n, "shard").sortWithinPartitions("shard", "fp5", "fp").mapInArrow(_sketch_forest, "src long, dst long")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
