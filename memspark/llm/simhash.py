@@ -223,10 +223,10 @@ def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near copies with edits -----------------------------------------------------------------------------
 
-#: For texts with a few edits: words of a shingle and differing bits (pairs of a likeness of 0.8 stay below);
-#: a text's smallest shingle hashes: so many are kept, it is filed under the first few of them, and a pair
-#: counts if the kept ones estimate this likeness (0.8 less three standard errors); the largest shard searched as it is.
-EDIT_WORDS, EDIT_RADIUS, SKETCH, FILED, EDIT_LIKENESS, SHARD_ROWS = 5, 16, 32, 8, 0.55, 1024
+#: For texts with a few edits: words of a shingle; a text's smallest shingle hashes: so many are kept, and it is
+#: filed under the first few of them; a pair counts if the kept ones estimate this likeness (0.8 less three
+#: standard errors); the most texts of a part.
+EDIT_WORDS, SKETCH, FILED, EDIT_LIKENESS, SHARD_ROWS = 5, 32, 8, 0.55, 1024
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -237,54 +237,110 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 
 def edit_signatures(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns, ``fp``, ``fp5`` (the fingerprint over shingles of five words) and ``sketch``."""
+    """The ``keep`` columns, ``fp`` and ``sketch``."""
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, wide, sketches = [], [], []
+            fps, sketches = [], []
             for t in batch.column(0):
                 text = t.as_py() or ""
-                codes = shingle_hashes(text, EDIT_WORDS)
                 fps.append(fingerprint(text))
-                wide.append(majority(codes))
-                sketches.append(np.unique(codes)[:SKETCH].view("i8"))
-            columns = [pa.array(fps, pa.int64()), pa.array(wide, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[*keep, "fp", "fp5", "sketch"])
+                sketches.append(np.unique(shingle_hashes(text, EDIT_WORDS))[:SKETCH].view("i8"))
+            columns = [pa.array(fps, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[*keep, "fp", "sketch"])
 
-    schema = ", ".join([*[f"`{c}` {types[c]}" for c in keep], "fp long, fp5 long, sketch array<long>"])
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in keep], "fp long, sketch array<long>"])
     return docs.select(F.col(text_col), *keep).mapInArrow(run, schema)
 
 
-def _sketch_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (fp, fp) of each shard's tree over ``fp5``; rows (shard, fp5, fp, sketch) come sorted by shard."""
-    shard, rows = None, []
-
-    def solve() -> list[tuple[int, int]]:
-        tree, known, parts, edges = BkTree(), {}, Parts(), []
-        for fp5, fp, sketch in rows:
-            for value in tree.within(fp5, EDIT_RADIUS):
-                for other, its in known[value]:  # what is joined already needs no comparison
-                    if not parts.same(fp, other) and sketch_likeness(sketch, its) >= EDIT_LIKENESS:
-                        parts.join(fp, other)
-                        edges.append((fp, other))
-            if fp5 not in known:
-                known[fp5] = []
-                tree.add(fp5)
-            known[fp5].append((fp, sketch))
-        return edges
-
-    for batch in batches:
-        edges = []
-        for key, fp5, fp, sketch in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-            if key != shard:
-                edges += solve() if len(rows) > 1 else []
-                shard, rows = key, []
-            rows.append((fp5, fp, np.asarray(sketch.values, np.int64).view(np.uint64)))
-        if edges:
+class SketchTest:
+    """Which of ``sets`` the sketches estimate to be alike to a query."""
+
+    def __init__(self, sets: list[np.ndarray], values: int):
+        self.size = np.array([len(s) for s in sets])
+        self.table = np.full((len(sets), SKETCH), values)
+        for row, s in zip(self.table, sets):
+            row[: len(s)] = s
+
+    def hits(self, query: np.ndarray, mark: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        both = mark[self.table]
+        shared = both.sum(axis=1)
+        union = np.minimum(SKETCH, self.size + len(query) - shared)
+        at = np.flatnonzero(apart & (shared >= EDIT_LIKENESS * union))
+        both = both[at]
+        rank = np.arange(SKETCH) + np.searchsorted(query, self.table[at]) - (np.cumsum(both, axis=1) - both)
+        return at[(both & (rank < SKETCH)).sum(axis=1) >= EDIT_LIKENESS * union[at]]
+
+
+def likeness_forest(left: list[np.ndarray], right: list[np.ndarray] | None, test: type) -> list[tuple[int, int]]:
+    """Spanning forest (place, place) of the pairs of sets that pass, inside one part or across two; the places of
+    ``right`` follow those of ``left``."""
+    if not left or right is not None and not right:
+        return []
+    sets = [*left, *(right or [])]
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]  # numbered in the order of the hashes
+    values = int(ids.max()) + 1
+    sets = np.split(ids, np.cumsum([len(s) for s in sets])[:-1])
+    searched = test(sets[: len(left)], values)
+    mark, label, edges = np.zeros(values + 1, bool), np.arange(len(sets)), []
+    for i in range(0 if right is None else len(left), len(sets)):
+        apart = label[: len(left)] != label[i]
+        if not apart.any():
+            continue
+        mark[sets[i]] = True
+        for j in searched.hits(sets[i], mark, apart).tolist():
+            if label[j] != label[i]:  # what is joined already needs no link
+                edges.append((i, j))
+                label[label == label[j]] = label[i]
+        mark[sets[i]] = False
+    return edges
+
+
+def _set_cells(test: type):
+    """``mapInArrow`` over rows sorted by cell: (shard, left, right, part, fp, values)."""
+
+    def solve(cell, sides) -> list[tuple[int, int]]:
+        if cell is None:
+            return []
+        _, left, right = cell
+        a, b = sides.get(left, []), [] if left == right else sides.get(right, [])
+        fps = [fp for fp, _ in [*a, *b]]
+        forest = likeness_forest([s for _, s in a], None if left == right else [s for _, s in b], test)
+        return [(fps[i], fps[j]) for i, j in forest if fps[i] != fps[j]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sides = None, {}
+        for batch in batches:
+            edges, lists = [], batch.column(5)
+            flat, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_pylist()
+            for n, (shard, left, right, part, fp) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(5)))):
+                if (shard, left, right) != cell:
+                    edges += solve(cell, sides)
+                    cell, sides = (shard, left, right), {}
+                sides.setdefault(part, []).append((fp, flat[offsets[n] : offsets[n + 1]].copy()))
+            if edges:
+                yield _edge_batch(edges)
+        if edges := solve(cell, sides):
             yield _edge_batch(edges)
-    if len(rows) > 1 and (edges := solve()):
-        yield _edge_batch(edges)
+
+    return run
+
+
+def _in_cells(placed: DataFrame, values: str, test: type) -> DataFrame:
+    """Links (src, dst) of all pairs that pass in each shard; ``placed``: shard, parts, key, fp and ``values``.
+
+    Every part of a shard meets every other in a task of its own.
+    """
+    placed = placed.withColumn("part", F.pmod(F.hash("key"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    cells = placed.select("shard", "part", "fp", values, other).select(
+        "shard", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "fp", values
+    )
+    # cells cost computing time, not bytes, so they are spread by number and not coalesced by size
+    n = 4 * int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(n, "shard", "left", "right").sortWithinPartitions("shard", "left", "right", "fp")
+    return cells.mapInArrow(_set_cells(test), "src long, dst long")
 
 
 def sketch_likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -294,25 +350,17 @@ def sketch_likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def edit_links(rows: DataFrame) -> DataFrame:
-    """Links (src, dst) between ``fp`` of written ``rows`` (fp, fp5, sketch) that are near and alike.
+    """Links (src, dst) between ``fp`` of written ``rows`` (fp, sketch) that the sketches estimate to be alike.
 
     Texts with most shingles in common share most of their smallest shingle hashes, so each is filed under
-    its own few and each shard has a BK-tree over ``fp5``. A hash that more than ``SHARD_ROWS`` texts hold
-    stands in a common passage and tells nothing; a text that holds only such hashes is filed under all of
-    them as one.
+    its own few. A hash that more than ``SHARD_ROWS`` texts hold is cut into parts, and all pairs of parts
+    are searched.
     """
-    texts = rows.groupBy("fp", "fp5").agg(F.first("sketch").alias("sketch"))
-    filed = materialize(texts.select("fp", "fp5", F.xxhash64("sketch").alias("whole"), F.explode(F.slice("sketch", 1, FILED)).alias("shard")), "sketches")
+    texts = rows.select("fp", "sketch").distinct().withColumn("key", F.xxhash64("sketch"))
+    filed = materialize(texts.select("fp", "key", F.explode(F.slice("sketch", 1, FILED)).alias("shard")), "sketches")
     sizes = filed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    common = sizes.filter(F.col("n") > SHARD_ROWS).select("shard")
-    rare = filed.join(sizes.filter(F.col("n") <= SHARD_ROWS).select("shard"), "shard").select("shard", "fp5", "fp")
-    counts = filed.groupBy("fp", "fp5", "whole").agg(F.count(F.lit(1)).alias("all"))
-    held = filed.join(common, "shard").groupBy("fp", "fp5").agg(F.count(F.lit(1)).alias("common"))
-    only = held.join(counts, ["fp", "fp5"]).filter("common = all").select(F.col("whole").alias("shard"), "fp5", "fp")
-    shards = rare.unionByName(only).join(texts, ["fp", "fp5"]).select("shard", "fp5", "fp", "sketch")
-    # shards cost computing time, not bytes, so they are spread by number and not coalesced by size
-    n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(n, "shard").sortWithinPartitions("shard", "fp5", "fp").mapInArrow(_sketch_forest, "src long, dst long")
+    sizes = sizes.select("shard", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("parts"))
+    return _in_cells(filed.join(sizes, "shard").join(texts, ["fp", "key"]), "sketch", SketchTest)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -320,7 +368,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     that of the smallest hash of its text, of equal rows any one.
 
     Groups are linked by fingerprints of three words at two bits, as in ``op8``, and for texts with edits by
-    those of five words at ``EDIT_RADIUS`` bits.
+    the likeness their sketches estimate (``edit_links``).
     """
     columns = docs.columns
     keyed = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
