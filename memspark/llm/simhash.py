@@ -224,9 +224,9 @@ def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- near copies with edits -----------------------------------------------------------------------------
 
 #: For texts with a few edits: words of a shingle; a text's smallest shingle hashes: so many are kept, and it is
-#: filed under the first few of them; a pair counts if the kept ones estimate this likeness (0.8 less three
-#: standard errors); the most texts of a part.
-EDIT_WORDS, SKETCH, FILED, EDIT_LIKENESS, SHARD_ROWS = 5, 32, 8, 0.55, 1024
+#: filed under the first few of them; a pair is looked at closer if the kept ones estimate ``EDIT_LIKENESS`` (0.8 less
+#: three standard errors) and linked if all shingles give 4/5; the most texts, and about the most shingles, of a part.
+EDIT_WORDS, SKETCH, FILED, EDIT_LIKENESS, SHARD_ROWS, PART_SHINGLES = 5, 32, 8, 0.55, 1024, 1 << 22
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -273,6 +273,18 @@ class SketchTest:
         return at[(both & (rank < SKETCH)).sum(axis=1) >= EDIT_LIKENESS * union[at]]
 
 
+class WholeTest:
+    """Which of ``sets`` have a likeness of 4/5 or more to a query, by all their members."""
+
+    def __init__(self, sets: list[np.ndarray], values: int):
+        self.size = np.array([len(s) for s in sets])
+        self.flat, self.starts = np.concatenate(sets), np.cumsum(self.size) - self.size
+
+    def hits(self, query: np.ndarray, mark: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        shared = np.add.reduceat(mark[self.flat], self.starts, dtype=np.int64)
+        return np.flatnonzero(apart & (5 * shared >= 4 * (self.size + len(query) - shared)))
+
+
 def likeness_forest(left: list[np.ndarray], right: list[np.ndarray] | None, test: type) -> list[tuple[int, int]]:
     """Spanning forest (place, place) of the pairs of sets that pass, inside one part or across two; the places of
     ``right`` follow those of ``left``."""
@@ -363,18 +375,44 @@ def edit_links(rows: DataFrame) -> DataFrame:
     return _in_cells(filed.join(sizes, "shard").join(texts, ["fp", "key"]), "sketch", SketchTest)
 
 
+def exact_links(texts: DataFrame, rows: DataFrame, near: DataFrame) -> DataFrame:
+    """Links (src, dst) of all pairs with a likeness of 4/5 or more in the connected parts of the links ``near``.
+
+    ``texts``: doc_id, key and text; ``rows``: their doc_id, key and fp. Sets of all shingles are made only for texts
+    in such a part, one of each key.
+    """
+    edges = materialize(near.distinct(), "near")
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    labels = components(nodes, edges, []).select(F.col("id").alias("fp"), F.col("label").alias("shard"))
+    first = rows.groupBy("key", "fp").agg(F.min("doc_id").alias("_id")).join(labels, "fp").withColumnRenamed("key", "_key")
+    chosen = texts.join(first, texts["doc_id"].eqNullSafe(first["_id"]) & (texts["key"] == first["_key"])).select("text", "shard", "fp", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):  # the sets outgrow their texts
+                part = batch.slice(at, 64)
+                sets = [np.unique(shingle_hashes(t.as_py() or "", EDIT_WORDS)).view("i8") for t in part.column(0)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, pa.list_(pa.int64()))], names=["shard", "fp", "key", "shingles"])
+
+    sets = materialize(chosen.mapInArrow(run, "shard long, fp long, key string, shingles array<long>"), "shingles")
+    most = F.greatest(F.ceil(F.count(F.lit(1)) / SHARD_ROWS), F.ceil(F.sum(F.size("shingles")) / PART_SHINGLES))
+    sizes = sets.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), most.cast("int").alias("parts")).filter("n > 1").drop("n")
+    return _in_cells(sets.join(sizes, "shard"), "shingles", WholeTest)
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group stays, unchanged: that of the smallest doc_id (nulls last), of equal ids
     that of the smallest hash of its text, of equal rows any one.
 
     Groups are linked by fingerprints of three words at two bits, as in ``op8``, and for texts with edits by
-    the likeness their sketches estimate (``edit_links``).
+    a likeness of 4/5 or more of their five-word shingles (``exact_links``).
     """
     columns = docs.columns
     keyed = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("key", F.sha2("text", 256))
     rows = materialize(edit_signatures(keyed, ["doc_id", "key"]), "simhash")
-    named = rows.select("doc_id", "key", "fp").join(fingerprint_components(rows, more=edit_links(rows)).select("fp", "component"), "fp")
+    links = exact_links(keyed.select("doc_id", "key", "text"), rows.select("doc_id", "key", "fp"), edit_links(rows))
+    named = rows.select("doc_id", "key", "fp").join(fingerprint_components(rows, more=links).select("fp", "component"), "fp")
     order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key")
     stay = named.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("keep_id"), F.col("first.key").alias("keep_key"))
     kept = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["keep_id"]) & (keyed["key"] == stay["keep_key"]))

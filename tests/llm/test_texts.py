@@ -278,3 +278,17 @@ def test_large_groups_of_edited_copies_go(spark, monkeypatch):
     assert kept_by_brute_force(rows) == {0}
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"] for r in kept.collect()} == {0}
+
+
+def test_texts_below_the_threshold_stay(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    passage, rows = [word() for _ in range(250)], []
+    for i in range(20):  # likeness 0.71: unrelated text of their own around one long shared passage
+        own = [word() for _ in range(48)]
+        rows.append((i, " ".join([*own[:24], *passage, *own[24:]])))
+    for group in range(8):  # likenesses on both sides of 0.8
+        rows += edited_rows(rnd, range(100 + 10 * group, 106 + 10 * group), [word() for _ in range(300)], word, 2 + group)
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = kept_by_brute_force(rows)
+    assert set(range(20)) <= want and {r["doc_id"] for r in kept.collect()} == want
