@@ -33,7 +33,7 @@ from memspark.session import materialize
 LEAST_CHARS = 12
 #: Most common words of the corpus that make the dictionary, and the fewest letters of one.
 DICTIONARY_WORDS, DICTIONARY_LETTERS = 2000, 3
-#: Labelled findings of each class the forest is fitted on, by hash order.
+#: Different labelled findings of each class the forest is fitted on, by hash order.
 SAMPLE_ROWS = 4000
 SEEDS = 300
 TREES, DEPTH, SEED = 24, 7, 5
@@ -162,13 +162,15 @@ def seed_findings(spark: SparkSession, n: int = SEEDS) -> DataFrame:
     return good.unionByName(bad).select(F.lit("").alias("path"), F.lit(0).alias("position"), word.alias("word"), "before", "before2", F.lit("and").alias("after"), "name", "value", "label")
 
 
-def fit_forest(labelled: DataFrame, rows: int = SAMPLE_ROWS):
-    """A forest from findings with ``FEATURES`` and ``label``; at most ``rows`` of each class, by hash order."""
-    key = F.concat_ws("|", "value", "before", "before2", "after", "path").alias("_key")
-    known = labelled.filter(F.col("label").isin(0, 1)).select(*FEATURES, F.col("label").cast("double").alias("label"), key)
+def fit_forest(labelled: DataFrame, seeds: DataFrame, rows: int = SAMPLE_ROWS):
+    """A forest from findings with ``FEATURES`` and ``label``: all ``seeds`` and at most ``rows`` others of each class, by
+    hash order; copies of a finding count once."""
+    key = F.md5(F.to_json(F.struct("path", "word", "before", "before2", "after", "name", "value"))).alias("_key")
+    named = [*FEATURES, F.col("label").cast("double").alias("label")]
+    known = materialize(labelled.filter(F.col("label").isin(0, 1)).select(*named, key).dropDuplicates(["_key", "label"]), "labelled")
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows at most
     parts = [first_by_hash(known.filter(F.col("label") == label), F.col("_key"), rows, n).drop("_key") for label, n in sorted(counts.items())]
-    sample = materialize(reduce(DataFrame.unionByName, parts).coalesce(1), "findings")  # a fixed order of rows makes the forest repeatable
+    sample = materialize(reduce(DataFrame.unionByName, [*parts, seeds.select(*named)]).coalesce(1), "findings")  # a fixed order of rows makes the forest repeatable
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label", featureSubsetStrategy="sqrt")
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(sample)
 
@@ -186,7 +188,7 @@ def find_secrets(docs: DataFrame, keep: list[str], path: str = "source", labelle
     else:
         labelled = describe(labelled, common).select(*base, "label", *FEATURES)
     seeds = describe(seed_findings(docs.sparkSession), common).select(*base, "label", *FEATURES)
-    model = fit_forest(labelled.unionByName(seeds))
+    model = fit_forest(labelled, seeds)
     scored = model.transform(found).withColumn("score", F.round(vector_to_array("probability")[1], 6))
     return scored.select(*keep, "path", "position", "name", "value", "score", (F.col("score") >= 0.5).alias("is_secret"))
 

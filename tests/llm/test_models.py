@@ -87,6 +87,16 @@ def test_forest_learns_from_given_labels(spark):
     assert score(given) > 0.8 > score(given.withColumn("label", F.lit(0))) + 0.3
 
 
+def test_copies_do_not_crowd_the_sample(spark, monkeypatch):
+    sampled, write = [], secrets.materialize
+    monkeypatch.setattr(secrets, "materialize", lambda df, name: (out := write(df, name), sampled.append(out) if name == "findings" else None)[0])
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit(TEXTS[0]).alias("text"), F.lit("a/b").alias("source"))
+    docs = docs.unionByName(spark.createDataFrame([(9000 + i, f"key AKIA{i:016d} here", "a/b") for i in range(5)], docs.schema))
+    assert secrets.find_secrets(docs, ["doc_id"]).count() == 6005
+    counts = {r["label"]: r["count"] for r in sampled[0].groupBy("label").count().collect()}
+    assert counts == {1.0: 6 + secrets.SEEDS, 0.0: secrets.SEEDS}
+
+
 def brute_nearest(ids, vectors, query_id, k=10):
     q = vectors[ids.index(query_id)]
     d = np.sqrt(((vectors - q) ** 2).sum(1))
