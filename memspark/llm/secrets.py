@@ -1,7 +1,7 @@
 """Secret findings cleaned of false positives by a random forest.
 
-Words that could be credentials (12 or more key characters with a digit, or a value given to a credential
-name) are candidates. Each is described by its length, its character classes and the transitions between
+Runs of key characters that could be credentials (12 or more in a word with a digit, or given to a credential name in
+the word or the words before) are candidates, wherever in a word they stand: in urls, JSON or CSV without blanks. Each is described by its length, its character classes and the transitions between
 them, how far a dictionary of the corpus's most common words covers its letters, the path it was found
 under and the words beside it. A random forest trained on labelled findings tells secrets from card numbers,
 addresses, versions, links and the like. All is DataFrame work and the DataFrame-based forest of Spark.
@@ -42,8 +42,12 @@ MASK = "[SECRET]"
 _KEY_CHARS = "A-Za-z0-9+/_.@~-"
 _CREDENTIAL = "pass(?:wor[dt]|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential"
 _HARMLESS = "card|phone|tel|fax|mail|visit|page|version|license|isbn|order|invoice|http|www|ip"
-#: The whole shape of a word: wrapping, an optional name with = or :, then the value.
-_SHAPE = rf"""^["'`(\[{{<]*(?:([A-Za-z_][A-Za-z0-9_-]{{0,40}})["']?[=:]+["'`]?)?([{_KEY_CHARS}]{{{LEAST_CHARS},}})"""
+#: A value, and before it an optional name with = or :. The password of a url ends at its @.
+_PASSWORD = r"(?<=://[^\s/@:]{0,64}:)[^\s/@]{%d,}(?=@)" % LEAST_CHARS
+_NAMED = r"""(?<=(?<![A-Za-z0-9_-])-{0,2}([A-Za-z_][A-Za-z0-9_-]{0,40})["'`]?[=:]{1,3}["'`]?)"""
+_VALUE = rf"(?<![{_KEY_CHARS}])(?=[{_KEY_CHARS}]{{{LEAST_CHARS}}})(?:{_NAMED}|)(?:{_PASSWORD}|[{_KEY_CHARS}]+)"
+#: The words before a value that is given to a credential name: the name, or the name and a sign.
+_GIVER, _SIGN = rf"""(?i)(?:{_CREDENTIAL})["'`)\]]*[=:]*["'`]*$""", r"^(?:=|:|:=|=>|==|->|is)$"
 _MAYBE = rf"[0-9]|(?i:{_CREDENTIAL})"
 
 #: Formats of credentials and of things that only look like them, for labels alone.
@@ -76,8 +80,8 @@ def candidates(docs: DataFrame, keep: list[str], path: str = "source") -> DataFr
 
     def maybe(i: Column) -> Column:  # the cheap tests come first
         word = F.get(words, i)
-        given = word.rlike(rf"(?i)(?:{_CREDENTIAL})[\"']?[=:]")
-        return (F.length(word) >= LEAST_CHARS) & (word.rlike("[0-9]") | given) & word.rlike(_SHAPE)
+        given = word.rlike(rf"(?i)(?:{_CREDENTIAL})[\"']?[=:]") | _given(F.get(words, i - 1), F.get(words, i - 2))
+        return (F.length(word) >= LEAST_CHARS) & (word.rlike("[0-9]") | F.coalesce(given, F.lit(False))) & word.rlike(rf"[{_KEY_CHARS}]{{{LEAST_CHARS}}}")
 
     at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), maybe)
     near = F.transform(at, lambda i: F.struct(
@@ -85,7 +89,14 @@ def candidates(docs: DataFrame, keep: list[str], path: str = "source") -> DataFr
     ))
     rows = docs.filter(F.col("text").rlike(_MAYBE)).select(*keep, F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.split("text", r"\s+").alias("_words"))
     rows = rows.select(*keep, "path", F.explode(near).alias("c")).select(*keep, "path", "c.*")
-    return rows.withColumn("name", F.regexp_extract("word", _SHAPE, 1)).withColumn("value", F.regexp_replace(F.regexp_extract("word", _SHAPE, 2), r"[.~]+$", ""))
+    each = F.arrays_zip(*[F.regexp_extract_all("word", F.lit(_VALUE), F.lit(k)).alias(c) for k, c in enumerate(("value", "name"))])
+    rows = rows.withColumn("v", F.explode(each))
+    return rows.select("*", F.col("v.name").alias("name"), F.regexp_replace("v.value", r"[.~]+$", "").alias("value")).drop("v")
+
+
+def _given(before: Column, before2: Column) -> Column:
+    """Whether the words before a value name a credential."""
+    return before.rlike(_GIVER) | (before.rlike(_SIGN) & before2.rlike(_GIVER))
 
 
 def _share(pattern: str) -> Column:
@@ -135,7 +146,9 @@ def label_of() -> Column:
         return hit
 
     given = F.lower("name").rlike(rf"^(?:{_CREDENTIAL})$") & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    return F.when(any_of(SECRET_FORMATS) | given, 1).when(any_of(HARMLESS_FORMATS), 0)
+    # a word of letters given to a credential name may be either
+    open_ = F.coalesce((F.lower("name").rlike(rf"^(?:{_CREDENTIAL})$") | _given(F.col("before"), F.col("before2"))) & ~value.rlike("[0-9]"), F.lit(False))
+    return F.when(any_of(SECRET_FORMATS) | given, 1).when(any_of(HARMLESS_FORMATS) & ~open_, 0)
 
 
 def seed_findings(spark: SparkSession, n: int = SEEDS) -> DataFrame:
