@@ -38,7 +38,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality_classifier", quality_stage), ("simhash_near_dedup", near_duplicate_stage), ("secret_scan", secret_stage), ("packing", packing_stage)]
 
-#: A learned classifier, a forest and a tokenizer are beyond SQL; the tests compare each stage with a brute-force version.
+#: A learned classifier, a forest and a tokenizer are beyond SQL. The tests compare the rows that the near-duplicate stage
+#: keeps with brute force; of the other stages they test the effect on given tables and small fixtures.
 ORACLE_SQL = None
 
 

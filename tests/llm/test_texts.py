@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from memspark.llm import bpe, packing, simhash, spotsigs
 from memspark.llm.queries import QUERIES
 from memspark.llm.wordchunks import Memory, chunks_of
@@ -245,7 +246,7 @@ def test_sketches_estimate_likeness():
 def kept_by_brute_force(rows):
     """The smallest id of every group linked by op8's two bits or by a five-word Jaccard of 0.8 or more."""
     fps = [simhash.fingerprint(t) for _, t in rows]
-    sets = [set(zip(*(t.lower().split()[k:] for k in range(5)))) for _, t in rows]
+    sets = [set(zip(*(t.lower().split()[k:] for k in range(5)))) or {tuple(t.lower().split())} for _, t in rows]  # a short text is one shingle
     parts = simhash.Parts()
     for a in range(len(rows)):
         parts.top(a)
@@ -292,3 +293,15 @@ def test_texts_below_the_threshold_stay(spark):
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     want = kept_by_brute_force(rows)
     assert set(range(20)) <= want and {r["doc_id"] for r in kept.collect()} == want
+
+
+def test_pipeline_stage_keeps_what_brute_force_keeps(spark):
+    given = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(150).collect()
+    rnd, rows = random.Random(8), [(r["doc_id"], r["text"]) for r in given]
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    for i, text in rows[:40]:  # from light to heavy edits
+        rows += edited_rows(rnd, [10**6 + i], text.split(), word, max(1, len(text.split()) * (i % 8) // 150))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, SMALL).collect()]
+    want = kept_by_brute_force(rows)
+    assert sorted(kept) == sorted(want) and 0 < len(rows) - len(want) and any(i >= 10**6 for i in want)
