@@ -118,7 +118,8 @@ def top_documents(post: Postings, spans: np.ndarray, query: np.ndarray, gain, li
     def sparse(lo, hi):
         rows, at = places(lo, hi)
         keys, where = np.unique(query[rows] * n_docs + post.docs[at], return_inverse=True)
-        score = np.round(np.bincount(where, gain(rows, at)), digits)
+        # without any posting numpy counts in whole numbers
+        score = np.round(np.bincount(where, gain(rows, at)).astype(np.float64), digits)
         q, d = keys // n_docs, keys % n_docs
         if banned is not None:
             asked = range(query[lo], query[hi - 1] + 1)

@@ -42,6 +42,19 @@ def brute_bm25(docs, query, k, b=0.75, k1=1.5):
     return sorted(score.items(), key=lambda x: (-x[1], x[0]))[:k]
 
 
+def test_a_batch_that_touches_no_posting_excludes_documents():
+    import pandas as pd
+
+    from memspark.operators import kernels
+
+    postings = pd.DataFrame({"term": ["a"] * 9, "doc_id": list(range(9)), "tf": [1.0] * 9, "doc_len": [1.0] * 9})
+    post = kernels.Postings(postings, pd.Index(["a", "b"]), ["tf"])
+    q, d, score = kernels.top_documents(
+        post, np.array([1]), np.array([0]), lambda rows, at: post.values["tf"][at], np.array([3]), 6, [np.array([2, 4])]
+    )
+    assert (len(q), len(d), len(score)) == (0, 0, 0)
+
+
 WORDS = "red green blue cat dog fish tree house river stone".split()
 
 
