@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memspark.llm import adscan, bpe, packing, quality, secrets, sharding, simhash, spotsigs, urlrules, warc
+from memspark.llm import adscan, bpe, hardneg, packing, quality, secrets, sharding, simhash, spotsigs, urlrules, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_simhash_bktree": simhash.op8_simhash_bktree,
     "op9_adaptive_scan": adscan.op9_adaptive_scan,
     "op10_url_rules": urlrules.op10_url_rules,
+    "op13_hard_negatives": hardneg.op13_hard_negatives,
 }
 ORACLES = {
     "op1_warc_transactions": warc.OP1_SQL,
     "op10_url_rules": urlrules.OP10_SQL,
+    "op13_hard_negatives": hardneg.OP13_SQL,
 }
