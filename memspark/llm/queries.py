@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memspark.llm import adscan, bpe, hardneg, packing, quality, secrets, sharding, simhash, spotsigs, urlrules, warc
+from memspark.llm import adscan, bpe, hardneg, packing, periodic, quality, secrets, sharding, simhash, spotsigs, urlrules, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash_bktree": simhash.op8_simhash_bktree,
     "op9_adaptive_scan": adscan.op9_adaptive_scan,
     "op10_url_rules": urlrules.op10_url_rules,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
     "op13_hard_negatives": hardneg.op13_hard_negatives,
 }
 ORACLES = {
