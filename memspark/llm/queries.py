@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memspark.llm import adscan, bpe, hardneg, packing, periodic, quality, secrets, sharding, simhash, spotsigs, urlrules, warc
+from memspark.llm import adscan, bpe, hardneg, packing, periodic, quality, secrets, sharding, simhash, spotsigs, suffixes, urlrules, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_adaptive_scan": adscan.op9_adaptive_scan,
     "op10_url_rules": urlrules.op10_url_rules,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_suffix_dedup": suffixes.op12_suffix_dedup,
     "op13_hard_negatives": hardneg.op13_hard_negatives,
 }
 ORACLES = {
