@@ -1,7 +1,7 @@
 """Repeated byte strings removed by suffix sorting with a difference cover.
 
 A string of ``WIDTH`` bytes goes if it starts earlier in the corpus. Where two such windows are equal, so are their
-minimizers, the 12 bytes with the smallest hash in each. So windows are filed by minimizer, and all that can be
+minimizers, the 32 bytes with the smallest hash in each. So windows are filed by minimizer, and all that can be
 equal meet in one file; a minimizer's windows are one stretch of text, its context. Contexts whose minimizer
 occurs once cannot hold a repeat and stay behind: a bitmap of bounded size, made from the counts of all
 minimizers, tells which these are.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from memspark.llm.tables import table
 from memspark.session import materialize
 
-WIDTH, GRAM = 100, 12
+WIDTH, GRAM = 100, 32
 #: Bytes of text looked at together, rows of a file, and symbols sorted together (their names fit 21 bits).
 SLICE_BYTES, FILE_ROWS, SORT_SYMBOLS = 1 << 21, 8192, (1 << 21) - 8
 #: Bits of the bitmaps: 16 for each minimizer, at least and at most these (32 MB).
@@ -142,9 +142,12 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
     eights = np.ndarray((n,), "<u8", data, strides=(1,))
     grams = n - GRAM + 1
-    hashed = eights[:grams] * _MIX[0] ^ eights[GRAM - 8 : GRAM - 8 + grams] * _MIX[1]
-    hashed = (hashed ^ (hashed >> np.uint64(31))) * _MIX[2]
-    hashed ^= hashed >> np.uint64(29)
+    hashed = np.zeros(grams, np.uint64)
+    for at in range(0, GRAM, 8):
+        hashed = (hashed ^ eights[at : at + grams] * _MIX[0]) * _MIX[1]
+        hashed ^= hashed >> np.uint64(29)
+    hashed *= _MIX[2]
+    hashed ^= hashed >> np.uint64(32)
     # the smallest of each window of grams, the leftmost of equal ones
     least = hashed & ~_PLACE | np.arange(grams, dtype=np.uint64)
     span, wide = 1, WIDTH - GRAM + 1
