@@ -351,103 +351,124 @@ def merge_centroids(cap: int):
     return run
 
 
-class OpenEdges:
-    """What later edges of one (subject, predicate) still need to know about earlier ones."""
+#: Below every date, and below what starts without one.
+NO_DAY = -(1 << 40)
 
-    def __init__(self):
-        self.rows: dict = {}  # object -> heap of (start, serial, row) still open
-        self.tops: list = []  # heap of (smallest start, object); stale entries are skipped
-        self.known: dict = {}  # (object, from, until) -> stored rows that look like this now
-        self.objects: set = set()
-        self.serial = 0
+
+def days(dates: pd.Series, missing: int) -> np.ndarray:
+    """Dates as day numbers."""
+    known = pd.to_datetime(dates, errors="coerce")
+    numbers = known.to_numpy("datetime64[D]").astype(np.int64)
+    return np.where(known.isna().to_numpy(), missing, numbers)
+
+
+def as_dates(numbers: np.ndarray) -> list:
+    return numbers.astype("datetime64[D]").astype(object).tolist()
+
+
+class Ahead:
+    """First place at or after another whose object differs and whose start is late enough.
+
+    Stretches of 2, 4, 8 ... places are summed up by their largest start, its object, and the largest
+    start of the other objects; stretches that cannot hold an answer are jumped over.
+    """
+
+    def __init__(self, start: np.ndarray, obj: np.ndarray, second: np.ndarray | None = None):
+        self.levels = [(start, obj, np.full(len(start), NO_DAY) if second is None else second)]
+        size = 1
+        while 2 * size <= len(start):
+            self.levels.append(self._joined(*((x[:-size] for x in self.levels[-1])), *((x[size:] for x in self.levels[-1]))))
+            size *= 2
 
     @staticmethod
-    def look(row):
-        return row["object_id"], row["valid_from"], row["valid_until"]
-
-    def store(self, row):
-        import heapq
-
-        obj = row["object_id"]
-        self.objects.add(obj)
-        self.known[self.look(row)] = self.known.get(self.look(row), 0) + 1
-        if row["valid_until"] is None:
-            start = "" if row["valid_from"] is None else row["valid_from"].isoformat()
-            heap = self.rows.setdefault(obj, [])
-            if not heap or start < heap[0][0]:
-                heapq.heappush(self.tops, (start, obj))
-            heapq.heappush(heap, (start, self.serial, row))
-            self.serial += 1
-            return True
-        return False
-
-    def skips(self, row):
-        if self.known.get(self.look(row), 0) > 0:
-            return True
-        return row["valid_from"] is None and row["valid_until"] is None and row["object_id"] in self.objects
-
-    def close_before(self, row):
-        import heapq
-
-        if row["valid_from"] is None:
-            return
-        limit, own, own_entry = row["valid_from"].isoformat(), row["object_id"], None
-        while self.tops and self.tops[0][0] <= limit:
-            entry = heapq.heappop(self.tops)
-            heap = self.rows.get(entry[1])
-            if not heap or heap[0][0] != entry[0]:
-                continue
-            if entry[1] == own:
-                own_entry = entry
-                continue
-            while heap and heap[0][0] <= limit:
-                closed = heapq.heappop(heap)[2]
-                self.known[self.look(closed)] -= 1
-                if not self.known[self.look(closed)]:
-                    del self.known[self.look(closed)]
-                closed["valid_until"] = row["valid_from"]
-                self.known[self.look(closed)] = self.known.get(self.look(closed), 0) + 1
-                yield closed
-            if heap:
-                heapq.heappush(self.tops, (heap[0][0], entry[1]))
-        if own_entry:
-            heapq.heappush(self.tops, own_entry)
-
-    def left_open(self):
-        for heap in self.rows.values():
-            for _, _, row in heap:
-                yield row
-
-
-def edge_pass(batches):
-    """Ordered pass over edges sorted by subject, predicate and arrival; rows leave once they end."""
-    group, state, columns = None, None, None
-
-    def frame(rows):
-        return pd.DataFrame(rows, columns=columns).astype({"arrival": "Int64"})
-
-    for batch in batches:
-        columns = list(batch.columns)
-        done = []
-        clean = batch.astype(object).where(batch.notna(), None)
-        for row in clean.to_dict("records"):
-            key = (row["scope_kind"], row["scope_owner"], row["subject_id"], row["predicate"])
-            if key != group:
-                if state is not None:
-                    done.extend(state.left_open())
-                group, state = key, OpenEdges()
-            if row["is_new"]:
-                if state.skips(row):
+    def _joined(start, obj, second, start_b, obj_b, second_b):
+        front = start >= start_b
+        top, rest = np.where(front, obj, obj_b), np.where(front, second, second_b)
+        lower, lower_obj, lower_rest = np.where(front, start_b, start), np.where(front, obj_b, obj), np.where(front, second_b, second)
+        return np.maximum(start, start_b), top, np.maximum(rest, np.where(lower_obj == top, lower_rest, lower))
+
+    def first(self, begin: np.ndarray, end: np.ndarray, obj: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Places, or ``end`` where there is none."""
+        at = begin.copy()
+        for k in range(len(self.levels) - 1, -1, -1):
+            start, own, second = self.levels[k]
+            fits = np.flatnonzero(at + (1 << k) <= end)
+            p = at[fits]
+            late = np.where(own[p] == obj[fits], second[p], start[p])
+            at[fits[late < least[fits]]] += 1 << k
+        return at
+
+
+def close_in_bucket(keys: list[str]):
+    """Open edges of a bucket with the edge of the same bucket that ends them, or ``asks`` where it may lie in a later one."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at").reset_index(drop=True)
+        n, at = len(rows), rows["at"].to_numpy()
+        new = np.zeros(n, bool)
+        for c in keys:
+            codes = pd.factorize(rows[c])[0]
+            new[1:] |= codes[1:] != codes[:-1]
+        stops = np.r_[np.flatnonzero(new), n]
+        end = stops[np.searchsorted(stops, np.arange(n), "right")]
+        obj = pd.factorize(rows["object_id"])[0]
+        start = days(rows["valid_from"], NO_DAY + 1)
+        ahead = Ahead(np.where(rows["ends"].to_numpy(bool), start, NO_DAY), obj)
+        q = np.flatnonzero(rows["open"].to_numpy(bool))
+        found = ahead.first(q + 1, end[q], obj[q], start[q])
+        got = found < end[q]
+        keep = got | (end[q] == n)
+        q, found, got = q[keep], np.minimum(found[keep], n - 1), got[keep]
+        ended = [d if g else None for d, g in zip(as_dates(start[found]), got)]
+        return pd.DataFrame({"at": at[q], "end_at": at[found], "end_from": pd.Series(ended, dtype=object), "asks": ~got})
+
+    return run
+
+
+def closing_bucket(keys: list[str], sums: pd.DataFrame):
+    """Asking edges with ``bucket`` replaced by the first later one that holds an edge to end them; others leave."""
+    sums = sums.assign(most=days(sums["most"], NO_DAY)).sort_values([*keys, "bucket", "most"], ascending=[True] * (len(keys) + 1) + [False])
+    lines = {}
+    for key, rows in sums.groupby(keys, sort=False):
+        codes, names = pd.factorize(rows["object_id"])
+        first = ~rows["bucket"].duplicated().to_numpy()
+        buckets = rows["bucket"].to_numpy()[first]
+        second = np.full(len(buckets), NO_DAY)
+        place = np.cumsum(first) - 1
+        second[place[~first]] = rows["most"].to_numpy()[~first]
+        lines[key] = (buckets, pd.Index(names), Ahead(rows["most"].to_numpy()[first], codes[first], second))
+
+    def run(batches):
+        for batch in batches:
+            for key, rows in batch.groupby(keys, sort=False):
+                if key not in lines:
                     continue
-                done.extend(state.close_before(row))
-            if not state.store(row):
-                done.append(row)
-        if done:
-            yield frame(done)
-    if state is not None:
-        rest = list(state.left_open())
-        if rest:
-            yield frame(rest)
+                buckets, names, ahead = lines[key]
+                begin = np.searchsorted(buckets, rows["bucket"].to_numpy(), "right")
+                end = np.full(len(rows), len(buckets))
+                found = ahead.first(begin, end, names.get_indexer(rows["object_id"]), days(rows["valid_from"], NO_DAY + 1))
+                got = found < end
+                yield rows[got].assign(bucket=buckets[found[got]])
+
+    return run
+
+
+def close_in_cell():
+    """Asking edges with the first edge of a later bucket that ends them."""
+
+    def run(ends: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if ends.empty or asks.empty:
+            return empty()
+        ends = ends.sort_values("at")
+        codes, names = pd.factorize(ends["object_id"])
+        start, at = days(ends["valid_from"], NO_DAY), ends["at"].to_numpy()
+        stop = np.full(len(asks), len(ends))
+        found = Ahead(start, codes).first(np.zeros(len(asks), np.int64), stop, pd.Index(names).get_indexer(asks["object_id"]), days(asks["valid_from"], NO_DAY + 1))
+        got = found < stop
+        found = found[got]
+        return pd.DataFrame({"at": asks["at"].to_numpy()[got], "end_at": at[found], "end_from": pd.Series(as_dates(start[found]), dtype=object)})
+
+    return run
 
 
 def count_matches():

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memspark.functions import text as X
+from memspark.operators import edges
 from memspark.operators.running import top_per_key
 from memspark.operators.scope import SCOPE
 from memspark.session import cut_lineage
@@ -147,7 +148,7 @@ def entity_upsert(entities: DataFrame, updates: DataFrame) -> DataFrame:
     )
 
 
-EDGE = [*SCOPE, "subject_id", "predicate"]
+EDGE = edges.EDGE
 
 
 def endpoint_semi(edges: DataFrame, entities: DataFrame) -> DataFrame:
@@ -182,25 +183,13 @@ def normalise_edges(updates: DataFrame) -> DataFrame:
     return rows.filter((F.col("predicate") != "") & (F.col("subject_id") != "") & (F.col("object_id") != ""))
 
 
-def relationship_upsert(existing: DataFrame, updates: DataFrame, entities: DataFrame) -> DataFrame:
+def relationship_upsert(existing: DataFrame, updates: DataFrame, entities: DataFrame, bucket_rows: int = edges.BUCKET_ROWS) -> DataFrame:
     """All edges after ``updates`` (normalised edges with ``arrival``) came in, in arrival order.
 
     A dated edge ends the open edges of the same subject and predicate that point elsewhere and did
-    not start later. What an edge does depends on the edges before it, so one (subject, predicate)
-    is one ordered pass: Spark partitions and sorts, the pass streams the rows and keeps only what
-    is still open. Undated restatements are dropped before the shuffle.
+    not start later; edges whose ends are not both known are left out (``rejected_edges`` lists them).
     """
-    from memspark.operators.kernels import edge_pass
-
-    cols = [*EDGE, "object_id", "valid_from", "valid_until"]
-    fresh = endpoint_semi(updates, entities)
-    undated = F.col("valid_from").isNull() & F.col("valid_until").isNull()
-    first = fresh.filter(undated).groupBy(*cols).agg(F.min("arrival").alias("arrival"))
-    fresh = fresh.filter(~undated).select(*cols, "arrival").unionByName(first.select(*cols, "arrival"))
-    old = existing.select(*cols, F.lit(None).cast("long").alias("arrival"), F.lit(0).alias("is_new"))
-    rows = old.unionByName(fresh.select(*cols, F.col("arrival").cast("long"), F.lit(1).alias("is_new")))
-    ordered = rows.repartition(*EDGE).sortWithinPartitions(*EDGE, "is_new", "arrival", "object_id", "valid_from", "valid_until")
-    return ordered.mapInPandas(edge_pass, ordered.schema).drop("is_new")
+    return edges.upsert(existing, endpoint_semi(updates, entities), bucket_rows)
 
 
 def relationship_upsert_ordered(edges: DataFrame, bucket: Column) -> DataFrame:

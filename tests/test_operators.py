@@ -265,8 +265,8 @@ def brute_edges(old, new):
     return sorted(map(str, rows))
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_relationships_in_any_arrival_order(spark, seed):
+@pytest.mark.parametrize(("seed", "bucket_rows"), [(0, 200_000), (1, 200_000), (2, 3), (3, 1), (4, 7)])
+def test_relationships_in_any_arrival_order(spark, seed, bucket_rows):
     rnd = random.Random(seed)
     day = lambda: rnd.choice([None] + [dt.date(2024, 1, d) for d in range(1, 6)])
 
@@ -283,7 +283,7 @@ def test_relationships_in_any_arrival_order(spark, seed):
     rows = [(*s, "s", "p", *r, i) for s in (A, B) for i, r in enumerate(new)] + [(*A, "s", "p", "ghost", None, None, 99)]
     new_df = frame(spark, rows, ddl + ", arrival bigint")
     ents = frame(spark, [(*s, i) for s in (A, B) for i in ("s", "x", "y", "z")], "scope_kind string, scope_owner string, id string")
-    out = versions.relationship_upsert(old_df, new_df, ents).collect()
+    out = versions.relationship_upsert(old_df, new_df, ents, bucket_rows).collect()
     for scope, start in ((A, old), (B, [])):
         got = sorted(str([r["object_id"], r["valid_from"], r["valid_until"]]) for r in out if r["scope_owner"] == scope[1])
         assert got == brute_edges(start, new)
