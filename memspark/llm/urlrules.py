@@ -77,7 +77,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Dat
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict of the fixed rules on every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("host", "path", "verdict"), r)]) for r in RULES])))
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
