@@ -1,8 +1,9 @@
 """Secret findings cleaned of false positives by a random forest.
 
 Runs of key characters that could be credentials (12 or more in a word with a digit, or given to a credential name in
-the word or the words before) are candidates, wherever in a word they stand: in urls, JSON or CSV without blanks. Each is described by its length, its character classes and the transitions between
-them, how far a dictionary of the corpus's most common words covers its letters, the path it was found
+the word or the words before) are candidates, wherever in a word they stand: in urls, JSON or CSV without blanks.
+So are the parts of such a run between ``/`` or ``@``, and values of 6 to 11 characters with a digit that are given to a
+credential name. Each is described by its length, its character classes and the transitions between them, how far a dictionary of the corpus's most common words covers its letters, the path it was found
 under and the words beside it. A random forest trained on labelled findings tells secrets from card numbers,
 addresses, versions, links and the like. All is DataFrame work and the DataFrame-based forest of Spark.
 
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from memspark.llm.tables import first_by_hash, table
 from memspark.session import materialize
 
-LEAST_CHARS = 12
+#: Fewest characters of a candidate, and of one that is given to a credential name.
+LEAST_CHARS, LEAST_GIVEN = 12, 6
 #: Most common words of the corpus that make the dictionary, and the fewest letters of one.
 DICTIONARY_WORDS, DICTIONARY_LETTERS = 2000, 3
 #: Different labelled findings of each class the forest is fitted on, by hash order.
@@ -46,6 +48,9 @@ _HARMLESS = "card|phone|tel|fax|mail|visit|page|version|license|isbn|order|invoi
 _PASSWORD = r"(?<=://[^\s/@:]{0,64}:)[^\s/@]{%d,}(?=@)" % LEAST_CHARS
 _NAMED = r"""(?<=(?<![A-Za-z0-9_-])-{0,2}([A-Za-z_][A-Za-z0-9_-]{0,40})["'`]?[=:]{1,3}["'`]?)"""
 _VALUE = rf"(?<![{_KEY_CHARS}])(?=[{_KEY_CHARS}]{{{LEAST_CHARS}}})(?:{_NAMED}|)(?:{_PASSWORD}|[{_KEY_CHARS}]+)"
+#: A short value given to a credential name in the same word.
+_SHORT = rf"""(?i)({_CREDENTIAL})["'`]?[=:]{{1,3}}["'`]?(?=[A-Za-z+/_.@~-]*[0-9])([{_KEY_CHARS}]{{{LEAST_GIVEN},{LEAST_CHARS - 1}}})(?![{_KEY_CHARS}])"""
+_ALONE = rf"""^["'`]?(?=[A-Za-z+/_.@~-]*[0-9])([{_KEY_CHARS}]{{{LEAST_GIVEN},{LEAST_CHARS - 1}}})["'`]?[,;.]?$"""
 #: The words before a value that is given to a credential name: the name, or the name and a sign.
 _GIVER, _SIGN = rf"""(?i)(?:{_CREDENTIAL})["'`)\]]*[=:]*["'`]*$""", r"^(?:=|:|:=|=>|==|->|is)$"
 _MAYBE = rf"[0-9]|(?i:{_CREDENTIAL})"
@@ -67,11 +72,21 @@ FEATURES = [
 
 
 def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[str]:
-    """The words that most documents hold, counted over all of them."""
+    """The words that most documents hold, counted over all of them.
+
+    A histogram of the counts, in steps of an eighth of a power of two, tells how common the last of them is;
+    only words as common as that are ordered.
+    """
     parts = F.split(F.lower("text"), r"[^\p{L}]+")
     each = docs.select(F.explode(F.array_distinct(F.filter(parts, lambda w: F.length(w) >= DICTIONARY_LETTERS))).alias("word"))
-    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
+    counts = materialize(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "words")
+    steps = counts.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()  # a few hundred rows at most
+    least, held = 0, 0
+    for r in steps:
+        least, held = r["step"], held + r["n"]
+        if held >= words:
+            break
+    return [r["word"] for r in counts.filter(F.col("step") >= least).orderBy(F.desc("n"), "word").limit(words).collect()]
 
 
 def candidates(docs: DataFrame, keep: list[str], path: str = "source") -> DataFrame:
@@ -81,7 +96,12 @@ def candidates(docs: DataFrame, keep: list[str], path: str = "source") -> DataFr
     def maybe(i: Column) -> Column:  # the cheap tests come first
         word = F.get(words, i)
         given = word.rlike(rf"(?i)(?:{_CREDENTIAL})[\"']?[=:]") | _given(F.get(words, i - 1), F.get(words, i - 2))
-        return (F.length(word) >= LEAST_CHARS) & (word.rlike("[0-9]") | F.coalesce(given, F.lit(False))) & word.rlike(rf"[{_KEY_CHARS}]{{{LEAST_CHARS}}}")
+        long = (F.length(word) >= LEAST_CHARS) & (word.rlike("[0-9]") | F.coalesce(given, F.lit(False))) & word.rlike(rf"[{_KEY_CHARS}]{{{LEAST_CHARS}}}")
+        return long | (word.rlike("[0-9]") & ((word.contains("=") | word.contains(":")) & word.rlike(_SHORT) | short(i)))
+
+    def short(i: Column) -> Column:  # a short word after a credential name
+        word = F.get(words, i)
+        return (F.length(word) <= LEAST_CHARS + 2) & word.rlike(_ALONE) & F.coalesce(_given(F.get(words, i - 1), F.get(words, i - 2)), F.lit(False))
 
     at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), maybe)
     near = F.transform(at, lambda i: F.struct(
@@ -89,9 +109,34 @@ def candidates(docs: DataFrame, keep: list[str], path: str = "source") -> DataFr
     ))
     rows = docs.filter(F.col("text").rlike(_MAYBE)).select(*keep, F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.split("text", r"\s+").alias("_words"))
     rows = rows.select(*keep, "path", F.explode(near).alias("c")).select(*keep, "path", "c.*")
-    each = F.arrays_zip(*[F.regexp_extract_all("word", F.lit(_VALUE), F.lit(k)).alias(c) for k, c in enumerate(("value", "name"))])
-    rows = rows.withColumn("v", F.explode(each))
-    return rows.select("*", F.col("v.name").alias("name"), F.regexp_replace("v.value", r"[.~]+$", "").alias("value")).drop("v")
+
+    def matches(pattern: str, value: int, name: int) -> Column:
+        each = [F.regexp_extract_all("word", F.lit(pattern), F.lit(k)) for k in (value, name)]
+        return F.zip_with(*each, lambda v, n: F.struct(n.alias("name"), v.alias("value"), F.lit(False).alias("short")))
+
+    short_word = F.when(
+        F.col("word").rlike(_ALONE) & F.coalesce(_given(F.col("before"), F.col("before2")), F.lit(False)),
+        F.array(F.struct(F.lit("").alias("name"), F.regexp_extract("word", _ALONE, 1).alias("value"), F.lit(True).alias("short"))),
+    )
+    given = F.when(F.col("word").contains("=") | F.col("word").contains(":"), F.transform(matches(_SHORT, 2, 1), lambda v: v.withField("short", F.lit(True))))
+    none = F.array().cast("array<struct<name: string, value: string, short: boolean>>")
+
+    def trimmed(v: Column) -> Column:
+        return v.withField("value", F.regexp_replace(v["value"], r"[.~]+$", ""))
+
+    def segments(v: Column) -> Column:  # the parts of a path count as well
+        parts = F.filter(F.split(v["value"], "[/@]"), lambda x: (F.length(x) >= LEAST_CHARS) & (x.rlike("[0-9]") | _any_of(x, SECRET_FORMATS)) & (x != v["value"]))
+        return F.concat(F.array(v), F.when(v["value"].rlike("[/@]"), F.transform(parts, lambda x: v.withField("value", x))).otherwise(none))
+
+    found = F.concat(F.flatten(F.transform(F.transform(matches(_VALUE, 0, 1), trimmed), segments)), F.transform(F.coalesce(given, none), trimmed), F.transform(F.coalesce(short_word, none), trimmed))
+    # trailing marks may have been all there was
+    found = F.array_distinct(F.filter(found, lambda v: F.length(v["value"]) >= F.when(v["short"], LEAST_GIVEN).otherwise(LEAST_CHARS)))
+    rows = rows.withColumn("v", F.explode(found))
+    return rows.select("*", F.col("v.name").alias("name"), F.col("v.value").alias("value")).drop("v")
+
+
+def _any_of(value: Column, patterns: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [value.rlike(p) for p in patterns])
 
 
 def _given(before: Column, before2: Column) -> Column:
@@ -101,12 +146,12 @@ def _given(before: Column, before2: Column) -> Column:
 
 def _share(pattern: str) -> Column:
     """Share of the value's characters that match."""
-    return (F.length("value") - F.length(F.regexp_replace("value", pattern, ""))) / F.length("value")
+    return F.try_divide(F.length("value") - F.length(F.regexp_replace("value", pattern, "")), F.length("value"))
 
 
 def _pairs(first: str, second: str) -> Column:
     """Share of neighbouring characters of these classes."""
-    return F.regexp_count(F.col("value"), F.lit(f"(?<={first})(?={second})")) / F.length("value")
+    return F.try_divide(F.regexp_count(F.col("value"), F.lit(f"(?<={first})(?={second})")), F.length("value"))
 
 
 def describe(found: DataFrame, common: list[str]) -> DataFrame:
@@ -123,8 +168,8 @@ def describe(found: DataFrame, common: list[str]) -> DataFrame:
     flag = lambda c: c.cast("double")
     features = {
         "f_length": F.length(value), "f_digits": _share("[0-9]"), "f_upper": _share("[A-Z]"), "f_lower": _share("[a-z]"), "f_marks": _share("[^A-Za-z0-9]"),
-        "f_changes": (F.length(classes) - 1) / F.length(value), "f_to_digit": _pairs("[A-Za-z]", "[0-9]"), "f_to_letter": _pairs("[0-9]", "[A-Za-z]"),
-        "f_case": _pairs("[a-z]", "[A-Z]") + _pairs("[A-Z]", "[a-z]"), "f_distinct": F.size(F.array_distinct(F.split(value, ""))) / F.length(value),
+        "f_changes": F.try_divide(F.length(classes) - 1, F.length(value)), "f_to_digit": _pairs("[A-Za-z]", "[0-9]"), "f_to_letter": _pairs("[0-9]", "[A-Za-z]"),
+        "f_case": _pairs("[a-z]", "[A-Z]") + _pairs("[A-Z]", "[a-z]"), "f_distinct": F.try_divide(F.size(F.array_distinct(F.split(value, ""))), F.length(value)),
         "f_hex": flag(value.rlike("^[0-9a-f]+$")), "f_vowels": _share("[aeiouAEIOU]"), "f_covered": covered / F.greatest(letters, F.lit(1)),
         "f_run": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(value, F.lit("[A-Za-z]+"), 0), F.length)), F.lit(0)),
         "f_named": flag(F.col("name") != ""), "f_quoted": flag(F.col("word").rlike("[\"'`]")), "f_near_name": flag(beside.rlike(_CREDENTIAL)),
@@ -139,16 +184,12 @@ def label_of() -> Column:
     """1 for candidates of known credential formats, 0 for known harmless ones, else null."""
     value = F.col("value")
 
-    def any_of(patterns: list[str]) -> Column:
-        hit = F.lit(False)
-        for p in patterns:
-            hit = hit | value.rlike(p)
-        return hit
-
     given = F.lower("name").rlike(rf"^(?:{_CREDENTIAL})$") & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     # a word of letters given to a credential name may be either
     open_ = F.coalesce((F.lower("name").rlike(rf"^(?:{_CREDENTIAL})$") | _given(F.col("before"), F.col("before2"))) & ~value.rlike("[0-9]"), F.lit(False))
-    return F.when(any_of(SECRET_FORMATS) | given, 1).when(any_of(HARMLESS_FORMATS) & ~open_, 0)
+    # a path or link with a key among its parts is not harmless as a whole
+    holds_key = F.exists(F.split(value, "[/@]"), lambda part: _any_of(part, SECRET_FORMATS))
+    return F.when(_any_of(value, SECRET_FORMATS) | given, 1).when(_any_of(value, HARMLESS_FORMATS) & ~open_ & ~holds_key, 0)
 
 
 def seed_findings(spark: SparkSession, n: int = SEEDS) -> DataFrame:
