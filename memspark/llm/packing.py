@@ -86,7 +86,7 @@ def encoder(path: str):
         def one(text: str) -> bytes:
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        memory = Memory(one, 400_000)  # of words and of chunks; some 170 MB with both generations
+        memory = Memory(one, 400_000)  # of words and of chunks
 
         def learn(new: list[str]) -> dict[str, bytes]:
             """Ids of chunks, and of the words in them, that the memory lacks."""

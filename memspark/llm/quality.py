@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm.tables import first_by_hash, table
+from memspark.llm.wordchunks import forget_all
 from memspark.llm.wordchunks import chunks_of
 
 #: Rows of the vector table, and the length of a vector.
@@ -170,6 +171,7 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # half a megabyte, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_all()
         score = shared.value.score
         for batch in batches:
             scores = pa.array([score(t.as_py() or "") for t in batch.column(0)], pa.float64())

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm.tables import table
+from memspark.llm.wordchunks import forget_all
 from memspark.operators.graph import components
 from memspark.session import materialize
 
@@ -226,7 +227,7 @@ def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: For texts with a few edits: words of a shingle; a text's smallest shingle hashes: so many are kept, and it is
 #: filed under the first few of them; a pair is looked at closer if the kept ones estimate ``EDIT_LIKENESS`` (0.8 less
 #: three standard errors) and linked if all shingles give 4/5; the most texts, and about the most shingles, of a part.
-EDIT_WORDS, SKETCH, FILED, EDIT_LIKENESS, SHARD_ROWS, PART_SHINGLES = 5, 32, 8, 0.55, 1024, 1 << 22
+EDIT_WORDS, SKETCH, FILED, EDIT_LIKENESS, SHARD_ROWS, PART_SHINGLES = 5, 32, 8, 0.55, 1024, 1 << 19
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -241,6 +242,7 @@ def edit_signatures(docs: DataFrame, keep: list[str], text_col: str = "text") ->
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_all()
         for batch in batches:
             fps, sketches = [], []
             for t in batch.column(0):

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import weakref
 from collections.abc import Callable
 
 #: White space of the Unicode property: what ``str.split`` knows without these four.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: Keys of one generation of a memory; two generations of chunks and of words take some 250 MB at most.
-MEMORY_ENTRIES = 250_000
+#: Keys and bytes of one generation of a memory. A key and its value count with what Python adds to them.
+MEMORY_ENTRIES, MEMORY_BYTES, OVERHEAD = 250_000, 24 << 20, 160
 #: Longer chunks are computed each time, so the memory stays bounded in bytes.
 MEMORY_CHARS = 100
 
@@ -30,9 +31,12 @@ class Memory(dict):
     """``memory[key]`` computes on first sight. A full memory becomes the old generation, from which what is
     met again moves on, so common keys stay and rare ones go after two generations at most."""
 
-    def __init__(self, compute: Callable[[str], object], entries: int = MEMORY_ENTRIES):
+    __hash__ = object.__hash__
+
+    def __init__(self, compute: Callable[[str], object], entries: int = MEMORY_ENTRIES, most_bytes: int = MEMORY_BYTES):
         super().__init__()
-        self.compute, self.entries, self.old = compute, entries, {}
+        self.compute, self.entries, self.most_bytes, self.old, self.held = compute, entries, most_bytes, {}, 0
+        _LIVE.add(self)
 
     def __missing__(self, key: str):
         value = self.old.get(key)
@@ -41,20 +45,41 @@ class Memory(dict):
         self.keep(key, value)
         return value
 
+    def _turn(self) -> None:
+        self.old, self.held = dict(self), 0
+        self.clear()
+
     def keep(self, key: str, value) -> None:
         if len(key) <= MEMORY_CHARS:
-            if len(self) >= self.entries:
-                self.old = dict(self)
-                self.clear()
+            if len(self) >= self.entries or self.held > self.most_bytes:
+                self._turn()
+            self.held += OVERHEAD + len(key) + _size(value)
             self[key] = value
 
     def keep_all(self, items: dict) -> None:
         """Keep many at once; the caller leaves long keys out."""
-        if len(self) + len(items) > self.entries:
-            self.old = dict(self)
-            self.clear()
+        if len(self) + len(items) > self.entries or self.held > self.most_bytes:
+            self._turn()
+        self.held += sum(OVERHEAD + len(k) + _size(v) for k, v in items.items())
         self.update(items)
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.held = {}, 0
+
+
+_LIVE: weakref.WeakSet = weakref.WeakSet()
+
+
+def _size(value) -> int:
+    return len(value) * (1 if isinstance(value, (bytes, str)) else 32) if hasattr(value, "__len__") else 8
+
+
+def forget_all() -> None:
+    """Workers live on from one operator to the next: those that use no memory give back what others remembered."""
+    for memory in list(_LIVE):
+        memory.forget()
+
 
 def words_of(chunk: str, find_words: Callable[[str], list[str]]) -> list[str]:
     """The tokenizer's words in a chunk: normal form C, lower case, then its word pattern."""
