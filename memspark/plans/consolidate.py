@@ -44,7 +44,7 @@ def daily_sources(episodes: DataFrame, *, per_part: int = SOURCES_PER_PART) -> D
     to fit into one row. ``episodes``: scope, id, ts, type, input_text, output_text.
     """
     rows = interactions(episodes).withColumn("day", F.to_date("ts"))
-    rows = positions(rows, [*SCOPE, "day"], F.hour("ts"), [F.col("ts"), F.col("id")], "_pos")
+    rows = positions(rows, [*SCOPE, "day"], F.date_trunc("second", "ts"), [F.col("ts"), F.col("id")], "_pos")
     date = F.date_format("day", "yyyy-MM-dd")
     block = X.source_block(F.col("id"), date, X.episode_text(F.col("input_text"), F.col("output_text")))
     parts = rows.withColumn("part_no", F.floor((F.col("_pos") - 1) / per_part)).withColumn("_block", block)
@@ -74,7 +74,7 @@ def daily_digest(episodes: DataFrame, embed: Callable[[Column], Column], extract
     clusters = topic_clusters(vecs, min_sources=min_sources)
     clusters = cluster_cap(vecs, clusters, dimensions=dimensions)
     rows = src.join(clusters, [*SCOPE, "day", "id"])
-    rows = positions(rows, [*SCOPE, "day", "cluster"], F.hour("ts"), [F.col("ts"), F.col("id")], "_pos")
+    rows = positions(rows, [*SCOPE, "day", "cluster"], F.date_trunc("second", "ts"), [F.col("ts"), F.col("id")], "_pos")
     rows = rows.withColumn("part_no", F.floor((F.col("_pos") - 1) / per_part)).withColumn(
         "_block", X.source_block(F.col("id"), F.date_format("day", "yyyy-MM-dd"), F.col("text"))
     )

@@ -289,6 +289,25 @@ def test_relationships_in_any_arrival_order(spark, seed, bucket_rows):
         assert got == brute_edges(start, new)
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_of_a_key_with_a_bucket_per_row(spark, descending):
+    """Levels of totals, each small: nothing is summed up by one window over the key."""
+    rnd = random.Random(5)
+    rows = [("hot", i, rnd.randrange(9)) for i in rnd.sample(range(10_000), 400)] + [(f"k{i % 7}", i, i % 3) for i in range(40)]
+    df = frame(spark, rows, "key string, id bigint, v bigint")
+    order = F.col("id").desc() if descending else F.col("id").asc()
+    out = running.running_totals(df, ["key"], F.col("id"), [order], F.col("v"), "before", "pos", descending, level_rows=6).collect()
+    expected = {}
+    for key in {r[0] for r in rows}:
+        before = 0
+        for pos, (_, i, v) in enumerate(sorted((r for r in rows if r[0] == key), reverse=descending), 1):
+            expected[key, i] = (before, pos)
+            before += v
+    assert {(r["key"], r["id"]): (r["before"], r["pos"]) for r in out} == expected
+    alone = running.running_totals(df.filter("key = 'hot'").drop("key"), [], F.col("id"), [F.col("id").asc()], F.col("v"), "before", level_rows=50)
+    assert alone.agg(F.max("before")).first()[0] == sum(r[2] for r in rows if r[0] == "hot") - max((r for r in rows if r[0] == "hot"))[2]
+
+
 def test_rollup_calendar(spark):
     dates = frame(spark, [(dt.date(2024, 1, 1),), (dt.date(2024, 3, 1),), (dt.date(2024, 3, 5),)], "date date")
     jobs = {(str(r["date"]), r["level"]): (r["period"], r["source_periods"]) for r in consolidate.due_rollups(dates).collect()}
