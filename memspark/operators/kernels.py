@@ -225,37 +225,6 @@ def mmr_order(lam: float):
     return order
 
 
-def text_hits(keys: list[str]):
-    """(text_id, name_id) for every name that occurs in a text; one pass over each text."""
-    columns = [*keys, "text_id", "name_id"]
-
-    def run(texts: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-        if texts.empty or names.empty:
-            return empty()
-        head = {c: texts[c].iloc[0] for c in keys}
-        owners = names.groupby("name")["name_id"].agg(list).to_dict()
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for name in owners:
-            auto.add_word(name, name)
-        auto.make_automaton()
-
-        def found(text):
-            return {name for _, name in auto.iter(text)}
-
-        out = []
-        for text_id, text in zip(texts["text_id"], texts["text"]):
-            for name in found(text):
-                out.extend((text_id, n) for n in owners[name])
-        if not out:
-            return empty()
-        rows = pd.DataFrame(out, columns=["text_id", "name_id"]).drop_duplicates()
-        return rows.assign(**head)[columns]
-
-    return run
-
-
 def similar_forest(keys: list[str], threshold: float, digits: int):
     """Edges of a spanning forest of the pairs at or above the threshold.
 

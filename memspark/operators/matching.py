@@ -2,33 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark.functions import text as X
 from memspark.functions import timeex as D
-from memspark.operators import kernels
-from memspark.operators.cells import cut_into_cells, match_cells
 from memspark.operators.running import top_per_key
 from memspark.operators.scope import SCOPE
+from memspark.session import materialize
 
-TEXT_BYTES_PER_CELL, NAMES_PER_CELL = 64 << 20, 1 << 18
 MAX_CANDIDATES = 6
+#: Longest character grams that names are filed under, and what parts words.
+GRAM, BLANKS = 3, r"\s+"
+
+
+def _grams(text: Column, lengths: range) -> Column:
+    """Distinct character grams of short strings."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]))
+
+
+def pieces_in_words(words: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, word, piece) where the piece occurs inside the word. ``words`` are written, both are distinct.
+
+    A piece is filed under its gram that the fewest words hold; the grams of the words fetch the pieces, and only
+    those are looked for.
+    """
+    of_words = words.select(*keys, "word", F.explode(_grams(F.col("word"), range(1, GRAM + 1))).alias("gram"))
+    own = F.when(F.length("piece") >= GRAM, _grams(F.col("piece"), range(GRAM, GRAM + 1))).otherwise(F.array("piece"))
+    of_pieces = pieces.select(*keys, "piece", F.explode(own).alias("gram"))
+    counts = of_words.join(of_pieces.select(*keys, "gram").distinct(), [*keys, "gram"], "left_semi").groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
+    filed = of_pieces.join(counts, [*keys, "gram"]).groupBy(*keys, "piece").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    return of_words.join(filed, [*keys, "gram"]).filter(F.contains("word", "piece")).select(*keys, "word", "piece")
 
 
 def names_in_texts(texts: DataFrame, names: DataFrame, keys: list[str] = SCOPE) -> DataFrame:
     """(keys, text_id, name_id) where the name occurs anywhere in the text of its scope.
 
-    Containment has no key to join on. Each cell builds one automaton from its block of names and
-    reads every text once, so the work is linear in the text, not in texts times names.
+    Containment has no key to join on, but a piece of a name without blanks can only lie inside a word. So each
+    name goes by its longest piece, pieces meet the vocabulary of the texts and not the texts, and the words
+    that hold one lead back to the texts. Names of several pieces are then looked for in the texts they may be in.
     """
-    left, right, cell = cut_into_cells(
-        texts.select(*keys, "text_id", "text"), names.select(*keys, "name_id", "name").filter(F.col("name") != ""), keys,
-        ["text_id"], ["name_id", "name"], TEXT_BYTES_PER_CELL, NAMES_PER_CELL, left_size=F.octet_length("text"),
-    )
-    types = dict(texts.dtypes) | dict(names.dtypes)
-    schema = ", ".join([*[f"{c} {types[c]}" for c in keys], f"text_id {types['text_id']}", f"name_id {types['name_id']}"])
-    return match_cells(left, right, cell, kernels.text_hits(keys), schema).distinct()
+    parts = F.filter(F.split("name", BLANKS), lambda p: p != "")
+    longest = F.array_max(F.transform(parts, lambda p, i: F.struct(F.length(p).alias("n"), (-i).alias("at"), p.alias("piece"))))["piece"]
+    named = names.select(*keys, "name_id", "name").filter(F.col("name") != "").withColumn("piece", longest)
+    words = texts.select(*keys, "text_id", F.explode(F.array_distinct(F.split("text", BLANKS))).alias("word")).filter("word != ''")
+    vocabulary = materialize(words.select(*keys, "word").distinct(), "vocabulary")
+    pieces = named.filter("piece is not null").select(*keys, "piece").distinct()
+    pairs = materialize(pieces_in_words(vocabulary, pieces, keys), "pieces")
+    held = materialize(words.join(pairs, [*keys, "word"]).select(*keys, "text_id", "piece").distinct(), "held")
+    found = held.join(named, [*keys, "piece"])
+    whole = found.filter("name = piece").select(*keys, "text_id", "name_id")
+    maybe = found.filter("name != piece").select(*keys, "text_id", "name_id", "name")
+    # a name of blanks alone has no piece
+    blank = named.filter("piece is null").select(*keys, "name_id", "name")
+    rows = texts.select(*keys, "text_id", "text")
+    long = rows.join(maybe, [*keys, "text_id"]).unionByName(rows.join(blank, keys)).filter(F.contains("text", "name"))
+    return whole.unionByName(long.select(*keys, "text_id", "name_id")).distinct()
 
 
 def stage1_entity_match(queries: DataFrame, entities: DataFrame, as_of=None, keys: list[str] = SCOPE) -> DataFrame:

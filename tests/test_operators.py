@@ -152,15 +152,16 @@ def test_mmr_prefers_variety(spark):
     assert only == ["a", "b"]
 
 
-def test_names_in_texts_over_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(matching, "TEXT_BYTES_PER_CELL", 60)
-    monkeypatch.setattr(matching, "NAMES_PER_CELL", 3)
-    texts = {i: t for i, t in enumerate(["a red cat", "the catalogue", "dogs and cats", "nothing", "rød fisk", "red"] * 3)}
-    names = {j: n for j, n in enumerate(["cat", "red", "dog", "fisk", "a", "catalogue", "", "zz"])}
-    t = frame(spark, [(*s, i, x) for s in (A, B) for i, x in texts.items()], "scope_kind string, scope_owner string, text_id bigint, text string")
-    n = frame(spark, [(*A, j, x) for j, x in names.items()], "scope_kind string, scope_owner string, name_id bigint, name string")
-    got = {(r["scope_owner"], r["text_id"], r["name_id"]) for r in matching.names_in_texts(t, n).collect()}
-    assert got == {("user:a", i, j) for i, x in texts.items() for j, y in names.items() if y and y in x}
+def test_names_in_texts_equal_contains(spark):
+    rnd = random.Random(2)
+    pick = lambda n: "".join(rnd.choice("ab é\n") for _ in range(n))
+    texts = [(*s, i, pick(rnd.randint(0, 40))) for s in (A, B) for i in range(40)] + [(*A, 97, None), (*A, 98, ""), (*A, 99, "x" * 5000 + " one  two")]
+    names = [(*s, f"n{i}", pick(rnd.randint(0, 6))) for s in (A, B) for i in range(40)] + [(*A, "deep", "xe"), (*A, "two", "e  t"), (*A, "gap", "  "), (*A, "gone", "zq"), (*A, "null", None)]
+    t = frame(spark, texts, "scope_kind string, scope_owner string, text_id int, text string")
+    n = frame(spark, names, "scope_kind string, scope_owner string, name_id string, name string")
+    rows = [(r["scope_owner"], r["text_id"], r["name_id"]) for r in matching.names_in_texts(t, n).collect()]
+    expected = {(ts[1], ts[2], ns[2]) for ts in texts for ns in names if ts[:2] == ns[:2] and ts[3] and ns[3] and ns[3] in ts[3]}
+    assert len(rows) == len(set(rows)) and set(rows) == expected and len(expected) > 300
 
 
 def test_stage1_respects_scope_slug_and_self_model(spark):
