@@ -171,6 +171,15 @@ def security_events(audit: DataFrame, *, limit: int) -> DataFrame:
     return top_per_key(rows, SCOPE, [F.col("ts").desc(), F.col("id").desc()], limit)
 
 
+def key_rotation_status(events: DataFrame, rotations: DataFrame) -> DataFrame:
+    """Per scope with either, its key rotation (from_version, to_version, status, started_at, completed_at; null
+    without one) and how many security-relevant events it has."""
+    n = events.filter(F.col("event_type").isin(SECURITY_EVENTS)).groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n_events"))
+    cols = ["from_version", "to_version", "status", "started_at", "completed_at"]
+    rows = rotations.select(*SCOPE, *cols).join(n, SCOPE, "full_outer")
+    return rows.withColumn("n_events", F.coalesce("n_events", F.lit(0).cast("long")))
+
+
 def status_counters(rows: DataFrame, by: str, columns: list[str] | None = None) -> DataFrame:
     """Outcome counts per scope, one column per outcome."""
     return rows.groupBy(*SCOPE).pivot(by, columns).agg(F.count(F.lit(1))).na.fill(0)
@@ -188,3 +197,8 @@ def shown(counts: Column, limit: int) -> Column:
 def clamp(value: int | None, default: int, largest: int) -> int:
     """A caller's limit: the default when missing or not positive, never above the largest."""
     return default if not value or value <= 0 else min(value, largest)
+
+
+def clamped(value: Column, default: int, largest: int) -> Column:
+    """``clamp`` for a column of limits."""
+    return F.when(value.isNull() | (value <= 0), F.lit(default)).otherwise(F.least(value, F.lit(largest)))

@@ -183,6 +183,23 @@ def normalise_edges(updates: DataFrame) -> DataFrame:
     return rows.filter((F.col("predicate") != "") & (F.col("subject_id") != "") & (F.col("object_id") != ""))
 
 
+def rejected_edges(updates: DataFrame, entities: DataFrame) -> DataFrame:
+    """Raw updates that become no edge, each with the first ``reason``: what ``normalise_edges`` and ``endpoint_semi`` leave out."""
+    kinds = F.col("subject_kind").isin(X.ENTITY_KINDS) & F.col("object_kind").isin(X.ENTITY_KINDS)
+    said = F.lower(X.strip(F.coalesce("predicate", F.lit(""))))
+    subject, object_ = (X.entity_id(F.col(f"{side}_kind"), F.col(f"{side}_name"), F.lit("")) for side in ("subject", "object"))
+    reason = (
+        F.when(~F.coalesce(kinds, F.lit(False)), "unknown kind").when(F.octet_length(said) > X.PREDICATE_MAX_BYTES, "predicate too long").when(said == "", "no predicate")
+        .when((F.coalesce(subject, F.lit("")) == "") | (F.coalesce(object_, F.lit("")) == ""), "no identifier")
+    )
+    rows = updates.withColumns({"_subject": subject, "_object": object_, "reason": reason})
+    ids = entities.select(*SCOPE, "id").distinct()
+    for side in ("_subject", "_object"):
+        rows = rows.join(ids.withColumnRenamed("id", side).withColumn(f"{side}_known", F.lit(True)), [*SCOPE, side], "left")
+    unknown = F.col("_subject_known").isNull() | F.col("_object_known").isNull()
+    return rows.withColumn("reason", F.coalesce("reason", F.when(unknown, "unknown entity"))).filter("reason is not null").select(*updates.columns, "reason")
+
+
 def relationship_upsert(existing: DataFrame, updates: DataFrame, entities: DataFrame, bucket_rows: int = edges.BUCKET_ROWS) -> DataFrame:
     """All edges after ``updates`` (normalised edges with ``arrival``) came in, in arrival order.
 

@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from memspark.functions import text as X
 from memspark.functions.timeex import relative_delta_ago
 
+# The largest gap and the sentence around a pair.
 MAX_GAP_DAYS = 2
+FOUND = "A separate computation over the retrieved facts found a pair of matching events on consecutive days: "
+APART = " day(s) apart). As of now, the later of those two was "
+CAUTION = ". Use this only if it directly answers the question — otherwise ignore it."
 
 
 def closest_date_pair(facts: DataFrame, keys: list[str], *, max_gap: int = MAX_GAP_DAYS) -> DataFrame:
@@ -37,8 +42,14 @@ def closest_date_pair(facts: DataFrame, keys: list[str], *, max_gap: int = MAX_G
     return pairs.withColumn("_best", F.row_number().over(best)).filter("_best = 1").drop("_best")
 
 
-def aggregation_hint(facts: DataFrame, keys: list[str], as_of: Column, *, max_gap: int = MAX_GAP_DAYS) -> DataFrame:
-    """The sentence told to the model about the closest pair; none when the later date lies ahead."""
+def aggregation_hint(facts: DataFrame, keys: list[str], as_of: Column, *, questions: DataFrame | None = None, max_gap: int = MAX_GAP_DAYS) -> DataFrame:
+    """The sentence told to the model about the closest pair; none when the later date lies ahead.
+
+    With ``questions`` (keys, question) only those that ask for consecutive events get one.
+    """
+    if questions is not None:
+        asked = questions.filter(X.consecutive_intent(F.col("question"))).select(*keys).distinct()
+        facts = facts.join(asked, keys, "left_semi")
     pairs = closest_date_pair(facts, keys, max_gap=max_gap)
     ago = relative_delta_ago(F.col("second_date").cast("timestamp_ntz"), as_of)
 
@@ -47,10 +58,9 @@ def aggregation_hint(facts: DataFrame, keys: list[str], as_of: Column, *, max_ga
         return F.concat(F.lit('"'), F.replace(escaped, F.lit("\n"), F.lit("\\n")), F.lit('"'))
 
     hint = F.concat(
-        F.lit("A separate computation over the retrieved facts found a pair of matching events on consecutive days: "),
+        F.lit(FOUND),
         quoted("first"), F.lit(" on "), F.col("first_date").cast("string"), F.lit(" and "), quoted("second"), F.lit(" on "),
         F.col("second_date").cast("string"), F.lit(" ("), F.col("gap_days").cast("string"),
-        F.lit(" day(s) apart). As of now, the later of those two was "), ago,
-        F.lit(". Use this only if it directly answers the question — otherwise ignore it."),
+        F.lit(APART), ago, F.lit(CAUTION),
     )
     return pairs.withColumn("_ago", ago).filter(F.col("_ago") != "").withColumn("hint", hint).drop("_ago")

@@ -124,6 +124,8 @@ class Search:
         if paraphrases is None:
             return own
         rows = paraphrases.join(self.live.select(*QKEY), QKEY, "left_semi")
+        if "query_vector" in rows.columns:
+            return own.unionByName(rows.select(*QKEY, "variant", "query_vector"))
         said = V.embed_texts(rows.select(*QKEY, "variant", "text"), [*QKEY, "variant"], F.col("text"), embed, "query_vector")
         return own.unionByName(said.drop("text"))
 

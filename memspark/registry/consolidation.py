@@ -138,6 +138,35 @@ def grounding_resolve(t):
     return consolidate.grounding_resolve(s.drop("pos"), v, ["summary_id"]).select("summary_id", "fact_no", "grounded")
 
 
+def stand_in_judge(prompts):
+    """Stands in for a model: facts of a byte length that three does not divide are true; it refuses licences."""
+    import json
+
+    out = []
+    for p in prompts:
+        listed = p.split("\n")[1]
+        if "licen" in listed.lower():
+            raise ValueError("refused")
+        said = [{"i": f["i"], "ok": len(f["fact"].encode()) % 3 != 0} for f in json.loads(listed.removeprefix("FACTS "))]
+        out.append("My verdict: " + json.dumps({"grounded": said}))
+    return out
+
+
+_JUDGED = """lit AS (SELECT *, (row_number() OVER (PARTITION BY summary_id ORDER BY pos) - 1) // 20 AS b FROM sentences_v WHERE pos % 11 <> 10),
+ bad AS (SELECT summary_id, b FROM lit GROUP BY ALL HAVING bool_or(contains(lower(fact), 'licen')))"""
+
+
+@query("judged_grounding", ctes("sentences_v", more=_JUDGED) + """SELECT lit.summary_id, pos + 1 AS fact_no, bad.b IS NULL AND strlen(fact) % 3 <> 0 AS grounded, CASE WHEN bad.b IS NOT NULL THEN 'ValueError: refused' END AS error
+ FROM lit LEFT JOIN bad ON bad.summary_id = lit.summary_id AND bad.b = lit.b UNION ALL SELECT summary_id, pos + 1, TRUE, NULL FROM sentences_v WHERE pos % 11 = 10""")
+def judged_grounding(t):
+    """Lines of documents before a judge that refuses some prompts; the others of its call are answered all the same."""
+    from memspark.plans import judge
+
+    s = sentences(t).select("summary_id", (F.col("pos") + 1).alias("fact_no"), "fact", (F.col("pos") % 11 == 10).alias("is_inference"))
+    src = s.select("summary_id").distinct().withColumn("source", F.concat(F.lit("digest "), "summary_id"))
+    return judge.judged_grounding(s, ["summary_id"], src, stand_in_judge).select("summary_id", "fact_no", "grounded", "error")
+
+
 @query("attribution_resolve", "SELECT o_orderkey, unnest([0, 1, 2])::INTEGER AS pos, unnest(CASE WHEN o_orderkey % 3 = 0 THEN [NULL, NULL, NULL] ELSE [TRUE, o_orderkey % 2 = 0, FALSE] END) AS used FROM orders")
 def attribution_resolve(t):
     flags = F.array(F.lit(True), F.col("o_orderkey") % 2 == 0, F.lit(False))
@@ -231,6 +260,27 @@ def relationship_upsert(t):
     return out.select("subject_id", "object_id", "valid_from", "valid_until")
 
 
+_RAW = """raw AS (SELECT o_orderkey AS arrival, CASE o_orderkey % 5 WHEN 4 THEN 'robot' ELSE 'person' END AS kind, CASE WHEN o_orderkey % 7 = 3 THEN '--' ELSE o_custkey::VARCHAR END AS name,
+ CASE WHEN o_orderkey % 11 = 5 THEN repeat('x', 70) WHEN o_orderkey % 13 = 6 THEN ' ' ELSE 'prefers' END AS predicate, substr(o_orderpriority, 1, 1) AS object FROM orders)"""
+
+
+@query("relationship_rejects", f"WITH {_RAW}" + """ SELECT arrival, CASE WHEN kind = 'robot' THEN 'unknown kind' WHEN length(predicate) > 64 THEN 'predicate too long' WHEN predicate = ' ' THEN 'no predicate' WHEN name = '--' THEN 'no identifier' ELSE 'unknown entity' END AS reason
+ FROM raw WHERE kind = 'robot' OR predicate <> 'prefers' OR name = '--' OR object IN ('4', '5')""")
+def relationship_rejects(t):
+    """What a batch of raw updates loses, and why; objects 4 and 5 are unknown."""
+    k = F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    raw = t.orders.select(
+        F.lit("private").alias("scope_kind"), F.lit("user:all").alias("scope_owner"), k.alias("arrival"), F.when(k % 5 == 4, "robot").otherwise("person").alias("subject_kind"),
+        F.when(k % 7 == 3, "--").otherwise(F.col("o_custkey").cast("string")).alias("subject_name"),
+        F.when(k % 11 == 5, "x" * 70).when(k % 13 == 6, " ").otherwise("prefers").alias("predicate"), F.lit("preference").alias("object_kind"),
+        F.substring("o_orderpriority", 1, 1).alias("object_name"), none.alias("valid_from"), none.alias("valid_until"),
+    )
+    known = raw.select(*SCOPE, X.entity_id(F.lit("person"), F.col("subject_name"), F.lit("")).alias("id")).union(
+        raw.filter("object_name not in ('4', '5')").select(*SCOPE, X.entity_id(F.lit("preference"), F.col("object_name"), F.lit(""))))
+    return versions.rejected_edges(raw, known.distinct()).select("arrival", "reason")
+
+
 @query("relationship_upsert_ordered", ctes("prefs_v") + _CLOSED)
 def relationship_upsert_ordered(t):
     e, _ = edge_input(t)

@@ -158,6 +158,28 @@ def security_events(t):
     return panels.security_events(audit_log(t), limit=20).select("id", "scope_owner", "event_type")
 
 
+_ROTATED = """ro AS (SELECT scope_kind, scope_owner, min(id) AS a, max(id) AS b FROM audit_v WHERE event_type = 'key_rotation' GROUP BY ALL),
+ n AS (SELECT scope_kind, scope_owner, count(*) AS n_events FROM audit_v WHERE event_type IN ('export', 'import', 'key_rotation', 'correct', 'dashboard_login') GROUP BY ALL)"""
+
+
+@query("key_rotation_status", ctes("audit_v", more=_ROTATED) + """SELECT coalesce(ro.scope_owner, n.scope_owner) AS scope_owner, CASE WHEN a % 2 = 0 THEN 'completed' WHEN a IS NOT NULL THEN 'running' END AS status, a AS from_version, a + 1 AS to_version, coalesce(n_events, 0) AS n_events
+ FROM ro FULL OUTER JOIN n ON ro.scope_kind = n.scope_kind AND ro.scope_owner = n.scope_owner""")
+def key_rotation_status(t):
+    """The first rotation of each scope as its status, beside its security-relevant events."""
+    a = audit_log(t)
+    r = a.filter("event_type = 'key_rotation'").groupBy("scope_kind", "scope_owner").agg(F.min("id").alias("from_version"), F.min("ts").alias("started_at"))
+    r = r.withColumn("to_version", F.col("from_version") + 1).withColumn("status", F.when(F.col("from_version") % 2 == 0, "completed").otherwise("running"))
+    r = r.withColumn("completed_at", F.when(F.col("status") == "completed", F.col("started_at")))
+    return panels.key_rotation_status(a, r).select("scope_owner", "status", "from_version", "to_version", "n_events")
+
+
+@query("clamp_params", "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 4 = 0 OR l_partkey % 90 = 0 THEN 20 ELSE least(l_partkey % 90, 50) END AS n FROM lineitem")
+def clamp_params(t):
+    """Asked page sizes, every fourth missing: 20 by default, 50 at most."""
+    asked = F.when(F.col("l_suppkey") % 4 != 0, F.col("l_partkey") % 90)
+    return t.lineitem.select("l_orderkey", "l_linenumber", panels.clamped(asked, 20, 50).cast("long").alias("n"))
+
+
 _GATE = """e AS (SELECT q.query_id, count(n.id) AS n_hits FROM queries_v q LEFT JOIN entities_v n ON contains(lower(q.text), lower(n.name)) OR contains(lower(q.text), substr(n.id, instr(n.id, ':') + 1)) GROUP BY q.query_id)"""
 
 

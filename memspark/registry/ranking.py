@@ -267,11 +267,14 @@ def closest_date_pair(t):
 _HINT_TEXT = """'A separate computation over the retrieved facts found a pair of matching events on consecutive days: "order ' || o_orderkey || '" on ' || day || ' and "order ' || nxt_key || '" on ' || nxt || ' (' || gap || ' day(s) apart). As of now, the later of those two was ' || lbl || '. Use this only if it directly answers the question — otherwise ignore it.'"""
 
 
-@query("aggregation_hint", _CLOSE + f", h AS (SELECT *, {label_sql('nxt::TIMESTAMP', 'TIMESTAMP ' + chr(39) + '2000-03-01' + chr(39), 'ago')} AS lbl FROM b WHERE gap <= 2) SELECT o_custkey, {_HINT_TEXT} AS hint FROM h WHERE lbl <> ''")
+@query("aggregation_hint", _CLOSE + f", h AS (SELECT *, {label_sql('nxt::TIMESTAMP', 'TIMESTAMP ' + chr(39) + '2000-03-01' + chr(39), 'ago')} AS lbl FROM b WHERE gap <= 2) SELECT o_custkey, {_HINT_TEXT} AS hint FROM h WHERE lbl <> '' AND o_custkey % 3 <> 2")
 def aggregation_hint(t):
     from memspark.plans.hints import aggregation_hint as hint
 
-    return hint(dated_orders(t), ["o_custkey"], F.lit("2000-03-01").cast("timestamp_ntz")).select("o_custkey", "hint")
+    k = F.col("o_custkey") % 3
+    asked = F.when(k == 0, "Which two orders came In a Row?").when(k == 1, "two orders back to back").otherwise("List my orders from earliest to latest")
+    q = t.orders.select("o_custkey", asked.alias("question"))
+    return hint(dated_orders(t), ["o_custkey"], F.lit("2000-03-01").cast("timestamp_ntz"), questions=q).select("o_custkey", "hint")
 
 
 @query("version_chain_order", ctes("summaries_v", recursive=True, more="""k AS (SELECT a.id, a.scope_owner, a.period, b.id AS up FROM summaries_v a LEFT JOIN summaries_v b ON a.supersedes = b.id AND a.scope_owner = b.scope_owner AND a.period = b.period),

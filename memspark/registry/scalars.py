@@ -114,11 +114,10 @@ def slugify(t):
     return t.customer.select("c_custkey", X.slugify(F.col("c_name")).alias("slug"))
 
 
-@query("entity_id", f"""WITH w AS (SELECT doc_id, lang, split_part(text, ' ', 1) AS w FROM documents)
+@query("entity_id", f"""WITH w AS (SELECT doc_id, lang, text AS w FROM documents)
 SELECT doc_id, CASE WHEN {_SLUG.format('w')} = '' THEN 'doc-' || doc_id ELSE 'place:' || {_SLUG.format('w')} END AS id FROM w""")
 def entity_id(t):
-    w = F.split(F.col("text"), " ")[0]
-    return t.documents.select("doc_id", X.entity_id(F.lit("place"), w, F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("id"))
+    return t.documents.select("doc_id", X.entity_id(F.lit("place"), F.col("text"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("id"))
 
 
 @query("slug_part", ctes("entities_v") + "SELECT id, substr(id, instr(id, ':') + 1) AS slug FROM entities_v")
@@ -127,12 +126,12 @@ def slug_part(t):
 
 
 @query("predicate_norm", """WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'person' ELSE 'place' END AS kind,
- CASE WHEN doc_id % 5 = 0 THEN ' Based_In ' ELSE split_part(text, '.', 1) END AS raw FROM documents),
+ CASE WHEN doc_id % 5 = 0 THEN ' Based_In ' ELSE text END AS raw FROM documents),
  q AS (SELECT doc_id, kind, lower(regexp_replace(raw, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS p FROM p)
 SELECT doc_id, CASE WHEN strlen(p) > 64 THEN '' WHEN kind = 'person' AND p = 'based_in' THEN 'lives_in' ELSE p END AS predicate FROM q""")
 def predicate_norm(t):
     kind = F.when(F.col("doc_id") % 3 == 0, "person").otherwise("place")
-    raw = F.when(F.col("doc_id") % 5 == 0, " Based_In ").otherwise(F.split("text", r"\.")[0])
+    raw = F.when(F.col("doc_id") % 5 == 0, " Based_In ").otherwise(F.col("text"))
     return t.documents.select("doc_id", X.predicate_norm(kind, raw).alias("predicate"))
 
 

@@ -211,10 +211,10 @@ def sessionize_turns(t):
     return good.select("session_index", "part_no", "n_turns", F.col("session_at").cast("timestamp_ntz").alias("session_at"), F.md5("text").alias("digest"))
 
 
-@query("turn_text", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN substr(html, 1, 20) WHEN 1 THEN '[Shared image: ' || CASE WHEN url LIKE '%/' THEN url ELSE regexp_extract(url, '[^/]*$') END || ']' || chr(10) || 'a page' ELSE substr(html, 1, 20) || chr(10) || '[Shared image: ' || CASE WHEN url LIKE '%/' THEN url ELSE regexp_extract(url, '[^/]*$') END || ']' || chr(10) || 'a page' END AS text FROM pages""")
+@query("turn_text", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN '[Shared image: ' || CASE WHEN url LIKE '%/' THEN url ELSE regexp_extract(url, '[^/]*$') END || ']' || chr(10) || 'a page' ELSE html || chr(10) || '[Shared image: ' || CASE WHEN url LIKE '%/' THEN url ELSE regexp_extract(url, '[^/]*$') END || ']' || chr(10) || 'a page' END AS text FROM pages""")
 def turn_text(t):
     m = F.col("page_id") % 3
-    own = F.when(m == 1, F.lit(" ")).otherwise(F.substring("html", 1, 20))
+    own = F.when(m == 1, F.lit(" ")).otherwise(F.col("html"))
     return t.pages.select("page_id", X.turn_text(own, F.col("url"), F.when(m != 0, F.lit("a page"))).alias("text"))
 
 

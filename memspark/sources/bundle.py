@@ -162,7 +162,7 @@ def import_merge_relations(existing: DataFrame, incoming: DataFrame, *, summary_
 
     ``incoming``: scope, relation_type, from, to (locators).
     """
-    rows = incoming.withColumn("_row", F.xxhash64(*SCOPE, "relation_type", F.to_json("from"), F.to_json("to")))
+    rows = incoming.withColumn("_row", F.sha2(F.to_json(F.struct(*SCOPE, "relation_type", "from", "to")), 256))
 
     def resolved(side: str) -> DataFrame:
         loc = rows.select(*SCOPE, F.col("_row").alias("locator_id"), f"{side}.entity_id", f"{side}.attribute_key", F.col(f"{side}.summary_id").alias("summary_ref"), f"{side}.fact")
