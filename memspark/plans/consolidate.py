@@ -26,6 +26,8 @@ from memspark.session import materialize
 
 # Batch sizes and levels.
 GROUNDING_BATCH, RELATED_SUMMARIES = 20, 5
+#: Summaries of an entity that are fetched one by one; more are matched in cells.
+HUB_ROWS = 4096
 SOURCES_PER_PART = 200
 LEVEL_ABOVE = {"daily": "weekly", "weekly": "monthly", "monthly": "yearly"}
 LEVEL_BELOW = {above: below for below, above in LEVEL_ABOVE.items()}
@@ -167,7 +169,7 @@ def refresh_cascade(changed: DataFrame, rollups: DataFrame) -> DataFrame:
             front = front.unionByName(found[-1])
         hit = front.select(*SCOPE, F.col("period").alias("_source"))
         up = covers.filter(F.col("level") == above).join(hit, [*SCOPE, "_source"], "left_semi").select(*SCOPE, "level", "period").distinct()
-        found.append(materialize(up, "refresh"))
+        found.append(up)
     return reduce(DataFrame.unionByName, found)
 
 
@@ -311,27 +313,46 @@ def derives_record(inferences: DataFrame, heads: DataFrame) -> DataFrame:
     return hit.select(*SCOPE, X.fact_memory_id(F.col("fact_id")).alias("from_memory_id"), "to_memory_id", F.lit("derives").alias("relation_type"))
 
 
-def entity_specificity(summaries: DataFrame, triggers: DataFrame, *, top: int = RELATED_SUMMARIES) -> DataFrame:
+def entity_specificity(summaries: DataFrame, triggers: DataFrame, *, top: int = RELATED_SUMMARIES, hub_rows: int = HUB_ROWS) -> DataFrame:
     """Current summaries related to each trigger by shared entities, rare entities weighing more.
 
     ``summaries``: scope, id, entities_touched, created_at, supersedes. ``triggers``: scope, id,
-    entities_touched. A hub entity joins every summary with every trigger that touches it, so the
-    weights are summed cell by cell, and each cell returns only its best rows.
+    entities_touched. An entity that more than ``top`` summaries touch assures that many results of its weight. Entities
+    whose weights together stay below the best such assurance cannot bring in a summary on their own: only
+    the rarer ones fetch candidates, and hubs just add to the scores. Triggers that need an entity of over
+    ``hub_rows`` summaries all the same are matched cell by cell.
     """
     from memspark.operators import kernels
     from memspark.operators.cells import cut_into_cells, match_cells
 
     current = current_versions(summaries)
-    touched = materialize(current.select(*SCOPE, F.col("id").alias("doc_id"), "created_at", F.explode("entities_touched").alias("term")), "touched")
-    freq = touched.groupBy(*SCOPE, "term").agg(F.count(F.lit(1)).alias("_freq"))
-    asked = triggers.select(*SCOPE, F.col("id").alias("query_id"), F.explode(F.array_distinct("entities_touched")).alias("term"))
-    wanted = asked.select(*SCOPE, "term").distinct()
-    posts = touched.join(wanted, [*SCOPE, "term"], "left_semi").join(freq, [*SCOPE, "term"]).groupBy(*SCOPE, "doc_id", "created_at", "term").agg(
-        F.sum(1 / F.col("_freq")).alias("weight")
-    )
-    posts = materialize(posts, "posts")
-    left, right, cell = cut_into_cells(posts, asked, SCOPE, ["doc_id"], ["query_id"], 1 << 18, 1 << 14)
-    found = match_cells(left, right, cell, kernels.specific_best(SCOPE, top), "scope_kind string, scope_owner string, query_id string, doc_id string, created_at timestamp_ntz, score double")
+    touched = current.select(*SCOPE, F.col("id").alias("doc_id"), "created_at", F.explode("entities_touched").alias("term"))
+    each = materialize(touched.groupBy(*SCOPE, "doc_id", "created_at", "term").agg(F.count(F.lit(1)).alias("times")), "touched")
+    stats = each.groupBy(*SCOPE, "term").agg(F.sum("times").alias("_freq"), F.count(F.lit(1)).alias("docs"), F.max("times").alias("_most"))
+    asked = triggers.select(*SCOPE, F.col("id").alias("query_id"), F.explode(F.array_distinct("entities_touched")).alias("term")).distinct()
+    posts = materialize(each.join(stats, [*SCOPE, "term"]).select(*SCOPE, "doc_id", "created_at", "term", (F.col("times") / F.col("_freq")).alias("weight")), "posts")
+    row = F.struct((1 / F.col("_freq")).alias("weight"), "term", "docs", (F.col("_most") / F.col("_freq")).alias("most"))
+    of_query = asked.join(stats, [*SCOPE, "term"]).groupBy(*SCOPE, "query_id").agg(F.sort_array(F.collect_list(row), asc=False).alias("_t"))
+    sure = F.coalesce(F.array_max(F.transform(F.filter("_t", lambda x: x["docs"] > top), lambda x: x["weight"])), F.lit(0.0))
+    # with each entity, what it and all more common ones can add up to
+    left = F.transform("_t", lambda x, i: F.aggregate(F.slice("_t", i + 1, F.size("_t")), F.lit(0.0), lambda n, y: n + y["most"]))
+    needed = F.transform(F.filter(F.arrays_zip(F.col("_t").alias("t"), left.alias("left")), lambda z: z["left"] >= F.col("_sure") - 2e-9), lambda z: z["t"])
+    plan = of_query.withColumn("_sure", sure).withColumn("_need", needed)
+    plan = materialize(plan.select(*SCOPE, "query_id", F.transform("_t", lambda x: x["term"]).alias("terms"), F.transform("_need", lambda x: x["term"]).alias("need"), F.exists("_need", lambda x: x["docs"] > hub_rows).alias("wide")), "plan")
+
+    docs = posts.groupBy(*SCOPE, "doc_id", "created_at").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("held"))
+    docs = docs.withColumn("term", F.explode(F.transform("held", lambda h: h["term"])))
+    fetch = plan.filter("NOT wide").select(*SCOPE, "query_id", "terms", "need", F.explode("need").alias("term"))
+    pairs = fetch.join(docs, [*SCOPE, "term"]).filter("query_id != doc_id")
+    # a summary fetched by several entities counts by the first
+    pairs = pairs.filter(F.col("term") == F.filter("need", lambda t: F.exists("held", lambda h: h["term"] == t))[0])
+    score = F.aggregate(F.filter("held", lambda h: F.array_contains("terms", h["term"])), F.lit(0.0), lambda n, h: n + h["weight"])
+    found = pairs.select(*SCOPE, "query_id", "doc_id", "created_at", F.round(score, 9).alias("score"))
+
+    wide = plan.filter("wide").select(*SCOPE, "query_id", F.explode("terms").alias("term"))
+    posted = posts.join(wide.select(*SCOPE, "term").distinct(), [*SCOPE, "term"], "left_semi")
+    cells = cut_into_cells(posted, wide, SCOPE, ["doc_id"], ["query_id"], 1 << 18, 1 << 14)
+    found = found.unionByName(match_cells(*cells, kernels.specific_best(SCOPE, top), "scope_kind string, scope_owner string, query_id string, doc_id string, created_at timestamp_ntz, score double"))
     order = [F.col("score").desc(), F.col("created_at").desc(), F.col("doc_id")]
     return top_per_key(found, [*SCOPE, "query_id"], order, top, "rank")
 

@@ -326,6 +326,24 @@ def test_contradictions_take_equal_facts_in_turn(spark):
     assert got == {1: ("z", 1, "replaced"), 2: ("x", 1, "removed"), 3: ("y", 2, "reinforced")}
 
 
+def test_specificity_equals_brute_force_with_hubs(spark):
+    rnd = random.Random(9)
+    docs = [(f"d{i:03d}", rnd.choices([f"e{k}" for k in range(30)], k=rnd.randint(0, 3)) + ["hub"] * (i % 10 > 0) + ["hub2"] * (i % 7 > 2), i % 11) for i in range(200)]
+    s = frame(spark, [(*A, i, e, None, dt.datetime(2024, 1, 1 + d)) for i, e, d in docs], "scope_kind string, scope_owner string, id string, entities_touched array<string>, supersedes string, created_at timestamp_ntz")
+    trig = frame(spark, [(*A, i, e) for i, e, _ in docs[::3]] + [(*A, "q1", ["hub"]), (*A, "q2", ["hub", "hub2"]), (*A, "q3", ["nope"])], "scope_kind string, scope_owner string, id string, entities_touched array<string>")
+    freq = {}
+    for _, e, _ in docs:
+        for x in e:
+            freq[x] = freq.get(x, 0) + 1
+    expected = set()
+    for q, wanted in [(i, e) for i, e, _ in docs[::3]] + [("q1", ["hub"]), ("q2", ["hub", "hub2"])]:
+        rows = [(-round(sum(1 / freq[x] for x in e if x in wanted), 9), -d, i) for i, e, d in docs if i != q and set(e) & set(wanted)]
+        expected |= {(q, r[2], n) for n, r in enumerate(sorted(rows)[:5], 1)}
+    for hub_rows in (4096, 20, 0):
+        got = {(r["query_id"], r["doc_id"], r["rank"]) for r in consolidate.entity_specificity(s, trig, hub_rows=hub_rows).collect()}
+        assert got == expected
+
+
 def test_specificity_prefers_rare_entities(spark):
     s = frame(spark, [(*A, "new", ["hub", "rare"], None), (*A, "r", ["rare"], None), (*A, "h1", ["hub"], None), (*A, "h2", ["hub"], None), (*B, "o", ["rare"], None), (*A, "old", ["rare"], None), (*A, "now", ["zip"], "old")],
               "scope_kind string, scope_owner string, id string, entities_touched array<string>, supersedes string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
