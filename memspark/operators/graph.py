@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memspark.functions import vectors as V
 from memspark.operators import kernels
 from memspark.operators.cells import LEFT_BLOCK, RIGHT_BLOCK, match_cells
 from memspark.operators.running import top_per_key
 from memspark.operators.scope import SCOPE
-from memspark.session import cut_lineage
+from memspark.session import cut_lineage, materialize
 
 # Walk and cluster parameters.
 MAX_HOPS, MAX_DISCOVERED = 2, 10
 CLUSTER_MIN_SOURCES, CLUSTER_SIMILARITY, CLUSTER_CAP = 9, 0.60, 6
-CLUSTER_BLOCK = 2048
+#: Vectors of one place, and pivots of a group of more.
+CLUSTER_BLOCK, CLUSTER_PIVOTS = 2048, 32
 
 
 def graph_walk(edges: DataFrame, seeds: DataFrame, *, max_hops: int = MAX_HOPS, max_results: int = MAX_DISCOVERED) -> DataFrame:
@@ -72,26 +76,58 @@ def memory_map_graph(conversations: DataFrame, relationships: DataFrame, mention
     return conv.unionByName(ents), rel.unionByName(men)
 
 
+def similarity_cells(rows: DataFrame, keys: list[str], *, sim: float = CLUSTER_SIMILARITY, block: int = CLUSTER_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (keys, id, vector) written with ``place``, and the pairs of places (keys, left, right) to look at.
+
+    A group of more than ``block`` vectors is filed under the nearest of some pivots, a pivot's vectors in places of at most
+    ``block``. Angles obey the triangle inequality: where the angle between two pivots less the widest angles of
+    their vectors is above that of ``sim``, no pair can be alike and the places never meet.
+    """
+    group = [*keys, "_d"]
+    rows = rows.withColumn("_d", F.size("vector"))
+    large = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
+    unit = V.unit(F.col("vector"))
+    some = rows.join(large.select(*group), group, "left_semi").filter(F.exists("vector", lambda x: x != 0))
+    picked = top_per_key(some.select(*group, F.struct(F.xxhash64("id").alias("h"), "id", unit.alias("v")).alias("_o")), group, [F.col("_o")], CLUSTER_PIVOTS)
+    pivots = materialize(picked.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list("_o")), lambda o: o["v"]).alias("_pivots")), "pivots")
+
+    def angle(cosine: Column) -> Column:
+        return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+    filed = rows.join(pivots, group, "left").withColumn("_unit", unit)
+    near = F.array_max(F.transform("_pivots", lambda p, i: F.struct(V.dot(p, F.col("_unit")).alias("s"), (-i).alias("i"))))
+    filed = filed.withColumn("_near", near).select(*group, "id", "vector", F.coalesce(-F.col("_near.i"), F.lit(0)).alias("_pivot"), F.coalesce(angle(F.col("_near.s")), F.lit(0.0)).alias("_angle"))
+    filed = materialize(filed, "filed")
+    of_pivot = filed.groupBy(*group, "_pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts"), F.max("_angle").alias("_reach"))
+    of_pivot = of_pivot.join(pivots, group, "left").withColumn("_at", F.get("_pivots", F.col("_pivot"))).drop("_pivots")
+    placed = filed.join(of_pivot.select(*group, "_pivot", "_parts"), [*group, "_pivot"])
+    part = F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")
+    placed = placed.select(*keys, "id", "vector", F.struct("_d", "_pivot", part.alias("_part")).alias("place"))
+    # at most some hundred pairs of pivots for each group
+    a, b = (of_pivot.withColumnsRenamed({"_pivot": f"_pivot{s}", "_parts": f"_parts{s}", "_reach": f"_reach{s}", "_at": f"_at{s}"}) for s in "ab")
+    pairs = a.join(b, group).filter("_pivota <= _pivotb")
+    if sim > 0:  # without a direction, or at a threshold below, nothing can be ruled out
+        gap = angle(V.dot(F.col("_ata"), F.col("_atb"))) - F.col("_reacha") - F.col("_reachb")
+        pairs = pairs.filter((F.col("_pivota") == F.col("_pivotb")) | F.coalesce(gap <= math.acos(min(1.0, sim)) + 1e-5, F.lit(True)))
+    parts = pairs.withColumn("_parta", F.explode(F.sequence(F.lit(0), F.col("_partsa") - 1))).withColumn("_partb", F.explode(F.sequence(F.lit(0), F.col("_partsb") - 1)))
+    parts = parts.filter("_pivota < _pivotb OR _parta <= _partb")
+    ends = [F.struct("_d", F.col(f"_pivot{s}").alias("_pivot"), F.col(f"_part{s}").alias("_part")).alias(name) for s, name in (("a", "left"), ("b", "right"))]
+    return placed, parts.select(*keys, *ends)
+
+
 def similarity_edges(rows: DataFrame, keys: list[str], *, sim: float = CLUSTER_SIMILARITY, block: int = CLUSTER_BLOCK) -> DataFrame:
     """Edges that connect exactly what pairs at or above ``sim`` connect inside each group.
 
-    ``rows``: keys, id, vector. Groups are cut into blocks, each unordered pair of blocks is one
-    cell, and a cell returns a spanning forest instead of its pairs.
+    ``rows``: keys, id, vector. Each pair of places that can hold a pair of alike vectors is one cell, and a cell
+    returns a spanning forest instead of its pairs.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block).select(
-        *keys, F.ceil(F.col("_n") / block).cast("int").alias("_nb")
-    )
-    placed = rows.join(sizes, keys, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
-    placed = placed.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
-    left = placed.withColumn(RIGHT_BLOCK, F.explode(F.sequence(F.col("_own"), F.col("_nb") - 1))).withColumnRenamed("_own", LEFT_BLOCK)
-    right = placed.withColumn(LEFT_BLOCK, F.explode(F.sequence(F.lit(0), F.col("_own")))).withColumnRenamed("_own", RIGHT_BLOCK)
+    placed, cells = similarity_cells(rows, keys, sim=sim, block=block)
     cell = [*keys, LEFT_BLOCK, RIGHT_BLOCK]
-    cols = [*cell, "id", "vector"]
+    named = cells.withColumn(LEFT_BLOCK, F.to_json("left")).withColumn(RIGHT_BLOCK, F.to_json("right"))
+    sides = [placed.withColumnRenamed("place", side).join(named, [*keys, side]).select(*cell, "id", "vector") for side in ("left", "right")]
     types = dict(rows.dtypes)
     schema = ", ".join([*[f"{c} {types[c]}" for c in keys], f"src {types['id']}", f"dst {types['id']}"])
-    kernel = kernels.similar_forest(keys, sim, 6)
-    edges = match_cells(left.select(*cols), right.select(*cols), cell, kernel, schema)
-    return edges.filter("src != dst")
+    return match_cells(*sides, cell, kernels.similar_forest(keys, sim, 6), schema).filter("src != dst")
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,7 +162,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
     return labels
 
 
-def topic_clusters(sources: DataFrame, *, min_sources: int, sim: float = CLUSTER_SIMILARITY) -> DataFrame:
+def topic_clusters(sources: DataFrame, *, min_sources: int, sim: float = CLUSTER_SIMILARITY, block: int = CLUSTER_BLOCK) -> DataFrame:
     """Cluster id of every source of busy (scope, day) groups: scope, day, id, cluster.
 
     ``sources``: scope, day, id, vector. A cluster is named by its smallest source id; days with
@@ -137,7 +173,7 @@ def topic_clusters(sources: DataFrame, *, min_sources: int, sim: float = CLUSTER
     tagged = sources.join(sizes, keys)
     busy = tagged.filter(F.col("_n") >= min_sources).select(*keys, "id", "vector")
     calm = tagged.filter(F.col("_n") < min_sources).select(*keys, "id", F.col("_first").alias("cluster"))
-    labels = components(busy.select(*keys, "id"), similarity_edges(busy, keys, sim=sim), keys)
+    labels = components(busy.select(*keys, "id"), similarity_edges(busy, keys, sim=sim, block=block), keys)
     return labels.withColumnRenamed("label", "cluster").unionByName(calm)
 
 

@@ -242,23 +242,16 @@ def similar_forest(keys: list[str], threshold: float, digits: int):
                 continue
             ids = pd.Index(pd.unique(np.concatenate([ls["id"].to_numpy(), rs["id"].to_numpy()])))
             li, ri = ids.get_indexer(ls["id"]), ids.get_indexer(rs["id"])
-            root = np.arange(len(ids))
-            unit = stack(rs["vector"])
-
-            def top(i):
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            edges = []
+            label, edges, unit = np.arange(len(ids)), [], stack(rs["vector"])
             for lo in range(0, len(ls), CHUNK):
-                sims = np.round(stack(ls["vector"].iloc[lo : lo + CHUNK]) @ unit.T, digits)
-                for a, b in zip(*np.nonzero(sims >= threshold)):
-                    x, y = top(li[lo + a]), top(ri[b])
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        edges.append((li[lo + a], ri[b]))
+                alike = np.round(stack(ls["vector"].iloc[lo : lo + CHUNK]) @ unit.T, digits) >= threshold
+                for a in np.flatnonzero(alike.any(axis=1)):
+                    own = li[lo + a]
+                    near = ri[alike[a]]
+                    # one step for each part that joins, however many pairs are alike
+                    while len(near := near[label[near] != label[own]]):
+                        edges.append((own, near[0]))
+                        label[label == label[near[0]]] = label[own]
             if edges:
                 e = np.asarray(edges)
                 head = {c: left[c].iloc[0] for c in keys}

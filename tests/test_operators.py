@@ -190,6 +190,28 @@ def test_components_match_brute_force(spark):
     assert got == want
 
 
+def test_clusters_meet_only_where_they_can_be_alike(spark):
+    """Large groups against brute force; places that are too far apart are never looked at."""
+    rnd = np.random.default_rng(4)
+    middles = rnd.standard_normal((12, 16))
+    v = {f"a{i:03d}": (middles[i % 12] + rnd.standard_normal(16) * 0.12) for i in range(300)} | {"zero": np.zeros(16), "zero2": np.zeros(16)} | {f"s{i}": rnd.standard_normal(3) for i in range(30)}
+    day = dt.date(2024, 1, 1)
+    rows = frame(spark, [(*A, day, i, [float(c) for c in np.float32(x)]) for i, x in v.items()], "scope_kind string, scope_owner string, day date, id string, vector array<float>")
+    got = {r["id"]: r["cluster"] for r in graph.topic_clusters(rows, min_sources=1, sim=0.9, block=20).collect()}
+    want = {i: i for i in v}
+    changed = True
+    while changed:
+        changed = False
+        for i, j in itertools.combinations(v, 2):
+            if len(v[i]) == len(v[j]) and v[i].any() and v[j].any() and round(cos_exact(np.float32(v[i]), np.float32(v[j])), 6) >= 0.9 and want[i] != want[j]:
+                want[i] = want[j] = min(want[i], want[j])
+                changed = True
+    assert got == want
+    placed, cells = graph.similarity_cells(rows, [*SCOPE, "day"], sim=0.9, block=20)
+    places, met = placed.filter("size(vector) = 16").select("place").distinct().count(), cells.filter("left._d = 16").count()
+    assert met < 0.6 * places * (places + 1) / 2
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     nodes = frame(spark, [(*A, i) for i in range(n)], "scope_kind string, scope_owner string, id bigint")
