@@ -16,29 +16,32 @@ from memspark.session import cut_lineage, materialize
 
 # Walk and cluster parameters.
 MAX_HOPS, MAX_DISCOVERED = 2, 10
+MANY_SEEDS = 100
 CLUSTER_MIN_SOURCES, CLUSTER_SIMILARITY, CLUSTER_CAP = 9, 0.60, 6
 #: Vectors of one place, and pivots of a group of more.
 CLUSTER_BLOCK, CLUSTER_PIVOTS = 2048, 32
 
 
-def graph_walk(edges: DataFrame, seeds: DataFrame, *, max_hops: int = MAX_HOPS, max_results: int = MAX_DISCOVERED) -> DataFrame:
+def graph_walk(edges: DataFrame, seeds: DataFrame, *, max_hops: int = MAX_HOPS, max_results: int = MAX_DISCOVERED, many_seeds: int = MANY_SEEDS) -> DataFrame:
     """Entities reached over current edges in either direction: scope, query_id, id, hop.
 
     Nearest first, then by id, up to ``max_results`` per query and without the seeds. A hub's
     neighbours cannot all matter: of one node only the smallest ids not yet visited can survive the
-    cut, so each adjacency list keeps max_results plus the most a query can have visited.
+    cut, so each adjacency list keeps ``max_results`` and what a query can have visited. Queries of more than
+    ``many_seeds`` seeds read whole lists instead, and change nothing for the others.
     """
     live = edges.filter(F.col("valid_until").isNull())
     both = live.select(*SCOPE, F.col("subject_id").alias("node"), F.col("object_id").alias("id")).union(
         live.select(*SCOPE, F.col("object_id"), F.col("subject_id"))
-    )
+    ).distinct()
     seen = seeds.select(*SCOPE, "query_id", F.col("id")).distinct()
-    most = seen.groupBy(*SCOPE, "query_id").count().agg(F.max("count")).first()[0] or 0
-    adjacency = top_per_key(both.distinct(), [*SCOPE, "node"], [F.col("id")], 2 * max_results + int(most))
+    wide = seen.groupBy(*SCOPE, "query_id").agg((F.count(F.lit(1)) > many_seeds).alias("wide"))
+    adjacency = top_per_key(both, [*SCOPE, "node"], [F.col("id")], max_hops * max_results + many_seeds)
     found = None
     frontier = seen
     for hop in range(1, max_hops + 1):
-        near = frontier.select(*SCOPE, "query_id", F.col("id").alias("node")).join(adjacency, [*SCOPE, "node"])
+        at = frontier.select(*SCOPE, "query_id", F.col("id").alias("node")).join(wide, [*SCOPE, "query_id"])
+        near = at.filter("NOT wide").join(adjacency, [*SCOPE, "node"]).unionByName(at.filter("wide").join(both, [*SCOPE, "node"]))
         fresh = near.select(*SCOPE, "query_id", "id").distinct().join(seen, [*SCOPE, "query_id", "id"], "left_anti")
         fresh = top_per_key(fresh, [*SCOPE, "query_id"], [F.col("id")], max_results).withColumn("hop", F.lit(hop))
         found = fresh if found is None else found.unionByName(fresh)

@@ -252,6 +252,29 @@ def test_graph_walk_is_bounded_and_scoped(spark):
     assert got == [(1, "b"), (2, "c")] + [(2, f"n{i:02d}") for i in range(8)]
 
 
+@pytest.mark.parametrize("many_seeds", [0, 3, 100])
+def test_graph_walk_with_many_seeds_equals_brute_force(spark, many_seeds):
+    rnd = random.Random(6)
+    pairs = {(f"n{rnd.randrange(25):02d}", f"n{rnd.randrange(60):02d}") for _ in range(140)} | {("n00", f"n{i:02d}") for i in range(1, 60)}
+    e = frame(spark, [(*A, a, b, None) for a, b in pairs], "scope_kind string, scope_owner string, subject_id string, object_id string, valid_until date")
+    asked = {q: set(rnd.sample([f"n{i:02d}" for i in range(60)], n)) for q, n in enumerate([1, 2, 3, 5, 30, 60])}
+    s = frame(spark, [(*A, q, i) for q, ids in asked.items() for i in ids], "scope_kind string, scope_owner string, query_id int, id string")
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    expected = set()
+    for q, ids in asked.items():
+        seen, front, found = set(ids), ids, []
+        for hop in (1, 2):
+            front = sorted({y for x in front for y in near.get(x, ())} - seen)[:4]
+            found += [(hop, i) for i in front]
+            seen |= set(front)
+        expected |= {(q, h, i) for h, i in found[:4]}
+    got = {(r["query_id"], r["hop"], r["id"]) for r in graph.graph_walk(e, s, max_results=4, many_seeds=many_seeds).collect()}
+    assert got == expected
+
+
 def test_positions_cross_buckets(spark):
     rnd = random.Random(3)
     rows = [("k" if rnd.random() < 0.8 else "j", rnd.randint(0, 9), i, rnd.randint(1, 5)) for i in range(200)]
