@@ -27,12 +27,15 @@ def pieces_in_words(words: DataFrame, pieces: DataFrame, keys: list[str]) -> Dat
     A piece is filed under its gram that the fewest words hold; the grams of the words fetch the pieces, and only
     those are looked for.
     """
-    of_words = words.select(*keys, "word", F.explode(_grams(F.col("word"), range(1, GRAM + 1))).alias("gram"))
-    own = F.when(F.length("piece") >= GRAM, _grams(F.col("piece"), range(GRAM, GRAM + 1))).otherwise(F.array("piece"))
-    of_pieces = pieces.select(*keys, "piece", F.explode(own).alias("gram"))
-    counts = of_words.join(of_pieces.select(*keys, "gram").distinct(), [*keys, "gram"], "left_semi").groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
-    filed = of_pieces.join(counts, [*keys, "gram"]).groupBy(*keys, "piece").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
-    return of_words.join(filed, [*keys, "gram"]).filter(F.contains("word", "piece")).select(*keys, "word", "piece")
+    found = []
+    for lengths, some in ((range(GRAM, GRAM + 1), F.length("piece") >= GRAM), (range(1, GRAM), F.length("piece") < GRAM)):
+        of_words = words.select(*keys, "word", F.explode(_grams(F.col("word"), lengths)).alias("gram"))
+        own = _grams(F.col("piece"), lengths) if lengths[0] == GRAM else F.array("piece")
+        of_pieces = pieces.filter(some).select(*keys, "piece", F.explode(own).alias("gram"))
+        counts = of_words.join(of_pieces.select(*keys, "gram").distinct(), [*keys, "gram"], "left_semi").groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
+        filed = of_pieces.join(counts, [*keys, "gram"]).groupBy(*keys, "piece").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+        found.append(of_words.join(filed, [*keys, "gram"]).filter(F.contains("word", "piece")).select(*keys, "word", "piece"))
+    return found[0].unionByName(found[1])
 
 
 def names_in_texts(texts: DataFrame, names: DataFrame, keys: list[str] = SCOPE) -> DataFrame:
@@ -48,11 +51,10 @@ def names_in_texts(texts: DataFrame, names: DataFrame, keys: list[str] = SCOPE)
     words = texts.select(*keys, "text_id", F.explode(F.array_distinct(F.split("text", BLANKS))).alias("word")).filter("word != ''")
     vocabulary = materialize(words.select(*keys, "word").distinct(), "vocabulary")
     pieces = named.filter("piece is not null").select(*keys, "piece").distinct()
-    pairs = materialize(pieces_in_words(vocabulary, pieces, keys), "pieces")
-    held = materialize(words.join(pairs, [*keys, "word"]).select(*keys, "text_id", "piece").distinct(), "held")
-    found = held.join(named, [*keys, "piece"])
-    whole = found.filter("name = piece").select(*keys, "text_id", "name_id")
-    maybe = found.filter("name != piece").select(*keys, "text_id", "name_id", "name")
+    pairs = pieces_in_words(vocabulary, pieces, keys).join(named, [*keys, "piece"]).select(*keys, "word", "name_id", "name", (F.col("name") == F.col("piece")).alias("alone"))
+    pairs = materialize(pairs.distinct(), "pieces")
+    whole = words.join(pairs.filter("alone"), [*keys, "word"]).select(*keys, "text_id", "name_id")
+    maybe = words.join(pairs.filter("NOT alone"), [*keys, "word"]).select(*keys, "text_id", "name_id", "name").distinct()
     # a name of blanks alone has no piece
     blank = named.filter("piece is null").select(*keys, "name_id", "name")
     rows = texts.select(*keys, "text_id", "text")
