@@ -9,6 +9,7 @@ from memspark.registry import Tables, query
 from memspark.registry.views import as_of, audit_log, ctes, episodes
 from memspark.session import scratch_path
 from memspark.streaming import jobs
+from memspark.streaming.turns import stream_turns
 
 
 class StreamTables(Tables):
@@ -61,7 +62,7 @@ def shown_turns(turns):
 @query("stream_agent_turns", _TURN_SQL)
 def stream_agent_turns(t):
     """A user's events with gaps under six hours are one turn; those still open at the end come from the source."""
-    path, _ = jobs.run_available(jobs.agent_turns(requests_of(clocked(episodes(stream(t)))), ttl="6 hours"), "turns")
+    path, _ = jobs.run_available(stream_turns(requests_of(clocked(episodes(stream(t)))), ttl="6 hours"), "turns")
     closed = t.spark.read.option("basePath", path).parquet(f"{path}/batch_id=*").drop("batch_id")
     still = jobs.open_turns(requests_of(clocked(episodes(t))), closed, ttl="6 hours")
     return shown_turns(closed.unionByName(still))
