@@ -31,21 +31,63 @@ def capture(turns: DataFrame) -> DataFrame:
     return rows.withColumn("hash", X.content_hash(F.col("input_text"), F.col("output_text")))
 
 
-def write_new(path: str, keys: list[str], order: str = "ts") -> Callable[[DataFrame, int], None]:
+def write_new(path: str, keys: list[str], order: str = "ts", part: Column | None = None) -> Callable[[DataFrame, int], None]:
     """Sink that stores rows whose ``keys`` no earlier batch has, of repeats in a batch the first by ``order``.
 
-    Only the key columns of stored rows are read; a repeated batch replaces itself.
+    Only the key columns of stored rows are read; a repeated batch replaces itself. ``part``, an expression over
+    the keys alone (the day an id was made, a range of counted ids), deals the stored rows to folders
+    ``part=.../batch_id=...``. Equal keys have equal parts, so a batch looks only into the folders of its own keys
+    and is right however late a row or its repeat comes; the cost of a batch follows its own parts, not the store.
+    A null part is a folder of its own; rows must not have columns named ``part`` or ``batch_id``.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def first(batch: DataFrame) -> DataFrame:
         others = [c for c in batch.columns if c not in keys]
-        rows = batch.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in others])
+        return batch.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in others])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = first(batch)
         if batch_id:
             stored = batch.sparkSession.read.option("basePath", path).parquet(f"{path}/batch_id=*").filter(F.col("batch_id") < batch_id)
             rows = rows.join(stored.select(*keys), keys, "left_anti")
         rows.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return write
+    def write_parts(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        named = F.coalesce(part.cast("string"), F.lit("none")).alias("part")
+        folders = part_folders(spark, path, batch.select(named))
+        rows = first(batch).select("*", named)
+        if folders:
+            types = dict(batch.dtypes)
+            schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", part string, batch_id bigint"
+            stored = spark.read.schema(schema).option("basePath", path).parquet(*folders).filter(F.col("batch_id") < batch_id)
+            # one join key more, so that both sides are dealt alike; null keys are never repeats
+            rows = rows.join(stored.select(*keys, "part"), [*keys, "part"], "left_anti")
+        out = rows.select(*batch.columns, "part", F.lit(batch_id).cast("bigint").alias("batch_id"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch_id").parquet(path)
+
+    return write if part is None else write_parts
+
+
+def id_day(episode_id: Column) -> Column:
+    """Day on which an episode id was made, from its 13-digit millisecond clock; null for other ids."""
+    return F.to_date(F.timestamp_millis(F.regexp_extract(episode_id, r"^ep_(\d{13})", 1).try_cast("bigint")))
+
+
+#: Folder names that one batch brings to the driver; a batch over more parts looks into all folders.
+MOST_PARTS = 1000
+
+
+def part_folders(spark: SparkSession, path: str, rows: DataFrame) -> list[str]:
+    """Stored folders that may hold a key of ``rows``: those of its parts, or all where it has too many parts."""
+    parts = [r["part"] for r in rows.select("part").distinct().limit(MOST_PARTS + 1).collect()]
+    hadoop_path, escape = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    root = hadoop_path(path)
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if len(parts) > MOST_PARTS:
+        return [s.getPath().toString() for s in files.globStatus(hadoop_path(f"{path}/part=*")) or []]
+    named = [hadoop_path(root, f"part={escape(p)}") for p in parts]
+    return [p.toString() for p in named if files.exists(p)]
 
 
 def agent_turns(requests: DataFrame, *, ttl: str = TURN_TTL, lateness: str = "15 minutes") -> DataFrame:
@@ -140,16 +182,16 @@ def latest_by_key(spark: SparkSession, path: str, schema, keys: list[str]) -> Da
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
-def run_available(df: DataFrame, name: str, *, mode: str = "append", new_by: list[str] | None = None) -> tuple[str, StreamingQuery]:
+def run_available(df: DataFrame, name: str, *, mode: str = "append", new_by: list[str] | None = None, part: Column | None = None) -> tuple[str, StreamingQuery]:
     """Run a stream over everything its source has now and wait; returns the sink folder.
 
-    ``new_by``: keys of which only the first row is stored.
+    ``new_by``: keys of which only the first row is stored, ``part``: see ``write_new``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     query = (
         df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/_state").trigger(availableNow=True)
-        .foreachBatch(write_new(f"{path}/out", new_by) if new_by else write_batches(f"{path}/out")).start()
+        .foreachBatch(write_new(f"{path}/out", new_by, part=part) if new_by else write_batches(f"{path}/out")).start()
     )
     query.awaitTermination()
     return f"{path}/out", query
