@@ -71,7 +71,7 @@ class Turns(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         turns = [tuple(t) for t in self.open.get()]
-        before = {self.wake(t[1]) for t in turns}
+        before = self.alarm(turns)
         for part in rows:
             if len(part):
                 turns = joined(turns + stretches(part))
@@ -79,24 +79,26 @@ class Turns(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         turns = [tuple(t) for t in self.open.get()]
-        # the timer that fired is gone; the others still stand
-        before = {self.wake(t[1]) for t in turns} - {expiredTimerInfo.getExpiryTimeInMs()}
-        yield from self.settle(key, turns, before, timerValues)
+        yield from self.settle(key, turns, None, timerValues)  # the only timer of the key has just gone off
 
     @staticmethod
     def wake(ended: int) -> int:
         """First whole millisecond at which a turn is over."""
         return -(-ended // 1000)
 
-    def settle(self, key, turns: list[tuple], before: set[int], timer_values) -> Iterator[pd.DataFrame]:
+    def alarm(self, turns: list[tuple]) -> int | None:
+        """One timer a key: the end of the turn that is over first."""
+        return min((self.wake(t[1]) for t in turns), default=None)
+
+    def settle(self, key, turns: list[tuple], before: int | None, timer_values) -> Iterator[pd.DataFrame]:
         now = timer_values.getCurrentWatermarkInMs()
         over, still = [t for t in turns if self.wake(t[1]) <= now], [t for t in turns if self.wake(t[1]) > now]
         self.open.put(still) if still else self.open.clear()
-        after = {self.wake(t[1]) for t in still}
-        for at in before - after:
-            self.handle.deleteTimer(at)
-        for at in after - before:
-            self.handle.registerTimer(at)
+        after = self.alarm(still)
+        if before is not None and before != after:
+            self.handle.deleteTimer(before)
+        if after is not None and before != after:
+            self.handle.registerTimer(after)
         if over:
             names = [*SCOPE, "turn_key"]
             yield pd.DataFrame(
