@@ -180,7 +180,7 @@ def clamp_params(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", panels.clamped(asked, 20, 50).cast("long").alias("n"))
 
 
-_GATE = """e AS (SELECT q.query_id, count(n.id) AS n_hits FROM queries_v q LEFT JOIN entities_v n ON contains(lower(q.text), lower(n.name)) OR contains(lower(q.text), substr(n.id, instr(n.id, ':') + 1)) GROUP BY q.query_id)"""
+_GATE = """e AS (SELECT q.query_id, count(n.id) AS n_hits FROM queries_v q LEFT JOIN entities_v n ON contains(lower(q.text), lower(n.name)) OR (substr(n.id, instr(n.id, ':') + 1) <> '' AND contains(lower(q.text), substr(n.id, instr(n.id, ':') + 1))) GROUP BY q.query_id)"""
 
 
 def _gate_sql():
