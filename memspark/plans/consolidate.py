@@ -28,6 +28,8 @@ from memspark.session import materialize
 GROUNDING_BATCH, RELATED_SUMMARIES = 20, 5
 #: Summaries of an entity that are fetched one by one; more are matched in cells.
 HUB_ROWS = 4096
+#: Entities of a trigger whose subsets are looked up one by one.
+FEW_ENTITIES = 3
 SOURCES_PER_PART = 200
 LEVEL_ABOVE = {"daily": "weekly", "weekly": "monthly", "monthly": "yearly"}
 LEVEL_BELOW = {above: below for below, above in LEVEL_ABOVE.items()}
@@ -313,24 +315,75 @@ def derives_record(inferences: DataFrame, heads: DataFrame) -> DataFrame:
     return hit.select(*SCOPE, X.fact_memory_id(F.col("fact_id")).alias("from_memory_id"), "to_memory_id", F.lit("derives").alias("relation_type"))
 
 
-def entity_specificity(summaries: DataFrame, triggers: DataFrame, *, top: int = RELATED_SUMMARIES, hub_rows: int = HUB_ROWS) -> DataFrame:
+def _subsets(items: Column, most: int) -> Column:
+    """Subsets of an array of 1 to ``most`` items, each in the array's order."""
+    grown = F.aggregate(items, F.array(F.slice(items, 1, 0)), lambda have, x: F.concat(have, F.transform(F.filter(have, lambda s: F.size(s) < most), lambda s: F.concat(s, F.array(x)))))
+    return F.filter(grown, lambda s: F.size(s) > 0)
+
+
+def best_of_sets(docs: DataFrame, stats: DataFrame, asked: DataFrame, top: int, few: int) -> DataFrame:
+    """The ``top`` best of ``docs`` for each of ``asked`` (scope, query_id, terms), itself left out: scope, query_id, doc_id, created_at, score, rank.
+
+    ``docs``: scope, doc_id, created_at, held (term, times), plain. What a document shares with up to ``few`` terms is a
+    subset of them, and in the list of that subset (for documents with repeats: of subset and times) only documents that do no
+    worse stand before it. So the first of each list are all that can matter, however many documents a term has.
+    """
+    at = F.col("created_at").cast("timestamp")
+    # in lists newest first (without a time last), then by id
+    row = F.struct(at.isNull().alias("n"), (-F.unix_micros(at)).alias("t"), "doc_id", "created_at")
+    wanted = asked.select(*SCOPE, "query_id", F.explode(_subsets(F.col("terms"), few)).alias("subset"))
+
+    def lists(rows: DataFrame, keys: list[str]) -> DataFrame:
+        each = rows.select(*SCOPE, row.alias("r"), F.explode(_subsets(F.col("held"), few)).alias("_s"))
+        each = each.select(*SCOPE, F.transform("_s", lambda h: h["term"]).alias("subset"), F.transform("_s", lambda h: h["times"]).alias("times"), "r")
+        # one more, as one of them may be the one that asks
+        return top_per_key(each, [*SCOPE, *keys], [F.col("r")], top + 1).groupBy(*SCOPE, *keys).agg(F.collect_list("r").alias("list"))
+
+    freq = stats.select(*SCOPE, F.array("term").alias("subset"), "_freq")
+    met = wanted.join(lists(docs.filter("plain"), ["subset"]).join(freq, [*SCOPE, "subset"], "full"), [*SCOPE, "subset"]).withColumn("times", F.lit(None).cast("array<bigint>"))
+    repeats = docs.filter("NOT plain")
+    if not repeats.isEmpty():
+        met = met.unionByName(wanted.join(lists(repeats, ["subset", "times"]), [*SCOPE, "subset"]), allowMissingColumns=True)
+    single = F.when(F.col("_freq").isNotNull(), F.struct(F.col("subset")[0], "_freq"))
+    met = met.groupBy(*SCOPE, "query_id").agg(F.map_from_entries(F.collect_list(single)).alias("_f"), F.collect_list(F.when(F.col("list").isNotNull(), F.struct("subset", "times", "list"))).alias("_l"))
+
+    weights = F.transform("subset", lambda t, i: F.coalesce(F.get("times", i), F.lit(1)) / F.element_at("_f", t))
+    score = F.round(F.aggregate(weights, F.lit(0.0), lambda n, w: n + w), 9)
+    found = met.select(*SCOPE, "query_id", "_f", F.inline("_l")).select(*SCOPE, "query_id", score.alias("score"), F.inline("list")).filter(F.col("doc_id") != F.col("query_id"))
+    # a document in several lists counts by its best, that of all it shares
+    found = found.groupBy(*SCOPE, "query_id", "doc_id", "created_at").agg(F.max("score").alias("score"))
+    return top_per_key(found, [*SCOPE, "query_id"], [F.col("score").desc(), F.col("created_at").desc(), F.col("doc_id")], top, "rank")
+
+
+def entity_specificity(summaries: DataFrame, triggers: DataFrame, *, top: int = RELATED_SUMMARIES, hub_rows: int = HUB_ROWS, few: int = FEW_ENTITIES) -> DataFrame:
     """Current summaries related to each trigger by shared entities, rare entities weighing more.
 
     ``summaries``: scope, id, entities_touched, created_at, supersedes. ``triggers``: scope, id,
-    entities_touched. An entity that more than ``top`` summaries touch assures that many results of its weight. Entities
-    whose weights together stay below the best such assurance cannot bring in a summary on their own: only
+    entities_touched. Triggers of up to ``few`` entities meet the lists of the sets of entities (``best_of_sets``). For the others, an entity that more than ``top`` summaries touch assures that many results of its weight.
+    Entities whose weights together stay below the best such assurance cannot bring in a summary on their own: only
     the rarer ones fetch candidates, and hubs just add to the scores. Triggers that need an entity of over
     ``hub_rows`` summaries all the same are matched cell by cell.
     """
+    current = current_versions(summaries)
+    docs = current.groupBy(*SCOPE, F.col("id").alias("doc_id"), "created_at").agg(F.flatten(F.collect_list("entities_touched")).alias("_e"))
+    held = F.filter(F.array_sort(F.array_distinct("_e")), lambda x: x.isNotNull())
+    held = F.transform(held, lambda x: F.struct(x.alias("term"), F.size(F.filter("_e", lambda y: y == x)).cast("long").alias("times")))
+    docs = docs.select(*SCOPE, "doc_id", "created_at", held.alias("held"))
+    docs = materialize(docs.withColumn("plain", ~F.exists("held", lambda h: h["times"] > 1)), "touched")
+    stats = docs.select(*SCOPE, F.inline("held")).groupBy(*SCOPE, "term").agg(F.sum("times").alias("_freq"), F.count(F.lit(1)).alias("docs"), F.max("times").alias("_most"))
+    terms = F.filter(F.array_sort(F.array_distinct(F.flatten(F.collect_list("entities_touched")))), lambda x: x.isNotNull())
+    asked = materialize(triggers.groupBy(*SCOPE, F.col("id").alias("query_id")).agg(terms.alias("terms")), "asked")
+    ranked = best_of_sets(docs, stats, asked.filter(F.size("terms") <= few), top, few)
+    large = asked.filter(F.size("terms") > few)
+    return ranked if large.isEmpty() else ranked.unionByName(_specific_to_many(docs, stats, large, top, hub_rows))
+
+
+def _specific_to_many(docs: DataFrame, stats: DataFrame, asked: DataFrame, top: int, hub_rows: int) -> DataFrame:
+    """``entity_specificity`` of triggers (scope, query_id, terms) with many entities."""
     from memspark.operators import kernels
     from memspark.operators.cells import cut_into_cells, match_cells
 
-    current = current_versions(summaries)
-    touched = current.select(*SCOPE, F.col("id").alias("doc_id"), "created_at", F.explode("entities_touched").alias("term"))
-    each = materialize(touched.groupBy(*SCOPE, "doc_id", "created_at", "term").agg(F.count(F.lit(1)).alias("times")), "touched")
-    stats = each.groupBy(*SCOPE, "term").agg(F.sum("times").alias("_freq"), F.count(F.lit(1)).alias("docs"), F.max("times").alias("_most"))
-    asked = triggers.select(*SCOPE, F.col("id").alias("query_id"), F.explode(F.array_distinct("entities_touched")).alias("term")).distinct()
-    posts = materialize(each.join(stats, [*SCOPE, "term"]).select(*SCOPE, "doc_id", "created_at", "term", (F.col("times") / F.col("_freq")).alias("weight")), "posts")
+    asked = asked.select(*SCOPE, "query_id", F.explode("terms").alias("term"))
     row = F.struct((1 / F.col("_freq")).alias("weight"), "term", "docs", (F.col("_most") / F.col("_freq")).alias("most"))
     of_query = asked.join(stats, [*SCOPE, "term"]).groupBy(*SCOPE, "query_id").agg(F.sort_array(F.collect_list(row), asc=False).alias("_t"))
     sure = F.coalesce(F.array_max(F.transform(F.filter("_t", lambda x: x["docs"] > top), lambda x: x["weight"])), F.lit(0.0))
@@ -340,10 +393,12 @@ def entity_specificity(summaries: DataFrame, triggers: DataFrame, *, top: int =
     plan = of_query.withColumn("_sure", sure).withColumn("_need", needed)
     plan = materialize(plan.select(*SCOPE, "query_id", F.transform("_t", lambda x: x["term"]).alias("terms"), F.transform("_need", lambda x: x["term"]).alias("need"), F.exists("_need", lambda x: x["docs"] > hub_rows).alias("wide")), "plan")
 
+    posts = docs.select(*SCOPE, "doc_id", "created_at", F.inline("held")).join(stats.select(*SCOPE, "term", "_freq"), [*SCOPE, "term"])
+    posts = materialize(posts.select(*SCOPE, "doc_id", "created_at", "term", (F.col("times") / F.col("_freq")).alias("weight")), "posts")
     docs = posts.groupBy(*SCOPE, "doc_id", "created_at").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("held"))
-    docs = docs.withColumn("term", F.explode(F.transform("held", lambda h: h["term"])))
+    by_term = docs.withColumn("term", F.explode(F.transform("held", lambda h: h["term"])))
     fetch = plan.filter("NOT wide").select(*SCOPE, "query_id", "terms", "need", F.explode("need").alias("term"))
-    pairs = fetch.join(docs, [*SCOPE, "term"]).filter("query_id != doc_id")
+    pairs = fetch.join(by_term, [*SCOPE, "term"]).filter("query_id != doc_id")
     # a summary fetched by several entities counts by the first
     pairs = pairs.filter(F.col("term") == F.filter("need", lambda t: F.exists("held", lambda h: h["term"] == t))[0])
     score = F.aggregate(F.filter("held", lambda h: F.array_contains("terms", h["term"])), F.lit(0.0), lambda n, h: n + h["weight"])

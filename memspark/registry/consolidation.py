@@ -11,6 +11,7 @@ from memspark.operators import versions
 from memspark.operators.scope import SCOPE
 from memspark.plans import consolidate
 from memspark.registry import query
+from memspark.session import materialize
 from memspark.operators.graph import CLUSTER_MIN_SOURCES
 from memspark.registry.aggregates import _MEM, memories, NEWEST
 from memspark.registry.views import ctes, episodes, facts, preference_edges, sentences, summaries, vectors
@@ -318,7 +319,8 @@ _SPEC = """cs AS (SELECT id, created_at, entities_touched FROM current_v), ex AS
 @query("entity_specificity", ctes("current_v", more=_SPEC) + "SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, doc_id) AS rank FROM sc) WHERE rank <= 5")
 def entity_specificity(t):
     """Corrected versions ask for the related current ones, all customers in one shared scope."""
-    s = summaries(t).withColumn("scope_kind", F.lit("shared")).withColumn("scope_owner", F.lit("team:all"))
+    s = summaries(t).select(F.lit("shared").alias("scope_kind"), F.lit("team:all").alias("scope_owner"), "id", "supersedes", "created_at", "entities_touched", "correction_reason")
+    s = materialize(s, "summaries")
     r = consolidate.entity_specificity(s, s.filter("correction_reason is not null"))
     return r.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
