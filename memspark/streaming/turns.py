@@ -46,20 +46,20 @@ def joined(turns: list[tuple]) -> list[tuple]:
 
 
 def stretches(rows: pd.DataFrame) -> list[tuple]:
-    """Requests (``at``, ``end``, ``answer``, ``tool``) of one key as turns."""
-    rows = rows.sort_values("at", kind="stable")
-    fresh = rows["at"] >= rows["end"].cummax().shift(fill_value=rows["at"].iloc[0])
-    out = []
-    for _, turn in rows.groupby(fresh.cumsum(), sort=True):
-        said = turn[turn["answer"].notna() & (turn["answer"] != "")]
-        answer, answered = None, None
-        if len(said):
-            answered = int(said["at"].iloc[-1])
-            answer = said.loc[said["at"] == answered, "answer"].max()
-        named = turn[turn["tool"].notna() & (turn["tool"] != "")]
-        uses = first_used({t: int(at) for t, at in named.groupby("tool")["at"].min().items()})
-        out.append((int(turn["at"].iloc[0]), int(turn["end"].max()), len(turn), answer, answered, list(uses), list(uses.values())))
-    return out
+    """Requests (``at``, ``end``, ``answer``, ``tool``) of one key as turns. Plain Python, as turns are many and short."""
+    rows = rows.iloc[rows["at"].to_numpy().argsort(kind="stable")]
+    out, last = [], None
+    for at, end, answer, tool in zip(*(rows[c].tolist() for c in ("at", "end", "answer", "tool"))):
+        if last is None or at >= last[1]:
+            last = [at, end, 0, None, None, {}]
+            out.append(last)
+        last[1], last[2] = max(last[1], end), last[2] + 1
+        if isinstance(answer, str) and answer and (last[4] != at or answer > last[3]):
+            last[3], last[4] = answer, at
+        if isinstance(tool, str) and tool:
+            last[5].setdefault(tool, at)
+    uses = [first_used(turn[5]) for turn in out]
+    return [(*turn[:5], list(u), list(u.values())) for turn, u in zip(out, uses)]
 
 
 class Turns(StatefulProcessor):
