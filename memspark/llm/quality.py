@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm.tables import first_by_hash, table
-from memspark.llm.wordchunks import forget_all
-from memspark.llm.wordchunks import chunks_of
+from memspark.llm.wordchunks import chunks_of, forget_all
 
 #: Rows of the vector table, and the length of a vector.
 BUCKETS, DIMENSIONS = 1 << 16, 12
@@ -202,6 +201,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _score_column(shared):
     @F.arrow_udf("double")
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget_all()
         score = shared.value.score
         for texts in batches:
             yield pa.array([score(t.as_py() or "") for t in texts], pa.float64())

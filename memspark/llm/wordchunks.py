@@ -7,11 +7,14 @@ again costs one look-up.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import unicodedata
 import weakref
 from collections.abc import Callable
 
+import pyarrow as pa
+
 #: White space of the Unicode property: what ``str.split`` knows without these four.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -76,9 +79,16 @@ def _size(value) -> int:
 
 
 def forget_all() -> None:
-    """Workers live on from one operator to the next: those that use no memory give back what others remembered."""
+    """Workers live on from one operator to the next: those that use no memory give back what others remembered.
+
+    What is free goes back to the system too, as Arrow and the C library keep it for this process alone.
+    """
     for memory in list(_LIVE):
         memory.forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim is not None:
+        trim(0)
 
 
 def words_of(chunk: str, find_words: Callable[[str], list[str]]) -> list[str]:

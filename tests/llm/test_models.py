@@ -1,14 +1,17 @@
 """The classifier, the secret forest, the neighbour search and the pipeline."""
 
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from memspark.llm import adscan, quality, secrets
 from memspark.llm.queries import QUERIES
+from memspark.llm.wordchunks import Memory
 from tests.conftest import SMALL
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -40,6 +43,14 @@ def test_quality_of_odd_rows(spark, tmp_path):
     assert quality.keep_good(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
 
 
+def test_scoring_gives_back_what_other_operators_remember():
+    memory = Memory(str.upper)
+    assert memory["word"] == "WORD"
+    shared = SimpleNamespace(value=quality.Model(np.zeros(quality.BUCKETS), 0.0))
+    scores = quality._score_column(shared).func(iter([pa.array(["a b", None])]))
+    assert next(scores).to_pylist() == [0.5, 0.5] and not memory and not memory.old
+
+
 def test_text_rows_match_a_plain_count():
     text = "ab ab  c"
     n = sum(len(r) for r in quality.text_rows(text))
