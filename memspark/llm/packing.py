@@ -14,28 +14,23 @@ rows; ids of any length are cut. Columns other than the two named are ignored.
 from __future__ import annotations
 
 import bisect
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm.tables import table
-from memspark.llm.wordchunks import MEMORY_CHARS, Memory, word_pattern
+from memspark.llm.wordchunks import ID_BYTES as _ID_BYTES
+from memspark.llm.wordchunks import ChunkCoder, slices
 from memspark.session import materialize
 
 CAPACITY = 4096
 OPEN_WINDOWS = 32
 #: Partitions whose open windows are merged in one task.
 GROUP = 8
-#: Text encoded at once.
-SLICE_BYTES = 8 << 20
 END_ID = 2
-_ID_BYTES = 4
 #: A sequence id is made of the round, the partition or group, and a count within it.
 _ROUND_SHIFT, _PART_SHIFT = 58, 30
 
@@ -67,16 +62,13 @@ def encoder(path: str):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        # texts that Arrow would split or lower-case otherwise than the library, or that may hold special tokens
-        odd = "|".join([r"[\x1c-\x1f\x{130}\x{1c89}\x{a7cb}\x{a7cc}\x{a7da}\x{a7dc}\x{10d50}-\x{10d65}]", *[re.escape(t[:2]) for t in special]])
-        common = re.compile("[\\x00-\\u052f\\u2010-\\u2027\\u2030-\\u205e]*").fullmatch
-        find_words, width = word_pattern(), tokenizer.get_vocab_size()
+        width = tokenizer.get_vocab_size()
         ends = np.zeros(width, bool)  # every word's last token, and no other, carries the end mark
         ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
         def encode_words(words: list[str]) -> list[bytes]:
             """Ids of many words by one call of the library, cut where a token ends a word."""
-            ids = np.array(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ends[ids]) + 1
             if len(cuts) != len(words):
                 raise ValueError("the tokenizer split a word")
@@ -86,100 +78,10 @@ def encoder(path: str):
         def one(text: str) -> bytes:
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        memory = Memory(one, 400_000)  # of words and of chunks
-
-        def learn(new: list[str]) -> dict[str, bytes]:
-            """Ids of chunks, and of the words in them, that the memory lacks."""
-            ids, parts, words = {}, {}, set()
-            for c in new:
-                if not common(c):  # Unicode versions may differ on what a letter is: the library splits
-                    ids[c] = one(c)
-                elif c.isalpha():
-                    words.add(c)
-                else:
-                    parts[c] = find_words(c)
-                    words.update(parts[c])
-            unknown = []
-            for w in words:
-                value = memory.get(w) or memory.old.get(w)
-                if value is None:
-                    unknown.append(w)
-                else:
-                    ids[w] = value
-            for at in range(0, len(unknown), 1000):
-                some = unknown[at : at + 1000]
-                ids.update(zip(some, encode_words(some)))
-            for c, part in parts.items():
-                if part != [c]:
-                    ids[c] = b"".join([ids[w] for w in part])
-            return ids
-
-        def recall(keys: list[str]) -> list[bytes]:
-            found = list(map(memory.get, keys))
-            gaps = [i for i, value in enumerate(found) if value is None]
-            old, new, fresh = memory.old, [], {}
-            for i in gaps:
-                value = found[i] = old.get(keys[i])
-                if value is None:
-                    new.append(i)
-                else:
-                    fresh[keys[i]] = value
-            if new:
-                ids = learn([keys[i] for i in new])
-                for i in new:
-                    found[i] = ids[keys[i]]
-                fresh.update(ids)
-            if fresh:
-                long = [k for k in fresh if len(k) > MEMORY_CHARS]
-                for k in long:
-                    del fresh[k]
-                memory.keep_all(fresh)
-            return found
-
-        def encode(texts: pa.StringArray) -> list[bytes]:
-            texts = texts.fill_null("")
-            strange = pc.match_substring_regex(texts, odd)
-            if not pc.any(strange).as_py():
-                return encode_plain(texts)
-            plain = iter(encode_plain(texts.filter(pc.invert(strange))))
-            return [one(t.as_py()) if s else next(plain) for t, s in zip(texts, strange.to_pylist())]
-
-        def encode_plain(texts: pa.StringArray) -> list[bytes]:
-            whole = texts.to_pylist()
-            if not all(unicodedata.is_normalized("NFC", t) for t in whole):
-                texts = pa.array([unicodedata.normalize("NFC", t) for t in whole])
-            chunks = pc.utf8_split_whitespace(pc.utf8_lower(texts))
-            coded = chunks.flatten().dictionary_encode()
-            found = recall(coded.dictionary.to_pylist())
-            at = coded.indices.to_numpy()
-            pool = np.frombuffer(b"".join(found), "<u4")
-            sizes = np.fromiter(map(len, found), np.int32, len(found)) // _ID_BYTES
-            # every chunk's ids stand once in the pool; gather them in text order
-            each = sizes[at]
-            ends_at = np.cumsum(each, dtype=np.int64)
-            total = int(ends_at[-1]) if len(ends_at) else 0
-            shift = (np.cumsum(sizes, dtype=np.int64) - sizes)[at] - (ends_at - each)
-            ids = pool[np.repeat(shift, each) + np.arange(total)].tobytes()
-            stops = np.concatenate([[0], ends_at])[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()] * _ID_BYTES
-            return [ids[a:b] for a, b in zip(stops.tolist(), stops[1:].tolist())]
-
-        _LOADED[path] = encode
+        _LOADED[path] = ChunkCoder(encode_words, one, special).encode
     return _LOADED[path]
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """A batch in slices whose texts have at most ``most_bytes`` (or are one row)."""
-    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
-    start = held = 0
-    for row, size in enumerate(sizes):
-        if held + size > most_bytes and row > start:
-            yield batch.slice(start, row - start)
-            start, held = row, 0
-        held += size
-    if start < len(sizes):
-        yield batch.slice(start)
-
-
 class OpenWindows:
     """Best fit over a fixed number of open windows."""
 
@@ -248,7 +150,7 @@ def pack_partitions(docs: DataFrame, path: str, capacity: int, places: int, end_
             return part << _PART_SHIFT | made - 1
 
         for batch in batches:
-            for piece in slices(batch, 1, SLICE_BYTES):
+            for piece in slices(batch, 1):
                 for doc_id, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1))):
                     ids += end
                     tokens, start = len(ids) // _ID_BYTES, 0

@@ -6,13 +6,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline
 from memspark.llm import bpe, packing, simhash, spotsigs
 from memspark.llm.queries import QUERIES
-from memspark.llm.wordchunks import Memory, chunks_of
+from memspark.llm.wordchunks import ChunkCoder, Memory, chunks_of
 from tests.conftest import SMALL
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -52,6 +53,27 @@ def test_memory_forgets_but_stays_right():
     assert memory["y" * 500] == "Y" * 500 and "y" * 500 not in memory
 
 
+def test_a_slice_has_every_word_encoded_once():
+    asked = []
+
+    def encode_words(words):
+        asked.extend(words)
+        return [np.array([ord(c) for c in w], "<u4").tobytes() for w in words]
+
+    coder = ChunkCoder(encode_words, lambda t: b"", ["<s>"])
+    texts = pa.array(["Ab ab, AB", None, "ab cd, " * 3, ""])
+    want = [[ord(c) for c in t] for t in ("abab,ab", "", "abcd," * 3, "")]
+    assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == want and sorted(asked) == [",", "ab", "cd"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == want and len(asked) == 3
+
+
+def test_memory_in_bytes_turns_over():
+    memory = Memory(None, entries=100, most_bytes=1000)
+    for n in range(20):
+        memory.keep_all({f"{n}_{i}": b"x" * 50 for i in range(5)})
+    assert len(memory) + len(memory.old) <= 20 and "19_4" in memory
+
+
 @pytest.mark.parametrize("texts", [None, ODD + ODD[3:5], []])
 def test_encoding_and_packing_match_the_library(spark, tmp_path, library, texts):
     if texts is None:
