@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from memspark.llm.tables import table
-from memspark.llm.wordchunks import Memory, chunks_of, word_pattern, words_of
+from memspark.llm.wordchunks import ChunkCoder, chunks_of, slices, word_pattern, words_of
 
 _END = "</w>"
 #: The last symbol of a word is another symbol than the same byte inside one.
@@ -151,25 +152,22 @@ class PrefixBpe:
         return [i for part in self.parts_of(chunk) for i in self.encode_part(part)]
 
 
-_LOADED: dict[str, tuple[PrefixBpe, Memory]] = {}
+_LOADED: dict[str, tuple[ChunkCoder, list[bytes]]] = {}
 
 
-def loaded(path: str) -> tuple[PrefixBpe, Memory]:
-    """The tokenizer of this worker, with its memory of (ids, decoded) strings per chunk."""
+def loaded(path: str) -> tuple[ChunkCoder, list[bytes]]:
+    """The coder of this worker and the name of each id."""
     if path not in _LOADED:
         bpe = PrefixBpe(path)
 
-        def of_part(part: str) -> tuple[str, str]:
-            ids = bpe.encode_part(part)
-            return " ".join(map(str, ids)), " ".join([bpe.names[i] for i in ids])
+        def encode_words(words: list[str]) -> list[bytes]:
+            return [array("I", bpe.encode_word(w)).tobytes() for w in words]
 
-        parts = Memory(of_part)
+        def encode_text(text: str) -> bytes:
+            return array("I", [i for c in chunks_of(text) for i in bpe.encode_chunk(c)]).tobytes()
 
-        def of_chunk(chunk: str) -> tuple[str, str]:
-            found = [parts[p] for p in bpe.parts_of(chunk)]
-            return found[0] if len(found) == 1 else (" ".join([f[0] for f in found]), " ".join([f[1] for f in found]))
-
-        _LOADED[path] = bpe, Memory(of_chunk)
+        names = [bpe.names.get(i, "").encode() for i in range(max(bpe.names) + 1)]
+        _LOADED[path] = ChunkCoder(encode_words, encode_text, list(bpe.special)), names
     return _LOADED[path]
 
 
@@ -182,27 +180,22 @@ def bpe_encode(docs: DataFrame, path: str, outputs: list[str], id_col: str = "do
     id_type = rows.schema[id_col].dataType.simpleString()
     schema = ", ".join([f"`{id_col}` {id_type}", *[f"{o} {OUTPUTS[o][1]}" for o in outputs]])
 
-    def one(text: str, memory: Memory) -> dict:
-        pieces = [memory[c] for c in chunks_of(text)]
-        ids = " ".join([p[0] for p in pieces])
-        row = {}
-        if "n_tokens" in outputs:
-            row["n_tokens"] = ids.count(" ") + 1 if ids else 0
-        if "ids" in outputs:
-            row["ids"] = [int(i) for i in ids.split()]
+    def one(coded: bytes, numbers: list[bytes], names: list[bytes]) -> dict:
+        ids = array("I", coded)
+        row = {"n_tokens": len(ids), "ids": ids}
         if "ids_sha256" in outputs:
-            row["ids_sha256"] = hashlib.sha256(ids.encode()).hexdigest()
+            row["ids_sha256"] = hashlib.sha256(b" ".join([numbers[i] for i in ids])).hexdigest()
         if "decoded" in outputs or "decoded_sha256" in outputs:
-            decoded = " ".join([p[1] for p in pieces])
-            row["decoded"], row["decoded_sha256"] = decoded, hashlib.sha256(decoded.encode()).hexdigest()
-        return row
+            decoded = b" ".join([names[i] for i in ids])
+            row["decoded"], row["decoded_sha256"] = decoded, hashlib.sha256(decoded).hexdigest()
+        return {o: row[o] for o in outputs}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = loaded(path)[1]
+        coder, names = loaded(path)
+        numbers = [b"%d" % i for i in range(len(names))]
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                rows = [one(t.as_py() or "", memory) for t in part.column(1)]
+            for part in slices(batch, 1):
+                rows = [one(coded, numbers, names) for coded in coder.encode(part.column(1))]
                 columns = [part.column(0), *[pa.array([r[o] for r in rows], OUTPUTS[o][0]) for o in outputs]]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, *outputs])
 
