@@ -336,8 +336,9 @@ def best_of_sets(docs: DataFrame, stats: DataFrame, asked: DataFrame, top: int,
     def lists(rows: DataFrame, keys: list[str]) -> DataFrame:
         each = rows.select(*SCOPE, row.alias("r"), F.explode(_subsets(F.col("held"), few)).alias("_s"))
         each = each.select(*SCOPE, F.transform("_s", lambda h: h["term"]).alias("subset"), F.transform("_s", lambda h: h["times"]).alias("times"), "r")
-        # one more, as one of them may be the one that asks
-        return top_per_key(each, [*SCOPE, *keys], [F.col("r")], top + 1).groupBy(*SCOPE, *keys).agg(F.collect_list("r").alias("list"))
+        # one more, as one of them may be the one that asks; what they were ordered by stays behind
+        first = top_per_key(each, [*SCOPE, *keys], [F.col("r")], top + 1)
+        return first.groupBy(*SCOPE, *keys).agg(F.collect_list(F.struct("r.doc_id", "r.created_at")).alias("list"))
 
     freq = stats.select(*SCOPE, F.array("term").alias("subset"), "_freq")
     met = wanted.join(lists(docs.filter("plain"), ["subset"]).join(freq, [*SCOPE, "subset"], "full"), [*SCOPE, "subset"]).withColumn("times", F.lit(None).cast("array<bigint>"))
